@@ -46,3 +46,123 @@ def q_pack_concat(spark, sf_dir):
 def q_packing_report(spark, sf_dir):
     lens = V.lens(spark, sf_dir)
     return P.packing_report(P.pack_concat(lens, T), lens, T, "concat")
+
+
+# ------------------------------------------------------------------ 2.1 sources
+
+from tessera.operators import selection as S  # noqa: E402
+from tessera.session import scratch_path  # noqa: E402
+
+
+def _tag(sf_dir: str) -> str:
+    import hashlib
+    return hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+
+
+@q
+def q_split_last_shard(spark, sf_dir):
+    d = V.docs(spark, sf_dir)
+    last = C.last_shard(d)
+    tr = C.split_last_shard(d, "train", last).withColumn("split", F.lit("train"))
+    va = C.split_last_shard(d, "val", last).withColumn("split", F.lit("val"))
+    return tr.unionByName(va).select("doc_id", "shard_id", "split")
+
+
+@q
+def q_stride_row_groups(spark, sf_dir):
+    return C.stride_row_groups(V.docs(spark, sf_dir), 1, 3).select("doc_id", "shard_id", "rg_id")
+
+
+@q
+def q_doc_batches(spark, sf_dir):
+    return C.doc_batches(V.docs(spark, sf_dir), batch_size=8)
+
+
+@q
+def q_resume_cursor(spark, sf_dir):
+    return C.resume_cursor(V.docs(spark, sf_dir), shard=1, rg=2, rank=1, world=3).select(
+        "doc_id", "shard_id", "rg_id")
+
+
+@q
+def q_repeat_epochs(spark, sf_dir):
+    return C.repeat_epochs(V.docs(spark, sf_dir), 3, shard=1, rg=2, rank=1, world=3).select(
+        "epoch", "doc_id", "shard_id", "rg_id")
+
+
+def _repackaged(spark, sf_dir):
+    return C.repackage_shards(V.docs(spark, sf_dir), chars_per_shard=50_000, row_group=32)
+
+
+@q
+def q_repackage_shards(spark, sf_dir):
+    return _repackaged(spark, sf_dir).select("doc_id", "new_shard", "new_rg", "pos_in_rg", "order_idx")
+
+
+@q
+def q_write_shards(spark, sf_dir):
+    out = scratch_path(spark, f"shards-{_tag(sf_dir)}")
+    C.write_shards(_repackaged(spark, sf_dir).select("doc_id", "text", "new_shard", "new_rg", "pos_in_rg"), out,
+                   row_group_rows=32)
+    back = spark.read.parquet(out)
+    return back.select("doc_id", F.col("new_shard").cast("bigint").alias("new_shard"),
+                       F.col("new_rg").cast("bigint").alias("new_rg"), "pos_in_rg",
+                       F.length("text").alias("n_chars"))
+
+
+# ------------------------------------------------------------------ 2.2 selection
+
+@q
+def q_crop_docs(spark, sf_dir):
+    d = S.crop_docs(V.docs(spark, sf_dir), 1000)
+    return d.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@q
+def q_char_budget(spark, sf_dir):
+    d = S.char_budget(S.crop_docs(V.docs(spark, sf_dir), 10_000), 500_000, order="doc_id")
+    return d.select("doc_id", "chars_before")
+
+
+@q
+def q_seeded_shuffle(spark, sf_dir):
+    return S.seeded_shuffle(V.docs(spark, sf_dir).select("doc_id"), "doc_id", 42)
+
+
+@q
+def q_take_n(spark, sf_dir):
+    return S.take_n(V.docs(spark, sf_dir).select("doc_id", "lang"), 5, "doc_id", 1337)
+
+
+@q
+def q_split_fractions(spark, sf_dir):
+    return S.split_fractions(V.docs(spark, sf_dir).select("doc_id"), 0.8, 0.1, "doc_id", 42)
+
+
+@q
+def q_slice_rows(spark, sf_dir):
+    return S.slice_rows(V.docs(spark, sf_dir).select("doc_id"), "doc_id", 5, 500, 7)
+
+
+def _lang_tasks(spark, sf_dir):
+    d = V.docs(spark, sf_dir).select("doc_id", "lang")
+    en = S.seeded_shuffle(d.filter("lang = 'en'"), "doc_id", 0, out="idx")
+    fr = S.seeded_shuffle(d.filter("lang = 'fr'"), "doc_id", 0, out="idx")
+    return en, fr
+
+
+@q
+def q_mix_tasks(spark, sf_dir):
+    en, fr = _lang_tasks(spark, sf_dir)
+    return S.mix_tasks([(en, 1), (fr, 2)], seed=42).select("mix_idx", "task", "copy", "idx", "doc_id")
+
+
+@q
+def q_sequence_tasks(spark, sf_dir):
+    en, fr = _lang_tasks(spark, sf_dir)
+    return S.sequence_tasks([en, fr]).select("seq_idx", "task", "idx", "doc_id")
+
+
+@q
+def q_rank_shards(spark, sf_dir):
+    return S.rank_shards(V.docs(spark, sf_dir).select("doc_id"), 8, idx="doc_id")

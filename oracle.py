@@ -78,3 +78,95 @@ Q["scan_corpus"] = """
 SELECT CAST(0 AS INTEGER) AS shard_id, CAST(doc_id // 256 AS INTEGER) AS rg_id, CAST(doc_id % 256 AS INTEGER) AS pos_in_rg,
        doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes
 FROM documents"""
+
+# ------------------------------------------------------------------ 2.1 sources
+
+Q["split_last_shard"] = with_(DOCS) + """
+SELECT doc_id, shard_id, CASE WHEN shard_id = (SELECT max(shard_id) FROM docs) THEN 'val' ELSE 'train' END AS split FROM docs"""
+
+Q["stride_row_groups"] = with_(DOCS) + """
+SELECT doc_id, shard_id, rg_id FROM docs WHERE rg_id >= 1 AND (rg_id - 1) % 3 = 0"""
+
+Q["doc_batches"] = with_(DOCS) + """
+SELECT shard_id, rg_id, CAST(pos_in_rg // 8 AS INTEGER) AS batch_id, count(*) AS n_docs,
+       CAST(sum(length(text)) AS BIGINT) AS n_chars, min(doc_id) AS first_doc, max(doc_id) AS last_doc
+FROM docs GROUP BY ALL"""
+
+RESUME = """(rg_id >= 1 AND (rg_id - 1) % 3 = 0 AND (shard_id > 1 OR (shard_id = 1 AND rg_id >= (2 // 3 + 1) * 3 + 1)))"""
+Q["resume_cursor"] = with_(DOCS) + f"""
+SELECT doc_id, shard_id, rg_id FROM docs WHERE {RESUME}"""
+
+Q["repeat_epochs"] = with_(DOCS) + f"""
+SELECT 1 AS epoch, doc_id, shard_id, rg_id FROM docs WHERE {RESUME}
+UNION ALL
+SELECT e.epoch, doc_id, shard_id, rg_id FROM docs, (SELECT unnest([2, 3]) AS epoch) e
+WHERE rg_id >= 1 AND (rg_id - 1) % 3 = 0"""
+
+REPACK = """o AS (
+  SELECT doc_id, text, CAST(length(text) AS BIGINT) AS c,
+         row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || doc_id),1,8))::BIGINT, doc_id) - 1 AS order_idx
+  FROM documents),
+b AS (SELECT order_idx // 32 AS block, CAST(sum(c) AS BIGINT) AS bchars FROM o GROUP BY 1),
+r AS (
+  SELECT block, bchars AS acc, 0 AS shard, block AS first_block FROM b WHERE block = 0
+  UNION ALL
+  SELECT b.block,
+         CASE WHEN r.acc >= 50000 THEN b.bchars ELSE r.acc + b.bchars END,
+         CASE WHEN r.acc >= 50000 THEN r.shard + 1 ELSE r.shard END,
+         CASE WHEN r.acc >= 50000 THEN b.block ELSE r.first_block END
+  FROM r JOIN b ON b.block = r.block + 1),
+fin AS (SELECT shard, arg_max(acc, block) AS last_acc FROM r GROUP BY shard),
+packed AS (
+  SELECT o.doc_id, o.text, CAST(r.shard AS BIGINT) AS new_shard, CAST(r.block - r.first_block AS BIGINT) AS new_rg,
+         CAST(o.order_idx % 32 AS INTEGER) AS pos_in_rg, CAST(o.order_idx AS BIGINT) AS order_idx
+  FROM o JOIN r ON o.order_idx // 32 = r.block JOIN fin ON fin.shard = r.shard
+  WHERE fin.last_acc >= 50000)"""
+
+Q["repackage_shards"] = "WITH RECURSIVE " + REPACK + """
+SELECT doc_id, new_shard, new_rg, pos_in_rg, order_idx FROM packed"""
+
+Q["write_shards"] = "WITH RECURSIVE " + REPACK + """
+SELECT doc_id, new_shard, new_rg, pos_in_rg, CAST(length(text) AS INTEGER) AS n_chars FROM packed"""
+
+# ------------------------------------------------------------------ 2.2 selection
+
+Q["crop_docs"] = """
+SELECT doc_id, CAST(length(substr(text, 1, 1000)) AS INTEGER) AS n_chars, md5(substr(text, 1, 1000)) AS text_md5 FROM documents"""
+
+Q["char_budget"] = """
+WITH c AS (SELECT doc_id, CAST(coalesce(sum(length(substr(text,1,10000))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM documents)
+SELECT doc_id, chars_before FROM c WHERE chars_before <= 500000"""
+
+
+def hsql(seed, *cols) -> str:
+    inner = " || ':' || ".join([f"'{seed}'"] + [f"CAST({c} AS VARCHAR)" for c in cols])
+    return f"('0x' || substr(md5({inner}),1,8))::BIGINT"
+
+
+Q["seeded_shuffle"] = f"""
+SELECT doc_id, CAST(row_number() OVER (ORDER BY {hsql(42, 'doc_id')}, doc_id) - 1 AS BIGINT) AS shuffle_idx FROM documents"""
+
+Q["take_n"] = f"""
+SELECT doc_id, lang FROM documents ORDER BY {hsql(1337, 'doc_id')}, doc_id LIMIT 5"""
+
+Q["split_fractions"] = f"""
+WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY {hsql(42, 'doc_id')}, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN i < floor(n*0.8) THEN 'train' WHEN i < floor(n*0.8) + floor(n*0.1) THEN 'val' ELSE 'test' END AS split FROM s"""
+
+Q["slice_rows"] = """
+SELECT doc_id, CAST((doc_id - 5) // 7 AS BIGINT) AS slice_idx FROM documents WHERE doc_id >= 5 AND doc_id < 500 AND (doc_id - 5) % 7 = 0"""
+
+LANG_TASKS = f"""en AS (SELECT doc_id, row_number() OVER (ORDER BY {hsql(0, 'doc_id')}, doc_id) - 1 AS idx FROM documents WHERE lang = 'en'),
+fr AS (SELECT doc_id, row_number() OVER (ORDER BY {hsql(0, 'doc_id')}, doc_id) - 1 AS idx FROM documents WHERE lang = 'fr')"""
+
+Q["mix_tasks"] = f"""WITH {LANG_TASKS},
+u AS (SELECT 0 AS task, 0 AS copy, idx, doc_id FROM en
+      UNION ALL SELECT 1, c.copy, idx, doc_id FROM fr, (SELECT unnest([0, 1]) AS copy) c)
+SELECT CAST(row_number() OVER (ORDER BY {hsql(42, 'task', 'copy', 'idx')}, task, copy, idx) - 1 AS BIGINT) AS mix_idx,
+       CAST(task AS INTEGER) AS task, CAST(copy AS INTEGER) AS copy, CAST(idx AS BIGINT) AS idx, doc_id FROM u"""
+
+Q["sequence_tasks"] = f"""WITH {LANG_TASKS}
+SELECT CAST(idx AS BIGINT) AS seq_idx, 0 AS task, CAST(idx AS BIGINT) AS idx, doc_id FROM en
+UNION ALL SELECT CAST(idx + (SELECT count(*) FROM en) AS BIGINT), 1, CAST(idx AS BIGINT), doc_id FROM fr"""
+
+Q["rank_shards"] = """SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS rank FROM documents"""
