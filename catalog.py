@@ -166,3 +166,97 @@ def q_sequence_tasks(spark, sf_dir):
 @q
 def q_rank_shards(spark, sf_dir):
     return S.rank_shards(V.docs(spark, sf_dir).select("doc_id"), 8, idx="doc_id")
+
+
+# ------------------------------------------------------------------ 2.5 conversations
+
+from tessera.operators import chat as CH  # noqa: E402
+
+BOS = 261
+
+
+def _verdict(df):
+    return df.select("conv_id", "valid", "reason")
+
+
+@q
+def q_validate_conversations(spark, sf_dir):
+    return _verdict(CH.validate_conversations(V.convs(spark, sf_dir)))
+
+
+@q
+def q_validate_smoltalk(spark, sf_dir):
+    return _verdict(CH.validate_smoltalk(V.convs(spark, sf_dir)))
+
+
+@q
+def q_validate_synthetic(spark, sf_dir):
+    return _verdict(CH.validate_synthetic(V.convs(spark, sf_dir)))
+
+
+@q
+def q_conversation_limits(spark, sf_dir):
+    return _verdict(CH.conversation_limits(V.convs(spark, sf_dir)))
+
+
+@q
+def q_merge_system(spark, sf_dir):
+    m = CH.merge_system(V.convs(spark, sf_dir))
+    return m.select("conv_id", "merge_ok", F.size("messages").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+                    F.md5(F.array_join(F.transform("messages", lambda x: x["content"]), "|")).alias("content_md5"))
+
+
+def _rendered(spark, sf_dir):
+    return CH.render_conversation(V.convs_ok(spark, sf_dir), max_tokens=2048)
+
+
+@q
+def q_render_conversation(spark, sf_dir):
+    r = _rendered(spark, sf_dir)
+    return r.select("conv_id", F.array_join("ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"),
+                    F.size("ids").alias("n_tokens"))
+
+
+@q
+def q_render_for_completion(spark, sf_dir):
+    r = CH.render_for_completion(V.convs_ok(spark, sf_dir))
+    return r.select("conv_id", F.array_join("ids", ",").alias("ids"))
+
+
+@q
+def q_render_chat_prompt(spark, sf_dir):
+    r = CH.render_chat_prompt(V.convs(spark, sf_dir))
+    return r.select("conv_id", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+@q
+def q_supervision_stats(spark, sf_dir):
+    return CH.supervision_stats(_rendered(spark, sf_dir)).select(
+        "conv_id", "n_tokens", "n_supervised", "supervised_share")
+
+
+def _sft(spark, sf_dir):
+    return CH.sft_rows(_rendered(spark, sf_dir), T, BOS)
+
+
+@q
+def q_sft_rows(spark, sf_dir):
+    s = _sft(spark, sf_dir)
+    return s.select("conv_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("mask", ",")).alias("mask_md5"))
+
+
+@q
+def q_shift_targets(spark, sf_dir):
+    s = P.shift_targets(_sft(spark, sf_dir))
+    return s.select("conv_id", F.md5(F.array_join("inputs", ",")).alias("inputs_md5"),
+                    F.md5(F.array_join("targets", ",")).alias("targets_md5"),
+                    F.size(F.filter("targets", lambda x: x == -1)).alias("n_ignored"))
+
+
+@q
+def q_pad_batches(spark, sf_dir):
+    r = _rendered(spark, sf_dir).withColumn("batch", (F.col("conv_id") / 8).cast("bigint"))
+    p = P.pad_batches(r, "batch", BOS)
+    return p.select("conv_id", "batch", "padded_len", F.md5(F.array_join("ids", ",")).alias("ids_md5"))

@@ -170,3 +170,125 @@ SELECT CAST(idx AS BIGINT) AS seq_idx, 0 AS task, CAST(idx AS BIGINT) AS idx, do
 UNION ALL SELECT CAST(idx + (SELECT count(*) FROM en) AS BIGINT), 1, CAST(idx AS BIGINT), doc_id FROM fr"""
 
 Q["rank_shards"] = """SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS rank FROM documents"""
+
+# ------------------------------------------------------------------ 2.5 conversations
+
+
+def B(x: str) -> str:
+    """UTF-8 byte ids of a string expression."""
+    return f"list_transform(regexp_extract_all(hex({x}), '..'), lambda p: ('0x' || p)::INTEGER)"
+
+
+def REP(v: int, n: str) -> str:
+    return f"list_transform(range({n}), lambda i: {v})"
+
+
+CONVS = """convs AS (
+  SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages FROM conversations GROUP BY conv_id)"""
+
+ALT = """list_filter(list_transform({m}, lambda x, i: CASE
+    WHEN x.role IS NULL THEN 'missing_role:' || (i-1)
+    WHEN x.content IS NULL THEN 'missing_content:' || (i-1)
+    WHEN x.role <> CASE WHEN (i-1) % 2 = 0 THEN 'user' ELSE 'assistant' END THEN 'bad_role:' || (i-1)
+    {extra} END), lambda r: r IS NOT NULL)[1]"""
+
+
+def alt(m: str, extra: str = "") -> str:
+    return ALT.format(m=m, extra=extra)
+
+
+SMOL = f"""smol AS (
+  SELECT conv_id, messages, CASE WHEN messages[1].role = 'system' THEN messages[2:] ELSE messages END AS rest FROM convs),
+smolv AS (
+  SELECT conv_id, messages, CASE WHEN len(messages) < 1 THEN 'empty' WHEN len(rest) < 2 THEN 'too_short' ELSE {alt('rest')} END AS reason
+  FROM smol)"""
+
+CONVS_OK = SMOL + """,
+convs_ok AS (
+  SELECT conv_id, CASE WHEN messages[len(messages)].role = 'user' THEN messages[1:len(messages)-1] ELSE messages END AS messages
+  FROM smolv WHERE reason IS NULL)"""
+
+Q["validate_conversations"] = with_(CONVS) + f"""
+SELECT conv_id, reason IS NULL AS valid, reason FROM (
+  SELECT conv_id, CASE WHEN len(messages) < 2 THEN 'too_short' ELSE {alt('messages')} END AS reason FROM convs)"""
+
+Q["validate_smoltalk"] = with_(CONVS, SMOL) + """
+SELECT conv_id, reason IS NULL AS valid, reason FROM smolv"""
+
+Q["validate_synthetic"] = with_(CONVS) + f"""
+SELECT conv_id, reason IS NULL AS valid, reason FROM (
+  SELECT conv_id, CASE WHEN len(messages) < 2 THEN 'too_short'
+    ELSE {alt('messages', "WHEN regexp_matches(x.content, '^\\\\s*$') THEN 'empty_content:' || (i-1)")} END AS reason FROM convs)"""
+
+Q["conversation_limits"] = with_(CONVS) + """
+SELECT conv_id, reason IS NULL AS valid, reason FROM (
+  SELECT conv_id, CASE WHEN len(messages) = 0 THEN 'no_messages' WHEN len(messages) > 500 THEN 'too_many_messages'
+    ELSE coalesce(
+      list_filter(list_transform(messages, lambda x, i: CASE WHEN coalesce(length(x.content), 0) = 0 THEN 'empty_content:' || (i-1)
+                                                         WHEN length(x.content) > 8000 THEN 'message_too_long:' || (i-1) END),
+                  lambda r: r IS NOT NULL)[1],
+      CASE WHEN list_sum(list_transform(messages, lambda x: coalesce(length(x.content), 0))) > 32000 THEN 'total_too_long' END,
+      list_filter(list_transform(messages, lambda x, i: CASE WHEN x.role IS NULL OR x.role NOT IN ('user', 'assistant') THEN 'invalid_role:' || (i-1) END),
+                  lambda r: r IS NOT NULL)[1]) END AS reason FROM convs)"""
+
+MERGE = """CASE WHEN messages[1].role = 'system' AND messages[2].role = 'user'
+  THEN list_concat([{'role': 'user', 'content': messages[1].content || chr(10) || chr(10) || messages[2].content}], messages[3:])
+  ELSE messages END"""
+
+Q["merge_system"] = with_(CONVS) + f"""
+SELECT conv_id, coalesce(messages[1].role <> 'system' OR messages[2].role = 'user', false) AS merge_ok,
+       CAST(len(m) AS INTEGER) AS n_messages, array_to_string(list_transform(m, lambda x: x.role), ',') AS roles,
+       md5(array_to_string(list_transform(m, lambda x: x.content), '|')) AS content_md5
+FROM (SELECT conv_id, messages, {MERGE} AS m FROM convs)"""
+
+
+def render_ids(m: str) -> str:
+    return f"""list_concat([261], flatten(list_transform({m}, lambda x: CASE WHEN x.role = 'user'
+        THEN list_concat([262], {B('x.content')}, [263]) ELSE list_concat([264], {B('x.content')}, [260]) END)))"""
+
+
+def render_mask(m: str) -> str:
+    return f"""list_concat([0], flatten(list_transform({m}, lambda x: CASE WHEN x.role = 'user'
+        THEN {REP(0, 'strlen(x.content) + 2')} ELSE list_concat([0], {REP(1, 'strlen(x.content) + 1')}) END)))"""
+
+
+RENDERED = CONVS_OK + f""",
+rendered AS (
+  SELECT conv_id, ({render_ids('m')})[1:2048] AS ids, ({render_mask('m')})[1:2048] AS mask
+  FROM (SELECT conv_id, {MERGE} AS m FROM convs_ok))"""
+
+Q["render_conversation"] = with_(CONVS, RENDERED) + """
+SELECT conv_id, array_to_string(ids, ',') AS ids, array_to_string(mask, ',') AS mask, CAST(len(ids) AS INTEGER) AS n_tokens
+FROM rendered"""
+
+Q["render_for_completion"] = with_(CONVS, CONVS_OK) + f"""
+SELECT conv_id, array_to_string(list_concat(({render_ids('m')})[1:2048], [264]), ',') AS ids
+FROM (SELECT conv_id, {MERGE.replace('messages', 'mm')} AS m FROM (SELECT conv_id, messages[1:len(messages)-1] AS mm FROM convs_ok))"""
+
+Q["render_chat_prompt"] = with_(CONVS) + f"""
+SELECT conv_id, md5(array_to_string(list_concat([261], flatten(list_transform(messages, lambda x: CASE
+      WHEN x.role = 'user' THEN list_concat([262], {B('x.content')}, [263])
+      WHEN x.role = 'assistant' THEN list_concat([264], {B('x.content')}, [260]) ELSE []::INTEGER[] END)), [264]), ',')) AS ids_md5
+FROM convs"""
+
+Q["supervision_stats"] = with_(CONVS, RENDERED) + """
+SELECT conv_id, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(list_sum(mask) AS INTEGER) AS n_supervised,
+       round(list_sum(mask) / len(ids), 6) AS supervised_share FROM rendered"""
+
+SFT = RENDERED + """,
+sft AS (
+  SELECT conv_id, list_concat(ids[1:2049], list_transform(range(greatest(2049 - len(ids), 0)), lambda i: 261)) AS ids,
+         list_concat(mask[1:2049], list_transform(range(greatest(2049 - len(ids), 0)), lambda i: 0)) AS mask FROM rendered)"""
+
+Q["sft_rows"] = with_(CONVS, SFT) + """
+SELECT conv_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS ids_md5, md5(array_to_string(mask, ',')) AS mask_md5 FROM sft"""
+
+Q["shift_targets"] = with_(CONVS, SFT) + """
+SELECT conv_id, md5(array_to_string(ids[1:2048], ',')) AS inputs_md5,
+       md5(array_to_string(list_transform(ids[2:2049], lambda x, i: CASE WHEN mask[i+1] = 0 THEN -1 ELSE x END), ',')) AS targets_md5,
+       CAST(len(list_filter(mask[2:2049], lambda k: k = 0)) AS INTEGER) AS n_ignored FROM sft"""
+
+Q["pad_batches"] = with_(CONVS, RENDERED) + """
+SELECT conv_id, CAST(conv_id // 8 AS BIGINT) AS batch, CAST(max(len(ids)) OVER (PARTITION BY conv_id // 8) AS INTEGER) AS padded_len,
+       md5(array_to_string(list_concat(ids, list_transform(range(max(len(ids)) OVER (PARTITION BY conv_id // 8) - len(ids)), lambda i: 261)), ',')) AS ids_md5
+FROM rendered"""

@@ -328,3 +328,14 @@ def shift_targets(rows: DataFrame, ids: str = "ids", mask: str | None = "mask",
         m = F.slice(F.col(mask), 2, n - 1)
         targets = F.zip_with(targets, m, lambda t, k: F.when(k == 0, F.lit(ignore)).otherwise(t))
     return rows.withColumn("inputs", inputs).withColumn("targets", targets)
+
+
+def pad_batches(seqs: DataFrame, batch: str, pad: int, ids: str = "ids") -> DataFrame:
+    """Right-pad every sequence to the longest of its batch with ``pad``.
+
+    The batch maximum is a grouped aggregate joined back (batches are small
+    groups of the same key), so no row is moved to a single task.
+    """
+    mx = seqs.groupBy(batch).agg(F.max(F.size(ids)).alias("padded_len"))
+    return (seqs.join(mx, batch)
+                .withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), F.col("padded_len") - F.size(ids)))))

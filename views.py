@@ -45,3 +45,25 @@ def lens(spark, sf_dir) -> DataFrame:
 def doc_bytes(spark, sf_dir) -> DataFrame:
     d = t(spark, sf_dir, "documents")
     return d.select("doc_id", F.concat(F.array(F.lit(BOS)), utf8_ids(F.substring("text", 1, 200))).alias("ids"))
+
+
+MSG_T = "array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>"
+PARTS_T = "array<struct<type:string,text:string>>"
+
+
+def convs(spark, sf_dir) -> DataFrame:
+    """conversations grouped by conv_id, messages ordered by turn."""
+    c = t(spark, sf_dir, "conversations")
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return g.select("conv_id", F.transform("m", lambda x: F.struct(
+        x["role"].alias("role"), x["text"].alias("content"), F.lit(None).cast(PARTS_T).alias("parts")))
+        .alias("messages"))
+
+
+def convs_ok(spark, sf_dir) -> DataFrame:
+    """convs passing validate_smoltalk, cut to end on an assistant turn."""
+    from tessera.operators.chat import validate_smoltalk
+    v = validate_smoltalk(convs(spark, sf_dir)).filter("valid").drop("valid", "reason")
+    m = F.col("messages")
+    last_user = F.get(m, F.size(m) - 1)["role"] == "user"
+    return v.withColumn("messages", F.when(last_user, F.slice(m, 1, F.size(m) - 1)).otherwise(m))
