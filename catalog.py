@@ -260,3 +260,132 @@ def q_pad_batches(spark, sf_dir):
     r = _rendered(spark, sf_dir).withColumn("batch", (F.col("conv_id") / 8).cast("bigint"))
     p = P.pad_batches(r, "batch", BOS)
     return p.select("conv_id", "batch", "padded_len", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+# ------------------------------------------------------------------ 2.6 captions, 2.1 json sources
+
+from tessera.operators import captions as CP  # noqa: E402
+from tessera.sources import jsonl as J  # noqa: E402
+
+
+def _msg_summary(df, *keys):
+    m = F.col("messages")
+    return df.select(*keys, F.size(m).alias("n_messages"),
+                     F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
+                     F.md5(F.array_join(F.transform(m, lambda x: x["content"]), "|")).alias("content_md5"))
+
+
+@q
+def q_captions_first(spark, sf_dir):
+    return _msg_summary(CP.captions_first(V.images(spark, sf_dir), V.annotations(spark, sf_dir)), "image_id")
+
+
+@q
+def q_captions_expand(spark, sf_dir):
+    return _msg_summary(CP.captions_expand(V.images(spark, sf_dir), V.annotations(spark, sf_dir)), "image_id", "ann_id")
+
+
+@q
+def q_caption_tokens(spark, sf_dir):
+    c = CP.caption_tokens(V.annotations(spark, sf_dir))
+    return c.select("image_id", "j", F.array_join("ids", ",").alias("ids"))
+
+
+@q
+def q_write_token_table(spark, sf_dir):
+    path = scratch_path(spark, f"cap-tokens-{_tag(sf_dir)}-{__import__('uuid').uuid4().hex[:8]}")
+    toks = CP.caption_tokens(V.annotations(spark, sf_dir))
+    CP.write_token_table(toks.filter(F.col("image_id") % 2 == 0), path, ["image_id", "j"])
+    CP.write_token_table(toks, path, ["image_id", "j"])  # only the odd images are new
+    back = spark.read.parquet(path)
+    return back.select("image_id", "j", F.array_join("ids", ",").alias("ids"))
+
+
+def _conv_images(spark, sf_dir):
+    return CP.captions_first(V.images(spark, sf_dir), V.annotations(spark, sf_dir))
+
+
+@q
+def q_attach_embeddings(spark, sf_dir):
+    e = CP.as_matrix(V.emb(spark, sf_dir), rows=1)
+    a = CP.attach_embeddings(_conv_images(spark, sf_dir), e)
+    flat = F.flatten("embedding")
+    return a.select("image_id", "used_default", F.size("embedding").alias("n_img_tokens"),
+                    F.round(F.aggregate(flat, F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("emb_sum"))
+
+
+@q
+def q_inject_placeholders(spark, sf_dir):
+    r = CH.render_conversation(_conv_images(spark, sf_dir))
+    e = CP.attach_embeddings(r, CP.as_matrix(V.emb(spark, sf_dir), rows=4))
+    p = CP.inject_placeholders(e.withColumn("n_img", F.size("embedding")), "n_img")
+    return p.select("image_id", F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("mask", ",")).alias("mask_md5"), F.size("ids").alias("n_tokens"))
+
+
+@q
+def q_embedding_coverage(spark, sf_dir):
+    return CP.embedding_coverage(V.images(spark, sf_dir), V.emb(spark, sf_dir),
+                                 CP.caption_tokens(V.annotations(spark, sf_dir)))
+
+
+@q
+def q_caption_similarity(spark, sf_dir):
+    e = V.emb(spark, sf_dir)
+    pairs = (e.alias("a").join(e.alias("b"), F.col("b.image_id") == F.col("a.image_id") + 1)
+              .select(F.col("a.embedding").alias("generated"), F.col("b.embedding").alias("target")))
+    return CP.caption_similarity(pairs)
+
+
+def _lines(spark, sf_dir):
+    """Chat JSONL lines: even conv_id as a bare array, odd as an object with
+    image_id; every tenth conversation adds a blank and a broken line."""
+    c = V.convs(spark, sf_dir).withColumn("image_id", F.when(F.col("conv_id") % 2 == 1, F.col("conv_id")))
+    js = J.to_chat_json(c.select("conv_id", "image_id", "messages"))
+    extra = (V.convs(spark, sf_dir).filter(F.col("conv_id") % 10 == 0)
+             .select(F.explode(F.array(F.lit("   "), F.concat(F.lit('{"messages": ['), F.col("conv_id").cast("string"))))
+                     .alias("value")))
+    return js.unionByName(extra)
+
+
+@q
+def q_read_chat_jsonl(spark, sf_dir):
+    path = scratch_path(spark, f"lines-{_tag(sf_dir)}")
+    _lines(spark, sf_dir).write.mode("overwrite").text(path)
+    r = J.read_chat_jsonl(spark, path)
+    m = F.col("messages")
+    return r.select("image_id", "valid", F.size(m).alias("n_messages"),
+                    F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
+                    F.aggregate(m, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x["content"])).alias("content_chars"))
+
+
+@q
+def q_write_chat_jsonl(spark, sf_dir):
+    path = scratch_path(spark, f"chat-out-{_tag(sf_dir)}")
+    c = _conv_images(spark, sf_dir)
+    J.write_chat_jsonl(c.filter(F.col("image_id") < 300), path, with_metadata=True, mode="overwrite")
+    J.write_chat_jsonl(c.filter(F.col("image_id") >= 300), path, with_metadata=True, mode="append")
+    r = J.read_chat_jsonl(spark, path)
+    return _msg_summary(r, "image_id")
+
+
+def _ann_file(spark, sf_dir):
+    """COCO-style annotation objects, one partial {images, annotations}
+    object per line per block of 100 documents; some annotations lack an
+    image id."""
+    d = V.t(spark, sf_dir, "documents").withColumn("blk", (F.col("doc_id") / 100).cast("int"))
+    img = F.when(F.col("doc_id") < 600, F.struct(F.col("doc_id").alias("id")))
+    ann = F.struct(F.col("doc_id").alias("id"),
+                   F.when(F.col("doc_id") % 97 != 5, F.col("doc_id") % V.ANN_MOD).alias("image_id"),
+                   F.substring("text", 1, 80).alias("caption"))
+    g = d.groupBy("blk").agg(F.collect_list(img).alias("images"), F.collect_list(ann).alias("annotations"))
+    return g.select(F.to_json(F.struct("images", "annotations")).alias("value"))
+
+
+@q
+def q_read_caption_annotations(spark, sf_dir):
+    path = scratch_path(spark, f"ann-{_tag(sf_dir)}")
+    _ann_file(spark, sf_dir).write.mode("overwrite").text(path)
+    images, anns = J.read_caption_annotations(spark, path)
+    n_img = images.agg(F.count(F.lit(1)).alias("n_images"))
+    return anns.crossJoin(n_img).select("ann_id", "image_id", "caption", "n_images")

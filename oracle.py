@@ -292,3 +292,72 @@ Q["pad_batches"] = with_(CONVS, RENDERED) + """
 SELECT conv_id, CAST(conv_id // 8 AS BIGINT) AS batch, CAST(max(len(ids)) OVER (PARTITION BY conv_id // 8) AS INTEGER) AS padded_len,
        md5(array_to_string(list_concat(ids, list_transform(range(max(len(ids)) OVER (PARTITION BY conv_id // 8) - len(ids)), lambda i: 261)), ',')) AS ids_md5
 FROM rendered"""
+
+# ------------------------------------------------------------------ 2.6 captions, json sources
+
+CAPV = """img AS (SELECT doc_id AS image_id FROM documents WHERE doc_id < 600),
+ann AS (SELECT doc_id AS ann_id, doc_id % 550 AS image_id, substr(text, 1, 80) AS caption FROM documents),
+firstcap AS (SELECT img.image_id, coalesce(f.caption, '') AS caption FROM img LEFT JOIN
+             (SELECT image_id, arg_min(caption, ann_id) AS caption FROM ann GROUP BY image_id) f USING (image_id))"""
+
+SUMMARY = "CAST(2 AS INTEGER) AS n_messages, 'user,assistant' AS roles, md5('Describe this image.|' || {c}) AS content_md5"
+
+Q["captions_first"] = with_(CAPV) + f"""
+SELECT image_id, {SUMMARY.format(c='caption')} FROM firstcap"""
+
+Q["captions_expand"] = with_(CAPV) + f"""
+SELECT img.image_id, ann.ann_id, {SUMMARY.format(c="coalesce(ann.caption, '')")} FROM img LEFT JOIN ann USING (image_id)"""
+
+CAPTOK = """captok AS (
+  SELECT image_id, j, list_concat([261], """ + B("c") + """, [260]) AS ids FROM (
+    SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY ann_id) - 1 AS INTEGER) AS j,
+           regexp_replace(caption, '^\\s+|\\s+$', '', 'g') AS c FROM ann) WHERE c <> '')"""
+
+Q["caption_tokens"] = with_(CAPV, CAPTOK) + """
+SELECT image_id, j, array_to_string(ids, ',') AS ids FROM captok"""
+Q["write_token_table"] = Q["caption_tokens"]
+
+Q["attach_embeddings"] = with_(CAPV) + """
+SELECT f.image_id, e.vec_id IS NULL AS used_default, CAST(1 AS INTEGER) AS n_img_tokens,
+       round(list_sum(coalesce(e.embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1))::DOUBLE[]), 3) AS emb_sum
+FROM firstcap f LEFT JOIN embeddings e ON e.vec_id = f.image_id"""
+
+Q["inject_placeholders"] = with_(CAPV) + f"""
+SELECT image_id,
+  md5(array_to_string(list_concat([261, 261, 261, 261, 261, 262], {B("'Describe this image.'")}, [263, 264], {B('caption')}, [260]), ',')) AS ids_md5,
+  md5(array_to_string(list_concat([0, 0, 0, 0, 0], {REP(0, "strlen('Describe this image.') + 3")}, {REP(1, 'strlen(caption) + 1')}), ',')) AS mask_md5,
+  CAST(5 + strlen('Describe this image.') + 3 + strlen(caption) + 1 AS INTEGER) AS n_tokens
+FROM firstcap"""
+
+Q["embedding_coverage"] = with_(CAPV, CAPTOK) + """,
+i AS (SELECT DISTINCT image_id, true AS _img FROM img),
+e AS (SELECT DISTINCT vec_id AS image_id, true AS _emb FROM embeddings),
+c AS (SELECT DISTINCT image_id, true AS _cap FROM captok),
+j AS (SELECT coalesce(_img, false) AS im, coalesce(_emb, false) AS em, coalesce(_cap, false) AS cap
+      FROM i FULL JOIN e USING (image_id) FULL JOIN c USING (image_id))
+SELECT count(*) FILTER (WHERE im) AS n_images, count(*) FILTER (WHERE im AND em) AS n_with_embedding,
+       count(*) FILTER (WHERE im AND cap) AS n_with_caption, count(*) FILTER (WHERE im AND NOT em) AS n_missing_embedding,
+       count(*) FILTER (WHERE im AND NOT cap) AS n_missing_caption, count(*) FILTER (WHERE em AND NOT im) AS n_embedding_without_image
+FROM j"""
+
+Q["caption_similarity"] = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.v AS g, b.v AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT count(*) AS n_pairs,
+       round(avg(list_dot_product(g, t) / (sqrt(list_dot_product(g, g)) * sqrt(list_dot_product(t, t)))), 6) AS mean_similarity
+FROM p"""
+
+Q["read_chat_jsonl"] = with_(CONVS) + """
+SELECT CASE WHEN conv_id % 2 = 1 THEN conv_id END AS image_id, true AS valid, CAST(len(messages) AS INTEGER) AS n_messages,
+       array_to_string(list_transform(messages, lambda x: x.role), ',') AS roles,
+       CAST(list_sum(list_transform(messages, lambda x: length(x.content))) AS BIGINT) AS content_chars
+FROM convs
+UNION ALL
+SELECT NULL, false, NULL, NULL, NULL FROM convs WHERE conv_id % 10 = 0"""
+
+Q["write_chat_jsonl"] = Q["captions_first"]
+
+Q["read_caption_annotations"] = """
+SELECT doc_id AS ann_id, doc_id % 550 AS image_id, substr(text, 1, 80) AS caption,
+       (SELECT count(*) FROM documents WHERE doc_id < 600) AS n_images
+FROM documents WHERE doc_id % 97 <> 5"""

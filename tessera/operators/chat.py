@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.codec import ByteCodec
 
 MSG = "messages"
+PARTS_T = "array<struct<type:string,text:string>>"
+
+
+def ensure_parts(c: DataFrame) -> DataFrame:
+    """Give messages a (null) ``parts`` field when the input has none."""
+    from pyspark.sql.types import ArrayType, StructType
+    t = c.schema[MSG].dataType
+    if isinstance(t, ArrayType) and isinstance(t.elementType, StructType) and "parts" not in t.elementType.names:
+        return c.withColumn(MSG, F.transform(F.col(MSG), lambda m: m.withField("parts", F.lit(None).cast(PARTS_T))))
+    return c
 
 
 def _first_reason(reasons: Column) -> Column:
@@ -50,6 +60,7 @@ def _with_verdict(df: DataFrame, reason: Column) -> DataFrame:
 def validate_conversations(c: DataFrame) -> DataFrame:
     """≥ 2 messages, role and content present, user/assistant alternate from
     user, content is a string."""
+    c = ensure_parts(c)
     m = F.col(MSG)
     reason = F.when(F.size(m) < 2, F.lit("too_short")).otherwise(_alternation(m, None))
     return _with_verdict(c, reason)
@@ -61,6 +72,7 @@ def _drop_system(m: Column) -> Column:
 
 def validate_smoltalk(c: DataFrame) -> DataFrame:
     """As ``validate_conversations`` after an optional leading system message."""
+    c = ensure_parts(c)
     m = F.col(MSG)
     rest = _drop_system(m)
     reason = (F.when(F.size(m) < 1, F.lit("empty"))
@@ -71,6 +83,7 @@ def validate_smoltalk(c: DataFrame) -> DataFrame:
 
 def validate_synthetic(c: DataFrame) -> DataFrame:
     """≥ 2 messages, alternation, no blank content."""
+    c = ensure_parts(c)
     m = F.col(MSG)
     reason = F.when(F.size(m) < 2, F.lit("too_short")).otherwise(_alternation(m, "blank"))
     return _with_verdict(c, reason)
@@ -107,6 +120,7 @@ def conversation_limits(c: DataFrame, max_messages: int = 500, max_chars: int =
 def merge_system(c: DataFrame) -> DataFrame:
     """Leading system text is joined to the next (user) message with a blank
     line; a system message not followed by a user message is invalid."""
+    c = ensure_parts(c)
     m = F.col(MSG)
     first, second = F.get(m, 0), F.get(m, 1)
     has_sys = F.coalesce(first["role"] == "system", F.lit(False))

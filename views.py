@@ -67,3 +67,21 @@ def convs_ok(spark, sf_dir) -> DataFrame:
     m = F.col("messages")
     last_user = F.get(m, F.size(m) - 1)["role"] == "user"
     return v.withColumn("messages", F.when(last_user, F.slice(m, 1, F.size(m) - 1)).otherwise(m))
+
+
+ANN_MOD = 550
+
+
+def images(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "documents").filter(F.col("doc_id") < 600).select(F.col("doc_id").alias("image_id"))
+
+
+def annotations(spark, sf_dir) -> DataFrame:
+    d = t(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("ann_id"), (F.col("doc_id") % ANN_MOD).alias("image_id"),
+                    F.substring("text", 1, 80).alias("caption"))
+
+
+def emb(spark, sf_dir) -> DataFrame:
+    e = t(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("image_id"), "embedding")
