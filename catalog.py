@@ -389,3 +389,204 @@ def q_read_caption_annotations(spark, sf_dir):
     images, anns = J.read_caption_annotations(spark, path)
     n_img = images.agg(F.count(F.lit(1)).alias("n_images"))
     return anns.crossJoin(n_img).select("ann_id", "image_id", "caption", "n_images")
+
+
+# ------------------------------------------------------------------ 2.8 evaluation
+
+from tessera.operators import evaluate as EV  # noqa: E402
+from tessera.operators import tasks as TK  # noqa: E402
+
+K_SHOTS = 3
+
+
+def _shots(spark, sf_dir):
+    return EV.sample_fewshot(V.mc_items(spark, sf_dir).select("idx"), K_SHOTS, seed=1234)
+
+
+@q
+def q_sample_fewshot(spark, sf_dir):
+    return _shots(spark, sf_dir).select("idx", F.array_join("shots", ",").alias("shots"))
+
+
+def _mc_prompts(spark, sf_dir):
+    return EV.prompts_mc(V.mc_items(spark, sf_dir), _shots(spark, sf_dir), " ")
+
+
+def _schema_prompts(spark, sf_dir):
+    return EV.prompts_schema(V.schema_items(spark, sf_dir), _shots(spark, sf_dir), " ")
+
+
+def _prompt_summary(p):
+    return p.select("idx", "opt", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
+
+
+@q
+def q_prompts_mc(spark, sf_dir):
+    return _prompt_summary(_mc_prompts(spark, sf_dir))
+
+
+@q
+def q_prompts_schema(spark, sf_dir):
+    return _prompt_summary(_schema_prompts(spark, sf_dir))
+
+
+def _lm_prompts(spark, sf_dir):
+    return EV.prompts_lm(V.lm_items(spark, sf_dir), _shots(spark, sf_dir), " ")
+
+
+@q
+def q_prompts_lm(spark, sf_dir):
+    p = _lm_prompts(spark, sf_dir)
+    return p.select("idx", F.md5("prompt_without").alias("without_md5"), F.md5("prompt_with").alias("with_md5"))
+
+
+@q
+def q_common_prefix_len(spark, sf_dir):
+    return EV.common_prefix_len(EV.tokenize_prompts(_mc_prompts(spark, sf_dir)))
+
+
+@q
+def q_common_suffix_len(spark, sf_dir):
+    return EV.common_suffix_len(EV.tokenize_prompts(_schema_prompts(spark, sf_dir)))
+
+
+def _spans_all(spark, sf_dir):
+    mc = EV.option_spans(EV.tokenize_prompts(_mc_prompts(spark, sf_dir)), "mc").withColumn("kind", F.lit("mc"))
+    sc = EV.option_spans(EV.tokenize_prompts(_schema_prompts(spark, sf_dir)), "schema").withColumn("kind", F.lit("schema"))
+    lm = EV.tokenize_prompts(EV.tokenize_prompts(_lm_prompts(spark, sf_dir), col="prompt_without", out="ids_without"),
+                             col="prompt_with", out="ids_with")
+    lm = EV.option_spans(lm, "lm").withColumn("kind", F.lit("lm")).withColumn("opt", F.lit(0))
+    cols = ["kind", "idx", "opt", "start", "end", "ids"]
+    return (mc.select(*cols, F.lit(True).alias("valid")).unionByName(sc.select(*cols, F.lit(True).alias("valid")))
+              .unionByName(lm.select(*cols, "valid")))
+
+
+@q
+def q_option_spans(spark, sf_dir):
+    return _spans_all(spark, sf_dir).select("kind", "idx", "opt", "start", "end", "valid")
+
+
+@q
+def q_left_crop(spark, sf_dir):
+    c = EV.left_crop(_spans_all(spark, sf_dir), 64)
+    return c.select("kind", "idx", "opt", "start", "end", "crop_ok", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def _mc_verdicts(spark, sf_dir):
+    gold = V.mc_items(spark, sf_dir).select("idx", "gold", "subject")
+    return EV.score_options(V.option_losses(spark, sf_dir), V.option_score_spans(spark, sf_dir), gold)
+
+
+@q
+def q_score_options(spark, sf_dir):
+    return _mc_verdicts(spark, sf_dir).select("idx", "pred", "gold", "correct")
+
+
+@q
+def q_score_lm(spark, sf_dir):
+    return EV.score_lm(V.lm_preds(spark, sf_dir), V.lm_spans(spark, sf_dir))
+
+
+@q
+def q_task_accuracy(spark, sf_dir):
+    return EV.task_accuracy(_mc_verdicts(spark, sf_dir).withColumnRenamed("subject", "task"))
+
+
+@q
+def q_subject_accuracy(spark, sf_dir):
+    return EV.subject_accuracy(_mc_verdicts(spark, sf_dir))
+
+
+@q
+def q_core_metric(spark, sf_dir):
+    return EV.core_metric(V.acc(spark, sf_dir), V.baselines_pct(spark))
+
+
+@q
+def q_chatcore_metric(spark, sf_dir):
+    a = V.acc(spark, sf_dir).filter(~((F.col("model") % 7 == 3) & (F.col("task") == "BUILDING")))
+    return EV.chatcore_metric(a, V.baselines_frac(spark), V.SEGMENTS)
+
+
+@q
+def q_categorical_eval(spark, sf_dir):
+    items = V.mc_items(spark, sf_dir).select("idx", F.array(*[F.lit(x) for x in V.LETTERS]).alias("letters"),
+                                             F.col("gold").alias("answer"))
+    return EV.categorical_eval(V.logits(spark, sf_dir), items)
+
+
+@q
+def q_trim_completions(spark, sf_dir):
+    t = EV.trim_completions(V.sequences(spark, sf_dir))
+    return t.select("doc_id", F.array_join("completion", ",").alias("completion"), F.size("completion").alias("n"))
+
+
+@q
+def q_completion_mask(spark, sf_dir):
+    m = EV.completion_mask(V.sequences(spark, sf_dir))
+    return m.select("doc_id", F.array_join("mask", ",").alias("mask"))
+
+
+def _gsm_items(spark, sf_dir):
+    return TK.gsm_conversations(V.gsm(spark, sf_dir))
+
+
+def _matches(spark, sf_dir):
+    return EV.answer_match(_gsm_items(spark, sf_dir), V.completions(spark, sf_dir))
+
+
+@q
+def q_answer_match(spark, sf_dir):
+    return _matches(spark, sf_dir).select("problem", "sample", "pred", "ref", "correct", "both_missing")
+
+
+@q
+def q_generative_eval(spark, sf_dir):
+    return EV.generative_eval(_matches(spark, sf_dir))
+
+
+@q
+def q_pass_at_k(spark, sf_dir):
+    return EV.pass_at_k(_matches(spark, sf_dir), 8)
+
+
+@q
+def q_rollout_advantages(spark, sf_dir):
+    a = EV.rollout_advantages(V.rollouts(spark, sf_dir))
+    return a.select("prompt", "sample", "reward", F.round("advantage", 6).alias("advantage"))
+
+
+@q
+def q_rollout_stats(spark, sf_dir):
+    return EV.rollout_stats(V.rollouts(spark, sf_dir))
+
+
+@q
+def q_policy_objective(spark, sf_dir):
+    r = V.rollouts(spark, sf_dir)
+    adv = EV.rollout_advantages(r).withColumn("pass_idx", (F.col("sample") % 2).cast("int"))
+    lp = r.select("sample", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos"))
+    lp = lp.select("sample", "pos", (-10 * V.UK("lp", F.col("sample"), F.col("pos"))).alias("logp"),
+                   F.when(V.UK("tg", F.col("sample"), F.col("pos")) < 0.1, -1).otherwise(1).alias("target"))
+    return EV.policy_objective(lp, adv, ["step", "prompt", "pass_idx"], passes=2, examples=1)
+
+
+def _byte_lengths(spark):
+    from tessera.functions.codec import ByteCodec
+    return EV.token_byte_lengths(ByteCodec().vocab(spark))
+
+
+@q
+def q_token_byte_lengths(spark, sf_dir):
+    return _byte_lengths(spark).select("token_id", "n_bytes", "raw_bytes")
+
+
+@q
+def q_bits_per_byte(spark, sf_dir):
+    return EV.bits_per_byte(V.token_losses(spark, sf_dir), _byte_lengths(spark))
+
+
+@q
+def q_split_bpb(spark, sf_dir):
+    tl = V.token_losses(spark, sf_dir).withColumn("_ord", F.col("doc_id") * 1000 + F.col("pos"))
+    return EV.split_bpb(tl, _byte_lengths(spark), split_tokens=20_000, tokens_per_step=3_000, order=["_ord"])

@@ -361,3 +361,285 @@ Q["read_caption_annotations"] = """
 SELECT doc_id AS ann_id, doc_id % 550 AS image_id, substr(text, 1, 80) AS caption,
        (SELECT count(*) FROM documents WHERE doc_id < 600) AS n_images
 FROM documents WHERE doc_id % 97 <> 5"""
+
+# ------------------------------------------------------------------ 2.8 evaluation
+
+
+def hk(*parts: str) -> str:
+    """h of 'p0:p1:…' where parts are SQL expressions."""
+    inner = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"('0x' || substr(md5({inner}),1,8))::BIGINT"
+
+
+def uk(*parts: str) -> str:
+    return f"({hk(*parts)} / 4294967296.0)"
+
+
+def STRIP(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+ITEMS = """items AS (
+  SELECT doc_id AS idx, substr(text, 1, 60) AS query,
+         [substr(text, 61, 20), substr(text, 81, 20), substr(text, 101, 20), substr(text, 121, 20)] AS choices,
+         CAST(doc_id % 4 AS INTEGER) AS gold, source AS subject FROM documents)"""
+
+
+def floyd(k: int = 3, seed: int = 1234) -> str:
+    out = ["items_n AS (SELECT idx, (SELECT count(*) FROM documents) - 1 AS pool FROM items)"]
+    for j in range(k):
+        m = f"(pool - {k} + {j})"
+        t = f"({hk(repr(str(seed)), 'idx', str(j))} % ({m} + 1))"
+        if j == 0:
+            out.append(f"s0 AS (SELECT idx, pool, [{t}] AS acc FROM items_n)")
+        else:
+            out.append(f"s{j} AS (SELECT idx, pool, CASE WHEN list_contains(acc, {t}) THEN list_append(acc, {m}) "
+                       f"ELSE list_append(acc, {t}) END AS acc FROM s{j-1})")
+    out.append(f"shots AS (SELECT idx, list_transform(acc, lambda c: CASE WHEN c >= idx THEN c + 1 ELSE c END) AS shots FROM s{k-1})")
+    return ",\n".join(out)
+
+
+SHOTS = ITEMS + ",\n" + floyd()
+
+Q["sample_fewshot"] = with_(SHOTS) + """
+SELECT idx, array_to_string(shots, ',') AS shots FROM shots"""
+
+
+def fewshot(name: str, block: str) -> str:
+    return f"""{name} AS (
+  SELECT s.idx, string_agg({block}, '' ORDER BY s.pos) AS fewshot
+  FROM (SELECT idx, unnest(shots) AS shot, generate_subscripts(shots, 1) AS pos FROM shots) s
+  JOIN items i ON i.idx = s.shot GROUP BY s.idx)"""
+
+
+NL2 = "chr(10) || chr(10)"
+PM = fewshot("fs_mc", f"i.query || ' ' || i.choices[i.gold + 1] || {NL2}") + """,
+pm AS (
+  SELECT idx, CAST(opt - 1 AS INTEGER) AS opt, coalesce(fewshot, '') || query || ' ' || choice AS prompt FROM (
+    SELECT i.idx, f.fewshot, i.query, unnest(i.choices) AS choice, generate_subscripts(i.choices, 1) AS opt
+    FROM items i LEFT JOIN fs_mc f USING (idx)))"""
+
+PS = fewshot("fs_sc", f"i.choices[i.gold + 1] || ' ' || i.query || {NL2}") + """,
+ps AS (
+  SELECT idx, CAST(opt - 1 AS INTEGER) AS opt, coalesce(fewshot, '') || ctx || ' ' || query AS prompt FROM (
+    SELECT i.idx, f.fewshot, i.query, unnest(i.choices) AS ctx, generate_subscripts(i.choices, 1) AS opt
+    FROM items i LEFT JOIN fs_sc f USING (idx)))"""
+
+PL = fewshot("fs_lm", f"{STRIP('i.query')} || ' ' || i.choices[1] || {NL2}") + f""",
+pl AS (
+  SELECT idx, {STRIP('base')} AS prompt_without, base || cont AS prompt_with FROM (
+    SELECT i.idx, coalesce(f.fewshot, '') || {STRIP('i.query')} || ' ' AS base, i.choices[1] AS cont
+    FROM items i LEFT JOIN fs_lm f USING (idx)))"""
+
+Q["prompts_mc"] = with_(SHOTS, PM) + """
+SELECT idx, opt, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS n_chars FROM pm"""
+
+Q["prompts_schema"] = with_(SHOTS, PS) + """
+SELECT idx, opt, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS n_chars FROM ps"""
+
+Q["prompts_lm"] = with_(SHOTS, PL) + """
+SELECT idx, md5(prompt_without) AS without_md5, md5(prompt_with) AS with_md5 FROM pl"""
+
+
+def common_len(src: str, name: str, out: str, reverse: bool) -> str:
+    ids = "list_reverse(ids)" if reverse else "ids"
+    return f"""{name} AS (
+  SELECT idx, CAST(CASE WHEN mn <= 0 THEN 0 WHEN coalesce(list_position(eq, false), 0) = 0 THEN mn
+                   ELSE list_position(eq, false) - 1 END AS INTEGER) AS {out} FROM (
+    SELECT idx, mn, list_transform(range(mn), lambda p: len(list_filter(o, lambda a: a[p + 1] <> o[1][p + 1])) = 0) AS eq FROM (
+      SELECT idx, o, list_min(list_transform(o, lambda a: len(a))) AS mn FROM (
+        SELECT idx, list({ids}) AS o FROM {src} GROUP BY idx))))"""
+
+
+TOK = lambda name, src: f"{name} AS (SELECT idx, opt, list_concat([261], {B('prompt')}) AS ids FROM {src})"
+
+Q["common_prefix_len"] = with_(SHOTS, PM, TOK("mt", "pm"), common_len("mt", "cpre", "prefix_len", False)) + """
+SELECT idx, prefix_len FROM cpre"""
+
+Q["common_suffix_len"] = with_(SHOTS, PS, TOK("st", "ps"), common_len("st", "csuf", "suffix_len", True)) + """
+SELECT idx, suffix_len FROM csuf"""
+
+SPANS = ",\n".join([PM, PS, PL, TOK("mt", "pm"), TOK("st", "ps"), common_len("mt", "cpre", "prefix_len", False),
+                    common_len("st", "csuf", "suffix_len", True)]) + f""",
+lt AS (SELECT idx, list_concat([261], {B('prompt_without')}) AS wo, list_concat([261], {B('prompt_with')}) AS wi FROM pl),
+spans AS (
+  SELECT 'mc' AS kind, idx, opt, prefix_len AS start, CAST(len(ids) AS INTEGER) AS "end", ids, true AS valid FROM mt JOIN cpre USING (idx)
+  UNION ALL
+  SELECT 'schema', idx, opt, CAST(len(ids) - suffix_len AS INTEGER), CAST(len(ids) AS INTEGER), ids, true FROM st JOIN csuf USING (idx)
+  UNION ALL
+  SELECT 'lm', idx, 0, CAST(len(wo) AS INTEGER), CAST(len(wi) AS INTEGER), wi, len(wo) < len(wi) AND wi[1:len(wo)] = wo FROM lt)"""
+
+Q["option_spans"] = with_(SHOTS, SPANS) + """
+SELECT kind, idx, opt, start, "end", valid FROM spans"""
+
+Q["left_crop"] = with_(SHOTS, SPANS) + """
+SELECT kind, idx, opt, CAST(start - c AS INTEGER) AS start, CAST("end" - c AS INTEGER) AS "end", start - c >= 0 AS crop_ok,
+       md5(array_to_string(CASE WHEN c > 0 THEN ids[c + 1:c + 64] ELSE ids END, ',')) AS ids_md5
+FROM (SELECT *, greatest(len(ids) - 64, 0) AS c FROM spans)"""
+
+MCV = f"""ol AS (
+  SELECT idx, CAST(opt AS INTEGER) AS opt, CAST(pos AS INTEGER) AS pos, round({uk("'ol'", 'idx', 'opt', 'pos')} * 10, 3) AS loss
+  FROM items CROSS JOIN range(4) AS t(opt) CROSS JOIN range(20) AS p(pos)),
+osp AS (
+  SELECT idx, CAST(opt AS INTEGER) AS opt, CAST(1 + {hk("'sp'", 'idx', 'opt')} % 10 AS INTEGER) AS start,
+         CAST(1 + {hk("'sp'", 'idx', 'opt')} % 10 + 5 + {hk("'sp'", 'idx', 'opt')} % 5 AS INTEGER) AS "end"
+  FROM items CROSS JOIN range(4) AS t(opt)),
+om AS (
+  SELECT ol.idx, ol.opt, round(avg(loss), 9) AS mean_loss FROM ol JOIN osp USING (idx, opt)
+  WHERE pos >= start - 1 AND pos < "end" - 1 GROUP BY ol.idx, ol.opt),
+verdicts AS (
+  SELECT b.idx, b.opt AS pred, i.gold, CAST(b.opt = i.gold AS INTEGER) AS correct, i.subject FROM
+    (SELECT idx, opt, row_number() OVER (PARTITION BY idx ORDER BY mean_loss, opt) AS rn FROM om) b
+    JOIN items i USING (idx) WHERE rn = 1)"""
+
+Q["score_options"] = with_(ITEMS, MCV) + """
+SELECT idx, pred, gold, correct FROM verdicts"""
+
+Q["score_lm"] = with_(ITEMS) + f""",
+lp AS (
+  SELECT idx, pos, CAST({hk("'ac'", 'idx', 'pos')} % 256 AS INTEGER) AS actual,
+         CAST(CASE WHEN {uk("'pr'", 'idx', 'pos')} < 0.05 THEN ({hk("'ac'", 'idx', 'pos + 1')} % 256 + 1) % 256
+              ELSE {hk("'ac'", 'idx', 'pos + 1')} % 256 END AS INTEGER) AS pred
+  FROM items CROSS JOIN range(20) AS p(pos)),
+ls AS (SELECT idx, 10 + {hk("'ls'", 'idx')} % 5 AS start, 20 AS "end" FROM items)
+SELECT a.idx, CAST(bool_and(p.pred = a.actual) AS INTEGER) AS correct
+FROM lp a JOIN lp p ON p.idx = a.idx AND p.pos + 1 = a.pos JOIN ls ON ls.idx = a.idx
+WHERE a.pos >= ls.start AND a.pos < ls."end" GROUP BY a.idx"""
+
+Q["task_accuracy"] = with_(ITEMS, MCV) + """
+SELECT subject AS task, count(*) AS n, round(avg(correct), 6) AS accuracy FROM verdicts GROUP BY subject"""
+
+Q["subject_accuracy"] = with_(ITEMS, MCV) + """
+SELECT coalesce(subject, 'ALL') AS subject, count(*) AS n, round(avg(correct), 6) AS accuracy FROM verdicts GROUP BY ROLLUP (subject)"""
+
+ACC = """acc AS (
+  SELECT c_nationkey AS model, c_mktsegment AS task, avg(CAST(c_acctbal > 0 AS DOUBLE)) AS accuracy FROM customer GROUP BY ALL)"""
+
+Q["core_metric"] = with_(ACC) + """,
+b AS (SELECT * FROM (VALUES ('AUTOMOBILE', 25.0), ('BUILDING', 0.0), ('FURNITURE', 25.0), ('HOUSEHOLD', 50.0), ('MACHINERY', 25.0)) v(task, baseline))
+SELECT model, round(avg((accuracy - 0.01 * baseline) / (1.0 - 0.01 * baseline)), 6) AS core_metric, count(*) AS n_tasks
+FROM acc JOIN b USING (task) GROUP BY model"""
+
+Q["chatcore_metric"] = with_(ACC) + """,
+b AS (SELECT * FROM (VALUES ('AUTOMOBILE', 0.25), ('FURNITURE', 0.25), ('HOUSEHOLD', 0.5), ('MACHINERY', 0.25)) v(task, baseline)),
+c AS (SELECT model, task, (accuracy - coalesce(baseline, 0.0)) / (1.0 - coalesce(baseline, 0.0)) AS centered
+      FROM acc LEFT JOIN b USING (task) WHERE NOT (model % 7 = 3 AND task = 'BUILDING'))
+SELECT model, count(DISTINCT task) AS n_tasks, CASE WHEN count(DISTINCT task) = 5 THEN round(avg(centered), 6) END AS chatcore_metric
+FROM c GROUP BY model"""
+
+Q["categorical_eval"] = with_(ITEMS) + f""",
+lg AS (SELECT idx, letter, round({uk("'lg'", 'idx', 'letter')}, 2) AS logit FROM items CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(letter)),
+il AS (SELECT idx, gold, unnest(['A', 'B', 'C', 'D']) AS letter, generate_subscripts(['A', 'B', 'C', 'D'], 1) AS lpos FROM items),
+r AS (SELECT il.idx, il.letter, il.gold, row_number() OVER (PARTITION BY il.idx ORDER BY lg.logit DESC, il.lpos) AS rn
+      FROM il JOIN lg USING (idx, letter))
+SELECT idx, letter AS pred, true AS letters_ok, CAST(letter = ['A', 'B', 'C', 'D'][gold + 1] AS INTEGER) AS correct FROM r WHERE rn = 1"""
+
+SEQS = DOC_BYTES + f""",
+seqs AS (
+  SELECT doc_id, flatten(list_transform(ids, lambda x, p: CASE WHEN {uk("'sq'", 'doc_id', 'p - 1')} < 0.03
+           THEN [CAST(256 + {hk("'sv'", 'doc_id', 'p - 1')} % 6 AS INTEGER), x] ELSE [x] END)) AS ids,
+         CAST(10 + {hk("'pl'", 'doc_id')} % 20 AS INTEGER) AS plen
+  FROM doc_bytes)"""
+
+Q["trim_completions"] = with_(SEQS) + """
+SELECT doc_id, array_to_string(cut, ',') AS completion, CAST(len(cut) AS INTEGER) AS n FROM (
+  SELECT doc_id, CASE WHEN e > 0 AND b > 0 THEN comp[1:least(e, b) - 1] WHEN e > 0 THEN comp[1:e - 1]
+                      WHEN b > 0 THEN comp[1:b - 1] ELSE comp END AS cut FROM (
+    SELECT doc_id, comp, coalesce(list_position(comp, 260), 0) AS e, coalesce(list_position(comp, 261), 0) AS b FROM (
+      SELECT doc_id, ids[plen + 1:len(ids)] AS comp FROM seqs)))"""
+
+Q["completion_mask"] = with_(SEQS) + """
+SELECT doc_id, array_to_string(list_transform(range(len(ids)), lambda p: CASE WHEN p < plen THEN 0
+    WHEN len(list_filter(ids[plen + 1:p + 1], lambda x: x = 258)) > len(list_filter(ids[plen + 1:p], lambda x: x = 259)) THEN 0
+    ELSE 1 END), ',') AS mask FROM seqs"""
+
+GSM_RE = "'#### (\\-?[0-9\\.\\,]+)'"
+
+
+def EXTRACT(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {GSM_RE}) THEN replace(trim(regexp_extract({x}, {GSM_RE}, 1)), ',', '') END"
+
+
+GSMV = """gsm AS (
+  SELECT l_orderkey * 10 + l_linenumber AS problem, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS n,
+         CAST(l_quantity AS INTEGER) * l_linenumber AS r FROM lineitem)"""
+
+MATCHES = GSMV + f""",
+comp AS (
+  SELECT problem, CAST(sample AS INTEGER) AS sample,
+         CASE WHEN {uk("'cp'", 'problem', 'sample')} >= 0.95 THEN 'I am not sure.'
+              WHEN {uk("'cp'", 'problem', 'sample')} >= 0.6 THEN '#### ' || (r + 1)
+              ELSE 'So the answer is' || chr(10) || '#### ' || r END AS completion
+  FROM gsm CROSS JOIN range(8) AS s(sample)),
+refs AS (SELECT problem, {EXTRACT("r || '.' || chr(10) || '#### ' || r")} AS ref FROM gsm),
+matches AS (
+  SELECT problem, sample, {EXTRACT('completion')} AS pred, ref FROM comp JOIN refs USING (problem)),
+outcomes AS (
+  SELECT problem, sample, pred, ref, CAST(pred IS NOT DISTINCT FROM ref AS INTEGER) AS correct,
+         pred IS NULL AND ref IS NULL AS both_missing FROM matches)"""
+
+Q["answer_match"] = with_(MATCHES) + """
+SELECT problem, sample, pred, ref, correct, both_missing FROM outcomes"""
+
+Q["generative_eval"] = with_(MATCHES) + """
+SELECT count(*) AS n_problems, CAST(sum(passed) AS BIGINT) AS n_passed, round(avg(passed), 6) AS accuracy
+FROM (SELECT problem, max(correct) AS passed FROM outcomes GROUP BY problem)"""
+
+Q["pass_at_k"] = with_(MATCHES) + """
+SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN f < k THEN 1 ELSE 0 END), 6) AS pass_at_k
+FROM (SELECT problem, min(CASE WHEN correct = 1 THEN sample END) AS f FROM outcomes GROUP BY problem)
+CROSS JOIN range(1, 9) AS kk(k) GROUP BY k"""
+
+ROLL = """roll AS (
+  SELECT user_id AS prompt, event_id AS sample, CAST(event_type = 'purchase' AS DOUBLE) AS reward,
+         CAST(1 + floor(value) AS BIGINT) AS length, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS step
+  FROM events),
+adv AS (SELECT r.*, r.reward - m.mu AS advantage FROM roll r JOIN (SELECT prompt, avg(reward) AS mu FROM roll GROUP BY prompt) m USING (prompt))"""
+
+Q["rollout_advantages"] = with_(ROLL) + """
+SELECT prompt, sample, reward, round(advantage, 6) AS advantage FROM adv"""
+
+Q["rollout_stats"] = with_(ROLL) + """
+SELECT step, round(avg(r), 6) AS mean_reward, round(sum(l) / sum(n), 6) AS mean_length FROM (
+  SELECT step, prompt, avg(reward) AS r, sum(length) AS l, count(*) AS n FROM roll GROUP BY step, prompt) GROUP BY step"""
+
+Q["policy_objective"] = with_(ROLL) + f""",
+lp AS (
+  SELECT sample, pos, -10 * {uk("'lp'", 'sample', 'pos')} AS logp,
+         CASE WHEN {uk("'tg'", 'sample', 'pos')} < 0.1 THEN -1 ELSE 1 END AS target
+  FROM (SELECT sample, unnest(range(length)) AS pos FROM roll))
+SELECT step, prompt, CAST(sample % 2 AS INTEGER) AS pass_idx, count(*) FILTER (WHERE target >= 0) AS n_valid,
+       round(sum(CASE WHEN target >= 0 THEN logp * advantage ELSE 0.0 END) / (greatest(count(*) FILTER (WHERE target >= 0), 1) * 2 * 1), 6) AS objective
+FROM lp JOIN adv USING (sample) GROUP BY step, prompt, CAST(sample % 2 AS INTEGER)"""
+
+TBL = """tbl AS (
+  SELECT CAST(range AS INTEGER) AS token_id, CASE WHEN range < 128 THEN 1 ELSE 3 END AS n_bytes, 1 AS raw_bytes FROM range(256)
+  UNION ALL SELECT * FROM (VALUES (256, 0, 16), (257, 0, 14), (258, 0, 16), (259, 0, 14), (260, 0, 17), (261, 0, 7),
+                                  (262, 0, 14), (263, 0, 12), (264, 0, 19)) v(token_id, n_bytes, raw_bytes))"""
+
+Q["token_byte_lengths"] = with_(TBL) + """
+SELECT token_id, CAST(n_bytes AS INTEGER) AS n_bytes, CAST(raw_bytes AS INTEGER) AS raw_bytes FROM tbl"""
+
+TLOSS = DOC_BYTES + f""",
+tl AS (
+  SELECT doc_id, pos, CASE WHEN {uk("'tl'", 'doc_id', 'pos')} < 0.1 THEN -1 ELSE tok END AS target,
+         round({uk("'lo'", 'doc_id', 'pos')} * 10, 3) AS loss,
+         CASE WHEN doc_id // 256 = (SELECT max(doc_id) FROM documents) // 256 THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) - 1 AS pos FROM doc_bytes)),
+""" + TBL
+
+
+def bpb_sql(src: str, by: str = "") -> str:
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""
+SELECT {sel}round(total_nats, 2) AS total_nats, total_bytes,
+       round(CASE WHEN total_bytes = 0 THEN 'inf'::DOUBLE ELSE total_nats / (ln(2) * total_bytes) END, 6) AS bpb FROM (
+  SELECT {sel}sum(CASE WHEN coalesce(n_bytes, 0) > 0 THEN loss ELSE 0.0 END) AS total_nats, CAST(sum(coalesce(n_bytes, 0)) AS BIGINT) AS total_bytes
+  FROM {src} LEFT JOIN tbl ON tbl.token_id = target WHERE target >= 0 {grp})"""
+
+
+Q["bits_per_byte"] = with_(TLOSS) + bpb_sql("tl")
+Q["split_bpb"] = with_(TLOSS) + """,
+tb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id, pos) - 1 AS i FROM tl) WHERE i < 18000)
+""" + bpb_sql("tb", "split")

@@ -85,3 +85,137 @@ def annotations(spark, sf_dir) -> DataFrame:
 def emb(spark, sf_dir) -> DataFrame:
     e = t(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("image_id"), "embedding")
+
+
+def HK(*parts) -> F.Column:
+    """h of a key string 'p0:p1:…' (first 8 hex digits of md5 as a long)."""
+    key = F.concat_ws(":", *[p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+
+
+def UK(*parts) -> F.Column:
+    return HK(*parts) / F.lit(TWO32)
+
+
+def mc_items(spark, sf_dir) -> DataFrame:
+    d = t(spark, sf_dir, "documents")
+    tx = F.col("text")
+    return d.select(F.col("doc_id").alias("idx"), F.substring(tx, 1, 60).alias("query"),
+                    F.array(*[F.substring(tx, 61 + 20 * i, 20) for i in range(4)]).alias("choices"),
+                    (F.col("doc_id") % 4).cast("int").alias("gold"), F.col("source").alias("subject"))
+
+
+def schema_items(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir)
+    return m.select("idx", F.col("choices").alias("context_options"), F.col("query").alias("continuation"), "gold")
+
+
+def lm_items(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir)
+    return m.select("idx", F.col("query").alias("context"), F.get(F.col("choices"), 0).alias("continuation"))
+
+
+def option_losses(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir).select("idx")
+    e = m.withColumn("opt", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
+        "pos", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return e.withColumn("loss", F.round(UK("ol", F.col("idx"), F.col("opt"), F.col("pos")) * 10, 3))
+
+
+def option_score_spans(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir).select("idx").withColumn("opt", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    hk = HK("sp", F.col("idx"), F.col("opt"))
+    return m.withColumn("start", (1 + hk % 10).cast("int")).withColumn("end", (F.col("start") + 5 + hk % 5).cast("int"))
+
+
+def lm_preds(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir).select("idx").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    nxt = HK("ac", F.col("idx"), F.col("pos") + 1) % 256
+    return m.select("idx", "pos", (HK("ac", F.col("idx"), F.col("pos")) % 256).cast("int").alias("actual"),
+                    F.when(UK("pr", F.col("idx"), F.col("pos")) < 0.05, (nxt + 1) % 256).otherwise(nxt)
+                    .cast("int").alias("pred"))
+
+
+def lm_spans(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir).select("idx")
+    return m.select("idx", (10 + HK("ls", F.col("idx")) % 5).cast("int").alias("start"), F.lit(20).alias("end"))
+
+
+LETTERS = ["A", "B", "C", "D"]
+
+
+def logits(spark, sf_dir) -> DataFrame:
+    m = mc_items(spark, sf_dir).select("idx")
+    e = m.withColumn("letter", F.explode(F.array(*[F.lit(x) for x in LETTERS + ["E"]])))
+    return e.withColumn("logit", F.round(UK("lg", F.col("idx"), F.col("letter")), 2))
+
+
+def gsm(spark, sf_dir) -> DataFrame:
+    li = t(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    n = F.col("l_linenumber")
+    r = q * n
+    s = lambda c: c.cast("string")
+    return li.select(
+        (F.col("l_orderkey") * 10 + n).alias("problem"),
+        F.concat(F.lit("A crate holds "), s(q), F.lit(" boxes. How many boxes are in "), s(n), F.lit(" crates?"))
+        .alias("question"),
+        F.concat(F.lit("Each crate holds "), s(q), F.lit(". Total <<"), s(q), F.lit("*"), s(n), F.lit("="), s(r),
+                 F.lit(">>"), s(r), F.lit(".\n#### "), s(r)).alias("answer"),
+        r.alias("result"))
+
+
+def completions(spark, sf_dir) -> DataFrame:
+    g = gsm(spark, sf_dir).select("problem", "result").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    u = UK("cp", F.col("problem"), F.col("sample"))
+    txt = (F.when(u >= 0.95, F.lit("I am not sure."))
+            .when(u >= 0.6, F.concat(F.lit("#### "), (F.col("result") + 1).cast("string")))
+            .otherwise(F.concat(F.lit("So the answer is\n#### "), F.col("result").cast("string"))))
+    return g.select("problem", "sample", txt.alias("completion"))
+
+
+def sequences(spark, sf_dir) -> DataFrame:
+    b = doc_bytes(spark, sf_dir)
+    ins = F.flatten(F.transform("ids", lambda x, p: F.when(
+        UK("sq", F.col("doc_id"), p) < 0.03,
+        F.array((256 + HK("sv", F.col("doc_id"), p) % 6).cast("int"), x)).otherwise(F.array(x))))
+    return b.select("doc_id", ins.alias("ids"), (10 + HK("pl", F.col("doc_id")) % 20).cast("int").alias("prompt_len"))
+
+
+def rollouts(spark, sf_dir) -> DataFrame:
+    e = t(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("prompt"), F.col("event_id").alias("sample"),
+                    (F.col("event_type") == "purchase").cast("double").alias("reward"),
+                    (1 + F.floor("value")).cast("bigint").alias("length"),
+                    F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("step"))
+
+
+def token_losses(spark, sf_dir) -> DataFrame:
+    b = doc_bytes(spark, sf_dir)
+    e = b.select("doc_id", F.posexplode("ids").alias("pos", "tok"))
+    last = (t(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]) // DOCS_PER_SHARD
+    return e.select("doc_id", "pos",
+                    F.when(UK("tl", F.col("doc_id"), F.col("pos")) < 0.1, -1).otherwise(F.col("tok")).alias("target"),
+                    F.round(UK("lo", F.col("doc_id"), F.col("pos")) * 10, 3).alias("loss"),
+                    F.when((F.col("doc_id") / DOCS_PER_SHARD).cast("int") == last, "val").otherwise("train").alias("split"))
+
+
+# Random-guess baselines of the five acc tasks (percent and fraction).
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+BASELINE_PCT = {"AUTOMOBILE": 25.0, "BUILDING": 0.0, "FURNITURE": 25.0, "HOUSEHOLD": 50.0, "MACHINERY": 25.0}
+BASELINE_FRAC = {"AUTOMOBILE": 0.25, "FURNITURE": 0.25, "HOUSEHOLD": 0.5, "MACHINERY": 0.25}
+
+
+def acc(spark, sf_dir) -> DataFrame:
+    """(model = nation, task = segment): share of customers with a positive balance."""
+    c = t(spark, sf_dir, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("model"), F.col("c_mktsegment").alias("task")).agg(
+        F.avg((F.col("c_acctbal") > 0).cast("double")).alias("accuracy"))
+
+
+def baselines_pct(spark) -> DataFrame:
+    return spark.createDataFrame(sorted(BASELINE_PCT.items()), "task string, baseline double")
+
+
+def baselines_frac(spark) -> DataFrame:
+    return spark.createDataFrame(sorted(BASELINE_FRAC.items()), "task string, baseline double")
