@@ -590,3 +590,85 @@ def q_bits_per_byte(spark, sf_dir):
 def q_split_bpb(spark, sf_dir):
     tl = V.token_losses(spark, sf_dir).withColumn("_ord", F.col("doc_id") * 1000 + F.col("pos"))
     return EV.split_bpb(tl, _byte_lengths(spark), split_tokens=20_000, tokens_per_step=3_000, order=["_ord"])
+
+
+# ------------------------------------------------------------------ 2.7 task builders
+
+@q
+def q_render_mc(spark, sf_dir):
+    m = V.mc_items(spark, sf_dir)
+    r = TK.render_mc("query", F.array(*[F.lit(x) for x in V.LETTERS]), "choices")
+    return m.select("idx", F.md5(r).alias("prompt_md5"), F.length(r).alias("n_chars"))
+
+
+def _arc_rows(spark, sf_dir):
+    m = V.mc_items(spark, sf_dir)
+    labels = F.when(F.col("idx") % 5 == 0, F.array(*[F.lit(x) for x in "1234"])).otherwise(
+        F.array(*[F.lit(x) for x in V.LETTERS]))
+    key = F.when(F.col("idx") % 50 == 7, F.lit("E")).otherwise(F.get(labels, F.col("gold")))
+    return m.select("idx", F.col("query").alias("question"), "choices", labels.alias("labels"), key.alias("answer_key"))
+
+
+@q
+def q_build_arc(spark, sf_dir):
+    a = TK.build_arc(_arc_rows(spark, sf_dir))
+    return _msg_summary(a, "idx", "valid")
+
+
+@q
+def q_build_mmlu(spark, sf_dir):
+    m = V.mc_items(spark, sf_dir)
+    ch = F.when(F.col("idx") % 40 == 9, F.slice("choices", 1, 3)).otherwise(F.col("choices"))
+    rows = m.select("idx", F.col("query").alias("question"), ch.alias("choices"), F.col("gold").alias("answer"), "subject")
+    b = TK.build_mmlu(rows)
+    return _msg_summary(b, "idx", "valid", "subject")
+
+
+@q
+def q_parse_gsm8k(spark, sf_dir):
+    p = TK.parse_gsm8k(V.gsm(spark, sf_dir))
+    return p.select("problem", F.size("parts").alias("n_parts"),
+                    F.array_join(F.transform("parts", lambda x: x["type"]), ",").alias("types"),
+                    F.array_join(F.transform("parts", lambda x: x["text"]), "|").alias("texts"))
+
+
+@q
+def q_flatten_parts(spark, sf_dir):
+    p = CH.flatten_parts(TK.parse_gsm8k(V.gsm(spark, sf_dir)))
+    return p.select("problem", "text")
+
+
+@q
+def q_extract_answer(spark, sf_dir):
+    c = V.completions(spark, sf_dir)
+    return c.select("problem", "sample", EV.extract_answer("completion").alias("answer"))
+
+
+@q
+def q_check_tool_calls(spark, sf_dir):
+    return TK.check_tool_calls(V.tool_calls(spark, sf_dir)).select("src", "id", "expr", "kind", "value")
+
+
+@q
+def q_build_humaneval(spark, sf_dir):
+    return _msg_summary(TK.build_humaneval(V.programs(spark, sf_dir)), "task_id", "entry_point")
+
+
+@q
+def q_extract_code(spark, sf_dir):
+    return V.programs(spark, sf_dir).select("task_id", TK.extract_code("completion").alias("code"))
+
+
+@q
+def q_extract_imports(spark, sf_dir):
+    return V.programs(spark, sf_dir).select("task_id", TK.extract_imports("prompt").alias("imports"))
+
+
+@q
+def q_assemble_programs(spark, sf_dir):
+    return TK.assemble_programs(V.programs(spark, sf_dir)).select("task_id", F.md5("program").alias("program_md5"))
+
+
+@q
+def q_program_pass_rate(spark, sf_dir):
+    return EV.program_pass_rate(V.results(spark, sf_dir))

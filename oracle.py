@@ -561,7 +561,7 @@ def EXTRACT(x: str) -> str:
 
 
 GSMV = """gsm AS (
-  SELECT l_orderkey * 10 + l_linenumber AS problem, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS n,
+  SELECT ('0x' || substr(md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), 1, 15))::BIGINT AS problem, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS n,
          CAST(l_quantity AS INTEGER) * l_linenumber AS r FROM lineitem)"""
 
 MATCHES = GSMV + f""",
@@ -643,3 +643,126 @@ Q["bits_per_byte"] = with_(TLOSS) + bpb_sql("tl")
 Q["split_bpb"] = with_(TLOSS) + """,
 tb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id, pos) - 1 AS i FROM tl) WHERE i < 18000)
 """ + bpb_sql("tb", "split")
+
+# ------------------------------------------------------------------ 2.7 task builders
+
+MSUM = "CAST(len(m) AS INTEGER) AS n_messages, array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, md5(array_to_string(list_transform(m, lambda x: x.content), '|')) AS content_md5"
+
+
+def RENDER_MC(q: str, letters: str, choices: str) -> str:
+    return (f"'Multiple Choice question: ' || {q} || chr(10) || array_to_string(list_transform(list_zip({choices}, {letters}), "
+            f"lambda z: '- ' || z[1] || '=' || z[2] || chr(10)), '') || chr(10) || 'Respond only with the letter of the correct answer.'")
+
+
+Q["render_mc"] = with_(ITEMS) + f"""
+SELECT idx, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS n_chars FROM (
+  SELECT idx, {RENDER_MC('query', "['A', 'B', 'C', 'D']", 'choices')} AS p FROM items)"""
+
+Q["build_arc"] = with_(ITEMS) + f""",
+arc AS (SELECT idx, query, choices, labels, CASE WHEN idx % 50 = 7 THEN 'E' ELSE labels[gold + 1] END AS answer_key FROM (
+  SELECT *, CASE WHEN idx % 5 = 0 THEN ['1', '2', '3', '4'] ELSE ['A', 'B', 'C', 'D'] END AS labels FROM items))
+SELECT idx, list_contains(labels, answer_key) AS valid, {MSUM} FROM (
+  SELECT idx, labels, answer_key, [{{'role': 'user', 'content': {RENDER_MC('query', 'labels', 'choices')}}},
+                                   {{'role': 'assistant', 'content': answer_key}}] AS m FROM arc)"""
+
+Q["build_mmlu"] = with_(ITEMS) + f""",
+mm AS (SELECT idx, query, CASE WHEN idx % 40 = 9 THEN choices[1:3] ELSE choices END AS choices, gold, subject FROM items)
+SELECT idx, len(choices) = 4 AND gold BETWEEN 0 AND 3 AS valid, subject, {MSUM} FROM (
+  SELECT idx, choices, gold, subject, [{{'role': 'user', 'content': {RENDER_MC('query', "['A', 'B', 'C', 'D']", 'choices')}}},
+                                       {{'role': 'assistant', 'content': ['A', 'B', 'C', 'D'][gold + 1]}}] AS m FROM mm)"""
+
+# answer text of the gsm view: text, python, output, text parts
+GSM_PARTS = GSMV + """,
+gp AS (SELECT problem, q, n, r,
+  [{'type': 'text', 'text': 'Each crate holds ' || q || '. Total '}, {'type': 'python', 'text': q || '*' || n},
+   {'type': 'python_output', 'text': CAST(r AS VARCHAR)}, {'type': 'text', 'text': r || '.' || chr(10) || '#### ' || r}] AS parts
+  FROM gsm)"""
+
+Q["parse_gsm8k"] = with_(GSM_PARTS) + """
+SELECT problem, CAST(len(parts) AS INTEGER) AS n_parts, array_to_string(list_transform(parts, lambda x: x.type), ',') AS types,
+       array_to_string(list_transform(parts, lambda x: x.text), '|') AS texts FROM gp"""
+
+Q["flatten_parts"] = with_(GSM_PARTS) + """
+SELECT problem, array_to_string(list_transform(parts, lambda x: CASE WHEN x.type = 'python' THEN '<<' || x.text || '='
+   WHEN x.type = 'python_output' THEN x.text || '>>' ELSE x.text END), '') AS text FROM gp"""
+
+Q["extract_answer"] = with_(MATCHES) + f"""
+SELECT problem, sample, {EXTRACT('completion')} AS answer FROM comp"""
+
+TOOLS = GSMV + """,
+tools AS (
+  SELECT 'gsm' AS src, problem AS id, q || '*' || n AS expr FROM gsm
+  UNION ALL
+  SELECT 'part', p_partkey, CASE WHEN p_partkey % 100 = 0 THEN '2**' || p_size WHEN p_partkey % 100 = 1 THEN '__import__(''os'')'
+    WHEN p_partkey % 100 = 2 THEN 'abs(-3)' WHEN p_partkey % 100 = 3 THEN '1,000 + ' || p_size
+    WHEN p_partkey % 100 = 4 THEN 'open(''x'') + 1;'
+    ELSE '''' || split_part(p_name, ' ', 1) || '''.count(''' || substr(split_part(p_name, ' ', 1), 2, 1) || ''')' END
+  FROM part),
+cls AS (SELECT src, id, expr, e, CASE
+    WHEN regexp_full_match(e, '[0-9*+\\-/.() ]*') THEN CASE WHEN contains(e, '**') THEN 'rejected_power' ELSE 'arith' END
+    WHEN NOT regexp_full_match(e, '[a-zA-Z0-9''"()._ ]*') THEN 'rejected_charset'
+    WHEN """ + " OR ".join(f"contains(lower(e), '{d}')" for d in [
+        "__", "import", "exec", "eval", "compile", "open", "file", "input", "raw_input", "globals", "locals", "vars", "dir",
+        "getattr", "setattr", "delattr", "hasattr"]) + """ THEN 'rejected_pattern'
+    WHEN NOT contains(e, '.count(') THEN 'rejected_method' ELSE 'count' END AS kind
+  FROM (SELECT *, replace(expr, ',', '') AS e FROM tools))"""
+
+BIN = "'^\\s*(-?[0-9.]+)\\s*([*+/-])\\s*(-?[0-9.]+)\\s*$'"
+CNT = """'^\\s*''(.*)''\\.count\\(''(.*)''\\)\\s*$'"""
+
+Q["check_tool_calls"] = with_(TOOLS) + f"""
+SELECT src, id, expr, kind, round(CASE
+  WHEN kind = 'arith' THEN (CASE regexp_extract(e, {BIN}, 2)
+      WHEN '*' THEN TRY_CAST(regexp_extract(e, {BIN}, 1) AS DOUBLE) * TRY_CAST(regexp_extract(e, {BIN}, 3) AS DOUBLE)
+      WHEN '+' THEN TRY_CAST(regexp_extract(e, {BIN}, 1) AS DOUBLE) + TRY_CAST(regexp_extract(e, {BIN}, 3) AS DOUBLE)
+      WHEN '-' THEN TRY_CAST(regexp_extract(e, {BIN}, 1) AS DOUBLE) - TRY_CAST(regexp_extract(e, {BIN}, 3) AS DOUBLE)
+      WHEN '/' THEN CASE WHEN TRY_CAST(regexp_extract(e, {BIN}, 3) AS DOUBLE) <> 0 THEN
+                    TRY_CAST(regexp_extract(e, {BIN}, 1) AS DOUBLE) / TRY_CAST(regexp_extract(e, {BIN}, 3) AS DOUBLE) END END)
+  WHEN kind = 'count' AND regexp_matches(e, {CNT}) AND length(regexp_extract(e, {CNT}, 2)) > 0 THEN
+      CAST((length(regexp_extract(e, {CNT}, 1)) - length(replace(regexp_extract(e, {CNT}, 1), regexp_extract(e, {CNT}, 2), '')))
+           / length(regexp_extract(e, {CNT}, 2)) AS DOUBLE) END, 6) AS value
+FROM cls"""
+
+PROGS = """progs AS (
+  SELECT p_partkey AS task_id, CASE WHEN p_partkey % 3 = 0 THEN 'import math' || chr(10) || 'from typing import List' || chr(10) || chr(10) || sig
+     WHEN p_partkey % 3 = 1 THEN '# header' || chr(10) || '  import re' || chr(10) || chr(10) || 'x = 1' || chr(10) || 'import os' || chr(10) || sig
+     ELSE sig END AS prompt,
+    '    return x * ' || p_size AS solution,
+    CASE WHEN p_partkey % 2 = 0 THEN 'Here is code:' || chr(10) || '```python' || chr(10) || body || chr(10) || '```' || chr(10) || 'Done.'
+         ELSE '  ' || body || '  ' || chr(10) END AS completion,
+    'def check(fn):' || chr(10) || '    assert fn(1) == ' || p_size || chr(10) AS test, 'f_' || p_partkey AS entry_point
+  FROM (SELECT *, 'def f_' || p_partkey || '(x: int) -> int:' || chr(10) || '    ' || repeat(chr(34), 3) || p_name || repeat(chr(34), 3) || chr(10) AS sig,
+               'def f_' || p_partkey || '(x):' || chr(10) || '    return x * ' || p_size AS body FROM part))"""
+
+FENCE = "'(?s)```(?:python)?\\s*\\n(.*?)\\n```'"
+
+
+def CODE(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {FENCE}) THEN {STRIP(f'regexp_extract({x}, {FENCE}, 1)')} ELSE {STRIP(x)} END"
+
+
+def IMPORTS(x: str) -> str:
+    lines = f"list_transform(string_split({x}, chr(10)), lambda s: {STRIP('s')})"
+    stop = (f"coalesce(list_position(list_transform({lines}, lambda s: NOT (starts_with(s, 'import ') OR starts_with(s, 'from ')) "
+            f"AND s <> '' AND NOT starts_with(s, '#')), true), 0)")
+    head = f"CASE WHEN {stop} > 0 THEN ({lines})[1:{stop} - 1] ELSE {lines} END"
+    return f"array_to_string(list_filter({head}, lambda s: starts_with(s, 'import ') OR starts_with(s, 'from ')), chr(10))"
+
+
+Q["build_humaneval"] = with_(PROGS) + f"""
+SELECT task_id, entry_point, {MSUM} FROM (
+  SELECT task_id, entry_point, [{{'role': 'user', 'content': prompt}}, {{'role': 'assistant', 'content': prompt || chr(10) || solution}}] AS m FROM progs)"""
+
+Q["extract_code"] = with_(PROGS) + f"""
+SELECT task_id, {CODE('completion')} AS code FROM progs"""
+
+Q["extract_imports"] = with_(PROGS) + f"""
+SELECT task_id, {IMPORTS('prompt')} AS imports FROM progs"""
+
+Q["assemble_programs"] = with_(PROGS) + f"""
+SELECT task_id, md5({IMPORTS('prompt')} || chr(10) || chr(10) || {CODE('completion')} || chr(10) || chr(10) || test || chr(10) || 'check(' || entry_point || ')') AS program_md5 FROM progs"""
+
+Q["program_pass_rate"] = f"""
+WITH r AS (SELECT CASE WHEN u < 0.6 THEN 'success' WHEN u < 0.8 THEN 'error' WHEN u < 0.9 THEN 'timeout' ELSE 'memory' END AS outcome
+           FROM (SELECT {uk("'res'", 'p_partkey')} AS u FROM part))
+SELECT outcome, count(*) AS n, round(count(*) / (SELECT count(*) FROM part), 6) AS share FROM r GROUP BY outcome"""

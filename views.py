@@ -157,7 +157,8 @@ def gsm(spark, sf_dir) -> DataFrame:
     r = q * n
     s = lambda c: c.cast("string")
     return li.select(
-        (F.col("l_orderkey") * 10 + n).alias("problem"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), 1, 15),
+               16, 10).cast("bigint").alias("problem"),
         F.concat(F.lit("A crate holds "), s(q), F.lit(" boxes. How many boxes are in "), s(n), F.lit(" crates?"))
         .alias("question"),
         F.concat(F.lit("Each crate holds "), s(q), F.lit(". Total <<"), s(q), F.lit("*"), s(n), F.lit("="), s(r),
@@ -219,3 +220,44 @@ def baselines_pct(spark) -> DataFrame:
 
 def baselines_frac(spark) -> DataFrame:
     return spark.createDataFrame(sorted(BASELINE_FRAC.items()), "task string, baseline double")
+
+
+def programs(spark, sf_dir) -> DataFrame:
+    """HumanEval-shaped rows built from part: prompt with import lines, a
+    fenced or bare completion, a test and an entry point."""
+    p = t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    ks, sz = k.cast("string"), F.col("p_size").cast("string")
+    sig = F.concat(F.lit("def f_"), ks, F.lit("(x: int) -> int:\n    \"\"\""), F.col("p_name"), F.lit("\"\"\"\n"))
+    prompt = (F.when(k % 3 == 0, F.concat(F.lit("import math\nfrom typing import List\n\n"), sig))
+               .when(k % 3 == 1, F.concat(F.lit("# header\n  import re\n\nx = 1\nimport os\n"), sig))
+               .otherwise(sig))
+    body = F.concat(F.lit("def f_"), ks, F.lit("(x):\n    return x * "), sz)
+    completion = F.when(k % 2 == 0, F.concat(F.lit("Here is code:\n```python\n"), body, F.lit("\n```\nDone."))).otherwise(
+        F.concat(F.lit("  "), body, F.lit("  \n")))
+    return p.select(k.alias("task_id"), prompt.alias("prompt"),
+                    F.concat(F.lit("    return x * "), sz).alias("solution"), completion.alias("completion"),
+                    F.concat(F.lit("def check(fn):\n    assert fn(1) == "), sz, F.lit("\n")).alias("test"),
+                    F.concat(F.lit("f_"), ks).alias("entry_point"))
+
+
+def results(spark, sf_dir) -> DataFrame:
+    u = UK("res", F.col("task_id"))
+    out = F.when(u < 0.6, "success").when(u < 0.8, "error").when(u < 0.9, "timeout").otherwise("memory")
+    return programs(spark, sf_dir).select("task_id", out.alias("outcome"))
+
+
+def tool_calls(spark, sf_dir) -> DataFrame:
+    """Calculator calls: gsm tags, word counts from part names, and rejects."""
+    g = gsm(spark, sf_dir).select(F.lit("gsm").alias("src"), F.col("problem").alias("id"),
+                                  F.regexp_extract("answer", r"<<([^=]+)=", 1).alias("expr"))
+    p = t(spark, sf_dir, "part")
+    w = F.split("p_name", " ").getItem(0)
+    k = F.col("p_partkey")
+    e = (F.when(k % 100 == 0, F.concat(F.lit("2**"), F.col("p_size").cast("string")))
+          .when(k % 100 == 1, F.lit("__import__('os')"))
+          .when(k % 100 == 2, F.lit("abs(-3)"))
+          .when(k % 100 == 3, F.concat(F.lit("1,000 + "), F.col("p_size").cast("string")))
+          .when(k % 100 == 4, F.lit("open('x') + 1;"))
+          .otherwise(F.concat(F.lit("'"), w, F.lit("'.count('"), F.substring(w, 2, 1), F.lit("')"))))
+    return g.unionByName(p.select(F.lit("part").alias("src"), k.alias("id"), e.alias("expr")))
