@@ -672,3 +672,120 @@ def q_assemble_programs(spark, sf_dir):
 @q
 def q_program_pass_rate(spark, sf_dir):
     return EV.program_pass_rate(V.results(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ 2.9 run analytics
+
+from tessera.operators import runs as RN  # noqa: E402
+
+
+def _r6(df, *cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+@q
+def q_pending_runs(spark, sf_dir):
+    done = RN.filter_runs(V.runs(spark, sf_dir))
+    return RN.pending_runs([float(b) for b in range(1, 61)], list(range(4, 26)), done)
+
+
+def _fruns(spark, sf_dir):
+    return RN.effective_params(RN.filter_runs(V.runs(spark, sf_dir), exclude_budgets=[7.0], exclude_depths=[23]))
+
+
+@q
+def q_filter_runs(spark, sf_dir):
+    return RN.filter_runs(V.runs(spark, sf_dir), exclude_budgets=[7.0], exclude_depths=[23]).select(
+        "run", "flops_budget", "depth", "val_bpb")
+
+
+@q
+def q_effective_params(spark, sf_dir):
+    e = RN.effective_params(RN.filter_runs(V.runs(spark, sf_dir)), "stack")
+    return e.select("run", "convention", "effective_params", F.round("param_data_ratio", 6).alias("param_data_ratio"))
+
+
+@q
+def q_isoflop_fit(spark, sf_dir):
+    f = RN.isoflop_fit(_fruns(spark, sf_dir))
+    return f.select("flops_budget", "n", "fitted", *[F.round(c, 6).alias(c) for c in ("a", "b", "c", "log_params", "bpb")])
+
+
+def _optima(spark, sf_dir):
+    return RN.optima_table(_fruns(spark, sf_dir))
+
+
+@q
+def q_interp_at(spark, sf_dir):
+    o = _optima(spark, sf_dir)
+    return o.select("flops_budget", "fitted", F.round("log_params", 6).alias("log_params"),
+                    F.round(F.log10("tokens"), 6).alias("log_tokens"), F.round("ratio", 4).alias("ratio"))
+
+
+@q
+def q_power_law_fit(spark, sf_dir):
+    p = RN.power_law_fit(_optima(spark, sf_dir))
+    return p.select("n_budgets", *[F.round(c, 6).alias(c) for c in ("slope_n", "intercept_n", "slope_d", "intercept_d")])
+
+
+@q
+def q_optimal_ratio(spark, sf_dir):
+    o = RN.optimal_ratio(_optima(spark, sf_dir))
+    return o.select("n_budgets", *[F.round(c, 4).alias(c) for c in ("optimal_ratio", "mean_ratio", "std_ratio", "exponent_gap")])
+
+
+@q
+def q_best_per_budget(spark, sf_dir):
+    b = RN.best_per_budget(_fruns(spark, sf_dir), order="depth")
+    return b.select("flops_budget", "depth", F.round("val_bpb", 6).alias("val_bpb"),
+                    F.round("param_data_ratio", 6).alias("param_data_ratio"))
+
+
+@q
+def q_center_accuracy(spark, sf_dir):
+    c = RN.center_accuracy(V.acc(spark, sf_dir), V.baselines_frac(spark), V.SEGMENTS)
+    return c.select("model", *[F.round(s, 6).alias(s) for s in V.SEGMENTS + ["mean_centered"]])
+
+
+@q
+def q_ols_fit(spark, sf_dir):
+    o = RN.ols_fit(V.features(spark, sf_dir), "f_qty", "y")
+    return o.select("n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+@q
+def q_rank_predictors(spark, sf_dir):
+    r = RN.rank_predictors(V.features(spark, sf_dir), V.FEATURES, "y")
+    return r.select("feature", "rank", *[F.round(c, 6).alias(c) for c in ("r2", "slope", "intercept")])
+
+
+@q
+def q_ridge_fit(spark, sf_dir):
+    r = RN.ridge_fit(V.features(spark, sf_dir), V.FEATURES, "y", [0.0, 0.001, 0.01, 0.1, 1.0])
+    return r.select("alpha", F.round("intercept", 6).alias("intercept"), F.round("r2", 6).alias("r2"),
+                    F.round("weight_norm", 6).alias("weight_norm"))
+
+
+@q
+def q_predict_core(spark, sf_dir):
+    p = RN.predict_core(V.features(spark, sf_dir), V.FEATURES, "y", 0.01, "l_suppkey")
+    return p.select("l_suppkey", *[F.round(c, 6).alias(c) for c in ("pred_simple", "pred_ridge", "pred_best", "pred_final")])
+
+
+@q
+def q_smoothed_loss(spark, sf_dir):
+    s = RN.smoothed_loss(V.steps(spark, sf_dir))
+    return s.select("run_id", "step", F.round("smooth_loss", 6).alias("smooth_loss"))
+
+
+@q
+def q_running_min_bpb(spark, sf_dir):
+    return RN.running_min_bpb(V.steps(spark, sf_dir)).select("run_id", "step", "min_val_bpb")
+
+
+@q
+def q_throughput(spark, sf_dir):
+    t = RN.throughput(V.steps(spark, sf_dir), RN.peak_flops_table(spark))
+    return t.select("run_id", "step", "tok_per_sec", F.round("flops_per_sec", 0).alias("flops_per_sec"),
+                    F.round("mfu", 6).alias("mfu"), F.round("total_training_time", 6).alias("total_training_time"),
+                    "flops_so_far", F.round("eta_seconds", 3).alias("eta_seconds"))

@@ -766,3 +766,164 @@ Q["program_pass_rate"] = f"""
 WITH r AS (SELECT CASE WHEN u < 0.6 THEN 'success' WHEN u < 0.8 THEN 'error' WHEN u < 0.9 THEN 'timeout' ELSE 'memory' END AS outcome
            FROM (SELECT {uk("'res'", 'p_partkey')} AS u FROM part))
 SELECT outcome, count(*) AS n, round(count(*) / (SELECT count(*) FROM part), 6) AS share FROM r GROUP BY outcome"""
+
+# ------------------------------------------------------------------ 2.9 run analytics
+
+RUNS = f"""runs AS (
+  SELECT run, flops_budget, depth, pt, lm, CAST(pt + lm AS DOUBLE) AS eff, tokens_trained,
+         CASE WHEN {uk("'vn'", 'run')} < 0.02 THEN NULL
+              ELSE 1 + 0.05 * (log10(CAST(pt + lm AS DOUBLE)) - 8) * (log10(CAST(pt + lm AS DOUBLE)) - 8) + 0.01 * {uk("'vb'", 'run')} END AS val_bpb,
+         pt + pt // 10 + pt // 20 + lm + 100 AS params_total
+  FROM (SELECT p_partkey AS run, CAST(p_size AS DOUBLE) AS flops_budget, CAST(4 + p_partkey % 20 AS INTEGER) AS depth,
+               CAST(1000000 * (p_partkey + 1) AS BIGINT) AS pt, CAST(1000000 * (p_partkey + 1) AS BIGINT) // 10 AS lm,
+               CAST(floor(20 * CAST(1100000 * (p_partkey + 1) AS DOUBLE) * (0.5 + {uk("'tk'", 'p_partkey')})) AS BIGINT) AS tokens_trained
+        FROM part))"""
+
+Q["pending_runs"] = with_(RUNS) + """
+SELECT CAST(b AS DOUBLE) AS flops_budget, CAST(d AS INTEGER) AS depth FROM range(1, 61) t(b), range(4, 26) u(d)
+WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.flops_budget = b AND runs.depth = d AND val_bpb IS NOT NULL AND val_bpb > 0)"""
+
+FRUNS = RUNS + """,
+fr AS (SELECT run, flops_budget, depth, val_bpb, tokens_trained, eff, log10(eff) AS x, val_bpb AS y, tokens_trained / eff AS ratio
+       FROM runs WHERE val_bpb IS NOT NULL AND val_bpb > 0 AND flops_budget NOT IN (7.0) AND depth NOT IN (23))"""
+
+Q["filter_runs"] = with_(FRUNS) + """
+SELECT run, flops_budget, depth, val_bpb FROM fr"""
+
+Q["effective_params"] = with_(RUNS) + """
+SELECT run, convention, effective_params, round(tokens_trained / effective_params, 6) AS param_data_ratio FROM (
+  SELECT run, 'all' AS convention, CAST(params_total AS DOUBLE) AS effective_params, tokens_trained FROM runs WHERE val_bpb > 0
+  UNION ALL SELECT run, 'transformer_lm_head', eff, tokens_trained FROM runs WHERE val_bpb > 0
+  UNION ALL SELECT run, 'transformer', CAST(pt AS DOUBLE), tokens_trained FROM runs WHERE val_bpb > 0)"""
+
+
+def det3(a11, a12, a13, a21, a22, a23, a31, a32, a33):
+    return (f"(({a11}) * (({a22}) * ({a33}) - ({a23}) * ({a32})) - ({a12}) * (({a21}) * ({a33}) - ({a23}) * ({a31}))"
+            f" + ({a13}) * (({a21}) * ({a32}) - ({a22}) * ({a31})))")
+
+
+S0 = "CAST(n AS DOUBLE)"
+FIT = FRUNS + f""",
+xm AS (SELECT flops_budget, avg(x) AS xm FROM fr GROUP BY flops_budget),
+cu AS (SELECT fr.*, x - xm AS u, xm FROM fr JOIN xm USING (flops_budget)),
+ps AS (SELECT flops_budget, count(*) AS n, any_value(xm) AS xm, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4,
+              sum(u) AS s1, sum(y) AS t0, sum(u * y) AS t1, sum(u * u * y) AS t2, arg_min(x, y) AS bx, min(y) AS bestv
+       FROM cu GROUP BY flops_budget),
+cr AS (SELECT *, {det3('s4', 's3', 's2', 's3', 's2', 's1', 's2', 's1', S0)} AS d FROM ps),
+fit0 AS (SELECT flops_budget, n, xm, bx, bestv,
+                {det3('t2', 's3', 's2', 't1', 's2', 's1', 't0', 's1', S0)} / d AS a,
+                {det3('s4', 't2', 's2', 's3', 't1', 's1', 's2', 't0', S0)} / d AS bb,
+                {det3('s4', 's3', 't2', 's3', 's2', 't1', 's2', 's1', 't0')} / d AS cc FROM cr),
+fit AS (SELECT flops_budget, n, a, bb - 2 * a * xm AS b, cc - bb * xm + a * xm * xm AS c,
+               n >= 3 AND a > 0 AS fitted,
+               CASE WHEN n >= 3 AND a > 0 THEN xm + (-bb / (2 * a)) ELSE bx END AS log_params,
+               CASE WHEN n >= 3 AND a > 0 THEN a * (-bb / (2 * a)) * (-bb / (2 * a)) + bb * (-bb / (2 * a)) + cc ELSE bestv END AS bpb
+        FROM fit0)"""
+
+Q["isoflop_fit"] = with_(FIT) + """
+SELECT flops_budget, n, fitted, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(log_params, 6) AS log_params,
+       round(bpb, 6) AS bpb FROM fit"""
+
+OPT = FIT + """,
+seg AS (SELECT flops_budget, x, tokens_trained AS t, ratio AS r,
+               lead(x) OVER w AS nx, lead(tokens_trained) OVER w AS nt, lead(ratio) OVER w AS nr
+        FROM fr WINDOW w AS (PARTITION BY flops_budget ORDER BY x)),
+lo AS (SELECT seg.flops_budget, arg_max({'x': x, 't': t, 'r': r, 'nx': nx, 'nt': nt, 'nr': nr}, x) AS lo
+       FROM seg JOIN fit USING (flops_budget) WHERE x <= log_params GROUP BY seg.flops_budget),
+fst AS (SELECT flops_budget, arg_min({'x': x, 't': t, 'r': r}, x) AS f FROM seg GROUP BY flops_budget),
+bst AS (SELECT flops_budget, arg_min({'t': tokens_trained, 'r': ratio}, val_bpb) AS bb FROM fr GROUP BY flops_budget),
+optima AS (
+  SELECT fit.flops_budget, fit.n, fit.fitted, fit.log_params, fit.bpb,
+    CASE WHEN NOT fit.fitted THEN bst.bb.t WHEN lo.lo IS NULL THEN fst.f.t WHEN lo.lo.nx IS NULL THEN lo.lo.t
+         ELSE lo.lo.t + (lo.lo.nt - lo.lo.t) * ((fit.log_params - lo.lo.x) / (lo.lo.nx - lo.lo.x)) END AS tokens,
+    CASE WHEN NOT fit.fitted THEN bst.bb.r WHEN lo.lo IS NULL THEN fst.f.r WHEN lo.lo.nx IS NULL THEN lo.lo.r
+         ELSE lo.lo.r + (lo.lo.nr - lo.lo.r) * ((fit.log_params - lo.lo.x) / (lo.lo.nx - lo.lo.x)) END AS ratio
+  FROM fit LEFT JOIN lo USING (flops_budget) JOIN fst USING (flops_budget) JOIN bst USING (flops_budget))"""
+
+Q["interp_at"] = with_(OPT) + """
+SELECT flops_budget, fitted, round(log_params, 6) AS log_params, round(log10(tokens), 6) AS log_tokens, round(ratio, 4) AS ratio FROM optima"""
+
+PLAW = OPT + """,
+plaw AS (SELECT count(*) AS n_budgets, regr_slope(log_params, log10(flops_budget)) AS slope_n,
+                regr_intercept(log_params, log10(flops_budget)) AS intercept_n,
+                regr_slope(log10(tokens), log10(flops_budget)) AS slope_d, regr_intercept(log10(tokens), log10(flops_budget)) AS intercept_d,
+                min(flops_budget) AS min_budget, max(flops_budget) AS max_budget, avg(ratio) AS mean_ratio, stddev_samp(ratio) AS std_ratio
+         FROM optima)"""
+
+Q["power_law_fit"] = with_(PLAW) + """
+SELECT n_budgets, round(slope_n, 6) AS slope_n, round(intercept_n, 6) AS intercept_n, round(slope_d, 6) AS slope_d,
+       round(intercept_d, 6) AS intercept_d FROM plaw"""
+
+Q["optimal_ratio"] = with_(PLAW) + """
+SELECT n_budgets,
+  round(CASE WHEN n_budgets >= 2 THEN pow(10.0, (intercept_d + slope_d * (0.5 * (log10(min_budget) + log10(max_budget))))
+                                           - (intercept_n + slope_n * (0.5 * (log10(min_budget) + log10(max_budget))))) END, 4) AS optimal_ratio,
+  round(mean_ratio, 4) AS mean_ratio, round(std_ratio, 4) AS std_ratio,
+  round(CASE WHEN n_budgets >= 2 THEN slope_d - slope_n END, 4) AS exponent_gap FROM plaw"""
+
+Q["best_per_budget"] = with_(FRUNS) + """
+SELECT flops_budget, b.depth AS depth, round(b.val_bpb, 6) AS val_bpb, round(b.ratio, 6) AS param_data_ratio FROM (
+  SELECT flops_budget, arg_min({'depth': depth, 'val_bpb': val_bpb, 'ratio': ratio}, val_bpb) AS b FROM fr GROUP BY flops_budget)"""
+
+CENTER = ACC + """,
+bf AS (SELECT * FROM (VALUES ('AUTOMOBILE', 0.25), ('FURNITURE', 0.25), ('HOUSEHOLD', 0.5), ('MACHINERY', 0.25)) v(task, baseline)),
+ce AS (SELECT model, task, (accuracy - coalesce(baseline, 0.0)) / (1.0 - coalesce(baseline, 0.0)) AS centered
+       FROM acc LEFT JOIN bf USING (task))"""
+
+Q["center_accuracy"] = with_(CENTER) + "\nSELECT model, " + ", ".join(
+    f"round(max(centered) FILTER (WHERE task = '{s}'), 6) AS \"{s}\"" for s in
+    ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]) + ", round(avg(centered), 6) AS mean_centered FROM ce GROUP BY model"
+
+FEAT = f"""feat AS (
+  SELECT l_suppkey, f_qty, f_price, f_disc, f_tax,
+         0.3 * f_qty + 0.2 * f_price + 1.5 * f_disc + 2.0 * f_tax + 0.05 * {uk("'y'", 'l_suppkey')} AS y FROM (
+    SELECT l_suppkey, avg(l_quantity) / 50 AS f_qty, avg(l_extendedprice) / 1e5 AS f_price, avg(l_discount) AS f_disc,
+           avg(l_tax) AS f_tax FROM lineitem GROUP BY l_suppkey))"""
+
+Q["ols_fit"] = with_(FEAT) + """
+SELECT count(*) AS n, round(regr_slope(y, f_qty), 6) AS slope, round(regr_intercept(y, f_qty), 6) AS intercept,
+       round(regr_r2(y, f_qty), 6) AS r2 FROM feat"""
+
+Q["rank_predictors"] = with_(FEAT) + """,
+lng AS (SELECT 'f_qty' AS feature, f_qty AS x, y FROM feat UNION ALL SELECT 'f_price', f_price, y FROM feat
+        UNION ALL SELECT 'f_disc', f_disc, y FROM feat UNION ALL SELECT 'f_tax', f_tax, y FROM feat),
+g AS (SELECT feature, regr_r2(y, x) AS r2, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM lng GROUP BY feature)
+SELECT feature, CAST(row_number() OVER (ORDER BY r2 DESC, feature) AS INTEGER) AS rank, round(r2, 6) AS r2, round(slope, 6) AS slope,
+       round(intercept, 6) AS intercept FROM g"""
+
+STEPS = """st AS (
+  SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value AS loss,
+         value / 10 AS val_bpb, event_id, 0.1 + """ + uk("'dt'", 'event_id') + """ AS dt,
+         ['NVIDIA H100 80GB HBM3', 'NVIDIA A100-SXM4-80GB', 'NVIDIA GeForce RTX 4090', 'Mystery Accelerator 9000'][user_id % 4 + 1] AS device
+  FROM events)"""
+
+Q["smoothed_loss"] = with_(STEPS) + """
+SELECT run_id, step, round(0.1 * list_sum(list_transform(h, lambda e: pow(0.9, CAST(step - e.s AS DOUBLE)) * e.x))
+                           / (1 - pow(0.9, CAST(step + 1 AS DOUBLE))), 6) AS smooth_loss FROM (
+  SELECT run_id, step, list({'s': step, 'x': loss}) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 350 PRECEDING AND CURRENT ROW) AS h
+  FROM st)"""
+
+Q["running_min_bpb"] = with_(STEPS) + """
+SELECT run_id, step, min(val_bpb) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS min_val_bpb FROM st"""
+
+PEAKS_SQL = "(VALUES " + ", ".join(
+    f"({i}, {pats!r}, {v!r})".replace("'", "'") for i, (pats, v) in enumerate([
+        (["gb200"], 2.5e15), (["grace blackwell"], 2.5e15), (["b200"], 2.25e15), (["b100"], 1.8e15),
+        (["h200", "nvl"], 836e12), (["h200", "pcie"], 836e12), (["h200"], 989e12), (["h100", "nvl"], 835e12),
+        (["h100", "pcie"], 756e12), (["h100"], 989e12), (["h800", "nvl"], 989e12), (["h800"], 756e12),
+        (["a100"], 312e12), (["a800"], 312e12), (["a40"], 149.7e12), (["a30"], 165e12), (["l40s"], 362e12),
+        (["l40-s"], 362e12), (["l40 s"], 362e12), (["l4"], 121e12), (["mi355"], 2.5e15), (["mi325"], 1.3074e15),
+        (["mi300x"], 1.3074e15), (["mi300a"], 980.6e12), (["mi250x"], 383e12), (["mi250"], 362.1e12),
+        (["5090"], 209.5e12), (["4090"], 165.2e12), (["3090"], 71e12)])) + ") pk(priority, patterns, peak)"
+
+Q["throughput"] = with_(STEPS) + f""",
+dev AS (SELECT d.device, coalesce(arg_min(pk.peak, pk.priority), 'inf'::DOUBLE) AS peak_flops
+        FROM (SELECT DISTINCT device FROM st) d LEFT JOIN {PEAKS_SQL}
+        ON len(list_filter(pk.patterns, lambda p: NOT contains(lower(d.device), p))) = 0 GROUP BY d.device),
+s2 AS (SELECT st.*, peak_flops, sum(CASE WHEN step > 10 THEN dt ELSE 0.0 END) OVER (PARTITION BY run_id ORDER BY step
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM st JOIN dev USING (device))
+SELECT run_id, step, CAST(floor(524288 / dt) AS BIGINT) AS tok_per_sec, round(6.0e8 * 524288 / dt, 0) AS flops_per_sec,
+       round(100 * (6.0e8 * 524288 / dt) / (peak_flops * 8), 6) AS mfu, round(total, 6) AS total_training_time,
+       6.0e8 * 524288 * step AS flops_so_far,
+       round(CASE WHEN step - 10 > 0 THEN (5000 - step) * total / (step - 10) END, 3) AS eta_seconds
+FROM s2"""

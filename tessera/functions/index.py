@@ -46,13 +46,15 @@ def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column |
     by = list(by)
     val = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
     df = df.withColumn("__v", val)
+    from pyspark.sql.types import FractionalType
+    vtype = "double" if isinstance(df.schema["__v"].dataType, FractionalType) else "bigint"
     ocols = [F.col(c) for c in order]
 
     if small_groups:
         w = Window.partitionBy(*by).orderBy(*ocols)
         out = (df.withColumn(idx, F.row_number().over(w) - 1)
                  .withColumn(before, F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1))))
-        out = out.withColumn(before, F.coalesce(F.col(before), F.lit(0)).cast("bigint"))
+        out = out.withColumn(before, F.coalesce(F.col(before), F.lit(0)).cast(vtype))
         return out.drop("__v")
 
     if buckets is None:
@@ -72,7 +74,7 @@ def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column |
                      F.coalesce(F.sum("__tv").over(wt), F.lit(0)).alias("__ov"))
     out = (local.join(off, on=[*by, "__b"], how="inner")
                 .withColumn(idx, (F.col("__on") + F.col("__li")).cast("bigint"))
-                .withColumn(before, (F.col("__ov") + F.col("__lb")).cast("bigint")))
+                .withColumn(before, (F.col("__ov") + F.col("__lb")).cast(vtype)))
     return out.drop("__v", "__b", "__li", "__lb", "__on", "__ov")
 
 

@@ -261,3 +261,52 @@ def tool_calls(spark, sf_dir) -> DataFrame:
           .when(k % 100 == 4, F.lit("open('x') + 1;"))
           .otherwise(F.concat(F.lit("'"), w, F.lit("'.count('"), F.substring(w, 2, 1), F.lit("')"))))
     return g.unionByName(p.select(F.lit("part").alias("src"), k.alias("id"), e.alias("expr")))
+
+
+# Device names given to the runs of the steps view.
+DEVICES = ["NVIDIA H100 80GB HBM3", "NVIDIA A100-SXM4-80GB", "NVIDIA GeForce RTX 4090", "Mystery Accelerator 9000"]
+
+
+def steps(spark, sf_dir) -> DataFrame:
+    """events as step logs: run = user, step = rank by (ts, event_id)."""
+    from tessera.functions.index import prefix_sum
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    e = e.withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = prefix_sum(e, ["_o", "event_id"], None, by=["user_id"], idx="step", before="_b")
+    dev = F.element_at(F.array(*[F.lit(d) for d in DEVICES]), (F.col("user_id") % 4 + 1).cast("int"))
+    return e.select(F.col("user_id").alias("run_id"), "step", F.col("value").alias("loss"),
+                    (F.col("value") / 10).alias("val_bpb"), (0.1 + UK("dt", F.col("event_id"))).alias("dt"),
+                    dev.alias("device"), F.lit(524288).cast("bigint").alias("batch_tokens"),
+                    F.lit(6.0e8).alias("flops_per_token"), F.lit(8).alias("world"),
+                    F.lit(5000).cast("bigint").alias("num_iterations"))
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    """part as a scaling-law run table."""
+    p = t(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pt = (F.lit(1000000) * (k + 1)).cast("bigint")
+    lm = (pt / 10).cast("bigint")
+    eff = (pt + lm).cast("double")
+    lx = F.log10(eff) - 8
+    bpb = F.when(UK("vn", k) < 0.02, F.lit(None).cast("double")).otherwise(1 + 0.05 * lx * lx + 0.01 * UK("vb", k))
+    return p.select(
+        k.alias("run"), F.col("p_size").cast("double").alias("flops_budget"), (4 + k % 20).cast("int").alias("depth"),
+        ((4 + k % 20) * 64).cast("int").alias("model_dim"),
+        (pt / 10).cast("bigint").alias("params_wte"), (pt / 20).cast("bigint").alias("params_value_embeds"),
+        lm.alias("params_lm_head"), pt.alias("params_transformer"), F.lit(100).cast("bigint").alias("params_scalars"),
+        (pt + (pt / 10).cast("bigint") + (pt / 20).cast("bigint") + lm + 100).alias("params_total"),
+        F.floor(20 * eff * (0.5 + UK("tk", k))).cast("bigint").alias("tokens_trained"),
+        bpb.alias("val_bpb"), UK("cs", k).alias("core_score"))
+
+
+def features(spark, sf_dir) -> DataFrame:
+    li = t(spark, sf_dir, "lineitem")
+    g = li.groupBy("l_suppkey").agg((F.avg("l_quantity") / 50).alias("f_qty"), (F.avg("l_extendedprice") / 1e5).alias("f_price"),
+                                    F.avg("l_discount").alias("f_disc"), F.avg("l_tax").alias("f_tax"))
+    y = (0.3 * F.col("f_qty") + 0.2 * F.col("f_price") + 1.5 * F.col("f_disc") + 2.0 * F.col("f_tax")
+         + 0.05 * UK("y", F.col("l_suppkey")))
+    return g.withColumn("y", y)
+
+
+FEATURES = ["f_qty", "f_price", "f_disc", "f_tax"]
