@@ -45,7 +45,43 @@ def q_pack_concat(spark, sf_dir):
 @q
 def q_packing_report(spark, sf_dir):
     lens = V.lens(spark, sf_dir)
-    return P.packing_report(P.pack_concat(lens, T), lens, T, "concat")
+    r = P.packing_report(P.pack_concat(lens, T), lens, T, "concat")
+    r = r.unionByName(P.packing_report(P.pack_greedy_crop(lens, T), lens, T, "greedy_crop"))
+    return r.unionByName(P.packing_report(P.pack_greedy_pad(lens, T), lens, T, "greedy_pad"))
+
+
+@q
+def q_pack_greedy_crop(spark, sf_dir):
+    return P.pack_greedy_crop(V.lens(spark, sf_dir), T)
+
+
+@q
+def q_pack_greedy_pad(spark, sf_dir):
+    return P.pack_greedy_pad(V.lens(spark, sf_dir), T)
+
+
+@q
+def q_pack_ffd(spark, sf_dir):
+    return P.pack_ffd(V.lens(spark, sf_dir), T)
+
+
+@q
+def q_pack_bestfit_crop(spark, sf_dir):
+    return P.pack_bestfit_crop(V.lens(spark, sf_dir), T, buffer=100, refill=16)
+
+
+@q
+def q_packing_report_all(spark, sf_dir):
+    """All five packers on the same lengths (best-fit and FFD are rows-only)."""
+    lens = V.lens(spark, sf_dir)
+    parts = [("concat", P.pack_concat(lens, T)), ("greedy_crop", P.pack_greedy_crop(lens, T)),
+             ("greedy_pad", P.pack_greedy_pad(lens, T)), ("ffd", P.pack_ffd(lens, T)),
+             ("bestfit_crop", P.pack_bestfit_crop(lens, T, buffer=100, refill=16))]
+    out = None
+    for name, lay in parts:
+        r = P.packing_report(lay, lens, T, name)
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 # ------------------------------------------------------------------ 2.1 sources

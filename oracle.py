@@ -69,7 +69,53 @@ def _strip_with(sql: str) -> str:
     return sql
 
 
-Q["packing_report"] = report_sql(f"SELECT * FROM ({PACK_CONCAT})", "concat")
+GREEDY_BASE = """o AS (SELECT grp, doc_id, len, row_number() OVER (PARTITION BY grp ORDER BY ord) AS i FROM lens)"""
+
+GREEDY_CROP = "WITH RECURSIVE " + LENS + ",\n" + GREEDY_BASE + """,
+r AS (
+  SELECT grp, i, doc_id, CAST(0 AS BIGINT) AS row_id, CAST(0 AS BIGINT) AS pos, least(len, 2049) AS take, least(len, 2049) AS endpos
+  FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.grp, o.i, o.doc_id, r.row_id + CASE WHEN r.endpos = 2049 THEN 1 ELSE 0 END,
+         CASE WHEN r.endpos = 2049 THEN 0 ELSE r.endpos END,
+         least(o.len, 2049 - CASE WHEN r.endpos = 2049 THEN 0 ELSE r.endpos END),
+         CASE WHEN r.endpos = 2049 THEN 0 ELSE r.endpos END + least(o.len, 2049 - CASE WHEN r.endpos = 2049 THEN 0 ELSE r.endpos END)
+  FROM r JOIN o ON o.grp = r.grp AND o.i = r.i + 1)
+SELECT CAST(grp AS BIGINT) AS grp, row_id, pos, doc_id, CAST(0 AS BIGINT) AS start, CAST(take AS BIGINT) AS len FROM r
+WHERE (grp, row_id) IN (SELECT (grp, row_id) FROM r WHERE endpos = 2049)"""
+
+GREEDY_PAD = "WITH RECURSIVE " + LENS + ",\n" + GREEDY_BASE + """,
+r AS (
+  SELECT grp, i, doc_id, CAST(0 AS BIGINT) AS row_id, CAST(0 AS BIGINT) AS pos, least(len, 2049) AS take, least(len, 2049) AS endpos
+  FROM o WHERE i = 1
+  UNION ALL
+  SELECT grp, i, doc_id, row_id, pos, least(len, 2049), pos + least(len, 2049) FROM (
+    SELECT o.grp, o.i, o.doc_id, o.len,
+           r.row_id + CASE WHEN r.endpos = 2049 OR (r.endpos > 0 AND o.len > 2049 - r.endpos) THEN 1 ELSE 0 END AS row_id,
+           CASE WHEN r.endpos = 2049 OR (r.endpos > 0 AND o.len > 2049 - r.endpos) THEN 0 ELSE r.endpos END AS pos
+    FROM r JOIN o ON o.grp = r.grp AND o.i = r.i + 1))
+SELECT CAST(grp AS BIGINT) AS grp, row_id, pos, doc_id, CAST(0 AS BIGINT) AS start, CAST(take AS BIGINT) AS len FROM r"""
+
+Q["pack_greedy_crop"] = GREEDY_CROP
+Q["pack_greedy_pad"] = GREEDY_PAD
+
+
+def report_sql_any(layout_sql: str, algo: str, C: int = 2049) -> str:
+    return f"""(WITH {LENS},
+li AS (SELECT CAST(sum(len) AS BIGINT) AS input_tokens, CAST(sum(greatest(len - {C}, 0)) AS BIGINT) AS beyond FROM lens),
+lo AS (SELECT CAST(sum(len) AS BIGINT) AS placed_tokens, CAST(count(DISTINCT (grp, row_id)) AS BIGINT) AS n_rows FROM ({layout_sql}))
+SELECT '{algo}' AS algo, n_rows, input_tokens, placed_tokens,
+       CAST(n_rows*{C} - placed_tokens AS BIGINT) AS pad_tokens,
+       CAST(input_tokens - placed_tokens AS BIGINT) AS dropped_tokens,
+       round(placed_tokens * 100.0 / (n_rows*{C}), 4) AS util_pct,
+       round((input_tokens - placed_tokens) * 100.0 / input_tokens, 4) AS crop_pct,
+       round((n_rows*{C} - placed_tokens) * 100.0 / (n_rows*{C}), 4) AS pad_pct,
+       round(beyond * 100.0 / input_tokens, 4) AS lower_bound_pct
+FROM li, lo)"""
+
+
+Q["packing_report"] = (report_sql_any(PACK_CONCAT, "concat") + " UNION ALL " + report_sql_any(GREEDY_CROP, "greedy_crop")
+                       + " UNION ALL " + report_sql_any(GREEDY_PAD, "greedy_pad"))
 
 Q["byte_encode"] = with_(DOC_BYTES) + """
 SELECT doc_id, array_to_string(ids, ',') AS ids, CAST(len(ids) AS INTEGER) AS n_ids FROM doc_bytes"""
@@ -811,13 +857,13 @@ ps AS (SELECT flops_budget, count(*) AS n, any_value(xm) AS xm, sum(u * u) AS s2
        FROM cu GROUP BY flops_budget),
 cr AS (SELECT *, {det3('s4', 's3', 's2', 's3', 's2', 's1', 's2', 's1', S0)} AS d FROM ps),
 fit0 AS (SELECT flops_budget, n, xm, bx, bestv,
-                {det3('t2', 's3', 's2', 't1', 's2', 's1', 't0', 's1', S0)} / d AS a,
-                {det3('s4', 't2', 's2', 's3', 't1', 's1', 's2', 't0', S0)} / d AS bb,
-                {det3('s4', 's3', 't2', 's3', 's2', 't1', 's2', 's1', 't0')} / d AS cc FROM cr),
+                {det3('t2', 's3', 's2', 't1', 's2', 's1', 't0', 's1', S0)} / nullif(d, 0) AS a,
+                {det3('s4', 't2', 's2', 's3', 't1', 's1', 's2', 't0', S0)} / nullif(d, 0) AS bb,
+                {det3('s4', 's3', 't2', 's3', 's2', 't1', 's2', 's1', 't0')} / nullif(d, 0) AS cc FROM cr),
 fit AS (SELECT flops_budget, n, a, bb - 2 * a * xm AS b, cc - bb * xm + a * xm * xm AS c,
-               n >= 3 AND a > 0 AS fitted,
-               CASE WHEN n >= 3 AND a > 0 THEN xm + (-bb / (2 * a)) ELSE bx END AS log_params,
-               CASE WHEN n >= 3 AND a > 0 THEN a * (-bb / (2 * a)) * (-bb / (2 * a)) + bb * (-bb / (2 * a)) + cc ELSE bestv END AS bpb
+               coalesce(n >= 3 AND a > 0, false) AS fitted,
+               CASE WHEN coalesce(n >= 3 AND a > 0, false) THEN xm + (-bb / (2 * a)) ELSE bx END AS log_params,
+               CASE WHEN coalesce(n >= 3 AND a > 0, false) THEN a * (-bb / (2 * a)) * (-bb / (2 * a)) + bb * (-bb / (2 * a)) + cc ELSE bestv END AS bpb
         FROM fit0)"""
 
 Q["isoflop_fit"] = with_(FIT) + """
@@ -835,9 +881,9 @@ bst AS (SELECT flops_budget, arg_min({'t': tokens_trained, 'r': ratio}, val_bpb)
 optima AS (
   SELECT fit.flops_budget, fit.n, fit.fitted, fit.log_params, fit.bpb,
     CASE WHEN NOT fit.fitted THEN bst.bb.t WHEN lo.lo IS NULL THEN fst.f.t WHEN lo.lo.nx IS NULL THEN lo.lo.t
-         ELSE lo.lo.t + (lo.lo.nt - lo.lo.t) * ((fit.log_params - lo.lo.x) / (lo.lo.nx - lo.lo.x)) END AS tokens,
+         ELSE lo.lo.t + (lo.lo.nt - lo.lo.t) * ((fit.log_params - lo.lo.x) / nullif(lo.lo.nx - lo.lo.x, 0)) END AS tokens,
     CASE WHEN NOT fit.fitted THEN bst.bb.r WHEN lo.lo IS NULL THEN fst.f.r WHEN lo.lo.nx IS NULL THEN lo.lo.r
-         ELSE lo.lo.r + (lo.lo.nr - lo.lo.r) * ((fit.log_params - lo.lo.x) / (lo.lo.nx - lo.lo.x)) END AS ratio
+         ELSE lo.lo.r + (lo.lo.nr - lo.lo.r) * ((fit.log_params - lo.lo.x) / nullif(lo.lo.nx - lo.lo.x, 0)) END AS ratio
   FROM fit LEFT JOIN lo USING (flops_budget) JOIN fst USING (flops_budget) JOIN bst USING (flops_budget))"""
 
 Q["interp_at"] = with_(OPT) + """

@@ -43,9 +43,9 @@ def filter_runs(runs: DataFrame, exclude_budgets: list | None = None, exclude_de
 
 
 CONVENTIONS = {
-    "all": F.col("params_total"),
-    "transformer_lm_head": F.col("params_transformer") + F.col("params_lm_head"),
-    "transformer": F.col("params_transformer"),
+    "all": lambda: F.col("params_total"),
+    "transformer_lm_head": lambda: F.col("params_transformer") + F.col("params_lm_head"),
+    "transformer": lambda: F.col("params_transformer"),
 }
 
 
@@ -53,13 +53,13 @@ def effective_params(runs: DataFrame, how: str = "transformer_lm_head") -> DataF
     """Effective parameter count and tokens per parameter; ``how='stack'``
     returns all three conventions as rows."""
     if how == "stack":
-        parts = [runs.withColumn("convention", F.lit(k)).withColumn("effective_params", v.cast("double"))
+        parts = [runs.withColumn("convention", F.lit(k)).withColumn("effective_params", v().cast("double"))
                  for k, v in CONVENTIONS.items()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
     else:
-        out = runs.withColumn("convention", F.lit(how)).withColumn("effective_params", CONVENTIONS[how].cast("double"))
+        out = runs.withColumn("convention", F.lit(how)).withColumn("effective_params", CONVENTIONS[how]().cast("double"))
     return out.withColumn("param_data_ratio", F.col("tokens_trained") / F.col("effective_params"))
 
 
@@ -87,12 +87,12 @@ def isoflop_fit(runs: DataFrame, budget: str = "flops_budget") -> DataFrame:
     S0, S1, S2, S3, S4 = F.col("n").cast("double"), F.col("s1"), F.col("s2"), F.col("s3"), F.col("s4")
     T0, T1, T2 = F.col("t0"), F.col("t1"), F.col("t2")
     D = _det3(S4, S3, S2, S3, S2, S1, S2, S1, S0)
-    A = _det3(T2, S3, S2, T1, S2, S1, T0, S1, S0) / D
-    Bc = _det3(S4, T2, S2, S3, T1, S1, S2, T0, S0) / D
-    Cc = _det3(S4, S3, T2, S3, S2, T1, S2, S1, T0) / D
+    A = F.try_divide(_det3(T2, S3, S2, T1, S2, S1, T0, S1, S0), D)
+    Bc = F.try_divide(_det3(S4, T2, S2, S3, T1, S1, S2, T0, S0), D)
+    Cc = F.try_divide(_det3(S4, S3, T2, S3, S2, T1, S2, S1, T0), D)
     xm = F.col("_xm")
     fit = s.select(budget, "n", "_best", xm.alias("_xm"), A.alias("a"), Bc.alias("_B"), Cc.alias("_C"))
-    ok = (F.col("n") >= 3) & (F.col("a") > 0)
+    ok = F.coalesce((F.col("n") >= 3) & (F.col("a") > 0), F.lit(False))
     ustar = -F.col("_B") / (2 * F.col("a"))
     return fit.select(
         budget, "n",
@@ -122,7 +122,7 @@ def interp_at(runs: DataFrame, optima: DataFrame, budget: str = "flops_budget")
     lo, fst, xs = F.col("lo"), F.col("first"), F.col("log_params")
 
     def at(t, nt):
-        frac = (xs - lo["_x"]) / (lo["_nx"] - lo["_x"])
+        frac = F.try_divide(xs - lo["_x"], lo["_nx"] - lo["_x"])
         return (F.when(lo.isNull(), fst[t])
                  .when(lo["_nx"].isNull(), lo[t])
                  .otherwise(lo[t] + (lo[nt] - lo[t]) * frac))
