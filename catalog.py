@@ -922,3 +922,39 @@ def q_compare_tokenizers(spark, sf_dir):
     c = TZ.compare_tokenizers(byte, word, ["lang", "source"])
     return c.select("lang", "source", "base_tokens", "ours_tokens", F.round("relative_diff_pct", 4).alias("relative_diff_pct"),
                     "better")
+
+
+# ------------------------------------------------------------------ logs and reports
+
+from tessera.sources import logs as LG  # noqa: E402
+
+
+def _write_logs(spark, sf_dir):
+    path = scratch_path(spark, f"logs-{_tag(sf_dir)}")
+    lines = V.log_lines(spark, sf_dir)
+    (lines.repartition("run_id").sortWithinPartitions("run_id", "line_no").select("run_id", "line")
+          .write.mode("overwrite").partitionBy("run_id").text(path))
+    return path
+
+
+@q
+def q_read_run_logs(spark, sf_dir):
+    r = LG.read_run_logs(spark, _write_logs(spark, sf_dir)).withColumn("run_id", F.col("run_id").cast("bigint"))
+    return r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_lines"),
+                                   F.sum(F.length("line")).cast("bigint").alias("n_chars"))
+
+
+@q
+def q_extract_run_metrics(spark, sf_dir):
+    r = LG.read_run_logs(spark, _write_logs(spark, sf_dir)).withColumn("run_id", F.col("run_id").cast("bigint"))
+    return LG.extract_run_metrics(r)
+
+
+@q
+def q_report_summary(spark, sf_dir):
+    return LG.report_summary(V.sections(spark, sf_dir))
+
+
+@q
+def q_run_duration(spark, sf_dir):
+    return LG.run_duration(V.sections(spark, sf_dir))

@@ -1022,3 +1022,77 @@ SELECT lang, source, b.tokens AS base_tokens, o.tokens AS ours_tokens,
        round((b.tokens - o.tokens) / b.tokens * 100, 4) AS relative_diff_pct,
        CASE WHEN b.bytes / b.tokens > o.bytes / o.tokens THEN 'base' WHEN o.bytes / o.tokens > b.bytes / b.tokens THEN 'ours' ELSE 'tie' END AS better
 FROM byte b JOIN word o USING (lang, source)"""
+
+# ------------------------------------------------------------------ logs and reports
+
+LOGS = STEPS + """,
+per AS (SELECT run_id, count(*) AS n, max(step) FILTER (WHERE step % 50 = 0) AS lvs FROM st GROUP BY run_id),
+lines AS (
+  SELECT run_id, 'depth: ' || (4 + run_id % 20) AS line FROM per
+  UNION ALL SELECT run_id, 'wte                     : ' || printf('%,d', (run_id + 1) * 1000003) FROM per
+  UNION ALL SELECT run_id, 'lm_head                 : ' || printf('%,d', (run_id + 1) * 1000003) FROM per
+  UNION ALL SELECT run_id, 'total                   : ' || printf('%,d', (run_id + 1) * 5000011) FROM per
+  UNION ALL SELECT run_id, 'Calculated number of iterations: ' || printf('%,d', n * 10) FROM per
+  UNION ALL SELECT run_id, 'Total batch size 524,288 => gradient accumulation steps: 1' FROM per
+  UNION ALL SELECT run_id, 'step ' || lpad(CAST(step AS VARCHAR), 5, '0') || ' | Validation bpb: ' || printf('%.4f', val_bpb) FROM st WHERE step % 50 = 0
+  UNION ALL SELECT run_id, 'CORE metric: 0.1000' FROM per WHERE run_id % 2 = 0
+  UNION ALL SELECT run_id, 'CORE metric: ' || printf('%.4f', """ + uk("'core'", 'run_id') + """) FROM per WHERE run_id % 2 = 0)"""
+
+Q["read_run_logs"] = with_(LOGS) + """
+SELECT run_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM lines GROUP BY run_id"""
+
+Q["extract_run_metrics"] = with_(LOGS) + """
+SELECT per.run_id, CAST(4 + per.run_id % 20 AS INTEGER) AS depth, CAST((4 + per.run_id % 20) * 64 AS INTEGER) AS model_dim,
+       (per.run_id + 1) * 1000003 AS params_wte, (per.run_id + 1) * 1000003 AS params_lm_head, (per.run_id + 1) * 5000011 AS params_total,
+       n * 10 AS num_iterations, CAST(524288 AS BIGINT) AS batch_size, n * 10 * 524288 AS tokens_trained,
+       CAST(printf('%.4f', st.val_bpb) AS DOUBLE) AS val_bpb,
+       CASE WHEN per.run_id % 2 = 0 THEN CAST(printf('%.4f', """ + uk("'core'", 'per.run_id') + """) AS DOUBLE) ELSE 0.0 END AS core_score
+FROM per JOIN st ON st.run_id = per.run_id AND st.step = per.lvs"""
+
+SECTIONS = ACC + """,
+w AS (SELECT model, max(accuracy) FILTER (WHERE task = 'AUTOMOBILE') AS a1, max(accuracy) FILTER (WHERE task = 'BUILDING') AS a2,
+             max(accuracy) FILTER (WHERE task = 'FURNITURE') AS a3, max(accuracy) FILTER (WHERE task = 'HOUSEHOLD') AS a4,
+             max(accuracy) FILTER (WHERE task = 'MACHINERY') AS a5, make_timestamp(2024, 1, 1, model % 5, 0, 0) AS start
+      FROM acc GROUP BY model),
+files AS (SELECT * FROM (VALUES ('tokenizer-training.md', 0), ('base-model-training.md', 1), ('base-model-evaluation.md', 2),
+                                ('chat-sft.md', 3), ('chat-evaluation-sft.md', 4), ('chat-rl.md', 5), ('chat-evaluation-rl.md', 6)) v(file, i)),
+sections AS (
+  SELECT model AS run, 'header.md' AS file, 0 AS line_no, 'Run started: ' || strftime(start, '%Y-%m-%d %H:%M:%S') AS line FROM w
+  UNION ALL
+  SELECT model, file, 0, 'timestamp: ' || strftime(start + to_minutes(CAST((i + 1) * (37 + model) AS BIGINT)), '%Y-%m-%d %H:%M:%S')
+  FROM w, files WHERE NOT (file = 'chat-evaluation-sft.md' AND model % 7 = 0)
+  UNION ALL SELECT model, 'base-model-evaluation.md', 1, 'CORE: ' || printf('%.4f', (a1 + a2 + a3 + a4 + a5) / 5) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-sft.md', 1, 'ARC-Easy: ' || printf('%.4f', a1) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-sft.md', 2, 'ARC-Challenge: ' || printf('%.4f', a2) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-sft.md', 3, 'MMLU: ' || printf('%.4f', a3) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-sft.md', 4, 'GSM8K: ' || printf('%.4f', a4) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-sft.md', 5, 'HumanEval: ' || printf('%.4f', a5) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-sft.md', 9, 'ChatCORE: ' || printf('%.4f', (a1 + a2 + a3 + a4 + a5) / 5 - 0.25) FROM w
+  UNION ALL SELECT model, 'chat-evaluation-rl.md', 1, 'GSM8K: ' || printf('%.4f', a4 + 0.01) FROM w WHERE model % 2 = 0)"""
+
+Q["report_summary"] = with_(SECTIONS) + """,
+keys AS (SELECT * FROM (VALUES ('base-model-evaluation.md', 'base', 'CORE'), ('chat-evaluation-sft.md', 'sft', 'ARC-Easy'),
+   ('chat-evaluation-sft.md', 'sft', 'ARC-Challenge'), ('chat-evaluation-sft.md', 'sft', 'MMLU'), ('chat-evaluation-sft.md', 'sft', 'GSM8K'),
+   ('chat-evaluation-sft.md', 'sft', 'HumanEval'), ('chat-evaluation-sft.md', 'sft', 'ChatCORE'), ('chat-evaluation-rl.md', 'rl', 'GSM8K')) v(file, stage, metric)),
+hits AS (SELECT s.run, k.stage, k.metric, arg_max(trim(split_part(s.line, ':', 2)), s.line_no) AS value
+         FROM sections s JOIN keys k ON s.file = k.file AND trim(split_part(s.line, ':', 1)) = k.metric
+         WHERE len(string_split(s.line, ':')) > 1 GROUP BY s.run, k.stage, k.metric)
+SELECT run, metric, coalesce(max(value) FILTER (WHERE stage = 'base'), '-') AS base,
+       coalesce(max(value) FILTER (WHERE stage = 'sft'), '-') AS sft, coalesce(max(value) FILTER (WHERE stage = 'rl'), '-') AS rl,
+       CASE WHEN metric = 'CORE' THEN 0 WHEN metric = 'ChatCORE' THEN 2 ELSE 1 END AS metric_order
+FROM hits GROUP BY run, metric"""
+
+Q["run_duration"] = with_(SECTIONS) + """,
+ord AS (SELECT * FROM (VALUES ('tokenizer-training.md', 1), ('tokenizer-evaluation.md', 2), ('base-model-training.md', 3),
+   ('base-model-loss.md', 4), ('base-model-evaluation.md', 5), ('chat-sft.md', 6), ('chat-evaluation-sft.md', 7), ('chat-rl.md', 8),
+   ('chat-evaluation-rl.md', 9)) v(file, fo)),
+ts AS (SELECT run, file, line_no, try_strptime(trim(substr(line, instr(line, ':') + 1)), '%Y-%m-%d %H:%M:%S') AS t, line FROM sections),
+st0 AS (SELECT run, arg_min(t, line_no) AS start FROM ts WHERE file = 'header.md' AND starts_with(line, 'Run started:') AND t IS NOT NULL GROUP BY run),
+sec AS (SELECT ts.run, ord.fo, arg_min(CASE WHEN starts_with(line, 'timestamp:') THEN t END, CASE WHEN starts_with(line, 'timestamp:') AND t IS NOT NULL THEN line_no END) AS t
+        FROM ts JOIN ord USING (file) WHERE NOT contains(ts.file, 'rl') GROUP BY ts.run, ord.fo),
+en AS (SELECT sec.run, sec.t AS e FROM sec JOIN (SELECT run, max(fo) AS mf FROM sec GROUP BY run) m ON sec.run = m.run AND sec.fo = m.mf)
+SELECT coalesce(st0.run, en.run) AS run,
+       CASE WHEN start IS NOT NULL AND e IS NOT NULL THEN
+         CAST(date_diff('second', start, e) // 3600 AS VARCHAR) || 'h' || CAST((date_diff('second', start, e) % 3600) // 60 AS VARCHAR) || 'm'
+       ELSE 'unknown' END AS duration
+FROM st0 FULL JOIN en USING (run)"""

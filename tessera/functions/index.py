@@ -25,11 +25,18 @@ def _bounds(df: DataFrame, col: str, n: int) -> list:
 
 
 def range_bucket(key: Column, bounds: list) -> Column:
-    """Index of the range that holds ``key`` (0 … len(bounds))."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= key))
+    """Index of the range that holds ``key`` (0 … len(bounds)): the number
+    of bounds ≤ key, as a balanced CASE tree (a binary search of depth
+    log2(len(bounds)) that stays inside generated code)."""
+
+    def tree(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2            # is bounds[mid-1] <= key ?
+        return F.when(key >= F.lit(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+
+    return tree(0, len(bounds)) if bounds else F.lit(0)
 
 
 def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column | None = None,

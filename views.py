@@ -326,3 +326,65 @@ def words(spark, sf_dir) -> DataFrame:
 def budget_docs(spark, sf_dir, doc_cap=10_000, max_chars=300_000):
     from tessera.operators.selection import char_budget, crop_docs
     return char_budget(crop_docs(docs(spark, sf_dir), doc_cap), max_chars)
+
+
+def log_lines(spark, sf_dir) -> DataFrame:
+    """Text log lines per run built from the steps view: header lines, a
+    validation line every 50 steps (repeated keys: the last wins) and a CORE
+    line (twice) for even runs only."""
+    st = steps(spark, sf_dir)
+    per = st.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    r = F.col("run_id")
+    fmt = lambda c: F.format_number(c, 0)
+    header = per.select("run_id", F.posexplode(F.array(
+        F.concat(F.lit("depth: "), (4 + r % 20).cast("string")),
+        F.concat(F.lit("wte                     : "), fmt((r + 1) * 1000003)),
+        F.concat(F.lit("lm_head                 : "), fmt((r + 1) * 1000003)),
+        F.concat(F.lit("total                   : "), fmt((r + 1) * 5000011)),
+        F.concat(F.lit("Calculated number of iterations: "), fmt(F.col("n") * 10)),
+        F.concat(F.lit("Total batch size "), fmt(F.lit(524288)), F.lit(" => gradient accumulation steps: 1")))).alias("line_no", "line"))
+    vals = st.filter(F.col("step") % 50 == 0).select(
+        "run_id", (F.col("step") + 10).alias("line_no"),
+        F.concat(F.lit("step "), F.lpad(F.col("step").cast("string"), 5, "0"), F.lit(" | Validation bpb: "),
+                 F.format_string("%.4f", F.col("val_bpb"))).alias("line"))
+    core = per.filter(r % 2 == 0).select("run_id", F.posexplode(F.array(
+        F.lit("CORE metric: 0.1000"),
+        F.concat(F.lit("CORE metric: "), F.format_string("%.4f", UK("core", r))))).alias("k", "line")).select(
+        "run_id", (F.lit(10 ** 9) + F.col("k")).alias("line_no"), "line")
+    return header.unionByName(vals).unionByName(core)
+
+
+SECTION_FILES = ["header.md", "tokenizer-training.md", "base-model-training.md", "base-model-evaluation.md",
+                 "chat-sft.md", "chat-evaluation-sft.md", "chat-rl.md", "chat-evaluation-rl.md"]
+METRIC_OF_SEGMENT = {"AUTOMOBILE": "ARC-Easy", "BUILDING": "ARC-Challenge", "FURNITURE": "MMLU",
+                     "HOUSEHOLD": "GSM8K", "MACHINERY": "HumanEval"}
+
+
+def sections(spark, sf_dir) -> DataFrame:
+    """Report sections per run (run = nation) built from acc."""
+    a = acc(spark, sf_dir)
+    wide = a.groupBy("model").pivot("task", SEGMENTS).agg(F.first("accuracy"))
+    m = F.col("model")
+    f4 = lambda c: F.format_string("%.4f", c)
+    start = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), (m % 5).cast("int"), F.lit(0), F.lit(0))
+    stamp = lambda i: F.concat(F.lit("timestamp: "), F.date_format(
+        start + F.make_interval(mins=((i + 1) * (37 + m)).cast("int")), "yyyy-MM-dd HH:mm:ss"))
+    rows = [F.struct(F.lit("header.md").alias("file"), F.lit(0).alias("line_no"),
+                     F.concat(F.lit("Run started: "), F.date_format(start, "yyyy-MM-dd HH:mm:ss")).alias("line"))]
+    for i, f in enumerate(SECTION_FILES[1:]):
+        ts = stamp(i)
+        if f == "chat-evaluation-sft.md":
+            ts = F.when(m % 7 != 0, ts)
+        rows.append(F.struct(F.lit(f).alias("file"), F.lit(0).alias("line_no"), ts.alias("line")))
+    mean = sum((F.col(s) for s in SEGMENTS), F.lit(0.0)) / len(SEGMENTS)
+    rows.append(F.struct(F.lit("base-model-evaluation.md").alias("file"), F.lit(1).alias("line_no"),
+                         F.concat(F.lit("CORE: "), f4(mean)).alias("line")))
+    for j, s in enumerate(SEGMENTS):
+        rows.append(F.struct(F.lit("chat-evaluation-sft.md").alias("file"), F.lit(1 + j).alias("line_no"),
+                             F.concat(F.lit(METRIC_OF_SEGMENT[s] + ": "), f4(F.col(s))).alias("line")))
+    rows.append(F.struct(F.lit("chat-evaluation-sft.md").alias("file"), F.lit(9).alias("line_no"),
+                         F.concat(F.lit("ChatCORE: "), f4(mean - 0.25)).alias("line")))
+    rows.append(F.struct(F.lit("chat-evaluation-rl.md").alias("file"), F.lit(1).alias("line_no"),
+                         F.when(m % 2 == 0, F.concat(F.lit("GSM8K: "), f4(F.col("HOUSEHOLD") + 0.01))).alias("line")))
+    e = wide.select(F.col("model").alias("run"), F.explode(F.array(*rows)).alias("s"))
+    return e.select("run", "s.file", "s.line_no", "s.line").filter(F.col("line").isNotNull())
