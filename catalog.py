@@ -958,3 +958,40 @@ def q_report_summary(spark, sf_dir):
 @q
 def q_run_duration(spark, sf_dir):
     return LG.run_duration(V.sections(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ 2.10 streaming
+
+from tessera.streaming import corpus as STR  # noqa: E402
+
+
+def _fresh(spark, name):
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+@q
+def q_stream_corpus(spark, sf_dir):
+    """Shards of documents arrive as files; the stream tokenizes them."""
+    src, out, ck = _fresh(spark, "stream-src"), _fresh(spark, "stream-out"), _fresh(spark, "stream-ck")
+    d = V.docs(spark, sf_dir).select("doc_id", "text", "shard_id")
+    for sid in [r[0] for r in d.select("shard_id").distinct().orderBy("shard_id").collect()]:  # one file per shard
+        d.filter(F.col("shard_id") == sid).drop("shard_id").coalesce(1).write.mode("append").parquet(src)
+    STR.stream_corpus(spark, src, out, ck).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+@q
+def q_stream_run_metrics(spark, sf_dir):
+    """Step records arrive in step order, one file per step range."""
+    src, out, ck = _fresh(spark, "steps-src"), _fresh(spark, "steps-out"), _fresh(spark, "steps-ck")
+    st = V.steps(spark, sf_dir).select("run_id", "step", "loss", "val_bpb", "dt").cache()
+    mx = st.agg(F.max("step")).first()[0]
+    width = max(1, (mx + 4) // 4)
+    for lo in range(0, mx + 1, width):
+        st.filter((F.col("step") >= lo) & (F.col("step") < lo + width)).coalesce(1).write.mode("append").parquet(src)
+    st.unpersist()
+    STR.stream_run_metrics(spark, src, out, ck).awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("run_id", "step", F.round("smooth_loss", 6).alias("smooth_loss"), "min_val_bpb",
+                    F.round("total_training_time", 6).alias("total_training_time"))

@@ -1096,3 +1096,17 @@ SELECT coalesce(st0.run, en.run) AS run,
          CAST(date_diff('second', start, e) // 3600 AS VARCHAR) || 'h' || CAST((date_diff('second', start, e) % 3600) // 60 AS VARCHAR) || 'm'
        ELSE 'unknown' END AS duration
 FROM st0 FULL JOIN en USING (run)"""
+
+# ------------------------------------------------------------------ 2.10 streaming
+
+Q["stream_corpus"] = """
+SELECT doc_id, CAST(strlen(text) + 1 AS INTEGER) AS n_tokens FROM documents"""
+
+Q["stream_run_metrics"] = with_(STEPS) + """
+SELECT run_id, step, round(0.1 * list_sum(list_transform(h, lambda e: pow(0.9, CAST(step - e.s AS DOUBLE)) * e.x))
+                           / (1 - pow(0.9, CAST(step + 1 AS DOUBLE))), 6) AS smooth_loss, min_val_bpb,
+       round(total, 6) AS total_training_time FROM (
+  SELECT run_id, step, list({'s': step, 'x': loss}) OVER w350 AS h, min(val_bpb) OVER wall AS min_val_bpb,
+         sum(CASE WHEN step > 10 THEN dt ELSE 0.0 END) OVER wall AS total
+  FROM st WINDOW w350 AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 350 PRECEDING AND CURRENT ROW),
+                 wall AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
