@@ -995,3 +995,45 @@ def q_stream_run_metrics(spark, sf_dir):
     r = spark.read.parquet(out)
     return r.select("run_id", "step", F.round("smooth_loss", 6).alias("smooth_loss"), "min_val_bpb",
                     F.round("total_training_time", 6).alias("total_training_time"))
+
+
+# ------------------------------------------------------------------ 2.7 generators
+
+from tessera.operators import synth as SY  # noqa: E402
+
+
+def _parts_md5(col):
+    return F.md5(F.array_join(F.transform(col, lambda p: F.concat(p["type"], F.lit(":"), p["text"])), "|"))
+
+
+def _word_list(spark, sf_dir):
+    return V.words(spark, sf_dir).select("word")
+
+
+@q
+def q_gen_spelling_bee(spark, sf_dir):
+    idx = V.t(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"))
+    g = SY.gen_spelling_bee(_word_list(spark, sf_dir), idx, "train")
+    m = F.col("messages")
+    return g.select("idx", "word", "letter", "count", F.md5(F.get(m, 0)["content"]).alias("user_md5"),
+                    _parts_md5(F.get(m, 1)["parts"]).alias("assistant_md5"))
+
+
+@q
+def q_gen_spelling(spark, sf_dir):
+    idx = V.t(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"))
+    return SY.gen_spelling(_word_list(spark, sf_dir), idx, "test")
+
+
+@q
+def q_gen_prompts(spark, sf_dir):
+    n = V.t(spark, sf_dir, "nation")
+    r = V.t(spark, sf_dir, "region")
+    topics = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("category"), F.col("n_name").alias("topic"))
+    personas = V.t(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.lit(" buyer")).alias("persona"))
+    dynamics = V.t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dynamic"))
+    fm = V.t(spark, sf_dir, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("message"))
+    idx = V.t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))
+    g = SY.gen_prompts(idx, topics, personas, dynamics, fm, seed=0)
+    return g.select("idx", "category", "topic", "persona", "dynamic",
+                    F.array_join("example_categories", ",").alias("example_categories"), F.md5("prompt").alias("prompt_md5"))

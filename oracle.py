@@ -1110,3 +1110,75 @@ SELECT run_id, step, round(0.1 * list_sum(list_transform(h, lambda e: pow(0.9, C
          sum(CASE WHEN step > 10 THEN dt ELSE 0.0 END) OVER wall AS total
   FROM st WINDOW w350 AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 350 PRECEDING AND CURRENT ROW),
                  wall AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+# ------------------------------------------------------------------ 2.7 generators
+
+from tessera.operators.synth import PROMPT_TEMPLATE, USER_MSG_TEMPLATES  # noqa: E402  (fixed values)
+
+
+def sq(x: str) -> str:
+    """SQL string literal (newlines as chr(10))."""
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+SPELL_TEMPLATES = "[" + ", ".join(sq(t) for t in USER_MSG_TEMPLATES) + "]"
+Q1 = "'" + "''" + "'"          # a one-quote string literal
+NL = "chr(10)"
+
+SPELL = f"""wl AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_idx FROM (
+            SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> ''),
+nw AS (SELECT count(*) AS n FROM wl),
+ex AS (SELECT p_partkey AS idx, p_partkey AS s FROM part),
+pw AS (SELECT ex.idx, ex.s, wl.word FROM ex CROSS JOIN nw JOIN wl ON wl.word_idx = {hk("'w'", 's')} % nw.n),
+pl AS (SELECT idx, s, word, CASE WHEN {uk("'pl'", 's')} < 0.9 THEN substr(word, CAST({hk("'lw'", 's')} % length(word) + 1 AS INTEGER), 1)
+                              ELSE substr('abcdefghijklmnopqrstuvwxyz', CAST({hk("'la'", 's')} % 26 + 1 AS INTEGER), 1) END AS letter FROM pw),
+pc AS (SELECT *, CAST(length(word) - length(replace(word, letter, '')) AS INTEGER) AS count,
+              CASE WHEN {uk("'lc'", 's')} < 0.3 THEN lower(tp) ELSE tp END AS tpl,
+              ['', {Q1}, '"'][{hk("'lq'", 's')} % 3 + 1] AS lq, ['', {Q1}, '"'][{hk("'wq'", 's')} % 3 + 1] AS wq
+       FROM (SELECT *, ({SPELL_TEMPLATES})[{hk("'t'", 's')} % 51 + 1] AS tp FROM pl)),
+pm AS (SELECT *, replace(replace(tpl, '{{letter}}', lq || letter || lq), '{{word}}', wq || word || wq)
+                 || CASE WHEN {uk("'qm'", 's')} < 0.5 THEN '?' ELSE '' END AS msg,
+              array_to_string(list_transform(range(1, length(word) + 1), lambda i: CASE WHEN substr(word, i, 1) = letter
+                 THEN i || ':' || substr(word, i, 1) || ' hit! count=' || (length(substr(word, 1, i)) - length(replace(substr(word, 1, i), letter, ''))) || {NL}
+                 ELSE i || ':' || substr(word, i, 1) || {NL} END), '') AS steps
+       FROM pc)"""
+
+Q["gen_spelling_bee"] = with_(SPELL) + f"""
+SELECT idx, word, letter, count, md5(msg) AS user_md5,
+  md5('text:' || {sq("We are asked to find the number '")} || letter || {sq("' in the word '")} || word
+      || {sq("'. Let me try a manual approach first.\n\nFirst spell the word out:\n")} || word || ':' || array_to_string(string_split(word, ''), ',')
+      || {sq("\n\nThen count the occurrences of '")} || letter || {sq("':\n")} || steps || {sq("\nThis gives us ")} || count || '.'
+      || '|text:' || {sq("\n\nLet me double check this using Python:\n\n")}
+      || '|python:' || {Q1} || word || {sq("'.count('")} || letter || {sq("')")} || '|python_output:' || count
+      || '|text:' || {sq("\n\nPython gives us ")} || count || {sq(".\n\nMy final answer is:\n\n#### ")} || count)
+  AS assistant_md5 FROM pm"""
+
+Q["gen_spelling"] = f"""
+WITH wl AS (SELECT word, row_number() OVER (ORDER BY {hk("'42'", 'word')}, word) - 1 AS word_idx FROM (
+            SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> ''),
+nw AS (SELECT count(*) AS n FROM wl),
+ex AS (SELECT p_partkey AS idx, p_partkey + 10000000 AS s FROM part)
+SELECT ex.idx, wl.word, 'Spell the word: ' || wl.word AS user, wl.word || ':' || array_to_string(string_split(wl.word, ''), ',') AS assistant
+FROM ex CROSS JOIN nw JOIN wl ON wl.word_idx = {hk("'sw'", 's')} % nw.n"""
+
+Q["gen_prompts"] = f"""
+WITH topics AS (SELECT r_name AS category, list(DISTINCT n_name ORDER BY n_name) AS ts FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name),
+cats AS (SELECT list(category ORDER BY category) AS cs FROM topics),
+pers AS (SELECT list(DISTINCT p ORDER BY p) AS ps FROM (SELECT c_mktsegment || ' buyer' AS p FROM customer)),
+dyns AS (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS ds FROM orders),
+fm AS (SELECT p_type AS category, list(DISTINCT p_name ORDER BY p_name) AS ms FROM part GROUP BY p_type),
+fmc AS (SELECT list(category ORDER BY category) AS fcs FROM fm),
+base AS (
+  SELECT o_orderkey AS idx, cs[{hk("'0'", 'o_orderkey', "'cat'")} % len(cs) + 1] AS category,
+         ps[{hk("'0'", 'o_orderkey', "'persona'")} % len(ps) + 1] AS persona,
+         ds[{hk("'0'", 'o_orderkey', "'dynamic'")} % len(ds) + 1] AS dynamic,
+         list_transform(list_sort(list_transform(fcs, lambda c: {{'k': {hk("'0'", 'o_orderkey', "'fmc'", 'c')}, 'c': c}}))[1:3], lambda z: z.c) AS chosen
+  FROM orders CROSS JOIN cats CROSS JOIN pers CROSS JOIN dyns CROSS JOIN fmc),
+ex AS (SELECT b.idx, string_agg('- ' || fm.ms[{hk("'0'", 'b.idx', "'fmm'", 'b.c')} % len(fm.ms) + 1], chr(10) ORDER BY b.pos) AS examples
+       FROM (SELECT idx, unnest(chosen) AS c, generate_subscripts(chosen, 1) AS pos FROM base) b JOIN fm ON fm.category = b.c GROUP BY b.idx),
+fl AS (SELECT base.*, t.ts[{hk("'0'", 'base.idx', "'topic'")} % len(t.ts) + 1] AS topic, ex.examples
+       FROM base JOIN topics t USING (category) JOIN ex USING (idx))
+SELECT idx, category, topic, persona, dynamic, array_to_string(chosen, ',') AS example_categories,
+       md5(replace(replace(replace(replace({sq(PROMPT_TEMPLATE)}, '{{topic}}', topic), '{{persona}}', persona), '{{dynamic}}', dynamic),
+                   '{{first_message_examples}}', examples)) AS prompt_md5
+FROM fl"""
