@@ -1037,3 +1037,57 @@ def q_gen_prompts(spark, sf_dir):
     g = SY.gen_prompts(idx, topics, personas, dynamics, fm, seed=0)
     return g.select("idx", "category", "topic", "persona", "dynamic",
                     F.array_join("example_categories", ",").alias("example_categories"), F.md5("prompt").alias("prompt_md5"))
+
+
+def _existing_lines(spark, sf_dir):
+    """Chat lines per image: normal objects, objects without messages, with
+    only a user turn, with a string image_id, bare arrays and broken JSON."""
+    c = _conv_images(spark, sf_dir)
+    i = F.col("image_id")
+    user_only = F.slice("messages", 1, 1)
+    js = (F.when(i % 10 == 0, F.to_json(F.struct(i.alias("image_id"))))
+           .when(i % 10 == 1, F.to_json(F.struct(i.alias("image_id"), user_only.alias("messages"))))
+           .when(i % 10 == 2, F.to_json(F.struct(i.cast("string").alias("image_id"), F.col("messages").alias("messages"))))
+           .when(i % 10 == 3, F.concat(F.lit("{bad json "), i.cast("string")))
+           .when(i % 10 == 4, F.to_json(F.col("messages")))
+           .otherwise(F.to_json(F.struct(i.alias("image_id"), F.col("messages").alias("messages")))))
+    return c.select(i.alias("line_no"), js.alias("line"))
+
+
+@q
+def q_expand_existing(spark, sf_dir):
+    e = CP.expand_existing(_existing_lines(spark, sf_dir), V.annotations(spark, sf_dir))
+    m = F.col("messages")
+    return e.select("line_no", "caption_idx", "changed", "image_id", F.size(m).alias("n_messages"),
+                    F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
+                    F.md5(F.array_join(F.transform(m, lambda x: x["content"]), "|")).alias("content_md5"))
+
+
+from tessera.sources import bundle as BD  # noqa: E402
+
+
+@q
+def q_read_eval_bundle(spark, sf_dir):
+    path = _fresh(spark, "bundle")
+    m = V.mc_items(spark, sf_dir)
+    tasks = [{"label": "task_src0", "icl_task_type": "multiple_choice", "dataset_uri": "src0", "num_fewshot": [3, 5]},
+             {"label": "task_src1", "icl_task_type": "schema", "dataset_uri": "src1", "num_fewshot": [0]},
+             {"label": "task_src2", "icl_task_type": "language_modeling", "dataset_uri": "src2", "num_fewshot": [1],
+              "continuation_delimiter": "\n"},
+             {"label": "task_src3", "icl_task_type": "multiple_choice", "dataset_uri": "src3", "num_fewshot": [2]}]
+    items = {
+        "src0": m.filter("subject = 'src0'").select("idx", F.struct("query", "choices", "gold").alias("item")),
+        "src1": m.filter("subject = 'src1'").select("idx", F.struct(F.col("choices").alias("context_options"),
+                                                                    F.col("query").alias("continuation"), "gold").alias("item")),
+        "src2": m.filter("subject = 'src2'").select("idx", F.struct(F.col("query").alias("context"),
+                                                                    F.get("choices", 0).alias("continuation")).alias("item")),
+        "src3": m.filter("subject = 'src3'").select("idx", F.struct("query", "choices", "gold").alias("item")),
+    }
+    BD.write_eval_bundle(spark, path, tasks, {"task_src0": 25.0, "task_src1": 50.0, "task_src2": 0.0, "task_src3": 25.0},
+                         items)
+    meta, it = BD.read_eval_bundle(spark, path)
+    g = it.groupBy("label").agg(F.count(F.lit(1)).alias("n_items"),
+                                F.md5(F.array_join(F.array_sort(F.collect_list(F.coalesce("query", "context", "continuation"))), "|"))
+                                .alias("text_md5"))
+    return meta.join(g, "label").select("label", "task_type", "num_fewshot", "continuation_delimiter", "baseline",
+                                        "n_items", "text_md5")

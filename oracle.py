@@ -1182,3 +1182,29 @@ SELECT idx, category, topic, persona, dynamic, array_to_string(chosen, ',') AS e
        md5(replace(replace(replace(replace({sq(PROMPT_TEMPLATE)}, '{{topic}}', topic), '{{persona}}', persona), '{{dynamic}}', dynamic),
                    '{{first_message_examples}}', examples)) AS prompt_md5
 FROM fl"""
+
+Q["expand_existing"] = with_(CAPV) + """,
+lines AS (SELECT image_id AS line_no, image_id % 10 AS kind, caption FROM firstcap),
+j AS (SELECT l.line_no, l.kind, l.caption AS old, a.ann_id, a.caption FROM lines l
+      LEFT JOIN ann a ON a.image_id = l.line_no AND l.kind NOT IN (3, 4))
+SELECT line_no,
+  CASE WHEN ann_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY line_no ORDER BY ann_id) - 1 AS INTEGER) END AS caption_idx,
+  ann_id IS NOT NULL AS changed,
+  CASE WHEN kind IN (3, 4) THEN NULL ELSE line_no END AS image_id,
+  CAST(CASE WHEN kind = 0 AND ann_id IS NULL THEN NULL WHEN kind = 1 AND ann_id IS NULL THEN 1 WHEN kind = 3 THEN NULL ELSE 2 END AS INTEGER) AS n_messages,
+  CASE WHEN kind = 0 AND ann_id IS NULL THEN NULL WHEN kind = 1 AND ann_id IS NULL THEN 'user' WHEN kind = 3 THEN NULL ELSE 'user,assistant' END AS roles,
+  CASE WHEN kind = 0 AND ann_id IS NULL THEN NULL WHEN kind = 3 THEN NULL
+       WHEN kind = 1 AND ann_id IS NULL THEN md5('Describe this image.')
+       WHEN ann_id IS NULL THEN md5('Describe this image.|' || old)
+       ELSE md5('Describe this image.|' || caption) END AS content_md5
+FROM j"""
+
+Q["read_eval_bundle"] = """
+WITH t AS (SELECT * FROM (VALUES ('task_src0', 'multiple_choice', 'src0', 3, ' ', 25.0), ('task_src1', 'schema', 'src1', 0, ' ', 50.0),
+                                 ('task_src2', 'language_modeling', 'src2', 1, chr(10), 0.0), ('task_src3', 'multiple_choice', 'src3', 2, ' ', 25.0))
+           v(label, task_type, src, num_fewshot, continuation_delimiter, baseline)),
+i AS (SELECT source, CASE WHEN source = 'src1' THEN substr(text, 1, 60) WHEN source = 'src2' THEN substr(text, 1, 60) ELSE substr(text, 1, 60) END AS txt
+      FROM documents)
+SELECT label, task_type, CAST(num_fewshot AS INTEGER) AS num_fewshot, continuation_delimiter, CAST(baseline AS DOUBLE) AS baseline,
+       count(*) AS n_items, md5(array_to_string(list_sort(list(txt)), '|')) AS text_md5
+FROM t JOIN i ON i.source = t.src GROUP BY ALL"""

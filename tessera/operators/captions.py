@@ -142,3 +142,39 @@ def caption_similarity(pairs: DataFrame, gen: str = "generated", target: str = "
     collects the scores but never sets the mean it logs)."""
     s = pairs.withColumn("sim", cosine(F.col(gen), F.col(target)))
     return s.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("sim"), 6).alias("mean_similarity"))
+
+
+def expand_existing(lines: DataFrame, annotations: DataFrame, line_col: str = "line", key: str = "line_no") -> DataFrame:
+    """Rewrite chat JSONL lines with every caption of their image.
+
+    For a line with an ``image_id`` that has captions: one output line per
+    caption (in annotation order) where the first assistant message takes
+    the caption, or an assistant message is appended, or — without a
+    ``messages`` list — the standard two-message conversation is made.
+    Lines that are not JSON, have no image_id or no captions stay as they
+    are. ``image_id`` is matched as an integer when it parses as one.
+    Output: (line_no, caption_idx, changed, image_id, messages, line).
+    """
+    t = "struct<image_id:string,messages:array<struct<role:string,content:string>>>"
+    v = lines.withColumn("_obj", F.from_json(F.col(line_col), t)).withColumn(
+        "_ok", F.try_parse_json(F.col(line_col)).isNotNull() & F.trim(F.col(line_col)).startswith("{"))
+    v = v.withColumn("_img", F.when(F.col("_ok"), F.col("_obj.image_id").try_cast("bigint")))
+    caps = annotations.select(F.col("image_id").alias("_img"), "ann_id", "caption")
+    j = v.join(caps, "_img", "left")
+    changed = F.col("ann_id").isNotNull()
+    bare = F.when(F.trim(F.col(line_col)).startswith("["),
+                  F.from_json(F.col(line_col), "array<struct<role:string,content:string>>"))
+    m = F.coalesce(F.col("_obj.messages"), bare)
+    first_asst = F.array_position(F.transform(m, lambda x: x["role"]), "assistant")
+    cap = F.col("caption")
+    replaced = F.transform(m, lambda x, i: F.when(i + 1 == first_asst, x.withField("content", cap)).otherwise(x))
+    appended = F.concat(m, F.array(F.struct(F.lit("assistant").alias("role"), cap.alias("content"))))
+    fresh = F.array(F.struct(F.lit("user").alias("role"), F.lit(PROMPT).alias("content")),
+                    F.struct(F.lit("assistant").alias("role"), cap.alias("content")))
+    new_msgs = F.when(F.col("_obj.messages").isNull(), fresh).when(first_asst > 0, replaced).otherwise(appended)
+    w = Window.partitionBy(key).orderBy("ann_id")
+    out = j.select(key, F.when(changed, F.row_number().over(w) - 1).alias("caption_idx"), changed.alias("changed"),
+                   F.col("_img").alias("image_id"), F.when(changed, new_msgs).otherwise(m).alias("messages"),
+                   F.when(changed, F.to_json(F.struct(F.col("_obj.image_id").alias("image_id"), new_msgs.alias("messages"))))
+                    .otherwise(F.col(line_col)).alias("line"))
+    return out
