@@ -66,16 +66,53 @@ def _pair_counts(work: DataFrame) -> DataFrame:
              .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("cnt").alias("n")))
 
 
+class _Floor(dict):
+    """dict whose missing keys read as a floor value."""
+
+    def __init__(self, d, floor):
+        super().__init__(d)
+        self.floor = floor
+
+    def get(self, k, default=None):
+        return super().get(k, self.floor)
+
+
+def _select_merges(top: list, max_left: dict, max_right: dict, budget: int) -> list:
+    """Pairs that a one-at-a-time trainer would merge next, in order.
+
+    ``top`` is the ranking (count desc, then (left, right)). After merging
+    (a, b), every new pair contains the new token, and each of its
+    occurrences was an occurrence of a pair ending in ``a`` or starting with
+    ``b``; so new pairs count at most ``max(max_left[a], max_right[b])``.
+    The next ranked pair is taken only if it shares no token with the pairs
+    already taken (its count is then unchanged) and its count is strictly
+    above that bound; the first pair that fails stops the round.
+    """
+    chosen, used, bound = [], set(), -1
+    for a, b, n in top:
+        if len(chosen) >= budget:
+            break
+        if chosen and (a in used or b in used or n <= bound):
+            break
+        chosen.append((a, b, n))
+        used.update((a, b))
+        bound = max(bound, max_left.get(a, 0), max_right.get(b, 0))
+    return chosen
+
+
 def train_bpe(counts: DataFrame, vocab_size: int, n_special: int = len(SPECIAL_TOKENS),
-              piece: str = "piece", count: str = "count", checkpoint_every: int = 10) -> DataFrame:
+              piece: str = "piece", count: str = "count", checkpoint_every: int = 10,
+              candidates: int = 1000) -> DataFrame:
     """Merges ``(rank, left_id, right_id, new_id, pair_count)``.
 
-    ``vocab_size − n_special − 256`` merges; each round picks the pair with
-    the highest count (ties: smallest (left, right)). Adjacent pairs are
-    counted at every position, so in ``aaa`` the pair (a, a) counts twice but
-    is merged once, left to right. The work table (distinct pieces) is
-    cached per round and checkpointed every ``checkpoint_every`` rounds into
-    the shared checkpoint folder to cut lineage.
+    ``vocab_size − n_special − 256`` merges, each the pair with the highest
+    count (ties: smallest (left, right)). Adjacent pairs are counted at every
+    position, so in ``aaa`` the pair (a, a) counts twice but is merged once,
+    left to right. A round applies every merge that provably equals the
+    next merges of the one-at-a-time rule (``_select_merges``), so the
+    result is identical with fewer passes. The work table (distinct pieces)
+    is cached per round and checkpointed every ``checkpoint_every`` rounds
+    into the shared checkpoint folder to cut lineage.
     """
     from ..session import ensure_checkpoint_dir
     from ..functions.codec import utf8_ids
@@ -86,24 +123,43 @@ def train_bpe(counts: DataFrame, vocab_size: int, n_special: int = len(SPECIAL_T
     work = counts.select(utf8_ids(F.col(piece)).alias("ids"), F.col(count).cast("bigint").alias("cnt"))
     work = work.groupBy("ids").agg(F.sum("cnt").alias("cnt")).cache()
     merges = []
+    rounds = 0
     prev = None
-    for r in range(n_merges):
-        best = _pair_counts(work).orderBy(F.desc("n"), "a", "b").limit(1).collect()
-        if not best or best[0]["n"] <= 0:
+    while len(merges) < n_merges:
+        top = [(r["a"], r["b"], r["n"]) for r in
+               _pair_counts(work).orderBy(F.desc("n"), "a", "b").limit(candidates).collect()]
+        if prev is not None:      # ``work`` is materialized now; its parent can go
+            prev.unpersist()
+            prev = None
+        if not top or top[0][2] <= 0:
             break
-        a, b, cnt = best[0]["a"], best[0]["b"], best[0]["n"]
-        new = 256 + r
-        merges.append((r, a, b, new, cnt))
-        contains = F.exists(F.sequence(F.lit(0), F.greatest(F.size("ids") - 2, F.lit(0))),
-                            lambda i: (F.get(F.col("ids"), i) == a) & (F.get(F.col("ids"), i + 1) == b))
-        nxt = work.withColumn("ids", F.when(contains, _merge_expr(F.col("ids"), a, b, new)).otherwise(F.col("ids")))
-        if (r + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.cache()
+        # bounds from the ranking alone: a pair outside the top list counts
+        # at most as much as the last pair of the list
+        floor = top[-1][2] if len(top) == candidates else 0
+        ml, mr = {}, {}
+        for a, b, n in top:
+            ml[b] = max(ml.get(b, floor), n)
+            mr[a] = max(mr.get(a, floor), n)
+        ml = _Floor(ml, floor)
+        mr = _Floor(mr, floor)
+        chosen = _select_merges(top, ml, mr, n_merges - len(merges))
+        # the chosen pairs share no token, so their rewrites commute: apply
+        # them one after another on the ",i,j,k," form (linear expression)
+        s0 = F.concat(F.lit(","), F.array_join(F.col("ids"), ","), F.lit(","))
+        s = s0
+        for a, b, n in chosen:
+            new = 256 + len(merges)
+            merges.append((len(merges), a, b, new, n))
+            s = F.regexp_replace(s, f",{a},{b}(?=,)", f",{new}")
+        split = F.transform(F.split(F.regexp_replace(s, "^,|,$", ""), ","), lambda x: x.cast("int"))
+        rounds += 1
+        nxt = work.withColumn("_s", s).withColumn("_s0", s0).withColumn(
+            "ids", F.when(F.col("_s") == F.col("_s0"), F.col("ids")).otherwise(
+                F.transform(F.split(F.regexp_replace("_s", "^,|,$", ""), ","), lambda x: x.cast("int")))).drop("_s", "_s0")
+        nxt = nxt.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt.cache()
         prev, work = work, nxt
-        if prev is not None:
-            prev.unpersist()
+    if prev is not None:
+        prev.unpersist()
     work.unpersist()
     return spark.createDataFrame(merges, "rank int, left_id int, right_id int, new_id int, pair_count long")
 
