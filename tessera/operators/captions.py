@@ -84,6 +84,9 @@ def attach_embeddings(convs: DataFrame, emb: DataFrame, strict: bool = False,
     image_id (deterministic form of "first valid file"), else zeros. Strict
     mode raises if any conversation has no embedding of its own.
     """
+    from pyspark.sql.types import ArrayType
+    if not isinstance(emb.schema["embedding"].dataType.elementType, ArrayType):
+        emb = emb.withColumn("embedding", F.array(F.col("embedding")))  # 1-D is lifted to 1×d
     e = emb.select(F.col("image_id").alias("_eid"), F.col("embedding").alias("_emb"))
     joined = convs.join(e, convs["image_id"] == e["_eid"], "left")
     if strict:
