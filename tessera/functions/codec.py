@@ -42,10 +42,14 @@ def _c(x) -> Column:
 
 
 def utf8_ids(text) -> Column:
-    """array<int> of the UTF-8 bytes of ``text`` (empty array for '')."""
-    hx = F.hex(F.encode(_c(text), "UTF-8"))
-    pairs = F.regexp_extract_all(hx, F.lit("(..)"), 1)
-    return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
+    """array<int> of the UTF-8 bytes of ``text`` (empty array for '').
+
+    The bytes are re-read as ISO-8859-1, which maps every byte to the one
+    character with that code point; splitting into characters and reading
+    each code point gives the byte values, all in JVM expressions."""
+    latin = F.decode(F.encode(_c(text), "UTF-8"), "ISO-8859-1")
+    ids = F.transform(F.split(latin, ""), lambda c: F.ascii(c))
+    return F.when(F.length(latin) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def bytes_to_text(ids) -> Column:

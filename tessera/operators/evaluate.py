@@ -98,14 +98,16 @@ def prompts_lm(items: DataFrame, shots: DataFrame, delim: str = " ", idx: str =
 
 
 def _common_len(arrs: Column) -> Column:
-    """Shared leading length of an array of arrays (a column, so it is not
-    re-evaluated per position)."""
-    mn = F.array_min(F.transform(arrs, F.size))
+    """Shared leading length of an array of arrays: the minimum over options
+    of the common prefix with the first option (one ``zip_with`` pass each)."""
     first = F.get(arrs, 0)
-    eq = F.transform(F.sequence(F.lit(0), F.greatest(mn - 1, F.lit(0))),
-                     lambda p: F.forall(arrs, lambda a: F.get(a, p) == F.get(first, p)))
-    pos = F.array_position(eq, False)
-    return F.when(mn <= 0, F.lit(0)).when(pos == 0, mn).otherwise(pos - 1).cast("int")
+
+    def lcp(o):
+        eq = F.zip_with(first, o, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        pos = F.array_position(eq, False)
+        return F.when(pos == 0, F.size(eq)).otherwise(pos - 1)
+
+    return F.coalesce(F.array_min(F.transform(arrs, lcp)), F.lit(0)).cast("int")
 
 
 def common_prefix_len(options: DataFrame, idx: str = "idx", ids: str = "ids") -> DataFrame:

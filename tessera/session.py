@@ -20,6 +20,12 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # No broadcast from static size estimates (an explode or a selective
+    # projection makes them wrong by orders of magnitude); AQE broadcasts a
+    # side only after measuring it at runtime, and explicit broadcast() hints
+    # are used for tables with a proven bound (vocabularies, one-row tables).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
 }
 
 
