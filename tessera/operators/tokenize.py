@@ -4,9 +4,9 @@
 * ``train_bpe`` — byte-level BPE over the table of *distinct* pieces with
   their counts: each round is one aggregation of adjacent-pair counts and
   one narrow rewrite of the pieces that contain the winning pair.
-* ``encode_corpus`` — narrow: pieces are split by the JVM regex and encoded
-  by a vectorised pandas UDF with a per-task cache, so no token-level
-  shuffle or join is needed and hot pieces cost nothing extra.
+* ``encode_corpus`` — narrow: each Arrow batch of texts is split and
+  encoded in one pandas-UDF pass with a per-task piece cache, so no
+  token-level shuffle or join is needed and hot pieces cost nothing extra.
 * ``decode_tokens`` — one-row broadcast of the vocabulary map (bounded by
   the vocabulary size) and a narrow ``transform``.
 """
@@ -211,22 +211,28 @@ def encode_corpus(docs: DataFrame, vocab: DataFrame, text: str = "text", prepend
     bc = spark.sparkContext.broadcast(ranks)
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def enc(pieces: pd.Series) -> pd.Series:
+    def enc(texts: pd.Series) -> pd.Series:
+        # split and merge in one pass: only the text crosses into Python,
+        # not millions of piece strings (same pattern as ``pieces_col``)
+        import numpy as np
+        import regex
+        pat = regex.compile(SPLIT_PATTERN)
         rk = bc.value
-        cache: dict[str, list[int]] = {}
+        cache: dict[str, np.ndarray] = {}
+        empty = np.zeros(0, dtype=np.int32)
         res = []
-        for ps in pieces:
-            ids = []
-            for p in ps:
+        for t in texts:
+            parts = []
+            for p in pat.findall(t):
                 v = cache.get(p)
                 if v is None:
-                    v = bpe_encode_piece(p.encode("utf-8"), rk)
+                    v = np.asarray(bpe_encode_piece(p.encode("utf-8"), rk), dtype=np.int32)
                     cache[p] = v
-                ids.extend(v)
-            res.append(ids)
+                parts.append(v)
+            res.append(np.concatenate(parts) if parts else empty)
         return pd.Series(res)
 
-    ids = enc(pieces_col(text))
+    ids = enc(_c(text))
     if prepend is not None:
         ids = F.concat(F.array(F.lit(prepend)), ids)
     if append is not None:

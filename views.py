@@ -18,7 +18,15 @@ RG_DOCS = 32
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. The test tables are single-row-group files, so a scan
+    is one task; like the many input splits of a real corpus, a table that
+    arrives in fewer partitions than there are cores is hash-partitioned on
+    its key column (deterministic, so recomputation gives the same split)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        df = df.repartition(n, df.columns[0])
+    return df
 
 
 def U(key) -> F.Column:
