@@ -373,7 +373,7 @@ def sections(spark, sf_dir) -> DataFrame:
     a = acc(spark, sf_dir)
     wide = a.groupBy("model").pivot("task", SEGMENTS).agg(F.first("accuracy"))
     m = F.col("model")
-    f4 = lambda c: F.format_string("%.4f", c)
+    f4 = lambda c: F.when(c.isNotNull(), F.format_string("%.4f", c))  # noqa: E731  (missing value: no line)
     start = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), (m % 5).cast("int"), F.lit(0), F.lit(0))
     stamp = lambda i: F.concat(F.lit("timestamp: "), F.date_format(
         start + F.make_interval(mins=((i + 1) * (37 + m)).cast("int")), "yyyy-MM-dd HH:mm:ss"))
