@@ -410,10 +410,10 @@ def _ann_file(spark, sf_dir):
     object per line per block of 100 documents; some annotations lack an
     image id."""
     d = V.t(spark, sf_dir, "documents").withColumn("blk", (F.col("doc_id") / 100).cast("int"))
-    img = F.when(F.col("doc_id") < 600, F.struct(F.col("doc_id").alias("id")))
+    img = F.struct(F.col("doc_id").alias("id"))
     ann = F.struct(F.col("doc_id").alias("id"),
-                   F.when(F.col("doc_id") % 97 != 5, F.col("doc_id") % V.ANN_MOD).alias("image_id"),
-                   F.substring("text", 1, 80).alias("caption"))
+                   F.when(F.col("doc_id") % 97 != 5, F.col("doc_id") - F.col("doc_id") % 2).alias("image_id"),
+                   F.col("text").alias("caption"))
     g = d.groupBy("blk").agg(F.collect_list(img).alias("images"), F.collect_list(ann).alias("annotations"))
     return g.select(F.to_json(F.struct("images", "annotations")).alias("value"))
 
@@ -624,8 +624,8 @@ def q_bits_per_byte(spark, sf_dir):
 
 @q
 def q_split_bpb(spark, sf_dir):
-    tl = V.token_losses(spark, sf_dir).withColumn("_ord", F.col("doc_id") * 1000 + F.col("pos"))
-    return EV.split_bpb(tl, _byte_lengths(spark), split_tokens=20_000, tokens_per_step=3_000, order=["_ord"])
+    tl = V.token_losses(spark, sf_dir)
+    return EV.split_bpb(tl, _byte_lengths(spark), split_tokens=20_000, tokens_per_step=3_000, order=["doc_id", "pos"])
 
 
 # ------------------------------------------------------------------ 2.7 task builders

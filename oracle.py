@@ -21,10 +21,9 @@ DOCS = """docs AS (
 LENS = """lens AS (
   SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS len, doc_id % 4 AS grp, doc_id AS ord FROM documents)"""
 
-# byte ids of the first 200 characters, BOS first
+# byte ids of the whole text, BOS first
 DOC_BYTES = """doc_bytes AS (
-  SELECT doc_id, list_concat([261], list_transform(range(0, strlen(substr(text,1,200))),
-         lambda i: ('0x' || substr(hex(substr(text,1,200)), 2*i+1, 2))::INTEGER)) AS ids
+  SELECT doc_id, list_concat([261], list_transform(regexp_extract_all(hex(text), '..'), lambda p: ('0x' || p)::INTEGER)) AS ids
   FROM documents)"""
 
 
@@ -341,8 +340,8 @@ FROM rendered"""
 
 # ------------------------------------------------------------------ 2.6 captions, json sources
 
-CAPV = """img AS (SELECT doc_id AS image_id FROM documents WHERE doc_id < 600),
-ann AS (SELECT doc_id AS ann_id, doc_id % 550 AS image_id, substr(text, 1, 80) AS caption FROM documents),
+CAPV = """img AS (SELECT doc_id AS image_id FROM documents),
+ann AS (SELECT doc_id AS ann_id, doc_id - doc_id % 2 AS image_id, text AS caption FROM documents),
 firstcap AS (SELECT img.image_id, coalesce(f.caption, '') AS caption FROM img LEFT JOIN
              (SELECT image_id, arg_min(caption, ann_id) AS caption FROM ann GROUP BY image_id) f USING (image_id))"""
 
@@ -368,12 +367,15 @@ SELECT f.image_id, e.vec_id IS NULL AS used_default, CAST(1 AS INTEGER) AS n_img
        round(list_sum(coalesce(e.embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1))::DOUBLE[]), 3) AS emb_sum
 FROM firstcap f LEFT JOIN embeddings e ON e.vec_id = f.image_id"""
 
-Q["inject_placeholders"] = with_(CAPV) + f"""
-SELECT image_id,
-  md5(array_to_string(list_concat([261, 261, 261, 261, 261, 262], {B("'Describe this image.'")}, [263, 264], {B('caption')}, [260]), ',')) AS ids_md5,
-  md5(array_to_string(list_concat([0, 0, 0, 0, 0], {REP(0, "strlen('Describe this image.') + 3")}, {REP(1, 'strlen(caption) + 1')}), ',')) AS mask_md5,
-  CAST(5 + strlen('Describe this image.') + 3 + strlen(caption) + 1 AS INTEGER) AS n_tokens
-FROM firstcap"""
+Q["inject_placeholders"] = with_(CAPV) + f""",
+rr AS (SELECT image_id,
+         (list_concat([261, 262], {B("'Describe this image.'")}, [263, 264], {B('caption')}, [260]))[1:2048] AS ids,
+         (list_concat([0], {REP(0, "strlen('Describe this image.') + 3")}, {REP(1, 'strlen(caption) + 1')}))[1:2048] AS mask
+       FROM firstcap)
+SELECT image_id, md5(array_to_string(list_concat([ids[1]], [261, 261, 261, 261], ids[2:]), ',')) AS ids_md5,
+       md5(array_to_string(list_concat([mask[1]], [0, 0, 0, 0], mask[2:]), ',')) AS mask_md5,
+       CAST(len(ids) + 4 AS INTEGER) AS n_tokens
+FROM rr"""
 
 Q["embedding_coverage"] = with_(CAPV, CAPTOK) + """,
 i AS (SELECT DISTINCT image_id, true AS _img FROM img),
@@ -404,8 +406,8 @@ SELECT NULL, false, NULL, NULL, NULL FROM convs WHERE conv_id % 10 = 0"""
 Q["write_chat_jsonl"] = Q["captions_first"]
 
 Q["read_caption_annotations"] = """
-SELECT doc_id AS ann_id, doc_id % 550 AS image_id, substr(text, 1, 80) AS caption,
-       (SELECT count(*) FROM documents WHERE doc_id < 600) AS n_images
+SELECT doc_id AS ann_id, doc_id - doc_id % 2 AS image_id, text AS caption,
+       (SELECT count(*) FROM documents) AS n_images
 FROM documents WHERE doc_id % 97 <> 5"""
 
 # ------------------------------------------------------------------ 2.8 evaluation
@@ -426,9 +428,10 @@ def STRIP(x: str) -> str:
 
 
 ITEMS = """items AS (
-  SELECT doc_id AS idx, substr(text, 1, 60) AS query,
-         [substr(text, 61, 20), substr(text, 81, 20), substr(text, 101, 20), substr(text, 121, 20)] AS choices,
-         CAST(doc_id % 4 AS INTEGER) AS gold, source AS subject FROM documents)"""
+  SELECT doc_id AS idx, substr(text, 1, c) AS query,
+         [substr(text, 1 + c, c), substr(text, 1 + 2 * c, c), substr(text, 1 + 3 * c, c), substr(text, 1 + 4 * c, c)] AS choices,
+         CAST(doc_id % 4 AS INTEGER) AS gold, source AS subject
+  FROM (SELECT *, CAST(ceil(length(text) / 5) AS INTEGER) AS c FROM documents))"""
 
 
 def floyd(k: int = 3, seed: int = 1234) -> str:
@@ -594,10 +597,16 @@ SELECT doc_id, array_to_string(cut, ',') AS completion, CAST(len(cut) AS INTEGER
     SELECT doc_id, comp, coalesce(list_position(comp, 260), 0) AS e, coalesce(list_position(comp, 261), 0) AS b FROM (
       SELECT doc_id, ids[plen + 1:len(ids)] AS comp FROM seqs)))"""
 
-Q["completion_mask"] = with_(SEQS) + """
-SELECT doc_id, array_to_string(list_transform(range(len(ids)), lambda p: CASE WHEN p < plen THEN 0
-    WHEN len(list_filter(ids[plen + 1:p + 1], lambda x: x = 258)) > len(list_filter(ids[plen + 1:p], lambda x: x = 259)) THEN 0
-    ELSE 1 END), ',') AS mask FROM seqs"""
+Q["completion_mask"] = with_(SEQS) + """,
+m AS (SELECT doc_id, plen, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS p FROM seqs),
+c AS (SELECT doc_id, p, plen,
+             sum(CASE WHEN p >= plen AND x = 258 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS opened,
+             coalesce(sum(CASE WHEN p >= plen AND x = 259 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed
+      FROM m)
+SELECT doc_id, string_agg(CASE WHEN p < plen OR opened > closed THEN '0' ELSE '1' END, ',' ORDER BY p) AS mask
+FROM c GROUP BY doc_id"""
 
 GSM_RE = "'#### (\\-?[0-9\\.\\,]+)'"
 
@@ -992,12 +1001,12 @@ def WORD_IDS(src: str, key: str, col: str) -> str:
 
 
 Q["word_encode"] = with_(WORDS) + f""",
-ann AS (SELECT doc_id AS ann_id, substr(text, 1, 80) AS caption FROM documents),
+ann AS (SELECT doc_id AS ann_id, text AS caption FROM documents),
 enc AS {WORD_IDS('ann', 'ann_id', 'caption')}
 SELECT a.ann_id, array_to_string(coalesce(e.ids, [1, 2]), ',') AS ids FROM ann a LEFT JOIN enc e USING (ann_id)"""
 
 Q["decode_tokens"] = """
-SELECT doc_id, substr(text, 1, 200) AS text FROM documents"""
+SELECT doc_id, text FROM documents"""
 
 Q["token_byte_stats"] = with_(TBL) + """
 SELECT CAST(min(n_bytes) FILTER (WHERE n_bytes > 0) AS INTEGER) AS min_bytes, CAST(max(n_bytes) FILTER (WHERE n_bytes > 0) AS INTEGER) AS max_bytes,
@@ -1203,8 +1212,7 @@ Q["read_eval_bundle"] = """
 WITH t AS (SELECT * FROM (VALUES ('task_src0', 'multiple_choice', 'src0', 3, ' ', 25.0), ('task_src1', 'schema', 'src1', 0, ' ', 50.0),
                                  ('task_src2', 'language_modeling', 'src2', 1, chr(10), 0.0), ('task_src3', 'multiple_choice', 'src3', 2, ' ', 25.0))
            v(label, task_type, src, num_fewshot, continuation_delimiter, baseline)),
-i AS (SELECT source, CASE WHEN source = 'src1' THEN substr(text, 1, 60) WHEN source = 'src2' THEN substr(text, 1, 60) ELSE substr(text, 1, 60) END AS txt
-      FROM documents)
+i AS (SELECT source, substr(text, 1, CAST(ceil(length(text) / 5) AS INTEGER)) AS txt FROM documents)
 SELECT label, task_type, CAST(num_fewshot AS INTEGER) AS num_fewshot, continuation_delimiter, CAST(baseline AS DOUBLE) AS baseline,
        count(*) AS n_items, md5(array_to_string(list_sort(list(txt)), '|')) AS text_md5
 FROM t JOIN i ON i.source = t.src GROUP BY ALL"""

@@ -52,7 +52,7 @@ def lens(spark, sf_dir) -> DataFrame:
 
 def doc_bytes(spark, sf_dir) -> DataFrame:
     d = t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.array(F.lit(BOS)), utf8_ids(F.substring("text", 1, 200))).alias("ids"))
+    return d.select("doc_id", F.concat(F.array(F.lit(BOS)), utf8_ids(F.col("text"))).alias("ids"))
 
 
 MSG_T = "array<struct<role:string,content:string,parts:array<struct<type:string,text:string>>>>"
@@ -77,17 +77,17 @@ def convs_ok(spark, sf_dir) -> DataFrame:
     return v.withColumn("messages", F.when(last_user, F.slice(m, 1, F.size(m) - 1)).otherwise(m))
 
 
-ANN_MOD = 550
-
-
 def images(spark, sf_dir) -> DataFrame:
-    return t(spark, sf_dir, "documents").filter(F.col("doc_id") < 600).select(F.col("doc_id").alias("image_id"))
+    """Every document is an image."""
+    return t(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"))
 
 
 def annotations(spark, sf_dir) -> DataFrame:
+    """Every document is a caption (its whole text) of image doc_id − doc_id % 2:
+    even images have two captions, odd images none."""
     d = t(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("ann_id"), (F.col("doc_id") % ANN_MOD).alias("image_id"),
-                    F.substring("text", 1, 80).alias("caption"))
+    return d.select(F.col("doc_id").alias("ann_id"), (F.col("doc_id") - F.col("doc_id") % 2).alias("image_id"),
+                    F.col("text").alias("caption"))
 
 
 def emb(spark, sf_dir) -> DataFrame:
@@ -106,10 +106,13 @@ def UK(*parts) -> F.Column:
 
 
 def mc_items(spark, sf_dir) -> DataFrame:
+    """A document cut into five consecutive parts: the question and four choices."""
     d = t(spark, sf_dir, "documents")
     tx = F.col("text")
-    return d.select(F.col("doc_id").alias("idx"), F.substring(tx, 1, 60).alias("query"),
-                    F.array(*[F.substring(tx, 61 + 20 * i, 20) for i in range(4)]).alias("choices"),
+    c = F.ceil(F.length(tx) / 5).cast("int")
+    part = lambda k: tx.substr((F.lit(1) + k * c).cast("int"), c)  # noqa: E731  (five parts cover the text)
+    return d.select(F.col("doc_id").alias("idx"), part(0).alias("query"),
+                    F.array(*[part(i) for i in range(1, 5)]).alias("choices"),
                     (F.col("doc_id") % 4).cast("int").alias("gold"), F.col("source").alias("subject"))
 
 
