@@ -66,9 +66,9 @@ def core_prompts(items: DataFrame, k: int, kind: str = "mc", delim: str = " ", m
     else:
         raise ValueError(kind)
     spans = EV.option_spans(EV.tokenize_prompts(p, codec), kind)
-    if max_len is not None:
-        spans = EV.left_crop(spans, max_len)
-    return spans.select("idx", "opt", "ids", "start", "end")
+    if max_len is None:
+        return spans.select("idx", "opt", "ids", "start", "end", F.lit(True).alias("crop_ok"))
+    return EV.left_crop(spans, max_len).select("idx", "opt", "ids", "start", "end", "crop_ok")
 
 
 def core_scores(losses: DataFrame, spans: DataFrame, gold: DataFrame, baselines_pct: DataFrame,

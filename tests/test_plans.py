@@ -26,8 +26,9 @@ def test_caption_sft_rows_have_placeholders(spark):
 def test_core_prompt_and_score_jobs(spark):
     items = V.mc_items(spark, SF)
     spans = PL.core_prompts(items, k=2, max_len=128)
-    assert spans.filter("start < 0").count() == 0
-    s = spans.select("idx", "opt", "start", "end")
+    assert spans.filter("crop_ok <> (start >= 0)").count() == 0
+    assert spans.filter("size(ids) > 128").count() == 0
+    s = PL.core_prompts(items, k=2).select("idx", "opt", "start", "end")
     losses = (s.select("idx", "opt", F.explode(F.sequence(F.lit(0), F.col("end"))).alias("pos"))
                .withColumn("loss", F.rand(1)))
     gold = items.select("idx", "gold", F.col("subject").alias("task"))
