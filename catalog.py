@@ -487,8 +487,11 @@ def q_common_suffix_len(spark, sf_dir):
 
 
 def _spans_all(spark, sf_dir):
-    mc = EV.option_spans(EV.tokenize_prompts(_mc_prompts(spark, sf_dir)), "mc").withColumn("kind", F.lit("mc"))
-    sc = EV.option_spans(EV.tokenize_prompts(_schema_prompts(spark, sf_dir)), "schema").withColumn("kind", F.lit("schema"))
+    shots = _shots(spark, sf_dir)
+    mc = EV.option_spans_items(EV.option_prompt_arrays(V.mc_items(spark, sf_dir), shots, "mc"), "mc")
+    mc = mc.withColumn("kind", F.lit("mc"))
+    sc = EV.option_spans_items(EV.option_prompt_arrays(V.schema_items(spark, sf_dir), shots, "schema"), "schema")
+    sc = sc.withColumn("kind", F.lit("schema"))
     lm = EV.tokenize_prompts(EV.tokenize_prompts(_lm_prompts(spark, sf_dir), col="prompt_without", out="ids_without"),
                              col="prompt_with", out="ids_with")
     lm = EV.option_spans(lm, "lm").withColumn("kind", F.lit("lm")).withColumn("opt", F.lit(0))

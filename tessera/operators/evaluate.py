@@ -399,3 +399,40 @@ def split_bpb(losses: DataFrame, byte_lengths: DataFrame, split_tokens: int, tok
     budget = (split_tokens // tokens_per_step) * tokens_per_step
     idx = prefix_sum(losses, order, None, by=["split"], idx="_i", before="_b").drop("_b")
     return bits_per_byte(idx.filter(F.col("_i") < budget), byte_lengths, by=["split"])
+
+
+# ------------------------------------------------------------------ item-level (no shuffle) spans
+
+
+def option_prompt_arrays(items: DataFrame, shots: DataFrame, kind: str, delim: str = " ",
+                         idx: str = "idx") -> DataFrame:
+    """(idx, prompts array<string>) with all options of an item on its row,
+    so spans need no regrouping shuffle."""
+    if kind == "mc":
+        block = F.concat(F.col("query"), F.lit(delim), F.get(F.col("choices"), F.col("gold")), F.lit("\n\n"))
+        d = _with_fewshot(items, shots, block, idx)
+        arr = F.transform("choices", lambda c: F.concat(F.col("fewshot"), F.col("query"), F.lit(delim), c))
+    elif kind == "schema":
+        block = F.concat(F.get(F.col("context_options"), F.col("gold")), F.lit(delim), F.col("continuation"), F.lit("\n\n"))
+        d = _with_fewshot(items, shots, block, idx)
+        arr = F.transform("context_options", lambda c: F.concat(F.col("fewshot"), c, F.lit(delim), F.col("continuation")))
+    else:
+        raise ValueError(kind)
+    return d.select(idx, arr.alias("prompts"))
+
+
+def option_spans_items(prompts: DataFrame, kind: str, codec: ByteCodec | None = None, idx: str = "idx") -> DataFrame:
+    """Spans of every option from item rows (``option_prompt_arrays``):
+    tokenize each prompt, take the common prefix (mc) or suffix (schema) on
+    the row, then explode to (idx, opt, ids, start, end)."""
+    codec = codec or ByteCodec()
+    bos = F.array(F.lit(codec.bos))
+    d = prompts.withColumn("_ids", F.transform("prompts", lambda p: F.concat(bos, codec.encode_col(p))))
+    if kind == "mc":
+        d = d.withColumn("_c", _common_len(F.col("_ids")))
+    else:
+        d = d.withColumn("_r", F.transform("_ids", F.reverse)).withColumn("_c", _common_len(F.col("_r")))
+    e = d.select(idx, "_c", F.posexplode("_ids").alias("opt", "ids"))
+    end = F.size("ids")
+    start = F.col("_c") if kind == "mc" else end - F.col("_c")
+    return e.select(idx, "opt", "ids", start.alias("start"), end.alias("end"))
