@@ -64,3 +64,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def ship_package(spark: SparkSession, extra_modules: tuple[str, ...] = ()) -> None:
+    """Make ``tessera`` (and optional top-level modules) importable on the
+    executors' Python workers via ``addPyFile``; done once per session."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-py-"), "tessera.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+        for m in extra_modules:
+            full = os.path.join(root, m)
+            if os.path.exists(full):
+                z.write(full, m)
+    sc.addPyFile(out)
+    sc._tessera_shipped = True

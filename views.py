@@ -282,7 +282,8 @@ def steps(spark, sf_dir) -> DataFrame:
     """events as step logs: run = user, step = rank by (ts, event_id)."""
     from tessera.functions.index import prefix_sum
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    e = e.withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp")))
+    # microseconds since the epoch of the zone-free timestamp (no session time zone involved)
+    e = e.withColumn("_o", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
     e = prefix_sum(e, ["_o", "event_id"], None, by=["user_id"], idx="step", before="_b")
     dev = F.element_at(F.array(*[F.lit(d) for d in DEVICES]), (F.col("user_id") % 4 + 1).cast("int"))
     return e.select(F.col("user_id").alias("run_id"), "step", F.col("value").alias("loss"),
