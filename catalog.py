@@ -90,6 +90,11 @@ from tessera.operators import selection as S  # noqa: E402
 from tessera.session import scratch_path  # noqa: E402
 
 
+def _fresh(spark, name):
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
 def _tag(sf_dir: str) -> str:
     import hashlib
     return hashlib.md5(sf_dir.encode()).hexdigest()[:8]
@@ -137,7 +142,7 @@ def q_repackage_shards(spark, sf_dir):
 
 @q
 def q_write_shards(spark, sf_dir):
-    out = scratch_path(spark, f"shards-{_tag(sf_dir)}")
+    out = _fresh(spark, "shards")
     C.write_shards(_repackaged(spark, sf_dir).select("doc_id", "text", "new_shard", "new_rg", "pos_in_rg"), out,
                    row_group_rows=32)
     back = spark.read.parquet(out)
@@ -329,7 +334,7 @@ def q_caption_tokens(spark, sf_dir):
 
 @q
 def q_write_token_table(spark, sf_dir):
-    path = scratch_path(spark, f"cap-tokens-{_tag(sf_dir)}-{__import__('uuid').uuid4().hex[:8]}")
+    path = _fresh(spark, "cap-tokens")
     toks = CP.caption_tokens(V.annotations(spark, sf_dir))
     CP.write_token_table(toks.filter(F.col("image_id") % 2 == 0), path, ["image_id", "j"])
     CP.write_token_table(toks, path, ["image_id", "j"])  # only the odd images are new
@@ -386,7 +391,7 @@ def _lines(spark, sf_dir):
 
 @q
 def q_read_chat_jsonl(spark, sf_dir):
-    path = scratch_path(spark, f"lines-{_tag(sf_dir)}")
+    path = _fresh(spark, "lines")
     _lines(spark, sf_dir).write.mode("overwrite").text(path)
     r = J.read_chat_jsonl(spark, path)
     m = F.col("messages")
@@ -397,7 +402,7 @@ def q_read_chat_jsonl(spark, sf_dir):
 
 @q
 def q_write_chat_jsonl(spark, sf_dir):
-    path = scratch_path(spark, f"chat-out-{_tag(sf_dir)}")
+    path = _fresh(spark, "chat-out")
     c = _conv_images(spark, sf_dir)
     J.write_chat_jsonl(c.filter(F.col("image_id") < 300), path, with_metadata=True, mode="overwrite")
     J.write_chat_jsonl(c.filter(F.col("image_id") >= 300), path, with_metadata=True, mode="append")
@@ -420,7 +425,7 @@ def _ann_file(spark, sf_dir):
 
 @q
 def q_read_caption_annotations(spark, sf_dir):
-    path = scratch_path(spark, f"ann-{_tag(sf_dir)}")
+    path = _fresh(spark, "ann")
     _ann_file(spark, sf_dir).write.mode("overwrite").text(path)
     images, anns = J.read_caption_annotations(spark, path)
     n_img = images.agg(F.count(F.lit(1)).alias("n_images"))
@@ -933,7 +938,7 @@ from tessera.sources import logs as LG  # noqa: E402
 
 
 def _write_logs(spark, sf_dir):
-    path = scratch_path(spark, f"logs-{_tag(sf_dir)}")
+    path = _fresh(spark, "logs")
     lines = V.log_lines(spark, sf_dir)
     (lines.repartition("run_id").sortWithinPartitions("run_id", "line_no").select("run_id", "line")
           .write.mode("overwrite").partitionBy("run_id").text(path))
@@ -968,11 +973,6 @@ def q_run_duration(spark, sf_dir):
 from tessera.streaming import corpus as STR  # noqa: E402
 
 
-def _fresh(spark, name):
-    import uuid
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
-
-
 @q
 def q_stream_corpus(spark, sf_dir):
     """Shards of documents arrive as files; the stream tokenizes them."""
