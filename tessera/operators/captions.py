@@ -93,10 +93,10 @@ def attach_embeddings(convs: DataFrame, emb: DataFrame, strict: bool = False,
         missing = joined.filter(F.col("_eid").isNull()).limit(1).count()
         if missing:
             raise ValueError("conversation without an image embedding (strict mode)")
-    default = emb.orderBy("image_id").limit(1).select(F.col("embedding").alias("_default"))
+    default = emb.orderBy("image_id").limit(1).select(F.col("embedding").alias("_default"), F.lit(1).alias("_k"))
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), zeros_shape[1]), zeros_shape[0])
-    # one row: the only broadcast in this operator
-    out = joined.crossJoin(F.broadcast(default)) if default is not None else joined
+    # one row (the smallest image id): the only broadcast in this operator
+    out = joined.withColumn("_k", F.lit(1)).join(F.broadcast(default), "_k", "left").drop("_k")
     return (out.withColumn("used_default", F.col("_eid").isNull())
                .withColumn("embedding", F.coalesce(F.col("_emb"), F.col("_default"), zeros))
                .drop("_eid", "_emb", "_default"))

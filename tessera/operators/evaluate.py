@@ -320,9 +320,10 @@ def pass_at_k(outcomes: DataFrame, K: int, key: str = "problem", sample: str = "
 
 def program_pass_rate(results: DataFrame) -> DataFrame:
     """Share of programs per outcome (success, error, timeout, memory)."""
-    total = results.agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
     g = results.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-    return g.crossJoin(F.broadcast(total)).select("outcome", "n", F.round(F.col("n") / F.col("_n"), 6).alias("share"))
+    total = F.sum("n").over(Window.partitionBy())  # over the few outcome rows, not the results
+    return g.select("outcome", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 # ------------------------------------------------------------------ RL

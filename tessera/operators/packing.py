@@ -152,10 +152,10 @@ def pack_greedy_pad(lens: DataFrame, T: int) -> DataFrame:
 class _FFD:
     """First-fit decreasing over a whole stream, docs cropped to one row.
 
-    Input arrives sorted by length descending (then ord). Open rows are kept
-    in a sorted list of (free, row); first fit = lowest row index with enough
-    room, found through a segment tree over free space, so each placement is
-    O(log rows).
+    Input arrives sorted by length descending (then ord). First fit = lowest
+    row index with enough room, found through a segment tree over free
+    space, so each placement is O(log rows); full rows are emitted at once,
+    only the placements of rows with room left are held.
     """
 
     def __init__(self, grp, C):
@@ -164,7 +164,7 @@ class _FFD:
         self.tree = [0] * 2          # max free space per node
         self.n_rows = 0
         self.fill = []               # used tokens per row
-        self.out = []
+        self.pieces = []             # placements of rows not yet full
 
     def _grow(self):
         old = self.tree
@@ -201,13 +201,18 @@ class _FFD:
             r = self.n_rows
             self.n_rows += 1
             self.fill.append(0)
-        self.out.append((self.g, r, self.fill[r], doc, 0, n))
+            self.pieces.append([])
+        self.pieces[r].append((self.g, r, self.fill[r], doc, 0, n))
         self.fill[r] += n
         self._set(r, self.C - self.fill[r])
+        if self.fill[r] == self.C:          # a full row never changes again: emit it
+            out, self.pieces[r] = self.pieces[r], []
+            return out
         return []
 
     def finish(self):
-        out, self.out = self.out, []
+        out = [p for row in self.pieces for p in row]
+        self.pieces = []
         return out
 
 
@@ -297,11 +302,16 @@ def packing_report(layout: DataFrame, lens: DataFrame, T: int, algo: str) -> Dat
     """Utilisation, crop and pad shares of one layout, and the lower bound on
     crop (share of tokens in docs longer than a row)."""
     C = T + 1
-    li = lens.agg(F.sum("len").cast("bigint").alias("input_tokens"),
-                  F.sum(F.greatest(F.col("len") - F.lit(C), F.lit(0))).cast("bigint").alias("beyond"))
-    lo = layout.agg(F.sum("len").cast("bigint").alias("placed_tokens"),
-                    F.count_distinct("grp", "row_id").cast("bigint").alias("n_rows"))
-    r = li.crossJoin(lo)  # two global aggregates: one row each
+    a = lens.select(F.lit(0).alias("_t"), F.col("len").cast("bigint").alias("_l"),
+                    F.lit(None).cast("bigint").alias("_g"), F.lit(None).cast("bigint").alias("_r"))
+    b = layout.select(F.lit(1).alias("_t"), F.col("len").cast("bigint").alias("_l"),
+                      F.col("grp").cast("bigint").alias("_g"), F.col("row_id").cast("bigint").alias("_r"))
+    u = a.unionByName(b)
+    is_in, is_out = F.col("_t") == 0, F.col("_t") == 1
+    r = u.agg(F.sum(F.when(is_in, F.col("_l"))).cast("bigint").alias("input_tokens"),
+              F.sum(F.when(is_in, F.greatest(F.col("_l") - F.lit(C), F.lit(0)))).cast("bigint").alias("beyond"),
+              F.coalesce(F.sum(F.when(is_out, F.col("_l"))), F.lit(0)).cast("bigint").alias("placed_tokens"),
+              F.count_distinct(F.when(is_out, F.struct("_g", "_r"))).cast("bigint").alias("n_rows"))
     cap = F.col("n_rows") * F.lit(C)
     return r.select(
         F.lit(algo).alias("algo"),

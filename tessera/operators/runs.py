@@ -380,7 +380,7 @@ def throughput(steps: DataFrame, peaks: DataFrame, batch_tokens: str = "batch_to
                step: str = "step", dt: str = "dt", num_iterations: str = "num_iterations") -> DataFrame:
     """tokens/s, FLOP/s, MFU %, time counted after step 10, FLOPs so far, ETA."""
     pk = device_peaks(steps, peaks)
-    d = steps.join(F.broadcast(pk), "device")  # one row per device name
+    d = steps.join(pk, "device")  # one row per device name; AQE broadcasts it once measured
     counted = F.when(F.col(step) > 10, F.col(dt)).otherwise(F.lit(0.0))
     d = d.withColumn("_c", counted).withColumn("_o", F.col(step).cast("bigint"))
     d = prefix_sum(d, "_o", "_c", by=[run], idx="_i", before="_tb")

@@ -248,8 +248,8 @@ def vocab_map(vocab: DataFrame) -> DataFrame:
 
 def decode_tokens(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """ids → bytes → text; specials dropped, malformed UTF-8 → U+FFFD."""
-    vm = F.broadcast(vocab_map(vocab))
-    j = df.crossJoin(vm)  # one row
+    vm = F.broadcast(vocab_map(vocab).withColumn("_k", F.lit(1)))  # one row, vocabulary-sized
+    j = df.withColumn("_k", F.lit(1)).join(vm, "_k").drop("_k")
     kept = F.filter(F.col(ids), lambda i: ~F.array_contains(F.col("_sp"), i))
     hx = F.array_join(F.transform(kept, lambda i: F.hex(F.element_at(F.col("_vm"), i))), "")
     return j.withColumn(out, F.make_valid_utf8(F.unhex(hx).cast("string"))).drop("_vm", "_sp")
