@@ -675,10 +675,15 @@ TBL = """tbl AS (
 Q["token_byte_lengths"] = with_(TBL) + """
 SELECT token_id, CAST(n_bytes AS INTEGER) AS n_bytes, CAST(raw_bytes AS INTEGER) AS raw_bytes FROM tbl"""
 
+def WEYL(a: str, b: str) -> str:
+    x = f"(doc_id * {a}::DOUBLE + pos * {b}::DOUBLE)"
+    return f"({x} - floor({x}))"
+
+
 TLOSS = DOC_BYTES + f""",
 tl AS (
-  SELECT doc_id, pos, CASE WHEN {uk("'tl'", 'doc_id', 'pos')} < 0.1 THEN -1 ELSE tok END AS target,
-         round({uk("'lo'", 'doc_id', 'pos')} * 10, 3) AS loss,
+  SELECT doc_id, pos, CASE WHEN {WEYL('0.6180339887498949', '0.7548776662466927')} < 0.1 THEN -1 ELSE tok END AS target,
+         round({WEYL('0.5698402909980532', '0.3247179572447460')} * 10, 3) AS loss,
          CASE WHEN doc_id // 256 = (SELECT max(doc_id) FROM documents) // 256 THEN 'val' ELSE 'train' END AS split
   FROM (SELECT doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) - 1 AS pos FROM doc_bytes)),
 """ + TBL

@@ -206,9 +206,11 @@ def token_losses(spark, sf_dir) -> DataFrame:
     b = doc_bytes(spark, sf_dir)
     e = b.select("doc_id", F.posexplode("ids").alias("pos", "tok"))
     last = (t(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]) // DOCS_PER_SHARD
+    # per-token draws: Weyl fractions of (doc_id, pos) -- plain double arithmetic, identical in both engines
+    frac = lambda a, b: (F.col("doc_id") * a + F.col("pos") * b) - F.floor(F.col("doc_id") * a + F.col("pos") * b)
     return e.select("doc_id", "pos",
-                    F.when(UK("tl", F.col("doc_id"), F.col("pos")) < 0.1, -1).otherwise(F.col("tok")).alias("target"),
-                    F.round(UK("lo", F.col("doc_id"), F.col("pos")) * 10, 3).alias("loss"),
+                    F.when(frac(0.6180339887498949, 0.7548776662466927) < 0.1, -1).otherwise(F.col("tok")).alias("target"),
+                    F.round(frac(0.5698402909980532, 0.3247179572447460) * 10, 3).alias("loss"),
                     F.when((F.col("doc_id") / DOCS_PER_SHARD).cast("int") == last, "val").otherwise("train").alias("split"))
 
 
