@@ -860,8 +860,16 @@ def q_pretoken_counts(spark, sf_dir):
     return _counts(spark, sf_dir)
 
 
+_MERGES: dict = {}
+
+
 def _merges(spark, sf_dir):
-    return TZ.train_bpe(_counts(spark, sf_dir), BPE_VOCAB)
+    """Trained merges, memoised per application and data folder: the merge
+    list is small and deterministic, and three queries start from it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MERGES:
+        _MERGES[key] = [tuple(r) for r in TZ.train_bpe(_counts(spark, sf_dir), BPE_VOCAB).collect()]
+    return spark.createDataFrame(_MERGES[key], "rank int, left_id int, right_id int, new_id int, pair_count long")
 
 
 @q
