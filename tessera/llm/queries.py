@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, nbsvm, packing, simhash, superkmer, toxicity
+from . import decontam, linededup, nbsvm, packing, perplexity, simhash, superkmer, toxicity
 from .common import held_out, table
 
 
@@ -42,10 +42,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op9_perplexity, op10_toxicity)}
 ORACLE: dict[str, str] = {}
