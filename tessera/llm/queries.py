@@ -6,10 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, nbsvm, packing, perplexity, simhash, superkmer, toxicity
+from . import decontam, htmlcrf, linededup, nbsvm, packing, perplexity, simhash, superkmer, toxicity, urlfilter
 from .common import held_out, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = htmlcrf.extract(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op9_perplexity, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_url_filter, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op9_perplexity, op10_toxicity)}
 ORACLE: dict[str, str] = {}
