@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir, ship_package
 
 #: Stands for a null doc_id inside the operators: below every real id.
 NULL_ID = -(1 << 63)
@@ -37,8 +37,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Cap the rows of an Arrow batch at BATCH_ROWS (a lower setting stays)."""
+def ready(spark: SparkSession) -> None:
+    """Make the package importable on the executors, and cap the rows of an
+    Arrow batch at BATCH_ROWS (a lower setting stays)."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
@@ -58,7 +60,7 @@ def id_out(col: str | Column = "doc_id") -> Column:
 def id_text(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string) and nothing else, so that further columns of
     the input can't clash; a null id becomes NULL_ID, a null text stays null."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(id_in().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

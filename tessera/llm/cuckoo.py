@@ -1,9 +1,13 @@
 """A cuckoo filter: a set of 64-bit hashes kept as 16-bit fingerprints in
-buckets of four, with lookups, insertions and deletions. A filter that is full
-gets a further layer of twice the size."""
+buckets of four, with lookups, insertions and deletions. A fingerprint and one
+of its two buckets fix the other, so keys that share both are exchangeable and
+deletions never touch another key. A filter that is full must be built anew from
+the keys: fingerprints alone don't tell where they belong in a larger one."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 SLOTS, KICKS = 4, 200
@@ -11,16 +15,32 @@ _MIX = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
 
-def _place(h: int, mask: int) -> tuple[int, int, int]:
-    fp = (h >> 48) or 1
-    i = h & mask
-    return fp, i, i ^ (((fp * _MIX & _ALL) >> 20) & mask)
+class CuckooFilter:
+    """No false negative; a false positive at a rate of about 8 / 2**16.
+    Insert a key once, and delete only keys that were inserted."""
 
+    def __init__(self, expected: int = 0, slots: bytes | None = None):
+        n = len(slots) // 2 // SLOTS if slots else 1 << max(4, int(np.ceil(np.log2(max(1, expected) / (0.9 * SLOTS) + 1))))
+        self.mask = n - 1
+        self.slot = np.frombuffer(slots, "<u2").tolist() if slots else [0] * (n * SLOTS)
 
-class Layer:
-    def __init__(self, buckets: int, data: bytes | None = None):
-        self.mask = buckets - 1
-        self.slot = np.frombuffer(data, "<u2").tolist() if data else [0] * (buckets * SLOTS)
+    @classmethod
+    def build(cls, hashes: Iterable[int], expected: int) -> CuckooFilter:
+        """A filter of the distinct ``hashes``, as large as it must be."""
+        hashes = list(hashes)
+        while True:
+            f = cls(expected)
+            if all(f.insert(h) for h in hashes):
+                return f
+            expected = 2 * SLOTS * (f.mask + 1)
+
+    def _place(self, h: int) -> tuple[int, int, int]:
+        fp = (h >> 48 & 0xFFFF) or 1
+        i = h & self.mask
+        return fp, i, self._other(fp, i)
+
+    def _other(self, fp: int, i: int) -> int:
+        return i ^ (((fp * _MIX & _ALL) >> 20) & self.mask)
 
     def _put(self, fp: int, i: int) -> bool:
         s = self.slot
@@ -31,67 +51,38 @@ class Layer:
         return False
 
     def insert(self, h: int) -> bool:
-        """False, with the layer as it was, if there is no room."""
-        fp, i, k = _place(h, self.mask)
-        if self._put(fp, i) or self._put(fp, k):
+        """False, with the filter as it was, if there is no room."""
+        fp, i, at = self._place(h)
+        if self._put(fp, i) or self._put(fp, at):
             return True
-        s, moved, at = self.slot, [], k
+        s, moved = self.slot, []
         for n in range(KICKS):
             j = at * SLOTS + n % SLOTS
             moved.append((j, s[j]))
             fp, s[j] = s[j], fp
-            at ^= ((fp * _MIX & _ALL) >> 20) & self.mask
+            at = self._other(fp, at)
             if self._put(fp, at):
                 return True
         for j, old in reversed(moved):
             s[j] = old
         return False
 
-    def find(self, h: int) -> int:
-        fp, i, k = _place(h, self.mask)
+    def _find(self, h: int) -> int:
+        fp, i, k = self._place(h)
         for b in (i, k):
             for j in range(b * SLOTS, b * SLOTS + SLOTS):
                 if self.slot[j] == fp:
                     return j
         return -1
 
-
-class CuckooFilter:
-    """No false negative; a false positive at a rate of about 8 / 2**16 for
-    each layer. Insert a key once, and delete only keys that were inserted."""
-
-    def __init__(self, expected: int = 0, layers: list[Layer] | None = None):
-        self.layers = layers or [Layer(self._buckets(expected))]
-
-    @staticmethod
-    def _buckets(expected: int) -> int:
-        return 1 << max(4, int(np.ceil(np.log2(max(1, expected) / (0.9 * SLOTS) + 1))))
-
-    def insert(self, h: int) -> None:
-        h &= _ALL
-        if not self.layers[-1].insert(h):
-            self.layers.append(Layer(2 * (self.layers[-1].mask + 1)))
-            self.layers[-1].insert(h)
-
     def __contains__(self, h: int) -> bool:
-        h &= _ALL
-        return any(x.find(h) >= 0 for x in self.layers)
+        return self._find(h) >= 0
 
     def delete(self, h: int) -> bool:
-        h &= _ALL
-        for x in self.layers:
-            if (j := x.find(h)) >= 0:
-                x.slot[j] = 0
-                return True
-        return False
-
-    def dump(self) -> tuple[list[int], bytes]:
-        return [x.mask + 1 for x in self.layers], b"".join(np.array(x.slot, "<u2").tobytes() for x in self.layers)
+        j = self._find(h)
+        if j >= 0:
+            self.slot[j] = 0
+        return j >= 0
 
-    @classmethod
-    def load(cls, sizes: list[int], data: bytes) -> CuckooFilter:
-        layers, at = [], 0
-        for n in sizes:
-            layers.append(Layer(n, data[at : at + 2 * SLOTS * n]))
-            at += 2 * SLOTS * n
-        return cls(layers=layers)
+    def dump(self) -> bytes:
+        return np.array(self.slot, "<u2").tobytes()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, schema_of, small_batches
+from .common import rows, schema_of, ready
 from .dom import Block, blocks
 from .pagemaker import labelled_page
 
@@ -161,7 +161,7 @@ def trained(pages: int = TRAINING_PAGES) -> ChainCRF:
 def extract(pages: DataFrame, model: ChainCRF | None = None) -> DataFrame:
     """(page_id, url, text, n_blocks, n_main) for each row of ``pages``
     (page_id, url, html): the article's blocks, joined by two newlines."""
-    small_batches(pages.sparkSession)
+    ready(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())
     ddl = "page_id long, url string, text string, n_blocks long, n_main long"
     out = schema_of(ddl.replace(", ", ","))

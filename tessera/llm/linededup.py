@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, encoded, id_in, id_out, id_text, rows, schema_of, scratch
+from .common import SPACE, encoded, id_in, id_out, id_text, rows, schema_of, scratch, stored
 from .cuckoo import CuckooFilter
 
 #: Keys in one shard, about: 8 MB of keys while its filter is updated.
@@ -112,38 +112,50 @@ class LineIndex:
 
     # --- the filters ---
     def filters(self) -> DataFrame:
+        """(shard, slots), a row for each shard that has had a key."""
         if not self.generation:
-            return self.spark.createDataFrame([], "shard int, sizes array<int>, slots binary")
+            return self.spark.createDataFrame([], "shard int, slots binary")
         return self.spark.read.parquet(f"{self.root}/filters/{self.generation:06d}")
 
-    def _shard(self):
-        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key")
 
     def _update(self, keys: DataFrame, add: bool) -> None:
-        """Insert (or delete) the hashes of ``keys`` (key), each once."""
-        n = SHARD_KEYS
-
+        """Insert (or delete) the hashes of ``keys`` (key), each once. A shard
+        whose filter is full is built anew from the live keys."""
         def change(left: pa.Table, right: pa.Table) -> pa.Table:
-            f = CuckooFilter.load(right["sizes"][0].as_py(), right["slots"][0].as_py()) if right.num_rows else CuckooFilter(min(n, left.num_rows))
-            for k in left["key"].to_pylist():
-                h = int.from_bytes(k[:8], "little")
-                f.insert(h) if add else f.delete(h)
-            sizes, slots = f.dump()
-            shard = (left if left.num_rows else right)["shard"][0].as_py()
-            return pa.table({"shard": pa.array([shard], pa.int32()), "sizes": pa.array([sizes], pa.list_(pa.int32())), "slots": pa.array([slots], pa.binary())})
-
-        got = keys.select(self._shard(), "key").groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(change, "shard int, sizes array<int>, slots binary")
-        got.write.parquet(f"{self.root}/filters/{self.generation + 1:06d}")
+            hashes = [int.from_bytes(k[:8], "little") for k in left["key"].to_pylist()]
+            if not right.num_rows:
+                slots = CuckooFilter.build(hashes, len(hashes)).dump()
+            else:
+                f = CuckooFilter(slots=right["slots"][0].as_py())
+                fits = all(f.insert(h) for h in hashes) if add else [f.delete(h) for h in hashes] is not None
+                slots = f.dump() if fits else None
+            return pa.table({"shard": pa.array([(left if left.num_rows else right)["shard"][0].as_py()], pa.int32()), "slots": pa.array([slots], pa.binary())})
+
+        def anew(left: pa.Table) -> pa.Table:
+            hashes = [int.from_bytes(k[:8], "little") for k in left["key"].to_pylist()]
+            return pa.table({"shard": left["shard"][:1].cast(pa.int32()), "slots": pa.array([CuckooFilter.build(hashes, 2 * len(hashes)).dump()], pa.binary())})
+
+        got = self._sharded(keys).groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(change, "shard int, slots binary")
         self.generation += 1
+        path = f"{self.root}/filters/{self.generation:06d}"
+        if self.generation == 1 or not add:
+            got.write.parquet(path)
+            return
+        changed = stored(got, "filters")
+        full = changed.filter("slots is null").select("shard")
+        live = self._sharded(self.refs().select("key").distinct()).join(full, "shard", "left_semi")
+        changed.filter("slots is not null").unionByName(live.groupBy("shard").applyInArrow(anew, "shard int, slots binary")).write.parquet(path)
 
     def maybe_live(self, keys: DataFrame) -> DataFrame:
         """(key, maybe): false where the filter shows that no document holds it."""
         def probe(left: pa.Table, right: pa.Table) -> pa.Table:
             ks = left["key"].to_pylist()
-            f = CuckooFilter.load(right["sizes"][0].as_py(), right["slots"][0].as_py()) if right.num_rows else None
+            f = CuckooFilter(slots=right["slots"][0].as_py()) if right.num_rows else None
             return pa.table({"key": pa.array(ks, pa.binary()), "maybe": pa.array([f is not None and int.from_bytes(k[:8], "little") in f for k in ks], pa.bool_())})
 
-        return keys.select(self._shard(), "key").groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(probe, "key binary, maybe boolean")
+        return self._sharded(keys).groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(probe, "key binary, maybe boolean")
 
     # --- what users call ---
     def insert(self, docs: DataFrame) -> None:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, id_in, id_out, rows, schema_of, small_batches, stored
+from .common import encoded, id_in, id_out, rows, schema_of, ready, stored
 
 ORDER, KEY_BITS, WIDTH = 5, 21, 5.0
 #: Words of a language that a task counts, or a worker keeps scores of, at once.
@@ -223,7 +223,7 @@ def measure(own: DataFrame, model: KneserNey) -> DataFrame:
 def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, width: float = WIDTH) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     log_ppl, base_failed, kept) for each row of ``docs`` (doc_id, text, lang)."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     # A tag no language has stands for null.
     own = docs.select(id_in().alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("\x00")).alias("lang"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))

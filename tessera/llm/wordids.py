@@ -40,11 +40,12 @@ class WordEncoder(dict):
         if core != word and core and core[-1] in _ENDS:
             got = self[core] + self[word[len(core) :]]
         else:
-            w = word.decode().lower()
-            if w.isalpha() and max(w) < "\u0250":  # one piece, and its own NFC
+            whole = word.decode()
+            w = whole.lower() if max(whole) < "\u0250" else ""
+            if w.isalpha():  # one piece, and its own NFC
                 got = array(self.code, [t.id for t in self.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
             else:
-                got = array(self.code, self.one.encode(w, add_special_tokens=False).ids).tobytes()
+                got = array(self.code, self.one.encode(whole, add_special_tokens=False).ids).tobytes()
         self[word] = got
         return got
 
