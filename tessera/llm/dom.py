@@ -77,6 +77,8 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         name = m.group(2)
         if name is None:
+            if m.group().startswith("<!--") and not m.group().endswith("-->"):
+                at = len(html)
             continue
         name = name.lower()
         if name in BLOCK:

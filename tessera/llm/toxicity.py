@@ -134,7 +134,8 @@ def logistic(x: list[np.ndarray], y: np.ndarray, change: list[tuple[np.ndarray,
     (r, c), (ra, ca), (rb, cb), n = flat(x), flat([a for a, _ in change]), flat([b for _, b in change]), len(y)
     w = v = np.zeros(dim)
     bias = vb = 0.0
-    rate = 4.0 / max(1.0, np.mean([len(i) + 1 for i in x]))
+    moved = np.mean([len(np.setxor1d(a, b)) for a, b in change] or [0.0])
+    rate = 1.0 / (np.mean([len(i) + 1 for i in x]) / 4 + 2 * fairness * moved + 2 * ridge)  # over the greatest curvature
     for k in range(steps):
         p = sigmoid(np.bincount(r, v[c], n) + vb)
         d = np.bincount(ra, v[ca], n) - np.bincount(rb, v[cb], n)
