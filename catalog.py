@@ -161,7 +161,7 @@ def q_crop_docs(spark, sf_dir):
 
 @q
 def q_char_budget(spark, sf_dir):
-    d = S.char_budget(S.crop_docs(V.docs(spark, sf_dir), 10_000), 500_000, order="doc_id")
+    d = S.char_budget(V.docs(spark, sf_dir), 500_000, order="doc_id")
     return d.select("doc_id", "chars_before")
 
 
@@ -187,21 +187,18 @@ def q_slice_rows(spark, sf_dir):
 
 def _lang_tasks(spark, sf_dir):
     d = V.docs(spark, sf_dir).select("doc_id", "lang")
-    en = S.seeded_shuffle(d.filter("lang = 'en'"), "doc_id", 0, out="idx")
-    fr = S.seeded_shuffle(d.filter("lang = 'fr'"), "doc_id", 0, out="idx")
-    return en, fr
+    return [S.seeded_shuffle(d.filter(F.col("lang") == x), "doc_id", 0, out="idx") for x in ("en", "fr", "de", "es")]
 
 
 @q
 def q_mix_tasks(spark, sf_dir):
-    en, fr = _lang_tasks(spark, sf_dir)
-    return S.mix_tasks([(en, 1), (fr, 2)], seed=42).select("mix_idx", "task", "copy", "idx", "doc_id")
+    en, fr, de, es = _lang_tasks(spark, sf_dir)
+    return S.mix_tasks([(en, 1), (fr, 2), (de, 1), (es, 3)], seed=42).select("mix_idx", "task", "copy", "idx", "doc_id")
 
 
 @q
 def q_sequence_tasks(spark, sf_dir):
-    en, fr = _lang_tasks(spark, sf_dir)
-    return S.sequence_tasks([en, fr]).select("seq_idx", "task", "idx", "doc_id")
+    return S.sequence_tasks(_lang_tasks(spark, sf_dir)).select("seq_idx", "task", "idx", "doc_id")
 
 
 @q
@@ -481,22 +478,24 @@ def q_prompts_lm(spark, sf_dir):
     return p.select("idx", F.md5("prompt_without").alias("without_md5"), F.md5("prompt_with").alias("with_md5"))
 
 
+def _item_spans(spark, sf_dir, kind):
+    items = (V.mc_items if kind == "mc" else V.schema_items)(spark, sf_dir)
+    return EV.option_spans_items(EV.option_parts(items, _shots(spark, sf_dir), kind), kind)
+
+
 @q
 def q_common_prefix_len(spark, sf_dir):
-    return EV.common_prefix_len(EV.tokenize_prompts(_mc_prompts(spark, sf_dir)))
+    return _item_spans(spark, sf_dir, "mc").filter("opt = 0").select("idx", F.col("start").alias("prefix_len"))
 
 
 @q
 def q_common_suffix_len(spark, sf_dir):
-    return EV.common_suffix_len(EV.tokenize_prompts(_schema_prompts(spark, sf_dir)))
+    return _item_spans(spark, sf_dir, "schema").filter("opt = 0").select("idx", (F.col("end") - F.col("start")).alias("suffix_len"))
 
 
 def _spans_all(spark, sf_dir):
-    shots = _shots(spark, sf_dir)
-    mc = EV.option_spans_items(EV.option_prompt_arrays(V.mc_items(spark, sf_dir), shots, "mc"), "mc")
-    mc = mc.withColumn("kind", F.lit("mc"))
-    sc = EV.option_spans_items(EV.option_prompt_arrays(V.schema_items(spark, sf_dir), shots, "schema"), "schema")
-    sc = sc.withColumn("kind", F.lit("schema"))
+    mc = _item_spans(spark, sf_dir, "mc").withColumn("kind", F.lit("mc"))
+    sc = _item_spans(spark, sf_dir, "schema").withColumn("kind", F.lit("schema"))
     lm = EV.tokenize_prompts(EV.tokenize_prompts(_lm_prompts(spark, sf_dir), col="prompt_without", out="ids_without"),
                              col="prompt_with", out="ids_with")
     lm = EV.option_spans(lm, "lm").withColumn("kind", F.lit("lm")).withColumn("opt", F.lit(0))
@@ -734,7 +733,7 @@ def q_pending_runs(spark, sf_dir):
 
 
 def _fruns(spark, sf_dir):
-    return RN.effective_params(RN.filter_runs(V.runs(spark, sf_dir), exclude_budgets=[7.0], exclude_depths=[23]))
+    return RN.effective_params(RN.filter_runs(V.runs(spark, sf_dir)))
 
 
 @q
@@ -852,7 +851,7 @@ def q_pretokenize(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    return TZ.pretoken_counts(TZ.pretokenize(V.budget_docs(spark, sf_dir)))
+    return TZ.pretoken_counts(TZ.pretokenize(V.docs(spark, sf_dir)))
 
 
 @q

@@ -179,7 +179,7 @@ Q["crop_docs"] = """
 SELECT doc_id, CAST(length(substr(text, 1, 1000)) AS INTEGER) AS n_chars, md5(substr(text, 1, 1000)) AS text_md5 FROM documents"""
 
 Q["char_budget"] = """
-WITH c AS (SELECT doc_id, CAST(coalesce(sum(length(substr(text,1,10000))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM documents)
+WITH c AS (SELECT doc_id, CAST(coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before FROM documents)
 SELECT doc_id, chars_before FROM c WHERE chars_before <= 500000"""
 
 
@@ -201,18 +201,23 @@ SELECT doc_id, CASE WHEN i < floor(n*0.8) THEN 'train' WHEN i < floor(n*0.8) + f
 Q["slice_rows"] = """
 SELECT doc_id, CAST((doc_id - 5) // 7 AS BIGINT) AS slice_idx FROM documents WHERE doc_id >= 5 AND doc_id < 500 AND (doc_id - 5) % 7 = 0"""
 
-LANG_TASKS = f"""en AS (SELECT doc_id, row_number() OVER (ORDER BY {hsql(0, 'doc_id')}, doc_id) - 1 AS idx FROM documents WHERE lang = 'en'),
-fr AS (SELECT doc_id, row_number() OVER (ORDER BY {hsql(0, 'doc_id')}, doc_id) - 1 AS idx FROM documents WHERE lang = 'fr')"""
+LANG_TASKS = ",\n".join(f"""{x} AS (SELECT doc_id, row_number() OVER (ORDER BY {hsql(0, 'doc_id')}, doc_id) - 1 AS idx FROM documents WHERE lang = '{x}')"""
+                        for x in ("en", "fr", "de", "es"))
 
 Q["mix_tasks"] = f"""WITH {LANG_TASKS},
 u AS (SELECT 0 AS task, 0 AS copy, idx, doc_id FROM en
-      UNION ALL SELECT 1, c.copy, idx, doc_id FROM fr, (SELECT unnest([0, 1]) AS copy) c)
+      UNION ALL SELECT 1, c.copy, idx, doc_id FROM fr, (SELECT unnest([0, 1]) AS copy) c
+      UNION ALL SELECT 2, 0, idx, doc_id FROM de
+      UNION ALL SELECT 3, c.copy, idx, doc_id FROM es, (SELECT unnest([0, 1, 2]) AS copy) c)
 SELECT CAST(row_number() OVER (ORDER BY {hsql(42, 'task', 'copy', 'idx')}, task, copy, idx) - 1 AS BIGINT) AS mix_idx,
        CAST(task AS INTEGER) AS task, CAST(copy AS INTEGER) AS copy, CAST(idx AS BIGINT) AS idx, doc_id FROM u"""
 
-Q["sequence_tasks"] = f"""WITH {LANG_TASKS}
+Q["sequence_tasks"] = f"""WITH {LANG_TASKS},
+n AS (SELECT (SELECT count(*) FROM en) AS e, (SELECT count(*) FROM fr) AS f, (SELECT count(*) FROM de) AS d)
 SELECT CAST(idx AS BIGINT) AS seq_idx, 0 AS task, CAST(idx AS BIGINT) AS idx, doc_id FROM en
-UNION ALL SELECT CAST(idx + (SELECT count(*) FROM en) AS BIGINT), 1, CAST(idx AS BIGINT), doc_id FROM fr"""
+UNION ALL SELECT CAST(idx + e AS BIGINT), 1, CAST(idx AS BIGINT), doc_id FROM fr, n
+UNION ALL SELECT CAST(idx + e + f AS BIGINT), 2, CAST(idx AS BIGINT), doc_id FROM de, n
+UNION ALL SELECT CAST(idx + e + f + d AS BIGINT), 3, CAST(idx AS BIGINT), doc_id FROM es, n"""
 
 Q["rank_shards"] = """SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS rank FROM documents"""
 
@@ -474,10 +479,10 @@ ps AS (
     SELECT i.idx, f.fewshot, i.query, unnest(i.choices) AS ctx, generate_subscripts(i.choices, 1) AS opt
     FROM items i LEFT JOIN fs_sc f USING (idx)))"""
 
-PL = fewshot("fs_lm", f"{STRIP('i.query')} || ' ' || i.choices[1] || {NL2}") + f""",
+PL = fewshot("fs_lm", f"{STRIP('i.query')} || ' ' || array_to_string(i.choices, '') || {NL2}") + f""",
 pl AS (
   SELECT idx, {STRIP('base')} AS prompt_without, base || cont AS prompt_with FROM (
-    SELECT i.idx, coalesce(f.fewshot, '') || {STRIP('i.query')} || ' ' AS base, i.choices[1] AS cont
+    SELECT i.idx, coalesce(f.fewshot, '') || {STRIP('i.query')} || ' ' AS base, array_to_string(i.choices, '') AS cont
     FROM items i LEFT JOIN fs_lm f USING (idx)))"""
 
 Q["prompts_mc"] = with_(SHOTS, PM) + """
@@ -500,31 +505,44 @@ def common_len(src: str, name: str, out: str, reverse: bool) -> str:
         SELECT idx, list({ids}) AS o FROM {src} GROUP BY idx))))"""
 
 
-TOK = lambda name, src: f"{name} AS (SELECT idx, opt, list_concat([261], {B('prompt')}) AS ids FROM {src})"
-
-Q["common_prefix_len"] = with_(SHOTS, PM, TOK("mt", "pm"), common_len("mt", "cpre", "prefix_len", False)) + """
-SELECT idx, prefix_len FROM cpre"""
-
-Q["common_suffix_len"] = with_(SHOTS, PS, TOK("st", "ps"), common_len("st", "csuf", "suffix_len", True)) + """
-SELECT idx, suffix_len FROM csuf"""
-
-SPANS = ",\n".join([PM, PS, PL, TOK("mt", "pm"), TOK("st", "ps"), common_len("mt", "cpre", "prefix_len", False),
-                    common_len("st", "csuf", "suffix_len", True)]) + f""",
-lt AS (SELECT idx, list_concat([261], {B('prompt_without')}) AS wo, list_concat([261], {B('prompt_with')}) AS wi FROM pl),
+# Options with the text before and after them; only the options are compared, and
+# whole prompts where an option is an ending of all others.
+OPTIONS = fewshot("fs_mc", f"i.query || ' ' || i.choices[i.gold + 1] || {NL2}") + """,
+mo AS (SELECT i.idx, coalesce(f.fewshot, '') || i.query || ' ' AS before, unnest(i.choices) AS o,
+              CAST(generate_subscripts(i.choices, 1) - 1 AS INTEGER) AS opt FROM items i LEFT JOIN fs_mc f USING (idx)),
+""" + fewshot("fs_sc", f"i.choices[i.gold + 1] || ' ' || i.query || {NL2}") + f""",
+so AS (SELECT i.idx, coalesce(f.fewshot, '') AS before, unnest(i.choices) AS o, ' ' || i.query AS after,
+              CAST(generate_subscripts(i.choices, 1) - 1 AS INTEGER) AS opt FROM items i LEFT JOIN fs_sc f USING (idx)),
+mt AS (SELECT idx, opt, {B('o')} AS ids FROM mo),
+st AS (SELECT idx, opt, {B('o')} AS ids FROM so),
+""" + common_len("mt", "cm", "n", False) + ",\n" + common_len("st", "cs0", "n", True) + f""",
+edge AS (SELECT idx FROM cs0 JOIN (SELECT idx, min(len(ids)) AS mn FROM st GROUP BY idx) USING (idx) WHERE n = mn),
+ft AS (SELECT idx, opt, list_concat([261], {B('before || o')}) AS ids FROM so WHERE idx IN (SELECT idx FROM edge)),
+""" + common_len("ft", "cf", "n", True) + """,
+cs AS (SELECT idx, coalesce(cf.n, cs0.n) AS n FROM cs0 LEFT JOIN cf USING (idx))"""
+
+Q["common_prefix_len"] = with_(SHOTS, OPTIONS) + """
+SELECT idx, CAST(1 + strlen(before) + n AS INTEGER) AS prefix_len FROM mo JOIN cm USING (idx) WHERE opt = 0"""
+
+Q["common_suffix_len"] = with_(SHOTS, OPTIONS) + """
+SELECT idx, CAST(strlen(after) + n AS INTEGER) AS suffix_len FROM so JOIN cs USING (idx) WHERE opt = 0"""
+
+SPANS = OPTIONS + ",\n" + PL + """,
 spans AS (
-  SELECT 'mc' AS kind, idx, opt, prefix_len AS start, CAST(len(ids) AS INTEGER) AS "end", ids, true AS valid FROM mt JOIN cpre USING (idx)
+  SELECT 'mc' AS kind, idx, opt, 1 + strlen(before) + n AS start, 1 + strlen(before || o) AS "end", before || o AS p, true AS valid FROM mo JOIN cm USING (idx)
   UNION ALL
-  SELECT 'schema', idx, opt, CAST(len(ids) - suffix_len AS INTEGER), CAST(len(ids) AS INTEGER), ids, true FROM st JOIN csuf USING (idx)
+  SELECT 'schema', idx, opt, 1 + strlen(before || o) - n, 1 + strlen(before || o || after), before || o || after, true FROM so JOIN cs USING (idx)
   UNION ALL
-  SELECT 'lm', idx, 0, CAST(len(wo) AS INTEGER), CAST(len(wi) AS INTEGER), wi, len(wo) < len(wi) AND wi[1:len(wo)] = wo FROM lt)"""
+  SELECT 'lm', idx, 0, 1 + strlen(prompt_without), 1 + strlen(prompt_with), prompt_with,
+         strlen(prompt_without) < strlen(prompt_with) AND starts_with(prompt_with, prompt_without) FROM pl)"""
 
 Q["option_spans"] = with_(SHOTS, SPANS) + """
-SELECT kind, idx, opt, start, "end", valid FROM spans"""
+SELECT kind, idx, opt, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", valid FROM spans"""
 
-Q["left_crop"] = with_(SHOTS, SPANS) + """
+Q["left_crop"] = with_(SHOTS, SPANS) + f"""
 SELECT kind, idx, opt, CAST(start - c AS INTEGER) AS start, CAST("end" - c AS INTEGER) AS "end", start - c >= 0 AS crop_ok,
-       md5(array_to_string(CASE WHEN c > 0 THEN ids[c + 1:c + 64] ELSE ids END, ',')) AS ids_md5
-FROM (SELECT *, greatest(len(ids) - 64, 0) AS c FROM spans)"""
+       md5(array_to_string(CASE WHEN c > 0 THEN t[len(t) - 63:] ELSE list_concat([261], t) END, ',')) AS ids_md5
+FROM (SELECT *, {B("right(p, 64)")} AS t, greatest("end" - 64, 0) AS c FROM spans)"""
 
 MCV = f"""ol AS (
   SELECT idx, CAST(opt AS INTEGER) AS opt, CAST(pos AS INTEGER) AS pos, round({uk("'ol'", 'idx', 'opt', 'pos')} * 10, 3) AS loss
@@ -845,10 +863,10 @@ WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.flops_budget = b AND runs.depth
 
 FRUNS = RUNS + """,
 fr AS (SELECT run, flops_budget, depth, val_bpb, tokens_trained, eff, log10(eff) AS x, val_bpb AS y, tokens_trained / eff AS ratio
-       FROM runs WHERE val_bpb IS NOT NULL AND val_bpb > 0 AND flops_budget NOT IN (7.0) AND depth NOT IN (23))"""
+       FROM runs WHERE val_bpb IS NOT NULL AND val_bpb > 0)"""
 
 Q["filter_runs"] = with_(FRUNS) + """
-SELECT run, flops_budget, depth, val_bpb FROM fr"""
+SELECT run, flops_budget, depth, val_bpb FROM fr WHERE flops_budget NOT IN (7.0) AND depth NOT IN (23)"""
 
 Q["effective_params"] = with_(RUNS) + """
 SELECT run, convention, effective_params, round(tokens_trained / effective_params, 6) AS param_data_ratio FROM (

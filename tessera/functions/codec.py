@@ -56,7 +56,7 @@ def bytes_to_text(ids) -> Column:
     """Decode byte ids (specials ≥ 256 dropped); malformed UTF-8 becomes U+FFFD."""
     kept = F.filter(_c(ids), lambda x: (x >= 0) & (x < 256))
     hx = F.array_join(F.transform(kept, lambda x: F.lpad(F.hex(x), 2, "0")), "")
-    return F.decode(F.unhex(hx), "UTF-8")
+    return F.make_valid_utf8(F.unhex(hx).cast("string"))
 
 
 class ByteCodec:
@@ -79,6 +79,10 @@ class ByteCodec:
     def encode_col(self, text) -> Column:
         return utf8_ids(text)
 
+    def length_col(self, text) -> Column:
+        """How many ids a text has."""
+        return F.octet_length(_c(text))
+
     def encode(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
         return df.withColumn(out, utf8_ids(text))
 

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BUCKETS = 512
+
+
 def _bounds(df: DataFrame, col: str, n: int) -> list:
     if n <= 1:
         return []
@@ -39,6 +42,12 @@ def range_bucket(key: Column, bounds: list) -> Column:
     return tree(0, len(bounds)) if bounds else F.lit(0)
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Ranges to cut an order into: the shuffle partitions, but no more than
+    MAX_BUCKETS, since the quantile sketch and the CASE tree grow with them."""
+    return min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
 def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column | None = None,
                by: Sequence[str] = (), idx: str = "idx", before: str = "before",
                buckets: int | None = None, small_groups: bool = False) -> DataFrame:
@@ -65,7 +74,7 @@ def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column |
         return out.drop("__v")
 
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+        buckets = default_buckets(df)
     bounds = _bounds(df, order[0], buckets)
     df = df.withColumn("__b", range_bucket(F.col(order[0]), bounds))
 
@@ -76,10 +85,14 @@ def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column |
 
     tot = df.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__tn"), F.sum("__v").alias("__tv"))
     wt = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, "__b",
+    # a null group is a group like any other, so the join is null-safe
+    off = tot.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__ob"),
                      F.coalesce(F.sum("__tn").over(wt), F.lit(0)).alias("__on"),
                      F.coalesce(F.sum("__tv").over(wt), F.lit(0)).alias("__ov"))
-    out = (local.join(off, on=[*by, "__b"], how="inner")
+    same = F.col("__b") == F.col("__ob")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    out = (local.join(off, same, how="inner").drop("__ob", *[f"__by{i}" for i in range(len(by))])
                 .withColumn(idx, (F.col("__on") + F.col("__li")).cast("bigint"))
                 .withColumn(before, (F.col("__ov") + F.col("__lb")).cast(vtype)))
     return out.drop("__v", "__b", "__li", "__lb", "__on", "__ov")

@@ -56,11 +56,10 @@ def write_token_table(tokens: DataFrame, path: str, keys: list[str], partition_b
     against the stored key columns (only those columns are read).
     """
     spark = tokens.sparkSession
-    try:
-        existing = spark.read.parquet(path).select(*keys)
-        new = tokens.join(existing, keys, "left_anti")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        new = tokens
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = tokens.dropDuplicates(keys)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # a table that can't be read is an error
+        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     w = new.write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)

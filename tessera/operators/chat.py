@@ -62,7 +62,7 @@ def validate_conversations(c: DataFrame) -> DataFrame:
     user, content is a string."""
     c = ensure_parts(c)
     m = F.col(MSG)
-    reason = F.when(F.size(m) < 2, F.lit("too_short")).otherwise(_alternation(m, None))
+    reason = F.when(m.isNull(), F.lit("no_messages")).when(F.size(m) < 2, F.lit("too_short")).otherwise(_alternation(m, None))
     return _with_verdict(c, reason)
 
 
@@ -75,7 +75,8 @@ def validate_smoltalk(c: DataFrame) -> DataFrame:
     c = ensure_parts(c)
     m = F.col(MSG)
     rest = _drop_system(m)
-    reason = (F.when(F.size(m) < 1, F.lit("empty"))
+    reason = (F.when(m.isNull(), F.lit("no_messages"))
+               .when(F.size(m) < 1, F.lit("empty"))
                .when(F.size(rest) < 2, F.lit("too_short"))
                .otherwise(_alternation(rest, None)))
     return _with_verdict(c, reason)
@@ -85,7 +86,7 @@ def validate_synthetic(c: DataFrame) -> DataFrame:
     """≥ 2 messages, alternation, no blank content."""
     c = ensure_parts(c)
     m = F.col(MSG)
-    reason = F.when(F.size(m) < 2, F.lit("too_short")).otherwise(_alternation(m, "blank"))
+    reason = F.when(m.isNull(), F.lit("no_messages")).when(F.size(m) < 2, F.lit("too_short")).otherwise(_alternation(m, "blank"))
     return _with_verdict(c, reason)
 
 
@@ -109,7 +110,7 @@ def conversation_limits(c: DataFrame, max_messages: int = 500, max_chars: int =
     total = F.aggregate(m, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(F.length(x["content"]), F.lit(0)))
     bad_role = _first_reason(F.transform(m, lambda x, i: F.when(
         ~x["role"].isin("user", "assistant") | x["role"].isNull(), F.concat(F.lit("invalid_role:"), i.cast("string")))))
-    reason = (F.when(n == 0, F.lit("no_messages"))
+    reason = (F.when(m.isNull() | (n == 0), F.lit("no_messages"))
                .when(n > max_messages, F.lit("too_many_messages"))
                .otherwise(F.coalesce(_first_reason(F.transform(m, per)),
                                      F.when(total > max_total, F.lit("total_too_long")),

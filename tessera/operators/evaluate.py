@@ -32,7 +32,9 @@ def sample_fewshot(items: DataFrame, k: int, seed: int = 1234, idx: str = "idx",
     Adds ``shots array<bigint>`` (order as drawn).
     """
     if n is None:
-        n = items.count()
+        low, high, n = items.agg(F.min(idx), F.max(idx), F.count(F.lit(1))).first()
+        if n and (low != 0 or high != n - 1):
+            raise ValueError(f"{idx} must number the items 0 to {n - 1}; it runs from {low} to {high} (see functions.index.global_index)")
     pool = n - 1
     if k > 0 and pool < k:
         raise ValueError(f"need at least {k + 1} items for {k} shots, got {n}")
@@ -172,8 +174,10 @@ def score_options(losses: DataFrame, spans: DataFrame, gold: DataFrame, idx: str
     j = j.filter((F.col("pos") >= F.col("start") - 1) & (F.col("pos") < F.col("end") - 1))
     m = j.groupBy(idx, "opt").agg(F.round(F.avg("loss"), 9).alias("mean_loss"))  # exact ties stay ties
     best = m.groupBy(idx).agg(F.min_by("opt", F.struct("mean_loss", "opt")).alias("pred"))
-    return (best.join(gold, idx)
-                .withColumn("correct", (F.col("pred") == F.col("gold")).cast("int")))
+    # an item without losses has no prediction, which is wrong
+    return (gold.join(best, idx, "left")
+                .withColumn("correct", F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).cast("int"))
+                .select(idx, "pred", *[c for c in gold.columns if c != idx], "correct"))
 
 
 def score_lm(preds: DataFrame, spans: DataFrame, idx: str = "idx") -> DataFrame:
@@ -183,7 +187,10 @@ def score_lm(preds: DataFrame, spans: DataFrame, idx: str = "idx") -> DataFrame:
     p = preds.select(idx, (F.col("pos") + 1).alias("pos"), F.col("pred"))
     j = a.join(p, [idx, "pos"]).join(spans.select(idx, "start", "end"), idx)
     j = j.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    return j.groupBy(idx).agg(F.bool_and(F.col("pred") == F.col("actual")).cast("int").alias("correct"))
+    got = j.groupBy(idx).agg(F.bool_and(F.col("pred").eqNullSafe(F.col("actual"))).alias("_ok"), F.count(F.lit(1)).alias("_n"))
+    # an item lacks a prediction somewhere in its span: wrong, like one without any
+    want = spans.select(idx, (F.col("end") - F.col("start")).alias("_want")).distinct()
+    return want.join(got, idx, "left").select(idx, F.coalesce(F.col("_ok") & (F.col("_n") >= F.col("_want")), F.lit(False)).cast("int").alias("correct"))
 
 
 def task_accuracy(verdicts: DataFrame, task: str = "task") -> DataFrame:
@@ -192,11 +199,13 @@ def task_accuracy(verdicts: DataFrame, task: str = "task") -> DataFrame:
 
 def core_metric(acc: DataFrame, baselines_pct: DataFrame, model: str = "model") -> DataFrame:
     """Centred accuracy ``(a − 0.01b)/(1 − 0.01b)`` per task (b in percent),
-    then the mean over tasks per model. baselines (task, baseline)."""
-    j = acc.join(baselines_pct, "task")
+    then the mean over tasks per model; null if a task has no baseline.
+    baselines (task, baseline)."""
+    j = acc.join(baselines_pct, "task", "left")
     b = F.col("baseline") * 0.01
     c = j.withColumn("centered", (F.col("accuracy") - b) / (1.0 - b))
-    return c.groupBy(model).agg(F.round(F.avg("centered"), 6).alias("core_metric"),
+    whole = F.count("baseline") == F.count(F.lit(1))
+    return c.groupBy(model).agg(F.when(whole, F.round(F.avg("centered"), 6)).alias("core_metric"),
                                 F.count(F.lit(1)).alias("n_tasks"))
 
 
@@ -215,17 +224,20 @@ def categorical_eval(logits: DataFrame, items: DataFrame, idx: str = "idx") -> D
     """Argmax over the item's own letters (first letter on ties); letters
     must encode to one byte. items (idx, letters, answer)."""
     il = items.select(idx, F.posexplode("letters").alias("lpos", "letter"), "letters", "answer")
-    j = il.join(logits.select(idx, "letter", "logit"), [idx, "letter"])
-    g = j.groupBy(idx).agg(F.max_by("letter", F.struct("logit", -F.col("lpos"))).alias("pred"),
+    j = il.join(logits.select(idx, "letter", "logit"), [idx, "letter"], "left")
+    # an item without logits keeps its row: no prediction, wrong
+    seen = F.when(F.col("logit").isNotNull(), F.struct("logit", -F.col("lpos")))
+    g = j.groupBy(idx).agg(F.max_by("letter", seen).alias("pred"),
                            F.first("letters").alias("letters"), F.first("answer").alias("answer"))
     valid = F.forall("letters", lambda x: F.octet_length(x) == 1)
     return g.select(idx, "pred", valid.alias("letters_ok"),
-                    (F.col("pred") == F.get(F.col("letters"), F.col("answer"))).cast("int").alias("correct"))
+                    F.coalesce(F.col("pred") == F.get(F.col("letters"), F.col("answer")), F.lit(False)).cast("int").alias("correct"))
 
 
 def subject_accuracy(verdicts: DataFrame, subject: str = "subject") -> DataFrame:
-    r = verdicts.rollup(subject).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("correct"), 6).alias("accuracy"))
-    return r.withColumn(subject, F.coalesce(F.col(subject), F.lit("ALL")))
+    r = verdicts.rollup(subject).agg(F.grouping(subject).alias("_all"), F.count(F.lit(1)).alias("n"),
+                                     F.round(F.avg("correct"), 6).alias("accuracy"))
+    return r.withColumn(subject, F.when(F.col("_all") == 1, "ALL").otherwise(F.col(subject))).drop("_all")
 
 
 # ------------------------------------------------------------------ completions
@@ -278,14 +290,15 @@ def completion_mask(seqs: DataFrame, prompt_len: str = "prompt_len", codec: Byte
 # ------------------------------------------------------------------ generative
 
 
+# Fixed value: the answer mark of the grade-school problems.
 GSM_RE = r"#### (\-?[0-9\.\,]+)"
 
 
 def extract_answer(col) -> Column:
     """First ``#### number`` with commas removed, else null."""
     c = F.col(col) if isinstance(col, str) else col
-    m = F.regexp_extract(c, GSM_RE, 1)
-    return F.when(c.rlike(GSM_RE), F.regexp_replace(F.trim(m), ",", ""))
+    m = F.regexp_extract(c, GSM_RE, 1)  # empty only without a match: the pattern takes one character at least
+    return F.when(m != "", F.regexp_replace(m, ",", ""))
 
 
 def answer_match(items: DataFrame, completions: DataFrame, key: str = "problem") -> DataFrame:
@@ -405,35 +418,43 @@ def split_bpb(losses: DataFrame, byte_lengths: DataFrame, split_tokens: int, tok
 # ------------------------------------------------------------------ item-level (no shuffle) spans
 
 
-def option_prompt_arrays(items: DataFrame, shots: DataFrame, kind: str, delim: str = " ",
-                         idx: str = "idx") -> DataFrame:
-    """(idx, prompts array<string>) with all options of an item on its row,
-    so spans need no regrouping shuffle."""
+def option_parts(items: DataFrame, shots: DataFrame, kind: str, delim: str = " ", idx: str = "idx") -> DataFrame:
+    """(idx, before, options array<string>, after): the prompt of an option is
+    ``before + option + after``. What the options share is on the row once."""
     if kind == "mc":
         block = F.concat(F.col("query"), F.lit(delim), F.get(F.col("choices"), F.col("gold")), F.lit("\n\n"))
-        d = _with_fewshot(items, shots, block, idx)
-        arr = F.transform("choices", lambda c: F.concat(F.col("fewshot"), F.col("query"), F.lit(delim), c))
+        parts = (F.concat(F.col("fewshot"), F.col("query"), F.lit(delim)), F.col("choices"), F.lit(""))
     elif kind == "schema":
         block = F.concat(F.get(F.col("context_options"), F.col("gold")), F.lit(delim), F.col("continuation"), F.lit("\n\n"))
-        d = _with_fewshot(items, shots, block, idx)
-        arr = F.transform("context_options", lambda c: F.concat(F.col("fewshot"), c, F.lit(delim), F.col("continuation")))
+        parts = (F.col("fewshot"), F.col("context_options"), F.concat(F.lit(delim), F.col("continuation")))
     else:
         raise ValueError(kind)
-    return d.select(idx, arr.alias("prompts"))
+    before, options, after = parts
+    return _with_fewshot(items, shots, block, idx).select(idx, before.alias("before"), options.alias("options"), after.alias("after"))
 
 
-def option_spans_items(prompts: DataFrame, kind: str, codec: ByteCodec | None = None, idx: str = "idx") -> DataFrame:
-    """Spans of every option from item rows (``option_prompt_arrays``):
-    tokenize each prompt, take the common prefix (mc) or suffix (schema) on
-    the row, then explode to (idx, opt, ids, start, end)."""
+def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = None, idx: str = "idx") -> DataFrame:
+    """Spans of every option from ``option_parts``: (idx, opt, ids, start, end).
+
+    The shared text is encoded once and only the options are compared: the
+    common prefix (mc) is BOS, ``before`` and what the options have in common;
+    the common suffix (schema) is ``after`` and what the options end with in
+    common, going on into ``before`` if an option is an ending of all others.
+    This needs a codec whose ids of a concatenation are the concatenated ids,
+    as bytes are; a merging codec has to encode whole prompts."""
     codec = codec or ByteCodec()
-    bos = F.array(F.lit(codec.bos))
-    d = prompts.withColumn("_ids", F.transform("prompts", lambda p: F.concat(bos, codec.encode_col(p))))
+    head = F.array(F.lit(codec.bos))
+    d = parts.withColumn("_o", F.transform("options", lambda o: codec.encode_col(o)))
+    n_before, n_after = codec.length_col("before"), codec.length_col("after")
     if kind == "mc":
-        d = d.withColumn("_c", _common_len(F.col("_ids")))
+        d = d.withColumn("_c", 1 + n_before + _common_len(F.col("_o")))
     else:
-        d = d.withColumn("_r", F.transform("_ids", F.reverse)).withColumn("_c", _common_len(F.col("_r")))
-    e = d.select(idx, "_c", F.posexplode("_ids").alias("opt", "ids"))
-    end = F.size("ids")
+        ends = _common_len(F.transform("_o", F.reverse))
+        shortest = F.array_min(F.transform("_o", F.size))
+        further = _common_len(F.transform("_o", lambda o: F.reverse(F.concat(head, codec.encode_col("before"), o))))
+        d = d.withColumn("_c", n_after + F.when(ends < shortest, ends).otherwise(further))
+    d = d.select(idx, "before", "after", "_c", F.posexplode("_o").alias("opt", "_ids"))
+    end = 1 + n_before + F.size("_ids") + n_after
+    ids = F.concat(head, codec.encode_col("before"), F.col("_ids"), codec.encode_col("after"))
     start = F.col("_c") if kind == "mc" else end - F.col("_c")
-    return e.select(idx, "opt", "ids", start.alias("start"), end.alias("end"))
+    return d.select(idx, "opt", ids.alias("ids"), start.cast("int").alias("start"), end.cast("int").alias("end"))

@@ -34,7 +34,8 @@ def pack_concat(lens: DataFrame, T: int) -> DataFrame:
     tot = lens.groupBy("grp").agg((F.sum("len") / F.lit(C)).cast("bigint").alias("n_rows"))
     first = (F.col("bef") / F.lit(C)).cast("bigint")
     last = ((F.col("bef") + F.col("len") - 1) / F.lit(C)).cast("bigint")
-    e = p.join(tot, "grp").withColumn("row_id", F.explode(F.sequence(first, last)))
+    tot = tot.withColumnRenamed("grp", "_g")
+    e = p.join(tot, F.col("grp").eqNullSafe(F.col("_g"))).drop("_g").withColumn("row_id", F.explode(F.sequence(first, last)))
     e = e.filter(F.col("row_id") < F.col("n_rows"))
     lo = F.greatest(F.col("row_id") * C, F.col("bef"))
     hi = F.least((F.col("row_id") + 1) * C, F.col("bef") + F.col("len"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.index import prefix_sum, range_bucket, _bounds
+from ..functions.index import _bounds, default_buckets, prefix_sum, range_bucket
 
 # ------------------------------------------------------------------ run tables
 
@@ -306,14 +306,17 @@ def running_min(df: DataFrame, value: str, order: str, by: list[str], out: str,
     computed per range bucket and combined with the minima of earlier
     buckets (a small table), so no group is funnelled into one task."""
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+        buckets = default_buckets(df)
     d = df.withColumn("_b", range_bucket(F.col(order), _bounds(df, order, buckets)))
     wl = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("_lm", F.min(value).over(wl))
     tot = d.groupBy(*by, "_b").agg(F.min(value).alias("_bm"))
     wt = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, "_b", F.min("_bm").over(wt).alias("_om"))
-    j = local.join(off, [*by, "_b"])
+    off = tot.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_ob"), F.min("_bm").over(wt).alias("_om"))
+    same = F.col("_b") == F.col("_ob")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    j = local.join(off, same).drop("_ob", *[f"_by{i}" for i in range(len(by))])
     return j.withColumn(out, F.when(F.col("_om").isNull(), F.col("_lm")).otherwise(F.least("_lm", "_om"))).drop(
         "_b", "_lm", "_om")
 
@@ -375,12 +378,18 @@ def device_peaks(devices: DataFrame, peaks: DataFrame, device: str = "device") -
     return g.withColumn("peak_flops", F.coalesce(F.col("peak_flops"), F.lit(float("inf"))))
 
 
+#: Device names that are sent to every executor; more of them are joined.
+MAX_DEVICES = 10_000
+
+
 def throughput(steps: DataFrame, peaks: DataFrame, batch_tokens: str = "batch_tokens",
                flops_per_token: str = "flops_per_token", world: str = "world", run: str = "run_id",
                step: str = "step", dt: str = "dt", num_iterations: str = "num_iterations") -> DataFrame:
     """tokens/s, FLOP/s, MFU %, time counted after step 10, FLOPs so far, ETA."""
-    pk = device_peaks(steps, peaks)
-    d = steps.join(pk, "device")  # one row per device name; AQE broadcasts it once measured
+    pk = device_peaks(steps, peaks).withColumnRenamed("device", "_device")
+    if pk.count() <= MAX_DEVICES:
+        pk = F.broadcast(pk)
+    d = steps.join(pk, F.col("device").eqNullSafe(F.col("_device"))).drop("_device")
     counted = F.when(F.col(step) > 10, F.col(dt)).otherwise(F.lit(0.0))
     d = d.withColumn("_c", counted).withColumn("_o", F.col(step).cast("bigint"))
     d = prefix_sum(d, "_o", "_c", by=[run], idx="_i", before="_tb")

@@ -53,12 +53,13 @@ def _run_metrics_fn(beta: float):
         df = pd.concat(frames).sort_values("step")
         out = []
         for step, loss, bpb, dt in zip(df["step"].tolist(), df["loss"].tolist(), df["val_bpb"].tolist(), df["dt"].tolist()):
-            if step <= last:        # replayed or late record: already counted
-                continue
-            ema = beta * ema + (1 - beta) * loss
             best = min(best, bpb)
             if step > 10:
                 total += dt
+            if step <= last:  # late: counts for the minimum and the time, but the average has gone on
+                out.append((run_id, int(step), None, best, total))
+                continue
+            ema = beta * ema + (1 - beta) * loss
             out.append((run_id, int(step), ema / (1 - beta ** (step + 1)), best, total))
             last = step
         state.update((ema, best, total, last))
@@ -69,7 +70,8 @@ def _run_metrics_fn(beta: float):
 
 def run_metrics_stream(records: DataFrame, beta: float = 0.9) -> DataFrame:
     """Per run, in step order: debiased EMA of the loss, best val_bpb so far
-    and training time after step 10. State per run is four numbers."""
+    and training time after step 10. State per run is four numbers. A record
+    that comes after a later step of its run has a null average."""
     return (records.groupBy("run_id")
                    .applyInPandasWithState(_run_metrics_fn(beta), OUT_SCHEMA, STATE_SCHEMA, "append",
                                            GroupStateTimeout.NoTimeout))

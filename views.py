@@ -122,8 +122,8 @@ def schema_items(spark, sf_dir) -> DataFrame:
 
 
 def lm_items(spark, sf_dir) -> DataFrame:
-    m = mc_items(spark, sf_dir)
-    return m.select("idx", F.col("query").alias("context"), F.get(F.col("choices"), 0).alias("continuation"))
+    m = mc_items(spark, sf_dir)  # the continuation is the whole rest of the text
+    return m.select("idx", F.col("query").alias("context"), F.array_join("choices", "").alias("continuation"))
 
 
 def option_losses(spark, sf_dir) -> DataFrame:
@@ -337,11 +337,6 @@ def words(spark, sf_dir) -> DataFrame:
     return w.withColumn("id", (F.row_number().over(Window.orderBy("word")) + 2).cast("int"))
 
 
-def budget_docs(spark, sf_dir, doc_cap=10_000, max_chars=300_000):
-    from tessera.operators.selection import char_budget, crop_docs
-    return char_budget(crop_docs(docs(spark, sf_dir), doc_cap), max_chars)
-
-
 def log_lines(spark, sf_dir) -> DataFrame:
     """Text log lines per run built from the steps view: header lines, a
     validation line every 50 steps (repeated keys: the last wins) and a CORE
