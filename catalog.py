@@ -1086,18 +1086,18 @@ def q_read_eval_bundle(spark, sf_dir):
               "continuation_delimiter": "\n"},
              {"label": "task_src3", "icl_task_type": "multiple_choice", "dataset_uri": "src3", "num_fewshot": [2]}]
     items = {
-        "src0": m.filter("subject = 'src0'").select("idx", F.struct("query", "choices", "gold").alias("item")),
-        "src1": m.filter("subject = 'src1'").select("idx", F.struct(F.col("choices").alias("context_options"),
+        "src0": m.filter("idx % 4 = 0").select("idx", F.struct("query", "choices", "gold").alias("item")),
+        "src1": m.filter("idx % 4 = 1").select("idx", F.struct(F.col("choices").alias("context_options"),
                                                                     F.col("query").alias("continuation"), "gold").alias("item")),
-        "src2": m.filter("subject = 'src2'").select("idx", F.struct(F.col("query").alias("context"),
-                                                                    F.get("choices", 0).alias("continuation")).alias("item")),
-        "src3": m.filter("subject = 'src3'").select("idx", F.struct("query", "choices", "gold").alias("item")),
+        "src2": m.filter("idx % 4 = 2").select("idx", F.struct(F.col("query").alias("context"),
+                                                                    F.array_join("choices", "").alias("continuation")).alias("item")),
+        "src3": m.filter("idx % 4 = 3").select("idx", F.struct("query", "choices", "gold").alias("item")),
     }
     BD.write_eval_bundle(spark, path, tasks, {"task_src0": 25.0, "task_src1": 50.0, "task_src2": 0.0, "task_src3": 25.0},
                          items)
     meta, it = BD.read_eval_bundle(spark, path)
     g = it.groupBy("label").agg(F.count(F.lit(1)).alias("n_items"),
-                                F.md5(F.array_join(F.array_sort(F.collect_list(F.coalesce("query", "context", "continuation"))), "|"))
-                                .alias("text_md5"))
+                                F.sum(F.conv(F.substring(F.md5(F.coalesce("query", "context", "continuation")), 1, 8), 16, 10).cast("bigint"))
+                                .alias("text_hash"))
     return meta.join(g, "label").select("label", "task_type", "num_fewshot", "continuation_delimiter", "baseline",
-                                        "n_items", "text_md5")
+                                        "n_items", "text_hash")

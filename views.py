@@ -339,7 +339,7 @@ def words(spark, sf_dir) -> DataFrame:
 
 def log_lines(spark, sf_dir) -> DataFrame:
     """Text log lines per run built from the steps view: header lines, a
-    validation line every 50 steps (repeated keys: the last wins) and a CORE
+    validation line for every step (repeated keys: the last wins) and a CORE
     line (twice) for even runs only."""
     st = steps(spark, sf_dir)
     per = st.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
@@ -352,7 +352,7 @@ def log_lines(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("total                   : "), fmt((r + 1) * 5000011)),
         F.concat(F.lit("Calculated number of iterations: "), fmt(F.col("n") * 10)),
         F.concat(F.lit("Total batch size "), fmt(F.lit(524288)), F.lit(" => gradient accumulation steps: 1")))).alias("line_no", "line"))
-    vals = st.filter(F.col("step") % 50 == 0).select(
+    vals = st.select(
         "run_id", (F.col("step") + 10).alias("line_no"),
         F.concat(F.lit("step "), F.lpad(F.col("step").cast("string"), 5, "0"), F.lit(" | Validation bpb: "),
                  F.format_string("%.4f", F.col("val_bpb"))).alias("line"))
