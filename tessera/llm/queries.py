@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlcrf, linededup, nbsvm, packing, perplexity, simhash, superkmer, toxicity, urlfilter
+from . import decontam, htmlcrf, linededup, nbsvm, oracles, packing, perplexity, simhash, superkmer, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -61,4 +61,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_url_filter, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op9_perplexity, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_line_dedup": oracles.OP2, "op3_url_filter": oracles.OP3, "op4_substring_dedup": oracles.OP4}
