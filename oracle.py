@@ -19,7 +19,7 @@ DOCS = """docs AS (
   FROM documents)"""
 
 LENS = """lens AS (
-  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS len, doc_id % 4 AS grp, doc_id AS ord FROM documents)"""
+  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS len, doc_id // 256 AS grp, doc_id AS ord FROM documents)"""
 
 # byte ids of the whole text, BOS first
 DOC_BYTES = """doc_bytes AS (

@@ -14,6 +14,8 @@ stream is read in order by one task with bounded memory via ``mapInPandas``.
 from __future__ import annotations
 
 import bisect
+import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -151,70 +153,65 @@ def pack_greedy_pad(lens: DataFrame, T: int) -> DataFrame:
 
 
 class _FFD:
-    """First-fit decreasing over a whole stream, docs cropped to one row.
+    """First-fit decreasing over a stream, docs cropped to one row.
 
-    Input arrives sorted by length descending (then ord). First fit = lowest
-    row index with enough room, found through a segment tree over free
-    space, so each placement is O(log rows); full rows are emitted at once,
-    only the placements of rows with room left are held.
+    Input arrives sorted by length descending (then ord). Rows with room wait
+    in a heap for each free space, and a tree over the free spaces holds the
+    lowest row of each heap, so the first row with room for ``n`` is a minimum
+    over the spaces from ``n`` on, O(log C). A row that is full is emitted and
+    forgotten: what is held are the rows with room left, and O(C) for the tree.
     """
 
     def __init__(self, grp, C):
         self.g, self.C = grp, C
-        self.size = 1
-        self.tree = [0] * 2          # max free space per node
+        self.size = 1 << C.bit_length()
+        self.low = [math.inf] * (2 * self.size)
+        self.waiting: dict[int, list[int]] = {}
+        self.open: dict[int, list] = {}      # row: its placements so far
         self.n_rows = 0
-        self.fill = []               # used tokens per row
-        self.pieces = []             # placements of rows not yet full
-
-    def _grow(self):
-        old = self.tree
-        self.size *= 2
-        self.tree = [0] * (2 * self.size)
-        leaves = old[len(old) // 2:]
-        for i, v in enumerate(leaves):
-            self.tree[self.size + i] = v
-        for i in range(self.size - 1, 0, -1):
-            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def _set(self, i, v):
-        i += self.size
-        self.tree[i] = v
-        i //= 2
-        while i:
-            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def _refresh(self, space):
+        i = space + self.size
+        self.low[i] = self.waiting[space][0] if self.waiting.get(space) else math.inf
+        while i > 1:
             i //= 2
+            self.low[i] = min(self.low[2 * i], self.low[2 * i + 1])
 
     def _first_fit(self, n):
-        if self.tree[1] < n:
+        """The free space whose heap has the lowest row with room for n, or -1."""
+        lo, hi, best = n + self.size, 2 * self.size, 0
+        while lo < hi:
+            if lo & 1:
+                best, lo = (lo if self.low[lo] < self.low[best] else best), lo + 1
+            if hi & 1:
+                hi -= 1
+                best = hi if self.low[hi] < self.low[best] else best
+            lo, hi = lo // 2, hi // 2
+        if self.low[best] == math.inf:
             return -1
-        i = 1
-        while i < self.size:
-            i = 2 * i if self.tree[2 * i] >= n else 2 * i + 1
-        return i - self.size
+        while best < self.size:
+            best = 2 * best if self.low[2 * best] <= self.low[2 * best + 1] else 2 * best + 1
+        return best - self.size
 
     def push(self, doc, n):
         n = min(n, self.C)
-        r = self._first_fit(n)
-        if r < 0:
-            if self.n_rows == self.size:
-                self._grow()
-            r = self.n_rows
+        space = self._first_fit(n)
+        if space < 0:
+            space, r = self.C, self.n_rows
             self.n_rows += 1
-            self.fill.append(0)
-            self.pieces.append([])
-        self.pieces[r].append((self.g, r, self.fill[r], doc, 0, n))
-        self.fill[r] += n
-        self._set(r, self.C - self.fill[r])
-        if self.fill[r] == self.C:          # a full row never changes again: emit it
-            out, self.pieces[r] = self.pieces[r], []
-            return out
+            self.open[r] = []
+        else:
+            r = heapq.heappop(self.waiting[space])
+            self._refresh(space)
+        self.open[r].append((self.g, r, self.C - space, doc, 0, n))
+        if space == n:                       # a full row never changes again: emit it
+            return self.open.pop(r)
+        heapq.heappush(self.waiting.setdefault(space - n, []), r)
+        self._refresh(space - n)
         return []
 
     def finish(self):
-        out = [p for row in self.pieces for p in row]
-        self.pieces = []
-        return out
+        return [p for r in sorted(self.open) for p in self.open[r]]
 
 
 def pack_ffd(lens: DataFrame, T: int) -> DataFrame:

@@ -22,14 +22,15 @@ from ..operators import packing as P
 from ..operators import selection as S
 
 
-def pretraining_rows(docs: DataFrame, T: int, codec: ByteCodec | None = None, group: F.Column | None = None,
+def pretraining_rows(docs: DataFrame, T: int, group: F.Column, codec: ByteCodec | None = None,
                      buffer: int = 1000, refill: int = 128) -> DataFrame:
     """docs (doc_id, text) → (grp, row_id, inputs, targets), every row T+1
-    tokens starting with BOS (best-fit with cropping)."""
+    tokens starting with BOS (best-fit with cropping). ``group`` names the
+    stream of a document, packed by one task in order; take one that grows with
+    the corpus, such as the shard."""
     codec = codec or ByteCodec()
     toks = docs.select("doc_id", F.concat(F.array(F.lit(codec.bos)), codec.encode_col(F.col("text"))).alias("ids"))
-    grp = group if group is not None else F.lit(0)
-    lens = toks.select("doc_id", F.size("ids").cast("bigint").alias("len"), grp.alias("grp"), F.col("doc_id").alias("ord"))
+    lens = toks.select("doc_id", F.size("ids").cast("bigint").alias("len"), group.alias("grp"), F.col("doc_id").alias("ord"))
     layout = P.pack_bestfit_crop(lens, T, buffer=buffer, refill=refill)
     pieces = layout.join(toks, "doc_id").select(
         "grp", "row_id", "pos", F.slice("ids", F.col("start") + 1, F.col("len")).alias("piece"))

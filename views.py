@@ -47,7 +47,7 @@ def docs(spark, sf_dir) -> DataFrame:
 def lens(spark, sf_dir) -> DataFrame:
     d = t(spark, sf_dir, "documents")
     return d.select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("len"),
-                    (F.col("doc_id") % 4).alias("grp"), F.col("doc_id").alias("ord"))
+                    F.floor(F.col("doc_id") / DOCS_PER_SHARD).alias("grp"), F.col("doc_id").alias("ord"))
 
 
 def doc_bytes(spark, sf_dir) -> DataFrame:
