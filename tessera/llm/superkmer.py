@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import encoded, id_out, id_text, rows, schema_of
 
 #: Words in a run whose hash may be the minimiser.
-M = 4
+M = 3
 #: Bytes of text that a map task works on at once, and of strings that it holds back.
 WORK, HELD = 4 << 20, 32 << 20
 #: Strings a map task remembers to settle repeats itself; no result depends on it.
@@ -89,13 +89,13 @@ def _runs(doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 OUT = "bucket long,block binary,doc_id long,mark long,first long,n long"
 
 
-def super_kmers(window: int, buckets: int):
+def super_kmers(window: int, buckets: int, marked: bool = True):
     """Rows (doc_id, text) to blocks (bucket, block) and settled stretches
-    (doc_id, mark, first, n)."""
+    (doc_id, mark, first, n). Without ``marked`` every mark is 0."""
     out = schema_of(OUT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent, zip_ = _Hashes(), {}, zstandard.ZstdCompressor(3)
+        hashes, sent, zip_ = _Hashes(), {}, zstandard.ZstdCompressor(6)
         held: list[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -114,7 +114,7 @@ def super_kmers(window: int, buckets: int):
                 for own in np.split(order, cuts):
                     body = b"\n".join([strings[i] for i in own])
                     names.append(int(bucket[own[0]]))
-                    blocks.append(zip_.compress(len(own).to_bytes(4, "little") + doc[own].astype("<i8").tobytes() + mark[own].astype("<u4").tobytes() + at[own].astype("<u4").tobytes() + body))
+                    blocks.append(zip_.compress(len(own).to_bytes(4, "little") + np.diff(doc[own].astype("<i8"), prepend=0).tobytes() + mark[own].astype("<u4").tobytes() + at[own].astype("<u4").tobytes() + body))
                 for i in range(0, len(names), 256):
                     n = len(names[i : i + 256])
                     yield rows(out, names[i : i + 256], blocks[i : i + 256], *[[None] * n] * 4)
@@ -148,7 +148,7 @@ def super_kmers(window: int, buckets: int):
             b = ends[last + window - 1].tolist()
             strings = [flat[x:y] for x, y in zip(a, b)]
             doc = np.array(ids, np.int64)[owner[first]]
-            mark = np.array([text_mark(t) for t in texts], np.int64)[owner[first]]
+            mark = np.array([text_mark(t) if marked else 0 for t in texts], np.int64)[owner[first]]
             at = first - start[first]
             ship = np.ones(len(first), bool)
             for k, (s, d) in enumerate(zip(strings, doc.tolist())):
@@ -190,7 +190,7 @@ def repeated_windows(blocks: list[bytes], window: int) -> tuple[np.ndarray, ...]
     for z in blocks:
         x = zstandard.ZstdDecompressor().decompress(z)
         n = int.from_bytes(x[:4], "little")
-        doc.append(np.frombuffer(x, "<i8", n, 4)), mark.append(np.frombuffer(x, "<u4", n, 4 + 8 * n)), at.append(np.frombuffer(x, "<u4", n, 4 + 12 * n))
+        doc.append(np.cumsum(np.frombuffer(x, "<i8", n, 4))), mark.append(np.frombuffer(x, "<u4", n, 4 + 8 * n)), at.append(np.frombuffer(x, "<u4", n, 4 + 12 * n))
         body.append(x[4 + 16 * n :])
     doc, mark, at = np.concatenate(doc), np.concatenate(mark).astype(np.int64), np.concatenate(at).astype(np.int64)
     none = (doc[:0], mark[:0], at[:0], at[:0])
@@ -276,10 +276,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     if window <= M:
         raise ValueError(f"a window has more than {M} words")
     own = id_text(docs)
-    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1024, int(total * 3.5 / BUCKET_BYTES))
+    size = own.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("rows")).first()
+    buckets, marked = max(1024, int(size[0] * 3.5 / BUCKET_BYTES)), (size[1] or 0) > 1
     ddl = "bucket long, block binary, doc_id long, mark long, first long, n long"
-    sent = own.mapInArrow(super_kmers(window, buckets), ddl)
+    sent = own.mapInArrow(super_kmers(window, buckets, marked), ddl)
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle(window), "doc_id long, mark long, first long, n long")
     by_doc = found.groupBy("doc_id", "mark").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
 
@@ -287,5 +287,5 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     def mark(texts):
         return texts.map(lambda t: text_mark((t or "").encode()))
 
-    got = own.withColumn("mark", mark("text")).join(by_doc, ["doc_id", "mark"], "left").select("doc_id", "text", "first", "n")
+    got = own.withColumn("mark", mark("text") if marked else F.lit(0).cast("long")).join(by_doc, ["doc_id", "mark"], "left").select("doc_id", "text", "first", "n")
     return got.mapInArrow(without_words(window), "doc_id long, kept string, n_words long, n_removed long").withColumn("doc_id", id_out())
