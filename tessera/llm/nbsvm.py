@@ -50,7 +50,7 @@ _AGAIN = xxhash.xxh32_intdigest(b"again")
 
 def features(text: bytes) -> np.ndarray:
     """The sorted hashed n-grams of a text."""
-    if len(_SHAPES) > 500_000:
+    if len(_SHAPES) > 100_000:
         _SHAPES.clear()
     words = text.split()
     if not words:

@@ -10,8 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words a worker keeps, about 200 MB; then it starts anew. Ids don't depend on it.
-KEPT_WORDS = 1_000_000
+#: Words a worker keeps, about 50 MB; then it starts anew. Ids don't depend on it.
+KEPT_WORDS = 250_000
 #: "word," is "word" and ",": a letter or digit ends a piece of the pre-tokenizer.
 _POINTS = b".,;:!?"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
