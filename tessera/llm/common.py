@@ -28,12 +28,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends
     there, and a lost executor costs no more than its running tasks."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec or None)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,13 +3,14 @@
 A document fails the base rules if it is short or repeats itself; the others are
 judged by their perplexity per word under a model of their language:
 an interpolated modified Kneser-Ney model (Chen and Goodman, 1999) of ORDER
-letters within words, with the word's bounds. Spark counts the words of every
-document, whole texts of all languages; each task sends the n-grams of the words
-it met with their counts, and continuation counts and discounts follow from the
-table of n-grams by further groupings. Each order is kept as a sorted array of
-n-gram hashes with discounted probabilities, and one of context hashes with
-back-off weights. Hashes have KEY_BITS bits, which bounds the model that goes to
-the executors whatever the corpus; of n-grams that share a key the likelier counts.
+letters within words, with the word's bounds. One pass over the texts makes blocks
+of documents: each keeps its distinct words, its documents as numbers of these, and
+its distinct n-grams with their counts. Spark sums the counts over all blocks, whole
+texts of all languages; continuation counts, discounts and back-off weights follow
+by further groupings, and joins of each order with the next lower one give every
+n-gram its probability. The tables hold the n-grams themselves and grow with them;
+no task has the model. A block gets the probabilities of its own n-grams back by a
+join, so memory follows the block.
 
 A language's band is the median of log perplexity over documents that pass the
 base rules, WIDTH spreads to either side (spread: half the distance between the
@@ -23,20 +24,22 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import encoded, id_in, id_out, rows, schema_of, ready, stored
 
-ORDER, KEY_BITS, WIDTH = 5, 21, 5.0
-#: Words of a language that a task counts, or a worker keeps scores of, at once.
-HELD = 400_000
+ORDER, WIDTH = 5, 5.0
+#: A block ends when it holds more distinct words, or more words, than these.
+HELD, TOKENS = 200_000, 3_000_000
+#: Blocks of a task that ask for their n-grams together.
+TOGETHER = 8
 #: Languages whose bands are sent to all executors; more are joined.
 LANGUAGES = 10_000
 _PAD, _END = "\x02", "\x03"
@@ -47,145 +50,173 @@ def padded(word: str) -> str:
     return _PAD * (ORDER - 1) + word + _END
 
 
-def gram_counts(own: DataFrame) -> DataFrame:
-    """own (doc_id, text, lang) to (lang, gram, c): n-grams of ORDER signs."""
-    out = schema_of("lang string,gram string,c long")
+class _Codes(dict):
+    """Numbers for words in the order they are first asked for."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = defaultdict(Counter)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of the words as rows of code points, for each place of
+    each word the number of its n-gram, and the places of each word."""
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    letters, codes = np.unique(np.frombuffer("".join(map(padded, words)).encode("utf-32-le"), "<u4"), return_inverse=True)
+    ends = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(words) + 1) * (ORDER - 1), sizes)
+    k, key, top = len(letters), np.zeros(len(ends), np.int64), 1
+    for j in range(ORDER - 1, -1, -1):
+        if top * k >= 1 << 62:
+            seen, key = np.unique(key, return_inverse=True)
+            top = len(seen)
+        key, top = key * k + codes[ends - j], top * k
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return letters[codes[ends[first][:, None] - np.arange(ORDER - 1, -1, -1)]], at, sizes
+
+
+_MEASURES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_BLOCK = {"block": "long", "lang": "string", "words": "binary", "tokens": "binary", "grams": "array<string>", "counts": "array<long>", "asked": "array<string>"} | {f"{m}s": "array<long>" for m in _MEASURES}
+
+
+def blocks(own: DataFrame) -> DataFrame:
+    """own (doc_id, text, lang) to one row for each block of documents of a
+    language that a task met in a row: its distinct words, its documents' words
+    as numbers of these, its distinct n-grams with their counts, those
+    that no block before it with the same number has, and what the base rules
+    measure. Up to TOGETHER blocks of a task have the same number."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    out = pa.schema([(n, kinds[k]) for n, k in _BLOCK.items()])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, flushed = TaskContext.get().partitionId() << 32, 0
+        asked: dict[str, set] = defaultdict(set)
+        codes: dict[str, _Codes] = defaultdict(_Codes)
+        docs: dict[str, list] = defaultdict(list)
+        tokens: dict[str, list] = defaultdict(list)
+        n_words = n_tokens = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, words in held.items():
-                grams: dict[str, int] = defaultdict(int)
-                for w, c in words.items():
-                    s = padded(w.decode("utf-8", "replace"))
-                    for i in range(len(s) - ORDER + 1):
-                        grams[s[i : i + ORDER]] += c
-                keys = list(grams)
-                for i in range(0, len(keys), 50_000):
-                    part = keys[i : i + 50_000]
-                    yield rows(out, [lang] * len(part), part, [grams[g] for g in part])
-            held.clear()
+            nonlocal number, flushed
+            for lang, known in codes.items():
+                flat, held = np.concatenate(tokens[lang]), list(known)
+                # Common words get low numbers and the others are in order, which packs well.
+                often = np.bincount(flat, minlength=len(held))
+                order = sorted(range(len(held)), key=lambda i: (-often[i], held[i]))
+                rank = np.empty(len(held), np.int32)
+                rank[order] = np.arange(len(held), dtype=np.int32)
+                flat, held = rank[flat], [held[i] for i in order]
+                words = [w.decode("utf-8", "replace") for w in held]
+                row = dict(zip(_MEASURES, zip(*docs[lang])))
+                row["word_chars"] = by_document(flat, row["n_words"], np.array([len(w) for w in words], np.int64)).astype(np.int64)
+                grams, counts = [], []
+                if words:
+                    matrix, at, sizes = grams_of(words)
+                    text = matrix.astype("<u4").tobytes().decode("utf-32-le")
+                    grams = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+                    counts = np.bincount(at, np.repeat(np.bincount(flat, minlength=len(words)), sizes), len(grams)).astype(np.int64)
+                fresh = [g for g in grams if g not in asked[lang]]
+                asked[lang].update(fresh)
+                yield rows(out, [number], [lang], [packed(b" ".join(held))], [packed(planes(flat))], [grams], [counts], [fresh], *([row[m]] for m in _MEASURES))
+            flushed += 1
+            if flushed % TOGETHER == 0:
+                number += 1
+                asked.clear()
+            for x in (codes, docs, tokens):
+                x.clear()
 
         for b in batches:
-            for t, lang in zip(encoded(b.column(1)), b.column(2).to_pylist()):
-                held[lang].update(t.split())
-            if sum(map(len, held.values())) > HELD:
-                yield from flush()
+            for i, t, lang in zip(b.column(0).to_pylist(), encoded(b.column(1)), b.column(2).to_pylist()):
+                known, words = codes[lang], t.split()
+                n_words -= len(known)
+                code = np.array(list(map(known.__getitem__, words)), np.int32)
+                n_words += len(known)
+                n_tokens += len(words)
+                tokens[lang].append(code)
+                docs[lang].append((i, len(words), 0, len(t) - len(t.translate(None, SYMBOLS)), repeated_lines(t), repeated_codes(code.astype(np.int64), len(known))))
+                if n_words > HELD or n_tokens > TOKENS:
+                    yield from flush()
+                    n_words = n_tokens = 0
         yield from flush()
 
-    return own.mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return own.mapInArrow(cut, ", ".join(f"{n} {k}" for n, k in _BLOCK.items()))
 
 
-def _lang_hash(lang: str) -> int:
-    h = 1469598103934665603
-    for b in lang.encode():
-        h = (h ^ b) * 1099511628211 & (1 << 64) - 1
-    return h
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def gram_keys(codes: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
-    """Keys of the rows of a matrix of code points, with their language's hash."""
-    h = np.full(len(codes), 0, np.uint64) + np.uint64(lang) if np.isscalar(lang) else lang.astype(np.uint64).copy()
-    for j in range(codes.shape[1]):
-        h = (h ^ codes[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return (h >> np.uint64(64 - KEY_BITS - 7)) & np.uint64((1 << KEY_BITS) - 1)
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def code_points(strings: list[str], n: int) -> np.ndarray:
-    return np.frombuffer("".join(strings).encode("utf-32-le"), "<u4").reshape(-1, n) if n else np.zeros((len(strings), 0), np.uint32)
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-@dataclass
-class KneserNey:
-    """By order n: sorted keys with discounted probabilities of n-grams, and
-    sorted keys with back-off weights of contexts (n - 1 signs)."""
+def unpacked(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
 
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
-    floor: float
 
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, none: float) -> np.ndarray:
-        k, v = table
-        if not len(k):
-            return np.full(len(keys), none)
-        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        return np.where(k[at] == keys, v[at], none)
+def by_document(tokens: np.ndarray, n_words: list[int], values: np.ndarray) -> np.ndarray:
+    """The sum of the values of each document's words."""
+    return np.bincount(np.repeat(np.arange(len(n_words)), n_words), values[tokens] if len(tokens) else [], len(n_words))
 
-    def word_scores(self, words: list[str], lang: str) -> np.ndarray:
-        """The log probability of each word with its end."""
-        sizes = np.array([len(w) + 1 for w in words])
-        codes = np.frombuffer("".join(map(padded, words)).encode("utf-32-le"), "<u4")
-        ends = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(words) + 1) * (ORDER - 1), sizes)
-        matrix = codes[ends[:, None] - np.arange(ORDER - 1, -1, -1)]
-        h, p = _lang_hash(lang), np.full(len(ends), self.floor)
-        for n in range(1, ORDER + 1):
-            own = matrix[:, ORDER - n :]
-            p = self._look(self.grams[n], gram_keys(own, h), 0.0) + self._look(self.contexts[n], gram_keys(own[:, :-1], h), 1.0) * p
-        return np.add.reduceat(np.log(np.maximum(p, 1e-12)), np.cumsum(sizes) - sizes)
 
-
-def _tables(counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """counts (lang, gram, c) of order n to n-grams (lang, gram, p) and contexts
-    (lang, gram, p): (c - D) / total and the weight left for lower orders."""
+def _level(counts: DataFrame, n: int) -> DataFrame:
+    """counts (lang, gram, c) of order n to (lang, gram, p, back): (c - D) / total
+    and the weight its context leaves for the next lower order."""
     by = counts.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     ratio = lambda a, b, k: F.when((F.col(a) > 0) & (F.col(b) > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.col(b) / F.col(a)))).otherwise(F.lit(0.5 * k))
-    discounts = by.select("lang", ratio("n1", "n2", 1).alias("d1"), ratio("n2", "n3", 2).alias("d2"), ratio("n3", "n4", 3).alias("d3"))
+    discounts = stored(by.select("lang", ratio("n1", "n2", 1).alias("d1"), ratio("n2", "n3", 2).alias("d2"), ratio("n3", "n4", 3).alias("d3")), "discounts")
     if discounts.count() <= LANGUAGES:
         discounts = F.broadcast(discounts)
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     cut = counts.join(discounts, "lang").select("lang", "gram", F.expr(f"substring(gram, 1, {n - 1})").alias("ctx"), F.col("c").cast("double").alias("c"), d.alias("d"))
     totals = cut.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-    grams = cut.join(totals, ["lang", "ctx"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("p"))
-    return grams, totals.select("lang", F.col("ctx").alias("gram"), (F.col("left") / F.col("total")).alias("p"))
-
+    return cut.join(totals, ["lang", "ctx"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("back"))
 
-def _array(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lang, gram, p) with grams of n signs as sorted keys and values; at most
-    2 ** KEY_BITS rows reach the driver."""
-    out = schema_of("key long,p double")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                h = np.array([_lang_hash(x) for x in b.column(0).to_pylist()], np.uint64)
-                yield rows(out, gram_keys(code_points(b.column(1).to_pylist(), n), h).astype(np.int64), b.column(2))
-
-    got = table.mapInArrow(keyed, "key long, p double").groupBy("key").agg(F.max("p").alias("p")).toArrow()
-    key, p = got["key"].to_numpy(), got["p"].to_numpy()
-    order = np.argsort(key)
-    return key[order].astype(np.uint64), p[order]
-
-
-def fit(own: DataFrame) -> KneserNey:
-    """own (doc_id, text, lang): a model of each language in it."""
-    counts = stored(gram_counts(own), "grams")
-    grams, contexts, level = {}, {}, counts
-    for n in range(ORDER, 0, -1):
-        g, c = _tables(level, n)
-        grams[n], contexts[n] = _array(g, n), _array(c, n - 1)
+def fit(counts: DataFrame) -> DataFrame:
+    """counts (lang, gram, c) of n-grams of ORDER signs to (lang, gram, log_p):
+    the log probability of each n-gram's last sign after the others."""
+    levels = [stored(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "grams")]
+    for _ in range(ORDER - 1):
         # How many signs an n-gram follows: its count in the next lower order.
-        level = stored(level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "grams")
-    return KneserNey(grams, contexts, 1.0 / max(2, len(grams[1][0])))
+        levels.append(stored(levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), "grams"))
+    model, lower = None, F.lit(1.0 / max(2, levels[-1].count()))
+    for n, level in enumerate(reversed(levels), 1):
+        own = _level(level, n)
+        if model is not None:
+            own, lower = own.withColumn("end", F.expr("substring(gram, 2)")).join(model.select("lang", F.col("gram").alias("end"), F.col("p").alias("low_p")), ["lang", "end"]), F.col("low_p")
+        model = stored(own.select("lang", "gram", (F.col("p") + F.col("back") * lower).alias("p")), "model")
+    return model.select("lang", "gram", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"))
+
+
+def repeated_codes(code: np.ndarray, k: int) -> int:
+    """Words, given as numbers under k, in windows of three words that the text holds twice or more."""
+    if len(code) < 4:
+        return 0
+    pair = code[:-1] * k + code[1:]
+    if k >= 1 << 20:
+        pair = np.unique(pair, return_inverse=True)[1]
+    window = pair[:-1] * k + code[2:]
+    order = np.sort(window)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return 0
+    edge = np.zeros(len(code) + 1, np.int32)
+    hit = np.isin(window, twice)
+    edge[:-3] += hit
+    edge[3:] -= hit
+    return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
 def repeated_words(words: list[bytes]) -> int:
-    """Words in windows of three words that the text holds twice or more."""
-    if len(words) < 4:
-        return 0
-    seen: dict[bytes, int] = {}
-    code = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
-    k = len(seen)
-    pair = np.unique(code[:-1] * k + code[1:], return_inverse=True)[1]
-    _, inverse, count = np.unique(pair[:-1] * k + code[2:], return_inverse=True, return_counts=True)
-    edge = np.zeros(len(words) + 1, np.int32)
-    hit = np.flatnonzero(count[inverse] > 1)
-    edge[:-3] += np.bincount(hit, minlength=len(words) - 2).astype(np.int32)
-    edge[3:] -= np.bincount(hit, minlength=len(words) - 2).astype(np.int32)
-    return int((np.cumsum(edge[:-1]) > 0).sum())
+    seen = _Codes()
+    return repeated_codes(np.array(list(map(seen.__getitem__, words)), np.int64), len(seen))
 
 
 def repeated_lines(text: bytes) -> int:
@@ -193,31 +224,33 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(own: DataFrame, model: KneserNey) -> DataFrame:
+def measure(own: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, log_ppl) for each row of ``own`` (doc_id, text, lang)."""
     ddl = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
-    out, sent = schema_of(ddl.replace(", ", ",")), own.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[bytes, float]] = defaultdict(dict)
-        for b in batches:
-            got = []
-            ids, texts, langs = b.column(0).to_pylist(), encoded(b.column(1)), b.column(2).to_pylist()
-            split = [t.split() for t in texts]
-            for lang in set(langs):
-                if len(known[lang]) > HELD:
-                    known[lang].clear()
-                new = [w for w in set().union(*(w for w, x in zip(split, langs) if x == lang)) if w not in known[lang]]
-                if new:
-                    known[lang].update(zip(new, sent.value.word_scores([w.decode("utf-8", "replace") for w in new], lang).tolist()))
-            for i, t, lang, words in zip(ids, texts, langs, split):
-                chars = len(b"".join(words).decode("utf-8", "replace"))
-                log = sum(map(known[lang].__getitem__, words))
-                got.append((i, lang, len(words), chars, len(t) - len(t.translate(None, SYMBOLS)), repeated_lines(t), repeated_words(words), -log / len(words) if words else None))
-            yield rows(out, *(list(zip(*got)) or [[]] * 8))
-
-    return own.mapInArrow(judge, ddl)
+    held = stored(blocks(own), "blocks", "zstd")
+    model = fit(held.select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("lang", "g.grams", "g.counts").toDF("lang", "gram", "c"))
+    # Blocks with the same number ask once for each of their n-grams, so a common one is no hot key.
+    asked = held.select(F.col("block").alias("of"), "lang", F.explode("asked").alias("gram")).join(model, ["lang", "gram"]).select("of", F.col("lang").alias("tongue"), "gram", "log_p")
+    out = schema_of(ddl.replace(", ", ","))
+
+    def score(blocks: pa.Table, grams: pa.Table) -> pa.Table:
+        log_p, done = dict(zip(grams.column("gram").to_pylist(), grams.column("log_p").to_pylist())), []
+        for i in range(blocks.num_rows):
+            lang, held_words, tokens = (blocks.column(n)[i].as_py() for n in ("lang", "words", "tokens"))
+            held_words, tokens = unpacked(held_words), from_planes(unpacked(tokens))
+            got = {m: blocks.column(f"{m}s")[i].values.to_numpy() for m in _MEASURES}
+            log, words = np.zeros(len(got["doc_id"])), got["n_words"]
+            if held_words:
+                matrix, at, sizes = grams_of([w.decode("utf-8", "replace") for w in held_words.split(b" ")])
+                text = matrix.astype("<u4").tobytes().decode("utf-32-le")
+                p = np.array([log_p[text[j : j + ORDER]] for j in range(0, len(text), ORDER)])
+                log = by_document(tokens, words, np.add.reduceat(p[at], np.cumsum(sizes) - sizes))
+            ppl = pa.array(-log / np.maximum(words, 1), mask=words == 0)
+            done.append(rows(out, got["doc_id"], [lang] * len(words), *(got[m] for m in _MEASURES[1:]), ppl))
+        return pa.Table.from_batches(done, schema=out)
+
+    return held.drop("grams", "counts", "asked").groupBy("block", "lang").cogroup(asked.groupBy("of", "tongue")).applyInArrow(score, ddl)
 
 
 def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, width: float = WIDTH) -> DataFrame:
@@ -227,7 +260,7 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, width:
     # A tag no language has stands for null.
     own = docs.select(id_in().alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("\x00")).alias("lang"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    seen = stored(measure(own, fit(own)).withColumn("base_failed", failed), "measured")
+    seen = stored(measure(own).withColumn("base_failed", failed), "measured")
     at = F.percentile_approx("log_ppl", [0.16, 0.5, 0.84], 10_000)
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 2, F.lit(0.02))
     bands = seen.filter("not base_failed").groupBy("lang").agg(at.alias("q")).select("lang", (F.col("q")[1] - width * spread).alias("low"), (F.col("q")[1] + width * spread).alias("high"))

@@ -103,3 +103,30 @@ def test_repeated_words_of_long_texts():
         w = [turn.choice("abcdefgh").encode() for _ in range(n)]
         assert P.repeated_words(w) == brute_counts(" ".join(x.decode() for x in w))[-1]
     assert np.isfinite(P.repeated_words([b"x"] * 10))
+
+
+def test_the_model_grows_with_its_ngrams(spark):
+    # Far more distinct n-grams than any fixed table of keys of the size before would keep apart; a rare one keeps its own score beside a common one.
+    turn = random.Random(3)
+    signs = "".join(map(chr, range(0x4E00, 0x5200)))
+    docs = [(i, " ".join("".join(turn.choices(signs, k=12)) for _ in range(120)), "zh") for i in range(150)] + [(1000, "the cat sat on the mat " * 500, "zh")]
+    own = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2)
+    P.ready(spark)
+    model = Model([w for _, t, _ in docs for w in t.split()])
+    grams = P.fit(P.blocks(own).select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c")))
+    assert grams.count() == len(model.levels[P.ORDER][0]) > 100_000
+    got = {r.doc_id: r.log_ppl for r in P.measure(own).collect()}
+    for i, t, _ in docs[::30] + docs[-1:]:
+        w = t.split()
+        assert got[i] == pytest.approx(-sum(map(model.word, w)) / len(w), rel=1e-9), i
+
+
+def test_results_do_not_depend_on_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    whole = {(repr(r.doc_id), r.n_words): r for r in P.judge(docs.repartition(1)).collect()}
+    monkeypatch.setattr(P, "HELD", 40)
+    cut = P.blocks(docs.repartition(5).select("doc_id", F.col("text"), F.coalesce("lang", F.lit("\x00")).alias("lang")))
+    assert cut.count() > 10
+    for r in P.judge(docs.repartition(5)).collect():
+        x = whole[repr(r.doc_id), r.n_words]
+        assert r[:6] == x[:6] and r.kept == x.kept and r.log_ppl == (x.log_ppl and pytest.approx(x.log_ppl, rel=1e-9))
