@@ -10,10 +10,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words a worker keeps, about 50 MB; then it starts anew. Ids don't depend on it.
-KEPT_WORDS = 250_000
+#: A worker keeps the words it met last and those before them, so many each (about
+#: 60 MB in all); older ones are found anew. Ids don't depend on it.
+KEPT_WORDS = 150_000
 #: "word," is "word" and ",": a letter or digit ends a piece of the pre-tokenizer.
-_POINTS = b".,;:!?"
+_POINTS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -34,8 +35,12 @@ class WordEncoder(dict):
         self.marks = {t.content.encode().lower()[:2] for t in self.one.get_added_tokens_decoder().values()}
         self.code, self.kind = ("H", np.dtype("<u2")) if self.one.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
         self.letters = dict(enumerate(_byte_letters()))
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        if (got := self.before.pop(word, None)) is not None:
+            self[word] = got
+            return got
         core = word.rstrip(_POINTS)
         if core != word and core and core[-1] in _ENDS:
             got = self[core] + self[word[len(core) :]]
@@ -51,10 +56,11 @@ class WordEncoder(dict):
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, as encode(text, add_special_tokens=False) gives them."""
-        if len(self) > KEPT_WORDS:
-            self.clear()
         out = []
         for t in texts:
+            if len(self) > KEPT_WORDS:
+                self.before = dict(self)
+                self.clear()
             low = t.lower()
             if any(m in low for m in self.marks):
                 out.append(np.array(self.one.encode(t.decode(), add_special_tokens=False).ids, self.kind))
