@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlcrf, linededup, nbsvm, oracles, packing, perplexity, simhash, superkmer, toxicity, urlfilter, wavelet
+from . import decontam, htmlcrf, lexsearch, linededup, merkle, nbsvm, oracles, packing, perplexity, simhash, superkmer, toxicity, urlfilter, wavelet
 from .common import held_out, table
 
 
@@ -60,10 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_url_filter, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op9_perplexity, op10_toxicity, op13_token_shards)}
-ORACLE = {"op2_line_dedup": oracles.OP2, "op3_url_filter": oracles.OP3, "op4_substring_dedup": oracles.OP4}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_url_filter, op4_substring_dedup, op5_decontamination, op6_quality, op7_simhash, op8_packing, op9_perplexity, op10_toxicity, op11_lexical_search, op12_merkle_manifest, op13_token_shards)}
+ORACLE = {"op2_line_dedup": oracles.OP2, "op3_url_filter": oracles.OP3, "op4_substring_dedup": oracles.OP4, "op11_lexical_search": oracles.OP11, "op12_merkle_manifest": oracles.OP12}
