@@ -14,6 +14,3 @@ def spark():
     yield s
     s.stop()
 
-
-SF = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"

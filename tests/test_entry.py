@@ -1,7 +1,7 @@
 import duckdb
 
 import __spark_entry__ as E
-from conftest import SF
+from given import SF
 
 FAST = ["scan_corpus", "byte_encode", "pack_concat", "packing_report", "validate_conversations", "render_conversation",
         "captions_first", "sample_fewshot", "score_options", "core_metric", "parse_gsm8k", "smoothed_loss", "isoflop_fit"]

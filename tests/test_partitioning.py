@@ -1,6 +1,6 @@
 """Results must not depend on the number of partitions."""
 
-from conftest import SF
+from given import SF
 import __spark_entry__ as E
 
 KEYS = ["pack_concat", "pack_greedy_crop", "pack_bestfit_crop", "seeded_shuffle", "char_budget", "mix_tasks",

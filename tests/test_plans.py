@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF
+from given import SF
 import views as V
 from tessera.plans import pipelines as PL
 
