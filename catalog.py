@@ -151,6 +151,16 @@ def q_write_shards(spark, sf_dir):
                        F.length("text").alias("n_chars"))
 
 
+@q
+def q_scan_shards(spark, sf_dir):
+    """Shards as ``write_shards`` leaves them, read back with the positions that
+    their footers give."""
+    out = _fresh(spark, "shards")
+    C.write_shards(_repackaged(spark, sf_dir).select("text", "new_shard", "new_rg", "pos_in_rg"), out, row_group_rows=32)
+    d = C.scan_corpus(spark, out)
+    return d.select("shard_id", "rg_id", "pos_in_rg", "doc_id", F.md5("text").alias("text_md5"))
+
+
 # ------------------------------------------------------------------ 2.2 selection
 
 @q

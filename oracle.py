@@ -173,6 +173,10 @@ SELECT doc_id, new_shard, new_rg, pos_in_rg, order_idx FROM packed"""
 Q["write_shards"] = "WITH RECURSIVE " + REPACK + """
 SELECT doc_id, new_shard, new_rg, pos_in_rg, CAST(length(text) AS INTEGER) AS n_chars FROM packed"""
 
+Q["scan_shards"] = "WITH RECURSIVE " + REPACK + """
+SELECT CAST(new_shard AS INTEGER) AS shard_id, CAST(new_rg AS INTEGER) AS rg_id, pos_in_rg,
+       (new_shard << 32) + new_rg * 32 + pos_in_rg AS doc_id, md5(text) AS text_md5 FROM packed"""
+
 # ------------------------------------------------------------------ 2.2 selection
 
 Q["crop_docs"] = """

@@ -1,51 +1,68 @@
 """Global row index and prefix sums without a single-task window.
 
 A ``Window.orderBy`` without ``partitionBy`` moves every row into one task.
-Instead the order key is cut into ranges by sampled quantiles (a bounded list
-of boundaries), each range is numbered locally by a window partitioned on the
-range, and the per-range totals (one row per range and group) give the
-offsets. The range of a row is a pure function of its key, so a lost task
-recomputes the same numbers; no checkpoint is needed between the passes.
+Instead the keys are range-partitioned and sorted by Spark (``ranged``) and
+written once, each row with its partition and its place there; per-partition
+totals (one row per partition and group) give the offsets. The written table
+holds keys and numbers only, so wide columns such as texts are neither sorted
+nor carried along: they are joined back to their positions by key. A group
+that has most rows is cut into ranges like the rest.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FractionalType, MapType, StringType, StructType, VariantType
 
+from ..session import scratch_path
 
-MAX_BUCKETS = 512
+_WIDE = (StringType, BinaryType, ArrayType, MapType, StructType, VariantType)
 
 
-def _bounds(df: DataFrame, col: str, n: int) -> list:
-    if n <= 1:
-        return []
-    probs = [i / n for i in range(1, n)]
-    qs = df.approxQuantile(col, probs, 1.0 / (4 * n))
-    return sorted(set(q for q in qs if q is not None))
+def ranged(df: DataFrame, keys: Sequence[str], parts: int | None = None, add=None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys``, written once: adds
+    ``__p`` (partition) and ``__at`` (ascending within a partition). ``add``:
+    a function on the sorted rows, such as a scan in order, run before writing.
 
+    Later reads see the same ranges, whatever tasks are lost. ``parts``: number
+    of ranges; by default Spark's shuffle partitions, merged where small."""
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    dealt = dealt.sortWithinPartitions(*keys)
+    if add is not None:
+        dealt = add(dealt)
+    dealt = dealt.withColumn("__p", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    path = scratch_path(df.sparkSession, f"ranged-{uuid.uuid4().hex[:10]}")
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
-def range_bucket(key: Column, bounds: list) -> Column:
-    """Index of the range that holds ``key`` (0 … len(bounds)): the number
-    of bounds ≤ key, as a balanced CASE tree (a binary search of depth
-    log2(len(bounds)) that stays inside generated code)."""
 
-    def tree(lo: int, hi: int) -> Column:
-        # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2            # is bounds[mid-1] <= key ?
-        return F.when(key >= F.lit(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality of columns, pair by pair: a null group is a group."""
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & F.col(a).eqNullSafe(F.col(b))
+    return cond
 
-    return tree(0, len(bounds)) if bounds else F.lit(0)
 
+def offsets(held: DataFrame, by: Sequence[str], **sums: Column) -> DataFrame:
+    """Per partition and group of ``ranged`` rows: group columns as ``__by0`` …,
+    ``__ob``, the group's rows in the partitions before (``__on``), the lowest
+    ``__at`` (``__low``), and each of ``sums`` added up over those before."""
+    tot = held.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__tn"), F.min("__at").alias("__low"),
+                                       *[F.sum(c).alias(n) for n, c in sums.items()])
+    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return tot.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__p").alias("__ob"), "__low",
+                      F.coalesce(F.sum("__tn").over(w), F.lit(0)).alias("__on"),
+                      *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
 
-def default_buckets(df: DataFrame) -> int:
-    """Ranges to cut an order into: the shuffle partitions, but no more than
-    MAX_BUCKETS, since the quantile sketch and the CASE tree grow with them."""
-    return min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+
+def with_offsets(held: DataFrame, off: DataFrame, by: Sequence[str]) -> DataFrame:
+    names = [f"__by{i}" for i in range(len(by))]
+    return held.join(off, same_keys([*by, "__p"], [*names, "__ob"])).drop("__ob", *names)
 
 
 def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column | None = None,
@@ -54,48 +71,44 @@ def prefix_sum(df: DataFrame, order: str | Sequence[str], value: str | Column |
     """Add ``idx`` (0-based rank in ``order`` within ``by``) and ``before``
     (sum of ``value`` over the earlier rows of the same group).
 
-    ``order`` must be unique within a group; its first column must be numeric.
-    ``small_groups=True`` means every group is small enough for one task
-    (e.g. one conversation), so a plain partitioned window is used.
+    ``order`` must be unique within a group. ``buckets``: ranges to cut the
+    keys into (see ``ranged``). ``small_groups=True`` means every group is
+    small enough for one task (e.g. one conversation), so a plain partitioned
+    window is used.
     """
     order = [order] if isinstance(order, str) else list(order)
     by = list(by)
     val = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
     df = df.withColumn("__v", val)
-    from pyspark.sql.types import FractionalType
     vtype = "double" if isinstance(df.schema["__v"].dataType, FractionalType) else "bigint"
-    ocols = [F.col(c) for c in order]
 
     if small_groups:
-        w = Window.partitionBy(*by).orderBy(*ocols)
+        w = Window.partitionBy(*by).orderBy(*order)
         out = (df.withColumn(idx, F.row_number().over(w) - 1)
                  .withColumn(before, F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, -1))))
         out = out.withColumn(before, F.coalesce(F.col(before), F.lit(0)).cast(vtype))
         return out.drop("__v")
 
-    if buckets is None:
-        buckets = default_buckets(df)
-    bounds = _bounds(df, order[0], buckets)
-    df = df.withColumn("__b", range_bucket(F.col(order[0]), bounds))
-
-    wl = Window.partitionBy(*by, "__b").orderBy(*ocols)
-    local = (df.withColumn("__li", F.row_number().over(wl) - 1)
-               .withColumn("__lb", F.coalesce(
-                   F.sum("__v").over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-
-    tot = df.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__tn"), F.sum("__v").alias("__tv"))
-    wt = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # a null group is a group like any other, so the join is null-safe
-    off = tot.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__ob"),
-                     F.coalesce(F.sum("__tn").over(wt), F.lit(0)).alias("__on"),
-                     F.coalesce(F.sum("__tv").over(wt), F.lit(0)).alias("__ov"))
-    same = F.col("__b") == F.col("__ob")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    out = (local.join(off, same, how="inner").drop("__ob", *[f"__by{i}" for i in range(len(by))])
-                .withColumn(idx, (F.col("__on") + F.col("__li")).cast("bigint"))
-                .withColumn(before, (F.col("__ov") + F.col("__lb")).cast(vtype)))
-    return out.drop("__v", "__b", "__li", "__lb", "__on", "__ov")
+    keys = list(dict.fromkeys([*by, *order]))
+    wide = any(isinstance(f.dataType, _WIDE) for f in df.schema if f.name not in keys)
+    held = ranged(df.select(*keys, "__v") if wide else df, keys, buckets)
+    if value is None:
+        local, off = held, offsets(held, by)
+        out = with_offsets(local, off, by).withColumn(idx, (F.col("__on") + F.col("__at") - F.col("__low")).cast("bigint"))
+        out = out.withColumn(before, F.col(idx).cast(vtype))
+    else:
+        inside = Window.partitionBy(*by, "__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        local = held.withColumn("__lb", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+        off = offsets(held, by, __ov=F.col("__v"))
+        out = (with_offsets(local, off, by)
+               .withColumn(idx, (F.col("__on") + F.col("__at") - F.col("__low")).cast("bigint"))
+               .withColumn(before, (F.col("__ov") + F.col("__lb")).cast(vtype)).drop("__lb", "__ov"))
+    out = out.drop("__v", "__p", "__at", "__on", "__low")
+    if not wide:
+        return out
+    places = out.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], idx, before)
+    names = [f"__k{i}" for i in range(len(keys))]
+    return df.drop("__v", idx, before).join(places, same_keys(keys, names)).drop(*names)
 
 
 def global_index(df: DataFrame, order: str | Sequence[str], by: Sequence[str] = (),

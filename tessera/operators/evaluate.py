@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -398,10 +398,12 @@ def bits_per_byte(losses: DataFrame, byte_lengths: DataFrame, by: list[str] | No
     fixed bound), so it is broadcast."""
     by = by or []
     bl = F.broadcast(byte_lengths.select(F.col("token_id").alias("target"), "n_bytes"))
-    j = losses.filter(F.col("target") >= 0).join(bl, "target", "left")
+    # per token first: a few rows per group meet the table, not one per target
+    tok = losses.filter(F.col("target") >= 0).groupBy(*by, "target").agg(F.sum("loss").alias("_nats"), F.count(F.lit(1)).alias("_n"))
+    j = tok.join(bl, "target", "left")
     nb = F.coalesce(F.col("n_bytes"), F.lit(0))
-    g = j.groupBy(*by).agg(F.sum(F.when(nb > 0, F.col("loss")).otherwise(0.0)).alias("total_nats"),
-                           F.sum(nb).cast("bigint").alias("total_bytes"))
+    g = j.groupBy(*by).agg(F.sum(F.when(nb > 0, F.col("_nats")).otherwise(0.0)).alias("total_nats"),
+                           F.sum(nb * F.col("_n")).cast("bigint").alias("total_bytes"))
     return g.select(*by, F.round("total_nats", 2).alias("total_nats"), "total_bytes",
                     F.round(_bpb(F.col("total_nats"), F.col("total_bytes")), 6).alias("bpb"))
 
@@ -409,10 +411,29 @@ def bits_per_byte(losses: DataFrame, byte_lengths: DataFrame, by: list[str] | No
 def split_bpb(losses: DataFrame, byte_lengths: DataFrame, split_tokens: int, tokens_per_step: int,
               order: list[str]) -> DataFrame:
     """bpb per split over its first ``split_tokens`` tokens, rounded down to
-    whole steps of ``tokens_per_step``. ``order`` is a unique numeric key."""
+    whole steps of ``tokens_per_step``. ``order`` (document, then place) is a
+    unique key within a split.
+
+    Two levels: token counts of documents are summed up in order, which finds
+    each split's documents before the cut and the one that crosses it; only the
+    tokens of that one are put in order.
+    """
     budget = (split_tokens // tokens_per_step) * tokens_per_step
-    idx = prefix_sum(losses, order, None, by=["split"], idx="_i", before="_b").drop("_b")
-    return bits_per_byte(idx.filter(F.col("_i") < budget), byte_lengths, by=["split"])
+    doc, rest = order[0], order[1:]
+    sizes = losses.groupBy("split", doc).agg(F.count(F.lit(1)).alias("_c"))
+    if not rest:
+        firsts = prefix_sum(losses, order, None, by=["split"], idx="_i", before="_b").filter(F.col("_i") < budget)
+        return bits_per_byte(firsts, byte_lengths, by=["split"])
+    at = prefix_sum(sizes, doc, "_c", by=["split"], idx="_i", before="_b")
+    # the first document past the cut and the tokens it may still give; a row per split
+    cut = at.filter(F.col("_b") + F.col("_c") > budget).groupBy(F.col("split").alias("_s")).agg(
+        F.min_by(F.struct(F.col(doc).alias("d"), (F.lit(budget) - F.col("_b")).alias("left")), "_i").alias("_cut"))
+    j = losses.join(F.broadcast(cut), F.col("split").eqNullSafe(F.col("_s")), "left")
+    whole = j.filter(F.col("_cut").isNull() | (F.col(doc) < F.col("_cut.d")))
+    cross = j.filter(F.col(doc) == F.col("_cut.d"))
+    cross = cross.withColumn("_r", F.row_number().over(Window.partitionBy("split").orderBy(*rest))).filter(F.col("_r") <= F.col("_cut.left"))
+    cols = ["split", "target", "loss"]
+    return bits_per_byte(whole.select(cols).unionByName(cross.select(cols)), byte_lengths, by=["split"])
 
 
 # ------------------------------------------------------------------ item-level (no shuffle) spans

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.index import _bounds, default_buckets, prefix_sum, range_bucket
+from ..functions.index import prefix_sum, ranged, same_keys, with_offsets
 
 # ------------------------------------------------------------------ run tables
 
@@ -268,57 +268,75 @@ def predict_core(features: DataFrame, xs: list[str], y: str, alpha: float, key:
 # ------------------------------------------------------------------ step logs
 
 
-def _chunked(df: DataFrame, by: str, step: str, chunk: int, halo: int) -> DataFrame:
-    """Rows tagged with ``_chunk = step // chunk``; the last ``halo`` rows of
-    each chunk are copied into the next chunk (``_halo = true``) so a
-    bounded look-back window never needs rows from another chunk."""
-    base = df.withColumn("_chunk", F.floor(F.col(step) / chunk)).withColumn("_halo", F.lit(False))
-    dup = (df.filter((F.col(step) % chunk) >= chunk - halo)
-             .withColumn("_chunk", F.floor(F.col(step) / chunk) + 1).withColumn("_halo", F.lit(True)))
-    return base.unionByName(dup)
+def _ema_scan(beta: float, schema: str):
+    """Rows sorted by (run, order) to the same rows with ``_n``, the row's number
+    (from 1) within its run and partition, and ``_local``, the average over the
+    run's rows of this partition alone."""
+    def scan(batches):
+        import pyarrow as pa
+        run, n, ema = None, 0, 0.0
+        for b in batches:
+            ns, emas = [], []
+            for r, x in zip(b.column("_run").to_pylist(), b.column("_x").to_pylist()):
+                if r != run or not n:
+                    run, n, ema = r, 0, 0.0
+                n, ema = n + 1, beta * ema + (1 - beta) * x
+                ns.append(n)
+                emas.append(ema)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ns, pa.int64()), pa.array(emas, pa.float64())],
+                                             [*b.schema.names, "_n", "_local"])
+
+    return lambda df: df.mapInArrow(scan, schema)
 
 
 def smoothed_loss(steps: DataFrame, beta: float = 0.9, run: str = "run_id", step: str = "step",
-                  loss: str = "loss", chunk: int = 100_000, sft: bool = False) -> DataFrame:
-    """EMA of the loss per run, debiased by 1 − β^(step+1) (β^(step+2) for
-    the SFT variant, which debiases after its step increment).
-
-    The EMA is a weighted sum over the last K steps, K = ⌈log(1e-16)/log β⌉,
-    where older weights are below double precision. Steps must be dense per
-    run. Runs are cut into chunks of ``chunk`` steps with a K-row halo, so a
-    long run is spread over many tasks and the result is exact to 1e-16.
+                  loss: str = "loss", chunk: int | None = None, sft: bool = False) -> DataFrame:
+    """EMA of the loss per run, over its records in step order, debiased by
+    1 − β^(step+1) (β^(step+2) for the SFT variant, which debiases after its
+    step increment). Steps may have gaps; a null loss counts as zero loss.
+
+    The average after n records is an associative scan of (decay, value) pairs:
+    a run's records in one range give (β^n, average over them), and ranges
+    compose. Each range is scanned in order by one task in constant memory; the
+    table of ranges (a row per range and run) is folded per run, and a record's
+    average is its own range's plus β^n times that of the ranges before.
+    ``chunk``: rows in a range, about; by default as Spark sizes its partitions.
     """
-    K = int(math.ceil(math.log(1e-16) / math.log(beta)))
-    c = _chunked(steps, run, step, chunk, K)
-    w = Window.partitionBy(run, "_chunk").orderBy(step).rowsBetween(-K, 0)
-    hist = F.collect_list(F.struct(F.col(step).alias("s"), F.col(loss).alias("x"))).over(w)
-    c = c.withColumn("_h", hist)
-    t = F.col(step)
-    ema = F.aggregate("_h", F.lit(0.0),
-                      lambda acc, e: acc + F.pow(F.lit(beta), (t - e["s"]).cast("double")) * e["x"]) * (1 - beta)
-    power = t + (2 if sft else 1)
-    out = c.withColumn("smooth_loss", ema / (1 - F.pow(F.lit(beta), power.cast("double"))))
-    return out.filter(~F.col("_halo")).drop("_chunk", "_halo", "_h")
+    parts = None if chunk is None else max(1, -(-steps.count() // chunk))
+    d = steps.withColumn("_run", F.col(run).cast("string")).withColumn("_x", F.coalesce(F.col(loss).cast("double"), F.lit(0.0)))
+    keep = d.select("_run", "_x", run, step)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + ", _n long, _local double"
+    held = ranged(keep, ["_run", step], parts, add=_ema_scan(beta, ddl))
+    ends = held.groupBy("_run", "__p").agg(F.max("_n").alias("m"), F.max_by("_local", "_n").alias("e"))
+
+    def carry(pdf):
+        pdf = pdf.sort_values("__p")
+        before, acc = [], 0.0
+        for m, e in zip(pdf["m"], pdf["e"]):
+            before.append(acc)
+            acc = e + beta ** int(m) * acc
+        return pdf.assign(_before=before)[["_run", "__p", "_before"]]
+
+    carried = ends.groupBy("_run").applyInPandas(carry, "_run string, __p int, _before double").withColumnsRenamed({"_run": "_r", "__p": "_q"})
+    j = held.join(carried, same_keys(["_run", "__p"], ["_r", "_q"]))
+    ema = F.col("_local") + F.pow(F.lit(beta), F.col("_n").cast("double")) * F.col("_before")
+    power = F.col(step) + (2 if sft else 1)
+    return j.select(run, step, (ema / (1 - F.pow(F.lit(beta), power.cast("double")))).alias("smooth_loss"))
 
 
 def running_min(df: DataFrame, value: str, order: str, by: list[str], out: str, buckets: int | None = None) -> DataFrame:
     """Inclusive running minimum of ``value`` in ``order`` within ``by``,
-    computed per range bucket and combined with the minima of earlier
-    buckets (a small table), so no group is funnelled into one task."""
-    if buckets is None:
-        buckets = default_buckets(df)
-    d = df.withColumn("_b", range_bucket(F.col(order), _bounds(df, order, buckets)))
-    wl = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumn("_lm", F.min(value).over(wl))
-    tot = d.groupBy(*by, "_b").agg(F.min(value).alias("_bm"))
-    wt = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_ob"), F.min("_bm").over(wt).alias("_om"))
-    same = F.col("_b") == F.col("_ob")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    j = local.join(off, same).drop("_ob", *[f"_by{i}" for i in range(len(by))])
-    return j.withColumn(out, F.when(F.col("_om").isNull(), F.col("_lm")).otherwise(F.least("_lm", "_om"))).drop(
-        "_b", "_lm", "_om")
+    computed per key range and combined with the minima of the ranges before
+    (a row per range and group), so no group is funnelled into one task."""
+    held = ranged(df, [*by, order], buckets)
+    wl = Window.partitionBy(*by, "__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = held.withColumn("_lm", F.min(value).over(wl))
+    tot = held.groupBy(*by, "__p").agg(F.min(value).alias("_bm"))
+    wt = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__by{i}" for i in range(len(by))]
+    off = tot.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("__p").alias("__ob"), F.min("_bm").over(wt).alias("_om"))
+    j = with_offsets(local, off, by)
+    return j.withColumn(out, F.least("_lm", "_om")).drop("__p", "__at", "_lm", "_om")
 
 
 def running_min_bpb(steps: DataFrame, run: str = "run_id", step: str = "step", bpb: str = "val_bpb") -> DataFrame:

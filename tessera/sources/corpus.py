@@ -12,32 +12,85 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h
-from ..functions.index import prefix_sum
+from ..functions.index import global_index, prefix_sum
 
 DOC_COLS = ["shard_id", "rg_id", "pos_in_rg", "doc_id"]
 
 
-def scan_corpus(spark: SparkSession, path: str, row_group_size: int = 1024,
-                columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Read ``*.parquet`` under ``path`` (``.tmp`` and hidden files skipped).
+#: Files whose index goes to every executor; more are joined by path.
+INDEXED_FILES = 100_000
+
+
+def _open_path(uri: str):
+    """(file system, path) of a file as Spark names it."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+    return fs.FileSystem.from_uri(uri)
 
-    ``shard_id`` is the rank of the file name, ``rg_id`` = row index // row
-    group size, ``doc_id`` = ``shard_id << 32 | row_index`` (unique, ordered).
+
+def footer_index(spark: SparkSession, path: str, footers: bool = True) -> DataFrame:
+    """One row per ``*.parquet`` file under ``path`` (folders included; hidden
+    files skipped): (file, shard_id, starts). ``shard_id`` is the rank of the
+    whole path, so files of the same name in different folders stay apart;
+    ``starts`` has the first row of each row group, read by tasks from the
+    footers alone. Without ``footers`` no file is opened and ``starts`` is null.
     """
-    raw = (spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-           .select(*columns, F.col("_metadata.file_name").alias("_file"),
-                   F.col("_metadata.row_index").alias("_row")))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(path).select(F.col("_metadata.file_path").alias("file")))
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        for b in batches:
+            starts = []
+            for uri in b.column(0).to_pylist():
+                system, name = _open_path(uri)
+                with system.open_input_file(name) as f:
+                    meta = pq.ParquetFile(f).metadata
+                    n = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+                starts.append([sum(n[:i]) for i in range(len(n))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.list_(pa.int64()))], ["file", "starts"])
+
+    if footers:
+        files = files.mapInArrow(read, "file string, starts array<bigint>")
+    else:
+        files = files.withColumn("starts", F.lit(None).cast("array<bigint>"))
     # one row per file: the ranking runs on the file list, not on the rows
-    files = raw.select("_file").distinct()
-    files = files.withColumn("shard_id", (F.row_number().over(Window.orderBy("_file")) - 1).cast("int"))
-    out = raw.join(files, "_file")
-    return out.select(
-        "shard_id",
-        (F.col("_row") / F.lit(row_group_size)).cast("int").alias("rg_id"),
-        (F.col("_row") % F.lit(row_group_size)).cast("int").alias("pos_in_rg"),
-        (F.shiftleft(F.col("shard_id").cast("bigint"), 32) + F.col("_row")).alias("doc_id"),
-        *columns,
-    )
+    return files.withColumn("shard_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))
+
+
+def scan_corpus(spark: SparkSession, path: str, row_group_size: int | None = None,
+                columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Read the Parquet files under ``path`` with each row's physical position.
+
+    ``shard_id`` is the rank of the file's path; ``rg_id`` and ``pos_in_rg`` are
+    the row's real row group and its place there, from ``footer_index``;
+    ``doc_id`` = ``shard_id << 32 | row_index`` (unique, ordered). With
+    ``row_group_size`` no footer is read and row groups are that many rows.
+    The index (one row per file) is written once and goes to the rows by a
+    broadcast, so the text is never shuffled.
+    """
+    import uuid
+
+    from ..session import scratch_path
+    out = scratch_path(spark, f"footers-{uuid.uuid4().hex[:10]}")
+    footer_index(spark, path, row_group_size is None).write.parquet(out)
+    index = spark.read.parquet(out)
+    if index.count() <= INDEXED_FILES:
+        index = F.broadcast(index)
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+           .select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("_row")))
+    if row_group_size is None:
+        rg = F.size(F.filter("starts", lambda x: x <= F.col("_row"))) - 1
+        pos = F.col("_row") - F.get("starts", F.col("rg_id"))
+    else:
+        rg, pos = F.floor(F.col("_row") / F.lit(row_group_size)), F.col("_row") % F.lit(row_group_size)
+    return raw.join(index, "file").withColumn("rg_id", rg.cast("int")).select(
+        "shard_id", "rg_id", pos.cast("int").alias("pos_in_rg"),
+        (F.shiftleft(F.col("shard_id").cast("bigint"), 32) + F.col("_row")).alias("doc_id"), *columns)
 
 
 def last_shard(docs: DataFrame) -> int:
@@ -117,68 +170,136 @@ def repackage_shards(docs: DataFrame, chars_per_shard: int, row_group: int = 102
     Rows come out with ``(new_shard, new_rg, pos_in_rg, order_idx)``. The
     unfinished tail shard is dropped unless ``keep_tail``.
 
-    The greedy close runs over block totals (one row per ``row_group`` docs);
-    block totals are 1/row_group of the data and are folded in order by a
-    single window — the only sequential step, on the smallest table.
+    The close rule runs on block totals (one row per ``row_group`` docs) without
+    a fold in one task: see ``_close_shards``. The text is joined once, with the
+    finished table of places.
     """
     d = docs.withColumn("_h", h(seed, "doc_id")).withColumn("_chars", F.length("text").cast("bigint"))
-    d = prefix_sum(d, ["_h", "doc_id"], None, idx="order_idx", before="_x").drop("_x")
-    d = d.withColumn("block", (F.col("order_idx") / F.lit(row_group)).cast("bigint"))
-    blocks = d.groupBy("block").agg(F.sum("_chars").alias("bchars"))
+    order = global_index(d.select("doc_id", "_h", "_chars"), ["_h", "doc_id"], idx="order_idx").drop("_h")
+    order = order.withColumn("block", F.floor(F.col("order_idx") / F.lit(row_group)))
+    blocks = order.groupBy("block").agg(F.coalesce(F.sum("_chars"), F.lit(0)).alias("bchars"))
     assigned = _close_shards(blocks, chars_per_shard)
-    out = d.join(assigned, "block")
+    placed = order.join(assigned, "block")
     if not keep_tail:
-        out = out.filter(~F.col("is_tail"))
-    return (out.withColumn("new_rg", F.col("block") - F.col("shard_first_block"))
-               .withColumn("pos_in_rg", (F.col("order_idx") % F.lit(row_group)).cast("int"))
-               .drop("_h", "_chars", "shard_first_block", "bchars"))
+        placed = placed.filter(~F.col("is_tail"))
+    placed = placed.select(F.col("doc_id").alias("_id"), "order_idx", "block", "new_shard", "is_tail",
+                           (F.col("block") - F.col("shard_first_block")).alias("new_rg"),
+                           (F.col("order_idx") % F.lit(row_group)).cast("int").alias("pos_in_rg"))
+    return docs.drop("pos_in_rg").join(placed, F.col("doc_id") == F.col("_id")).drop("_id")
+
+
+#: Blocks whose steps one task follows at a time.
+CHUNK_BLOCKS = 1 << 16
 
 
-def _close_shards(blocks: DataFrame, chars_per_shard: int) -> DataFrame:
-    """Greedy shard close over block totals.
+def _next_starts(blocks: DataFrame, chars_per_shard: int) -> DataFrame:
+    """(block, next): a shard begun at ``block`` ends before ``next``; null where
+    the blocks left don't fill it.
 
-    Input (block, bchars), one row per ``row_group`` docs, so this table is
-    three orders of magnitude smaller than the corpus. The close rule is a
-    sequential fold, so the block totals stream through one ordered task
-    with constant memory (only the blocks of the open shard are held).
+    With running sums, block b closes the shard begun at a if the characters
+    before b are less than those before a plus the target, and those through b
+    are not. Each block is thus an interval of sums and each start a point to
+    find in one: both meet in buckets as wide as a mean block, so the table
+    of intervals has two rows per block, whatever the shard size.
     """
+    b = prefix_sum(blocks, ["block"], "bchars", idx="_i", before="lo").drop("_i")
+    if chars_per_shard <= 0:
+        return b.select("block", (F.col("block") + 1).alias("next"))
+    n, total = blocks.agg(F.count(F.lit(1)), F.sum("bchars")).first()
+    width = F.lit(max(1, (total or 0) // max(1, n)))
+    spans = b.filter("bchars > 0").select(
+        F.col("block").alias("end"), "lo", (F.col("lo") + F.col("bchars")).alias("hi"),
+        F.explode(F.sequence(F.floor((F.col("lo") + 1) / width), F.floor((F.col("lo") + F.col("bchars")) / width))).alias("bucket"))
+    # blocks without characters ask for the same sum: once is enough
+    asks = b.select((F.col("lo") + chars_per_shard).alias("at")).distinct().withColumn("bucket", F.floor(F.col("at") / width))
+    found = asks.join(spans, "bucket").filter((F.col("lo") < F.col("at")) & (F.col("at") <= F.col("hi"))).select("at", (F.col("end") + 1).alias("next"))
+    return b.withColumn("at", F.col("lo") + chars_per_shard).join(found, "at", "left").select("block", "next")
+
+
+def _close_shards(blocks: DataFrame, chars_per_shard: int, chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
+    """(block, new_shard, shard_first_block, is_tail) by the greedy close rule.
+
+    The starts of shards are the blocks reached from block 0 by ``_next_starts``.
+    Runs of ``chunk_blocks`` blocks are followed in parallel: each gives, for
+    every block, where a walk from it leaves the run and how many shards it
+    passes. Only blocks at which some walk enters a run can be met, a few for
+    each run; these go to the driver, where the walk from block 0 takes one step
+    a run. A second pass over the runs then marks the starts.
+    """
+    import uuid
+
     import pandas as pd
 
-    cols = ["block", "new_shard", "shard_first_block", "is_tail"]
-
-    def fold(batches):
-        shard, acc, first, pending = 0, 0, None, []
-        for pdf in batches:
-            out = []
-            for b, c in zip(pdf["block"].tolist(), pdf["bchars"].tolist()):
-                if first is None:
-                    first = b
-                acc += c
-                pending.append((b, shard, first))
-                if acc >= chars_per_shard:
-                    out.extend((r[0], r[1], r[2], False) for r in pending)
-                    pending, shard, acc, first = [], shard + 1, 0, None
-            if out:
-                yield pd.DataFrame(out, columns=cols)
-        if pending:
-            yield pd.DataFrame([(r[0], r[1], r[2], True) for r in pending], columns=cols)
+    from ..session import scratch_path
+    spark = blocks.sparkSession
+    path = scratch_path(spark, f"steps-{uuid.uuid4().hex[:10]}")
+    chunk = F.floor(F.col("block") / F.lit(chunk_blocks))
+    _next_starts(blocks, chars_per_shard).withColumn("chunk", chunk).write.parquet(path)
+    steps = spark.read.parquet(path)
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        low = int(pdf["block"].iloc[0])
+        nxt = [-1 if pd.isna(x) else int(x) for x in pdf["next"]]
+        out, passed, last = list(nxt), [1] * len(nxt), [low + i for i in range(len(nxt))]
+        for i in range(len(nxt) - 1, -1, -1):
+            if 0 <= (j := nxt[i] - low) < len(nxt):
+                out[i], passed[i], last[i] = out[j], passed[j] + 1, last[j]
+        return pd.DataFrame({"block": pdf["block"], "leaves": out, "passed": passed, "last": last})
+
+    walks = steps.groupBy("chunk").applyInPandas(leave, "block long, leaves long, passed long, last long")
+    entered = walks.select(F.col("leaves").alias("block")).filter("block >= 0").distinct().unionByName(spark.range(1).select(F.col("id").alias("block")))
+    walk = {r["block"]: r for r in walks.join(entered.distinct(), "block").collect()}
+    # (chunk, where the walk enters it, shards before, the start before the entry)
+    at, shard, before, runs = 0, 0, -1, []
+    while at in walk:
+        r = walk[at]
+        runs.append((at // chunk_blocks, at, shard, before))
+        at, shard, before = r["leaves"], shard + r["passed"], r["last"]
+    known = spark.createDataFrame(runs, "chunk long, entry long, shard long, before long")
+
+    def mark(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("block")
+        entry, shard, before = (int(right[c].iloc[0]) for c in ("entry", "shard", "before")) if len(right) else (1 << 62, -1, -1)
+        out, start, number, tail = [], before, shard - 1, False
+        for block, nxt in zip(left["block"].tolist(), left["next"].tolist()):
+            if block == entry:
+                start, number, entry = block, number + 1, -1 if pd.isna(nxt) else int(nxt)
+                tail = pd.isna(nxt)
+            out.append((block, number, start, tail))
+        return pd.DataFrame(out, columns=["block", "new_shard", "shard_first_block", "is_tail"])
 
     schema = "block long, new_shard long, shard_first_block long, is_tail boolean"
-    return blocks.repartition(1).sortWithinPartitions("block").mapInPandas(fold, schema)
+    got = steps.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(mark, schema)
+    # the walk ends in the last shard; runs after its start have no entry of their own
+    last = runs[-1] if runs else None
+    if last is None:
+        return got
+    final = F.lit(before)
+    beyond = F.col("block") >= final
+    unfinished = F.lit(at < 0) & beyond
+    number = F.lit(shard - 1)
+    return got.select("block", F.when(beyond, number).otherwise(F.col("new_shard")).alias("new_shard"),
+                      F.when(beyond, final).otherwise(F.col("shard_first_block")).alias("shard_first_block"),
+                      unfinished.alias("is_tail"))
 
 
 def write_shards(docs: DataFrame, path: str, shard_col: str = "new_shard", rg_col: str = "new_rg",
                  pos_col: str = "pos_in_rg", row_group_rows: int = 1024, mode: str = "overwrite") -> None:
-    """zstd Parquet, no dictionary, one folder per shard, rows in (rg, pos) order.
+    """zstd Parquet, no dictionary, one file per shard in row groups of
+    ``row_group_rows``, rows in (rg, pos) order.
 
+    A shard's folder has its number with leading zeros, so that the order of
+    paths is the order of shards and ``scan_corpus`` numbers them alike.
     Statistics stay on (unlike the source) so readers can prune on the
     position columns.
     """
     (docs.repartition(shard_col)
          .sortWithinPartitions(shard_col, rg_col, pos_col)
+         .withColumn(shard_col, F.format_string("%09d", F.col(shard_col).cast("bigint")))
          .write.mode(mode)
          .option("compression", "zstd")
          .option("parquet.enable.dictionary", "false")
-         .option("parquet.block.size", str(max(1, row_group_rows) * 4096))
+         .option("parquet.block.row.count.limit", str(max(1, row_group_rows)))
          .partitionBy(shard_col)
          .parquet(path))
