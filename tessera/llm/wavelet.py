@@ -44,9 +44,10 @@ from .wordids import encoder
 
 MAGIC = b"TWM1"
 #: Bits of a plane that are compressed together.
-CHUNK = 1 << 16
-#: A shard ends with the document that brings it to so many ids.
-SHARD_TOKENS = 4 << 20
+CHUNK = 1 << 18
+#: A shard ends with the document that brings it to so many ids: planes that fit a
+#: core's cache are sorted twice as fast. Larger shards make fewer files.
+SHARD_TOKENS = 1 << 20
 
 
 def _pack(data: np.ndarray | bytes) -> bytes:
@@ -63,14 +64,14 @@ def write_shard(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, bits:
     of tokens; ``extra`` goes into the header."""
     parts, at, zeros, now = [_pack(doc_ids.astype("<i8")), _pack(counts.astype("<u8"))], [], [], ids
     for level in range(bits - 1, -1, -1):
-        one = ((now >> level) & 1).astype(bool)
+        one = (now & now.dtype.type(1 << level)) != 0
         plane = np.packbits(one, bitorder="little").tobytes()
         chunks = [plane[i : i + CHUNK // 8] for i in range(0, len(plane), CHUNK // 8)]
         ones = np.cumsum([0] + [int(np.bitwise_count(np.frombuffer(c, np.uint8)).sum()) for c in chunks])
         packed = [_pack(c) for c in chunks]
         parts += [ones.astype("<u8").tobytes(), np.cumsum([0] + [len(c) for c in packed]).astype("<u8").tobytes(), b"".join(packed)]
         zeros.append(len(now) - int(ones[-1]))
-        now = np.concatenate((now[~one], now[one]))
+        now = np.concatenate((np.compress(~one, now), np.compress(one, now)))
     end = 0
     for p in parts:
         at.append([end, len(p)])
@@ -111,7 +112,7 @@ class _Plane:
         return out
 
     def mask(self) -> np.ndarray:
-        return np.concatenate([self._chunk(k) for k in range(len(self.ends) - 1)] or [np.zeros(0, np.uint8)]).astype(bool)
+        return np.concatenate([self._chunk(k) for k in range(len(self.ends) - 1)] or [np.zeros(0, np.uint8)]).view(bool)
 
 
 class WaveletShard:
@@ -175,8 +176,8 @@ class WaveletShard:
         for level in range(self.bits - 1, -1, -1):
             p = self.planes[level]
             one, back = p.mask(), np.empty_like(now)
-            back[~one] = now[: p.zeros]
-            back[one] = now[p.zeros :] | now.dtype.type(1 << (self.bits - 1 - level))
+            back[np.flatnonzero(~one)] = now[: p.zeros]  # places are faster than masks here
+            back[np.flatnonzero(one)] = now[p.zeros :] | now.dtype.type(1 << (self.bits - 1 - level))
             now = back
         return now
 

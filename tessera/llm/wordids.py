@@ -11,8 +11,8 @@ from functools import lru_cache
 import numpy as np
 
 #: A worker keeps the words it met last and those before them, so many each (about
-#: 60 MB in all); older ones are found anew. Ids don't depend on it.
-KEPT_WORDS = 150_000
+#: 100 MB in all); older ones are found anew. Ids don't depend on it.
+KEPT_WORDS = 250_000
 #: "word," is "word" and ",": a letter or digit ends a piece of the pre-tokenizer.
 _POINTS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -29,81 +29,44 @@ class WordEncoder(dict):
     """Lower-cased word (UTF-8) to its ids in bytes, found when first asked for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.one = Tokenizer.from_file(path)
+        self.tokenize = self.one.model.tokenize
         self.marks = {t.content.encode().lower()[:2] for t in self.one.get_added_tokens_decoder().values()}
         self.code, self.kind = ("H", np.dtype("<u2")) if self.one.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
+        self.letters = dict(enumerate(_byte_letters()))
         self.before: dict[bytes, bytes] = {}
-        # The same model for words that are one piece, given in byte letters: many in one call.
-        self.many = Tokenizer(self.one.model)
-        self.many.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = dict(enumerate(_byte_letters())) | {32: " "}
-        suffix = self.one.model.end_of_word_suffix
-        self.last = np.zeros(self.one.get_vocab_size(), bool)
-        if suffix:
-            self.last[[i for t, i in self.one.get_vocab().items() if t.endswith(suffix) and i < len(self.last)]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        if (got := self.before.pop(word, None)) is None:
-            core = word.rstrip(_POINTS)
-            if core != word and core and core[-1] in _ENDS:
-                got = self[core] + self[word[len(core) :]]
+        if (got := self.before.pop(word, None)) is not None:
+            self[word] = got
+            return got
+        if word.isalpha():  # ASCII letters: one piece
+            got = array(self.code, [t.id for t in self.tokenize(word.decode())]).tobytes()
+        elif (core := word.rstrip(_POINTS)) != word and core and core[-1] in _ENDS:
+            got = self[core] + self[word[len(core) :]]
+        else:
+            whole = word.decode()
+            w = whole.lower() if max(whole) < "\u0250" else ""
+            if w.isalpha():  # one piece, and its own NFC
+                got = array(self.code, [t.id for t in self.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
             else:
-                got = array(self.code, self.one.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+                got = array(self.code, self.one.encode(whole, add_special_tokens=False).ids).tobytes()
         self[word] = got
         return got
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Put the ids of new words into the dictionary; the model gets those that
-        are one piece, and their own NFC, in one call."""
-        plain: dict[bytes, bytes] = {}
-        for w in words:
-            if (got := self.before.pop(w, None)) is not None:
-                self[w] = got
-                continue
-            core = w.rstrip(_POINTS)
-            if core != w and core in self:
-                continue
-            w = core if core and core[-1] in _ENDS else w
-            if w.isalpha():
-                plain[w] = w
-            elif not w.isascii() and max(s := w.decode()) < "\u0250" and (s := s.lower()).isalpha():
-                plain[w] = s.encode()
-        own = [w for w in plain if w not in self.before]
-        if not own or not self.last.any():
-            return
-        text = b" ".join(map(plain.__getitem__, own)).decode("latin-1").translate(self.letters)
-        ids = np.array(self.many.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(own):
-            data, ends = ids.tobytes(), (ends * self.kind.itemsize).tolist()
-            self.update((w, data[a:b]) for w, a, b in zip(own, [0, *ends], ends))
-
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, as encode(text, add_special_tokens=False) gives them."""
-        if len(self) > KEPT_WORDS:
-            self.before = dict(self)
-            self.clear()
-        get, done, new = self.get, [], set()
+        out = []
         for t in texts:
+            if len(self) > KEPT_WORDS:
+                self.before = dict(self)
+                self.clear()
             low = t.lower()
             if any(m in low for m in self.marks):
-                done.append((None, t, None))
-                continue
-            words = low.split()
-            got = list(map(get, words))
-            gaps = [k for k, x in enumerate(got) if x is None] if None in got else []
-            new.update([words[k] for k in gaps])
-            done.append((got, [words[k] for k in gaps], gaps))
-        self._learn(new)
-        out = []
-        for got, words, gaps in done:
-            if got is None:
-                out.append(np.array(self.one.encode(words.decode(), add_special_tokens=False).ids, self.kind))
-                continue
-            for k, w in zip(gaps, words):
-                got[k] = self[w]
-            out.append(np.frombuffer(b"".join(got), self.kind))
+                out.append(np.array(self.one.encode(t.decode(), add_special_tokens=False).ids, self.kind))
+            else:
+                out.append(np.frombuffer(b"".join(map(self.__getitem__, low.split())), self.kind))
         return out
 
 
