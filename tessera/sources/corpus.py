@@ -253,6 +253,8 @@ def _close_shards(blocks: DataFrame, chars_per_shard: int, chunk_blocks: int = C
     # (chunk, where the walk enters it, shards before, the start before the entry)
     at, shard, before, runs = 0, 0, -1, []
     while at in walk:
+        # a run that a shard spans whole has no entry (-1)
+        runs += [(c, -1, shard, before) for c in range(runs[-1][0] + 1 if runs else 0, at // chunk_blocks)]
         r = walk[at]
         runs.append((at // chunk_blocks, at, shard, before))
         at, shard, before = r["leaves"], shard + r["passed"], r["last"]
