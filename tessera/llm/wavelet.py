@@ -48,6 +48,8 @@ CHUNK = 1 << 18
 #: A shard ends with the document that brings it to so many ids: planes that fit a
 #: core's cache are sorted twice as fast. Larger shards make fewer files.
 SHARD_TOKENS = 1 << 20
+#: Words whose ids a worker keeps (about 200 MB in all): nothing else is in memory then.
+KEPT_WORDS = 600_000
 
 
 def _pack(data: np.ndarray | bytes) -> bytes:
@@ -199,7 +201,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     out = schema_of("doc_id long,ids binary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT_WORDS)
         end = np.array([end_id], enc.kind).tobytes()
         for b in batches:
             yield rows(out, b.column(0), [x.tobytes() + end for x in enc.ids(encoded(b.column(1)))])

@@ -11,8 +11,8 @@ from functools import lru_cache
 import numpy as np
 
 #: A worker keeps the words it met last and those before them, so many each (about
-#: 100 MB in all); older ones are found anew. Ids don't depend on it.
-KEPT_WORDS = 250_000
+#: 60 MB in all); older ones are found anew. Ids don't depend on it.
+KEPT_WORDS = 150_000
 #: "word," is "word" and ",": a letter or digit ends a piece of the pre-tokenizer.
 _POINTS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -28,7 +28,7 @@ def _byte_letters() -> list[str]:
 class WordEncoder(dict):
     """Lower-cased word (UTF-8) to its ids in bytes, found when first asked for."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         from tokenizers import Tokenizer
         self.one = Tokenizer.from_file(path)
         self.tokenize = self.one.model.tokenize
@@ -36,6 +36,7 @@ class WordEncoder(dict):
         self.code, self.kind = ("H", np.dtype("<u2")) if self.one.get_vocab_size() <= 1 << 16 else ("I", np.dtype("<u4"))
         self.letters = dict(enumerate(_byte_letters()))
         self.before: dict[bytes, bytes] = {}
+        self.kept = kept or KEPT_WORDS
 
     def __missing__(self, word: bytes) -> bytes:
         if (got := self.before.pop(word, None)) is not None:
@@ -59,7 +60,7 @@ class WordEncoder(dict):
         """The ids of each UTF-8 text, as encode(text, add_special_tokens=False) gives them."""
         out = []
         for t in texts:
-            if len(self) > KEPT_WORDS:
+            if len(self) > self.kept:
                 self.before = dict(self)
                 self.clear()
             low = t.lower()
@@ -71,5 +72,5 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, kept: int | None = None) -> WordEncoder:
+    return WordEncoder(path, kept)
