@@ -857,7 +857,8 @@ def q_pretokenize(spark, sf_dir):
     d = V.docs(spark, sf_dir)
     p = d.select("doc_id", "text", TZ.pieces_col("text").alias("pieces"))
     return p.select("doc_id", (F.array_join("pieces", "") == F.col("text")).alias("lossless"),
-                    F.length("text").alias("n_chars"))
+                    F.length("text").alias("n_chars"), F.size("pieces").alias("n_pieces"),
+                    F.md5(F.array_join("pieces", "\u0001")).alias("pieces_md5"))
 
 
 def _counts(spark, sf_dir):

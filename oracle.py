@@ -1012,8 +1012,66 @@ FROM s2"""
 
 # ------------------------------------------------------------------ 2.3 tokenization
 
-Q["pretokenize"] = """
-SELECT doc_id, true AS lossless, CAST(length(text) AS INTEGER) AS n_chars FROM documents"""
+# RE2 has no look-ahead: a mark (a private-use sign) goes before the last of several
+# white spaces that another sign follows, unless that is a line end; no piece holds it.
+_MARK = "chr(57344)"
+_PIECE_RE = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}\x{E000}]?\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}\x{E000}]+[\r\n]*|\s*[\r\n]|\s+".replace("'", "''")
+PIECES = rf"""doc_pieces AS (
+  SELECT doc_id, text, regexp_extract_all(regexp_replace(text, '(\s)([^\S\r\n])(\S)', '\1' || {_MARK} || '\2\3', 'g'), '{_PIECE_RE}') AS ps
+  FROM documents)"""
+
+Q["pretokenize"] = f"""WITH {PIECES}
+SELECT doc_id, array_to_string(ps, '') = text AS lossless, CAST(length(text) AS INTEGER) AS n_chars,
+       CAST(len(ps) AS INTEGER) AS n_pieces, md5(array_to_string(ps, chr(1))) AS pieces_md5 FROM doc_pieces"""
+
+Q["pretoken_counts"] = f"""WITH {PIECES}
+SELECT piece, count(*) AS count FROM (SELECT unnest(ps) AS piece FROM doc_pieces) GROUP BY piece"""
+
+# Byte-pair training, one merge a step: a piece is its tokens as <id><id>…, so a
+# merge is a plain replacement from left to right.
+BPE = f"""{PIECES},
+own AS (SELECT piece, count(*)::BIGINT AS cnt FROM (SELECT unnest(ps) AS piece FROM doc_pieces) GROUP BY piece),
+start AS (SELECT piece, cnt, (SELECT string_agg('<' || (('0x' || substr(hex(encode(piece)), 2 * i - 1, 2))::INTEGER) || '>', '' ORDER BY i)
+                              FROM (SELECT unnest(range(1, strlen(piece) + 1)) AS i)) AS s FROM own),
+bpe AS (
+  SELECT 0 AS step, piece, cnt, s, NULL::INTEGER AS a, NULL::INTEGER AS b, NULL::BIGINT AS n FROM start
+  UNION ALL
+  SELECT step + 1, piece, cnt, replace(s, '<' || best.a || '><' || best.b || '>', '<' || (256 + step) || '>'), best.a, best.b, best.n
+  FROM bpe, (
+    SELECT a, b, sum(cnt)::BIGINT AS n FROM (
+      SELECT cnt, unnest(l[:-2]) AS a, unnest(l[2:]) AS b
+      FROM (SELECT cnt, list_transform(string_split(s[2:-2], '><'), lambda x: x::INTEGER) AS l FROM bpe) WHERE len(l) > 1)
+    GROUP BY a, b ORDER BY n DESC, a, b LIMIT 1) best
+  WHERE step < 64),
+merges AS MATERIALIZED (SELECT DISTINCT step - 1 AS rank, a AS left_id, b AS right_id, 255 + step AS new_id, n AS pair_count FROM bpe WHERE step > 0)"""
+
+Q["train_bpe"] = f"""WITH RECURSIVE {BPE}
+SELECT CAST(rank AS INTEGER) AS rank, left_id, right_id, CAST(new_id AS INTEGER) AS new_id, pair_count FROM merges"""
+
+BPE_VOCAB = f"""{BPE},
+toks AS (
+  SELECT 0 AS step, list_transform(range(256), lambda i: upper(printf('%02x', i))) AS t
+  UNION ALL
+  SELECT step + 1, list_append(t, t[left_id + 1] || t[right_id + 1]) FROM toks JOIN merges ON rank = step),
+bytes AS (SELECT arg_max(t, step) AS t FROM toks),
+vocab AS (
+  SELECT unnest(range(len(t))) AS token_id, unnest(t) AS token_hex, false AS is_special FROM bytes
+  UNION ALL
+  SELECT len(t) + i, upper(hex(encode(name))), true FROM bytes, (SELECT unnest(range(9)) AS i, unnest(['<|bos|>', '<|user_start|>', '<|user_end|>', '<|assistant_start|>', '<|assistant_end|>', '<|python_start|>', '<|python_end|>', '<|output_start|>', '<|output_end|>']) AS name))"""
+
+Q["build_vocab"] = f"""WITH RECURSIVE {BPE_VOCAB}
+SELECT CAST(token_id AS INTEGER) AS token_id, token_hex, is_special FROM vocab"""
+
+BPE_IDS = f"""{BPE},
+coded AS (SELECT piece, list_transform(string_split(s[2:-2], '><'), lambda x: x::INTEGER) AS ids FROM bpe WHERE step = (SELECT max(step) FROM bpe)),
+bos AS (SELECT 256 + max(step) AS id FROM bpe),
+doc_ids AS (
+  SELECT doc_id, list_prepend(bos.id, flatten(list(ids ORDER BY pos))) AS ids
+  FROM (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos FROM doc_pieces) JOIN coded USING (piece), bos GROUP BY doc_id, bos.id)"""
+
+Q["encode_corpus"] = f"""WITH RECURSIVE {BPE_IDS}
+SELECT doc_id, CAST(len(coalesce(i.ids, [bos.id])) AS INTEGER) AS n_tokens, md5(array_to_string(coalesce(i.ids, [bos.id]), ',')) AS ids_md5
+FROM documents LEFT JOIN doc_ids i USING (doc_id), bos"""
 
 WORDS = """words AS (
   SELECT word, CAST(row_number() OVER (ORDER BY word) + 2 AS INTEGER) AS id FROM (

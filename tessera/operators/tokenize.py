@@ -2,23 +2,27 @@
 
 * ``pretokenize`` — GPT-4-style split with Spark's (Java) regex engine.
 * ``train_bpe`` — byte-level BPE over the table of *distinct* pieces with
-  their counts: each round is one aggregation of adjacent-pair counts and
-  one narrow rewrite of the pieces that contain the winning pair.
-* ``encode_corpus`` — narrow: each Arrow batch of texts is split and
-  encoded in one pandas-UDF pass with a per-task piece cache, so no
-  token-level shuffle or join is needed and hot pieces cost nothing extra.
+  their counts: shards with an inverted index from pairs to places, whose
+  merges change pair counts instead of counting again.
+* ``encode_corpus`` — narrow: each Arrow batch of texts is split and encoded
+  in one pass with a bounded cache of pieces, so no token-level shuffle or
+  join is needed and hot pieces cost nothing extra.
 * ``decode_tokens`` — one-row broadcast of the vocabulary map (bounded by
   the vocabulary size) and a narrow ``transform``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.codec import SPECIAL_TOKENS
+from .bpe import PieceShard, best_pair, encode_piece, pair, predict
 
 # Fixed value: the pre-tokenizer split pattern (numbers in groups of at most 2).
 SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
@@ -46,121 +50,129 @@ def pretoken_counts(pieces: DataFrame, piece: str = "piece") -> DataFrame:
 
 # ------------------------------------------------------------------ BPE training
 
-
-def _merge_expr(ids: Column, a: int, b: int, new: int) -> Column:
-    """Replace (a, b) by ``new`` left to right, non-overlapping.
-
-    The array is rendered as ``,i,j,k,`` and a regex with a look-ahead for
-    the closing comma does the left-to-right non-overlapping scan."""
-    s = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    r = F.regexp_replace(s, f",{a},{b}(?=,)", f",{new}")
-    inner = F.regexp_replace(r, "^,|,$", "")
-    return F.when(F.size(ids) < 2, ids).otherwise(F.transform(F.split(inner, ","), lambda x: x.cast("int")))
-
-
-def _pair_counts(work: DataFrame) -> DataFrame:
-    n = F.size("ids")
-    w = work.filter(n >= 2)
-    pairs = F.arrays_zip(F.slice("ids", 1, n - 1).alias("a"), F.slice("ids", 2, n - 1).alias("b"))
-    return (w.select(F.explode(pairs).alias("p"), "cnt")
-             .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("cnt").alias("n")))
-
-
-class _Floor(dict):
-    """dict whose missing keys read as a floor value."""
-
-    def __init__(self, d, floor):
-        super().__init__(d)
-        self.floor = floor
-
-    def get(self, k, default=None):
-        return super().get(k, self.floor)
-
-
-def _select_merges(top: list, max_left: dict, max_right: dict, budget: int) -> list:
-    """Pairs that a one-at-a-time trainer would merge next, in order.
-
-    ``top`` is the ranking (count desc, then (left, right)). After merging
-    (a, b), every new pair contains the new token, and each of its
-    occurrences was an occurrence of a pair ending in ``a`` or starting with
-    ``b``; so new pairs count at most ``max(max_left[a], max_right[b])``.
-    The next ranked pair is taken only if it shares no token with the pairs
-    already taken (its count is then unchanged) and its count is strictly
-    above that bound; the first pair that fails stops the round.
-    """
-    chosen, used, bound = [], set(), -1
-    for a, b, n in top:
-        if len(chosen) >= budget:
-            break
-        if chosen and (a in used or b in used or n <= bound):
-            break
-        chosen.append((a, b, n))
-        used.update((a, b))
-        bound = max(bound, max_left.get(a, 0), max_right.get(b, 0))
-    return chosen
+#: Bytes of pieces in one shard of the training state.
+SHARD_BYTES = 4 << 20
+#: Most frequent pieces on the driver, from which the next merges are guessed.
+SAMPLE_PIECES = 20_000
+#: Pairs whose counts are known exactly in a round.
+CANDIDATES = 4096
+
+
+def _start_shards(batches):
+    """(piece, count) rows to shards of the training state and their pair counts."""
+    def out(pieces, counts):
+        s = PieceShard(pieces, counts)
+        pairs, n = s.pair_counts()
+        return _round_rows(s.dump(), [(-1, pairs, n)])
+
+    pieces, counts, size = [], [], 0
+    for b in batches:
+        for p, c in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
+            pieces.append(p)
+            counts.append(c)
+            size += len(p)
+            if size >= SHARD_BYTES:
+                yield out(pieces, counts)
+                pieces, counts, size = [], [], 0
+    if pieces:
+        yield out(pieces, counts)
+
+
+def _round_rows(state: bytes, changes: list):
+    n = sum(len(p) for _, p, _ in changes)
+    step = np.concatenate([np.full(len(p), s, np.int32) for s, p, _ in changes] or [np.zeros(0, np.int32)])
+    pairs = np.concatenate([p for _, p, _ in changes] or [np.zeros(0, np.int64)])
+    by = np.concatenate([d for _, _, d in changes] or [np.zeros(0, np.int64)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([True] + [False] * n), pa.array([state] + [None] * n, pa.binary()), pa.array(np.append(np.int32(-1), step)),
+         pa.array(np.append(0, pairs)), pa.array(np.append(0, by))], ["is_state", "state", "step", "pair", "change"])
+
+
+def _run_round(done: list, guessed: list):
+    """Shards after the merges ``done``, and how each of ``guessed``, one after
+    the other, would change the pair counts."""
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                s = PieceShard.load(blob)
+                for a, c, new in done:
+                    s.merge(a, c, new)
+                state = s.dump()
+                yield _round_rows(state, [(i, *s.merge(a, c, new)) for i, (a, c, new) in enumerate(guessed)])
+    return run
 
 
 def train_bpe(counts: DataFrame, vocab_size: int, n_special: int = len(SPECIAL_TOKENS),
-              piece: str = "piece", count: str = "count", checkpoint_every: int = 10,
-              candidates: int = 1000) -> DataFrame:
+              piece: str = "piece", count: str = "count", guesses: int = 32) -> DataFrame:
     """Merges ``(rank, left_id, right_id, new_id, pair_count)``.
 
     ``vocab_size − n_special − 256`` merges, each the pair with the highest
     count (ties: smallest (left, right)). Adjacent pairs are counted at every
     position, so in ``aaa`` the pair (a, a) counts twice but is merged once,
-    left to right. A round applies every merge that provably equals the
-    next merges of the one-at-a-time rule (``_select_merges``), so the
-    result is identical with fewer passes. The work table (distinct pieces)
-    is cached per round and checkpointed every ``checkpoint_every`` rounds
-    into the shared checkpoint folder to cut lineage.
+    left to right.
+
+    The distinct pieces lie in shards with an inverted index from pairs to
+    their places (``PieceShard``), so a merge touches only the pieces that hold
+    it and returns the changes of the pair counts; counts are never made anew.
+    A round guesses the next merges from a sample, lets every shard try them in
+    turn, sums the changes by Spark, and keeps the merges that were the best
+    pair at their turn by exact counts (the first always is). The result is that
+    of one merge at a time, in a fraction of the passes. States and changes of
+    a round are written to the shared folder, so lineage stays one round long.
+    The driver holds the sample, the top ``CANDIDATES`` pairs and the changes of
+    ``guesses`` merges, which the size of the vocabulary bounds.
     """
-    from ..session import ensure_checkpoint_dir
-    from ..functions.codec import utf8_ids
+    import uuid
+
+    from ..session import scratch_path
 
     spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
+    root = scratch_path(spark, f"bpe-{uuid.uuid4().hex[:10]}")
     n_merges = max(0, vocab_size - n_special - 256)
-    work = counts.select(utf8_ids(F.col(piece)).alias("ids"), F.col(count).cast("bigint").alias("cnt"))
-    work = work.groupBy("ids").agg(F.sum("cnt").alias("cnt")).cache()
-    merges = []
-    rounds = 0
-    prev = None
+    schema = "is_state boolean, state binary, step int, pair long, change long"
+    own = counts.select(F.col(piece).alias("piece"), F.col(count).cast("bigint").alias("count")).filter(F.length("piece") > 0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.partitionBy("is_state").parquet(f"{root}/{name}")
+        return spark.read.schema(schema).parquet(f"{root}/{name}")
+
+    own.write.parquet(f"{root}/pieces")
+    own = spark.read.parquet(f"{root}/pieces")
+    rnd = written(own.repartition(parts, "piece").mapInArrow(_start_shards, schema), "0")
+    top_pieces = own.orderBy(F.desc("count"), "piece").limit(SAMPLE_PIECES).collect()
+    sample = PieceShard([r["piece"].encode() for r in top_pieces], [r["count"] for r in top_pieces]).dump()
+    changes = rnd.filter("not is_state").select("pair", "change")
+    merges: list[tuple] = []
+    done: list[tuple[int, int, int]] = []
     while len(merges) < n_merges:
-        top = [(r["a"], r["b"], r["n"]) for r in
-               _pair_counts(work).orderBy(F.desc("n"), "a", "b").limit(candidates).collect()]
-        if prev is not None:      # ``work`` is materialized now; its parent can go
-            prev.unpersist()
-            prev = None
-        if not top or top[0][2] <= 0:
+        ranked = changes.groupBy("pair").agg(F.sum("change").alias("n")).filter("n > 0").orderBy(F.desc("n"), "pair")
+        exact = {r["pair"]: r["n"] for r in ranked.limit(CANDIDATES).collect()}
+        if not exact:
             break
-        # bounds from the ranking alone: a pair outside the top list counts
-        # at most as much as the last pair of the list
-        floor = top[-1][2] if len(top) == candidates else 0
-        ml, mr = {}, {}
-        for a, b, n in top:
-            ml[b] = max(ml.get(b, floor), n)
-            mr[a] = max(mr.get(a, floor), n)
-        ml = _Floor(ml, floor)
-        mr = _Floor(mr, floor)
-        chosen = _select_merges(top, ml, mr, n_merges - len(merges))
-        # the chosen pairs share no token, so their rewrites commute: apply
-        # them one after another on the ",i,j,k," form (linear expression)
-        s0 = F.concat(F.lit(","), F.array_join(F.col("ids"), ","), F.lit(","))
-        s = s0
-        for a, b, n in chosen:
-            new = 256 + len(merges)
-            merges.append((len(merges), a, b, new, n))
-            s = F.regexp_replace(s, f",{a},{b}(?=,)", f",{new}")
-        split = F.transform(F.split(F.regexp_replace(s, "^,|,$", ""), ","), lambda x: x.cast("int"))
-        rounds += 1
-        nxt = work.withColumn("_s", s).withColumn("_s0", s0).withColumn(
-            "ids", F.when(F.col("_s") == F.col("_s0"), F.col("ids")).otherwise(
-                F.transform(F.split(F.regexp_replace("_s", "^,|,$", ""), ","), lambda x: x.cast("int")))).drop("_s", "_s0")
-        nxt = nxt.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt.cache()
-        prev, work = work, nxt
-    if prev is not None:
-        prev.unpersist()
-    work.unpersist()
+        # a pair outside the list counts no more than its last one, and can only lose
+        floor = min(exact.values()) if len(exact) == CANDIDATES else 0
+        trial = PieceShard.load(sample)
+        for m in done:
+            trial.merge(*m)
+        sample = trial.dump()
+        guessed = predict(trial, exact, 256 + len(merges), min(guesses, n_merges - len(merges)))
+        rnd = written(rnd.filter("is_state").select("state").mapInArrow(_run_round(done, guessed), schema), str(len(merges) + 1))
+        seen: list[dict[int, int]] = [{} for _ in guessed]
+        tried = rnd.filter("not is_state").select("step", "pair", "change")
+        for r in tried.groupBy("step", "pair").agg(F.sum("change").alias("d")).collect():
+            seen[r["step"]][r["pair"]] = r["d"]
+        done = []
+        for i, (a, b, new) in enumerate(guessed):
+            best = best_pair(exact)
+            if best is None or exact[best] <= 0 or pair(best) != (a, b) or (i and exact[best] <= floor):
+                break
+            merges.append((len(merges), a, b, new, exact[best]))
+            done.append((a, b, new))
+            for c, d in seen[i].items():
+                if c in exact or new in pair(c):
+                    exact[c] = exact.get(c, 0) + d
+        changes = changes.unionByName(tried.filter(F.col("step") < len(done)).select("pair", "change"))
     return spark.createDataFrame(merges, "rank int, left_id int, right_id int, new_id int, pair_count long")
 
 
@@ -183,19 +195,31 @@ def _ranks(vocab_rows) -> dict[bytes, int]:
     return {bytes(r["token"]): r["token_id"] for r in vocab_rows if not r["is_special"]}
 
 
-def bpe_encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Rank-ordered merging of one piece (lowest rank first)."""
-    parts = [bytes([b]) for b in piece]
-    while len(parts) > 1:
-        best, best_i = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, best_i = r, i
-        if best is None:
-            break
-        parts = parts[:best_i] + [parts[best_i] + parts[best_i + 1]] + parts[best_i + 2:]
-    return [ranks[p] for p in parts]
+bpe_encode_piece = encode_piece
+#: Bytes of pieces and their ids that a Python worker keeps between batches, twice.
+CACHE_BYTES = 32 << 20
+
+
+class PieceCache(dict):
+    """piece to its ids as bytes, found when first asked for. The pieces met last
+    and those before them are kept; ids don't depend on it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.before, self.size = ranks, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.pop(piece, None)
+        if ids is None:
+            ids = array("i", encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        self.size += len(piece) + len(ids) + 150
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        if self.size > CACHE_BYTES:
+            self.before = dict(self)
+            self.clear()
+            self.size = 0
 
 
 def encode_corpus(docs: DataFrame, vocab: DataFrame, text: str = "text", prepend: int | None = None,
@@ -203,41 +227,31 @@ def encode_corpus(docs: DataFrame, vocab: DataFrame, text: str = "text", prepend
     """Ordinary encoding (special strings in the text are plain text).
 
     The vocabulary is collected once (bounded by the vocabulary size) and
-    shipped as a broadcast variable; each task encodes the pieces it sees
-    with a cache, so repeated pieces are encoded once per task.
+    shipped as a broadcast variable; a task keeps a bounded cache of pieces over
+    all its batches. Only the text crosses into Python and only ids come back.
     """
-    spark = docs.sparkSession
-    ranks = _ranks(vocab.collect())
-    bc = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def enc(texts: pd.Series) -> pd.Series:
-        # split and merge in one pass: only the text crosses into Python,
-        # not millions of piece strings (same pattern as ``pieces_col``)
-        import numpy as np
+    return docs.withColumn(out, bpe_encoder(docs.sparkSession, vocab, prepend, append)(_c(text)))
+
+
+def bpe_encoder(spark, vocab: DataFrame, prepend: int | None = None, append: int | None = None):
+    """A column function: text to array<int> of ids under ``vocab``."""
+    bc = spark.sparkContext.broadcast(_ranks(vocab.collect()))
+    head = b"" if prepend is None else prepend.to_bytes(4, "little")
+    tail = b"" if append is None else append.to_bytes(4, "little")
+
+    @F.arrow_udf("array<int>")
+    def enc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
-        pat = regex.compile(SPLIT_PATTERN)
-        rk = bc.value
-        cache: dict[str, np.ndarray] = {}
-        empty = np.zeros(0, dtype=np.int32)
-        res = []
-        for t in texts:
-            parts = []
-            for p in pat.findall(t):
-                v = cache.get(p)
-                if v is None:
-                    v = np.asarray(bpe_encode_piece(p.encode("utf-8"), rk), dtype=np.int32)
-                    cache[p] = v
-                parts.append(v)
-            res.append(np.concatenate(parts) if parts else empty)
-        return pd.Series(res)
-
-    ids = enc(_c(text))
-    if prepend is not None:
-        ids = F.concat(F.array(F.lit(prepend)), ids)
-    if append is not None:
-        ids = F.concat(ids, F.array(F.lit(append)))
-    return docs.withColumn(out, ids)
+        find, cache = regex.compile(SPLIT_PATTERN).findall, PieceCache(bc.value)
+        for batch in texts:
+            got = [None if t is None else head + b"".join(map(cache.__getitem__, find(t))) + tail for t in batch.to_pylist()]
+            sizes = np.array([len(g or b"") // 4 for g in got])
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            values = pa.array(np.frombuffer(b"".join(g or b"" for g in got), "<i4"))
+            yield pa.ListArray.from_arrays(ends, values, mask=pa.array([g is None for g in got]))
+            cache.trim()
+
+    return enc
 
 
 def vocab_map(vocab: DataFrame) -> DataFrame:
