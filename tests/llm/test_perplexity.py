@@ -21,11 +21,15 @@ def brute_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
 
 
+def line(text):
+    return "\x02" * (P.ORDER - 1) + " ".join(text.split()) + "\x03"
+
+
 class Model:
     """Interpolated modified Kneser-Ney, by its formulas."""
 
-    def __init__(self, words):
-        level = Counter(P.padded(w)[i : i + P.ORDER] for w in words for i in range(len(w) + 1))
+    def __init__(self, texts):
+        level = Counter(line(t)[i : i + P.ORDER] for t in texts for i in range(len(line(t)) - P.ORDER + 1))
         self.levels = {}
         for n in range(P.ORDER, 0, -1):
             c = Counter(level.values())
@@ -38,18 +42,22 @@ class Model:
             self.levels[n] = (level, d, total, left)
             level = Counter(g[1:] for g in level)
         self.floor = 1 / max(2, len(self.levels[1][0]))
+        self.known = {}
 
-    def word(self, w):
-        s, log = P.padded(w), 0.0
-        for i in range(len(w) + 1):
+    def gram(self, s):
+        if s not in self.known:
             p = self.floor
             for n in range(1, P.ORDER + 1):
-                g = s[i + P.ORDER - n : i + P.ORDER]
+                g = s[P.ORDER - n :]
                 level, d, total, left = self.levels[n]
                 own = (level[g] - d[min(level[g], 3) - 1]) / total[g[:-1]] if g in level else 0
                 p = own + (left[g[:-1]] / total[g[:-1]] if total[g[:-1]] else 1) * p
-            log += math.log(p)
-        return log
+            self.known[s] = math.log(p)
+        return self.known[s]
+
+    def text(self, t):
+        s = line(t)
+        return -sum(self.gram(s[i : i + P.ORDER]) for i in range(len(s) - P.ORDER + 1))
 
 
 def corpus():
@@ -57,6 +65,8 @@ def corpus():
     en = ["".join(turn.choices(["th", "e", "an", "er", "on", "is"], k=turn.randint(1, 4))) for _ in range(80)]
     fr = ["".join(turn.choices(["é", "ou", "le", "qu", "ai"], k=turn.randint(1, 4))) for _ in range(80)]
     docs = [(i, " ".join(turn.choices((en, fr)[i % 2], k=turn.randint(55, 120))), ("en", "fr")[i % 2]) for i in range(80)]
+    # Many more of either, so that one odd document is no large part of its language.
+    docs += [(200 + i, " ".join(turn.choices((en, fr)[i % 2], k=turn.randint(55, 120))), ("en", "fr")[i % 2]) for i in range(900)]
     docs += [(90, " ".join(w + "###" + str(turn.randint(100, 999)) for w in turn.choices(en, k=80)), "en"), (91, " ".join(turn.choices(fr, k=80)), "en")]
     docs += [(92, "same words again " * 40, "en"), (93, "line one\nline one\n\n\nline one ", "en"), (94, None, "en"), (95, "", None), (96, "few words", "fr"), (None, docs[0][1], None), (3, docs[3][1], "fr"), (97, " ".join(turn.choices(en, k=20000)), "en")]
     return docs
@@ -77,14 +87,17 @@ def test_counts_and_base_rules(judged):
 def test_scores_are_the_models(judged):
     by = defaultdict(list)
     for _, t, lang in corpus():
-        by[lang].extend((t or "").split())
+        if (t or "").split():
+            by[lang].append(t)
     models = {x: Model(w) for x, w in by.items()}
     for m in models.values():
         m.floor = 1 / sum(len(x.levels[1][0]) for x in models.values())
-    want = {(i, lang): -sum(models[lang].word(w) for w in t.split()) / len(t.split()) for i, t, lang in corpus() if t}
-    got = {r.doc_id: r.log_ppl for r in judged}
-    for (i, lang), x in want.items():
-        assert got[i] == pytest.approx(x, rel=2e-3), i
+    got = {r.doc_id: r for r in judged}
+    for i, t, lang in corpus():
+        if t:
+            x = models[lang].text(t)
+            assert got[i].log_ppl == pytest.approx(x / len(t.split()), rel=1e-5), i
+            assert got[i].log_ppl_sign == pytest.approx(x / (len(line(t)) - P.ORDER + 1), rel=1e-5), i
 
 
 def test_odd_documents_go_and_clean_ones_stay(judged):
@@ -105,28 +118,40 @@ def test_repeated_words_of_long_texts():
     assert np.isfinite(P.repeated_words([b"x"] * 10))
 
 
-def test_the_model_grows_with_its_ngrams(spark):
-    # Far more distinct n-grams than any fixed table of keys of the size before would keep apart; a rare one keeps its own score beside a common one.
+def test_the_model_grows_with_its_ngrams(spark, monkeypatch):
+    # A rare n-gram keeps its own score beside a common one, however many there are.
     turn = random.Random(3)
     signs = "".join(map(chr, range(0x4E00, 0x5200)))
     docs = [(i, " ".join("".join(turn.choices(signs, k=12)) for _ in range(120)), "zh") for i in range(150)] + [(1000, "the cat sat on the mat " * 500, "zh")]
     own = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2)
     P.ready(spark)
-    model = Model([w for _, t, _ in docs for w in t.split()])
-    grams = P.fit(P.blocks(own).select("lang", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("lang", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c")))
+    model = Model([t for _, t, _ in docs])
+    grams = P.fit(P.gram_counts(own))
     assert grams.count() == len(model.levels[P.ORDER][0]) > 100_000
-    got = {r.doc_id: r.log_ppl for r in P.measure(own).collect()}
-    for i, t, _ in docs[::30] + docs[-1:]:
-        w = t.split()
-        assert got[i] == pytest.approx(-sum(map(model.word, w)) / len(w), rel=1e-9), i
+    for part in (P.PART, 70_000):
+        got = {r.doc_id: r.log_ppl for r in P.measure(own, part).collect()}
+        for i, t, _ in docs[::30] + docs[-1:]:
+            assert got[i] == pytest.approx(model.text(t) / len(t.split()), rel=1e-6), i
 
 
-def test_results_do_not_depend_on_blocks(spark, monkeypatch):
+def test_results_do_not_depend_on_tasks(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     whole = {(repr(r.doc_id), r.n_words): r for r in P.judge(docs.repartition(1)).collect()}
     monkeypatch.setattr(P, "HELD", 40)
-    cut = P.blocks(docs.repartition(5).select("doc_id", F.col("text"), F.coalesce("lang", F.lit("\x00")).alias("lang")))
-    assert cut.count() > 10
+    monkeypatch.setattr(P, "SIGNS", 100)
+    monkeypatch.setattr(P, "PART", 500)
     for r in P.judge(docs.repartition(5)).collect():
         x = whole[repr(r.doc_id), r.n_words]
-        assert r[:6] == x[:6] and r.kept == x.kept and r.log_ppl == (x.log_ppl and pytest.approx(x.log_ppl, rel=1e-9))
+        assert r[:6] == x[:6] and r.kept == x.kept and r.log_ppl == (x.log_ppl and pytest.approx(x.log_ppl, rel=1e-6))
+
+
+def test_both_edges_reject_and_order_of_words_counts(spark):
+    turn = random.Random(8)
+    words = ["".join(turn.choices(["th", "e", "an", "er", "on", "is"], k=turn.randint(1, 4))) for _ in range(200)]
+    docs = [(i, " ".join(turn.choices(words, k=200)), "en") for i in range(300)]
+    docs += [(1000, " | ".join(turn.choices(words, k=200)), "en"), (1001, " ".join(w + "$$$" for w in turn.choices(words, k=200)), "en")]
+    docs += [(1002, " ".join(["the"] * 3 + turn.choices(["the", "on", "is"], k=200)), "en")]
+    got = {r.doc_id: r for r in P.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), max_repeat_pct=100).collect()}
+    assert not got[1000].kept and not got[1001].kept and not got[1002].kept
+    assert got[1002].log_ppl < min(got[i].log_ppl for i in range(300)) and got[1001].log_ppl > max(got[i].log_ppl for i in range(300))
+    assert sum(got[i].kept for i in range(300)) >= 290
