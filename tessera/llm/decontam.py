@@ -7,10 +7,12 @@ is then verified with Myers' bit-parallel edit distance, one machine word step
 for each character of the place.
 
 Texts are compared in lower case with white space as one space. Defined results:
-null, empty or blank texts hold nothing. Items of fewer than MIN_CHARS
-characters match nothing (such strings occur anywhere). Repeated rows give the
+null, empty or blank texts hold nothing, and such items are in no text. An item of
+fewer than SHORT characters has no error budget and counts only where it stands
+between word bounds (its letters occur anywhere). Texts of any length are searched
+whole. Repeated rows give the
 same rows again; item ids that repeat with different texts are told apart by
-text, and the least distance counts. A null doc_id stays null; a null item_id
+text, and the least distance counts; ties don't arise. A null doc_id stays null; a null item_id
 counts as an item like any other. Other columns are ignored. Empty tables give
 an empty result.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_out, id_text, rows, schema_of
 
 RATE = 0.05
-MIN_CHARS = 24
+SHORT = 24
 #: Bytes of test items sent to the executors at once; more items go in further passes.
 BLOCK_BYTES = 2 << 20
 
@@ -35,6 +37,11 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def at_word_bounds(text: str, a: int, b: int) -> bool:
+    """Whether no letter or digit on either side goes on into text[a:b]."""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
 def myers(masks: dict[str, int], m: int, text: str) -> int:
     """The least edit distance of the pattern to any substring of ``text``."""
     full, high = (1 << m) - 1, 1 << m - 1
@@ -59,7 +66,7 @@ class Matcher:
         """``items``: normal texts, each once."""
         import ahocorasick
 
-        self.items, self.budget, self.masks, self.tree = items, [int(rate * len(x)) for x in items], {}, ahocorasick.Automaton()
+        self.items, self.budget, self.masks, self.tree = items, [int(rate * len(x)) if len(x) >= SHORT else 0 for x in items], {}, ahocorasick.Automaton()
         for j, x in enumerate(items):
             n = self.budget[j] + 1
             for p in range(n):
@@ -89,6 +96,8 @@ class Matcher:
         found = {}
         for j, starts in places.items():
             x, k = self.items[j], self.budget[j]
+            if len(x) < SHORT:
+                starts = {s for s in starts if at_word_bounds(text, s, s + len(x))}
             if any(s >= 0 and text.startswith(x, s) for s in starts):
                 found[j] = 0
                 continue
@@ -109,7 +118,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_byt
     """(doc_id, item_id, distance): each item that a document holds within its
     budget of ``rate`` edits a character, with the least number of edits."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= MIN_CHARS)
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = size // block_bytes + 1
     own, out, ddl = id_text(docs), schema_of("doc_id long,item_id long,distance long"), "doc_id long, item_id long, distance long"
@@ -117,7 +126,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_byt
     for n in range(blocks):  # the items of a block fit one broadcast; texts are read once for each block
         by_text: dict[str, set] = {}
         for r in bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n).collect():
-            if len(x := normal(r["text"])) >= MIN_CHARS:
+            if x := normal(r["text"]):
                 by_text.setdefault(x, set()).add(r["item_id"])
         sent = spark.sparkContext.broadcast([(x, list(i)) for x, i in sorted(by_text.items())])
 

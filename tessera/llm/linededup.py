@@ -9,7 +9,12 @@ a look at the reference table; only the others are joined with it. Deleting
 documents logs negative references and takes keys that nobody holds any more
 out of the filters, after which the index is as if they had never come.
 
-Defined results: a null or empty text is one empty line. A null doc_id is one
+A whole table is indexed in BATCHES by a hash of doc_id. Keys that no filter knew
+and that a batch holds once are never looked at again; what two documents hold is
+listed as met again, and only references of such keys are counted and joined.
+
+Defined results: a null or empty text is one empty line. Lines and texts of any
+length count whole; ties don't arise. A null doc_id is one
 document with an id below all others. Rows that repeat a doc_id are one
 document for the counts, and each row loses its own lines. Other columns of
 the input are ignored. An empty table gives an empty result.
@@ -88,6 +93,7 @@ class LineIndex:
         key space; by default sized by the first batch. A key's shard is fixed."""
         self.spark, self.root, self.min_chars, self.shards, self.batch, self.generation = spark, root.rstrip("/"), min_chars, shards, 0, 0
         self.parts: list[str] = []
+        self.met: list[str] = []
 
     # --- the exact table ---
     def _log(self, refs: DataFrame, sign: int) -> DataFrame:
@@ -160,14 +166,36 @@ class LineIndex:
     # --- what users call ---
     def insert(self, docs: DataFrame) -> None:
         """Add documents (doc_id, text); ones that are there already change nothing."""
+        self.insert_refs(line_refs(docs, self.min_chars))
+
+    def insert_refs(self, refs: DataFrame) -> None:
+        """Add (key, doc_id). The filters are asked for each of the batch's keys:
+        one they don't know has no reference yet, and unless the batch itself has it
+        twice it stays out of the table of keys met again and of every later join."""
         before = self.refs() if self.parts else None
-        keys = self._log(line_refs(docs, self.min_chars), 1).select("key").distinct()
-        if before is not None:
-            probed = self.maybe_live(keys)
-            keys = probed.filter("not maybe").select("key").unionByName(probed.filter("maybe").select("key").join(before.select("key").distinct(), "key", "left_anti"))
-        elif self.shards is None:
-            self.shards = max(64, -(-keys.count() // SHARD_KEYS))
-        self._update(keys, True)
+        own = self._log(refs, 1).groupBy("key").agg(F.count_distinct("doc_id").alias("n"))
+        own = stored(own, "batch-keys")
+        if before is None:
+            self._met(own.filter("n > 1").select("key"))
+            if self.shards is None:
+                self.shards = max(64, -(-own.count() // SHARD_KEYS))
+            self._update(own.select("key"), True)
+            return
+        probed = stored(self.maybe_live(own.select("key")), "probed")
+        known = probed.filter("maybe").select("key")
+        self._met(own.filter("n > 1").select("key").unionByName(known).distinct())
+        fresh = known.join(before.join(known.hint("merge"), "key", "left_semi").select("key").distinct(), "key", "left_anti")
+        self._update(probed.filter("not maybe").select("key").unionByName(fresh), True)
+
+    def _met(self, keys: DataFrame) -> None:
+        path = f"{self.root}/met/{self.batch:06d}"
+        keys.write.parquet(path)
+        self.met.append(path)
+
+    def met_again(self) -> DataFrame:
+        """(key): all keys that two documents have held, and the few that a filter
+        took for such."""
+        return self.spark.read.schema("key binary").parquet(*self.met).distinct() if self.met else self.spark.createDataFrame([], "key binary")
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents (doc_id) out again, whatever batch they came in."""
@@ -178,25 +206,43 @@ class LineIndex:
 
     def drops(self, min_docs: int = 3) -> DataFrame:
         """(doc_id, keys): of each document the keys held by at least
-        ``min_docs`` documents of which it is not the last."""
-        often = self.counts().filter(F.col("n_docs") >= min_docs)
-        return self.refs().join(often, "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        ``min_docs`` documents (two at least) of which it is not the last. Only
+        references of keys met again are counted and joined. Both joins are
+        between written tables, so Spark splits a line that very many hold."""
+        again = stored(self.met_again(), "again")
+        refs = stored(self.refs().join(again.hint("merge"), "key", "left_semi"), "repeated-refs")
+        often = refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).filter(F.col("n_docs") >= max(2, min_docs))
+        often = stored(often, "often")
+        return refs.join(often.hint("merge"), "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+
+
+#: Batches in which a whole table is indexed, by the hash of doc_id.
+BATCHES = 3
+
+
+def indexed(docs: DataFrame, min_chars: int = 20, root: str | None = None, batches: int = BATCHES) -> LineIndex:
+    """An index of ``docs``, inserted in ``batches``: each asks the filters of those before."""
+    index = LineIndex(docs.sparkSession, root or scratch(docs.sparkSession, "lines"), min_chars)
+    path = scratch(docs.sparkSession, "line-refs")
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("of")
+    line_refs(docs, min_chars).select("key", "doc_id", of).write.partitionBy("of").parquet(path)
+    refs = docs.sparkSession.read.schema("key binary, doc_id long, of int").parquet(path)
+    for k in range(batches):
+        index.insert_refs(refs.filter(F.col("of") == k).select("key", "doc_id"))
+    return index
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, root: str | None = None) -> DataFrame:
     """Index ``docs`` and drop each line that at least ``min_docs`` documents
     hold from all but the last of them: (doc_id, kept, n_lines, n_dropped)."""
-    index = LineIndex(docs.sparkSession, root or scratch(docs.sparkSession, "lines"), min_chars)
-    index.insert(docs)
-    return without_lines(docs, index.drops(min_docs), min_chars)
+    return without_lines(docs, indexed(docs, min_chars, root).drops(min_docs), min_chars)
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with its own columns, its texts without repeated lines and, if it
     has that column, n_chars to match. Documents that lose a line and have no
     text but white space left go; untouched ones stay as they are."""
-    index = LineIndex(docs.sparkSession, scratch(docs.sparkSession, "lines"), min_chars)
-    index.insert(docs)
+    index = indexed(docs, min_chars)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, keys: pd.Series) -> pd.Series:

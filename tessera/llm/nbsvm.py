@@ -40,7 +40,9 @@ class _Shapes(dict):
         s = word.decode("utf-8", "replace")
         for pattern, sign in _KINDS:
             s = pattern.sub(sign, s)
-        self[word] = h = xxhash.xxh32_intdigest(s[:24].encode())
+        h = xxhash.xxh32_intdigest(s.encode())
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 

@@ -13,7 +13,9 @@ Scoring is a narrow pass over whole texts with a model of bounded size. Defined
 results: null, empty and blank texts score by the intercept. Without a label of
 each class every score is the share of label 1 (0.5 without labels). Rows that
 repeat a doc_id are scored each by its own text; null ids stay null and learn
-nothing. Other columns are ignored.
+nothing. Words and texts of any length are taken whole; features with equal
+ratios are taken by their number. Other columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -41,22 +43,24 @@ CLEAR = 5.0
 IDENTITY = ["women", "men", "muslims", "christians", "jews", "hindus", "buddhists", "atheists", "blacks", "whites", "asians", "latinos", "arabs", "africans", "europeans",
             "immigrants", "refugees", "gays", "lesbians", "transgender", "straight", "disabled", "deaf", "blind", "elderly", "teenagers",
             "frauen", "männer", "muslime", "christen", "juden", "femmes", "hommes", "musulmans", "chrétiens", "juifs", "mujeres", "hombres", "musulmanes", "cristianos", "judíos"]
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _EDGES = b".,;:!?\"'()[]{}*#%&$|<>"
 
 
 class _Grams(dict):
-    """Word to its hashed features: the word and its runs of letters."""
+    """Word to its hashed features: the word and its runs of letters. Long words
+    are not kept."""
 
     def __missing__(self, word: bytes) -> list[int]:
-        self[word] = h = hashed(word)
+        h = hashed(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
 def hashed(word: bytes) -> list[int]:
     if not word:
         return []
-    w = "^" + word[:64].decode("utf-8", "ignore") + "$"
+    w = "^" + word.decode("utf-8", "ignore") + "$"
     found = {w[i : i + n] for n in RUNS for i in range(len(w) - n + 1)}
     return [crc32(word) % DIM, *(crc32(x.encode(), 1) % DIM for x in found)]
 
@@ -99,15 +103,13 @@ class Model:
 
 
 def counterfactual(text: str, turn: int, identity: list[str] = IDENTITY) -> str:
-    """``text`` with the identity terms of its first sentence that has any
-    swapped for others; if none has, with one put into its first sentence."""
+    """``text`` with every identity term swapped for another, the same for the
+    same; if it has none, with one put into its first sentence."""
     known = {t: i for i, t in enumerate(identity)}
     other = lambda i: identity[(i + 1 + turn % (len(identity) - 1)) % len(identity)]
-    for m in _SENTENCE.finditer(text):
-        words = re.split(r"(\W+)", m.group())
-        if any(w.lower() in known for w in words):
-            swapped = "".join(other(known[w.lower()]) if w.lower() in known else w for w in words)
-            return text[: m.start()] + swapped + text[m.end() :]
+    words = re.split(r"(\W+)", text)
+    if any(w.lower() in known for w in words):
+        return "".join(other(known[w.lower()]) if w.lower() in known else w for w in words)
     return f"{identity[turn % len(identity)]} {text}"
 
 
@@ -153,7 +155,7 @@ def logistic(x: list[np.ndarray], y: np.ndarray, change: list[tuple[np.ndarray,
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", identity: list[str] = IDENTITY, sample: int = SAMPLE, n_features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", identity: list[str] = IDENTITY, sample: int = SAMPLE, n_features: int = FEATURES, fairness: float = 1.0) -> Model:
     """Counts cover all labelled rows that are not held out; the logistic fit
     takes at most ``sample`` of them."""
     counts = feature_counts(training_texts(docs, labels, column))
@@ -182,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", identity: lis
     got = training_texts(docs, labels, column, sample).mapInArrow(extract, ddl).collect()
     got.sort(key=lambda r: (r["doc_id"], r["plain"]))
     x = [np.array(r["plain"], np.int64) for r in got]
-    w, bias = logistic(x, np.array([r["y"] for r in got], float), [(a, np.array(r["other"], np.int64)) for a, r in zip(x, got)], len(shell.ids))
+    w, bias = logistic(x, np.array([r["y"] for r in got], float), [(a, np.array(r["other"], np.int64)) for a, r in zip(x, got)], len(shell.ids), fairness=fairness)
     return Model(shell.ids, w, bias)
 
 

@@ -95,3 +95,34 @@ def test_counterfactuals_take_the_weight_of_identity_terms():
     free, _ = toxicity.logistic(x, y, change, 3, fairness=0.0)
     fair, _ = toxicity.logistic(x, y, change, 3, fairness=5.0)
     assert abs(free[1] - free[2]) > 1 and abs(fair[1] - fair[2]) < 0.2 and fair[0] > 1
+
+
+def test_all_sentences_are_swapped():
+    assert toxicity.counterfactual("The women left. Women came! ok men", 0, ["women", "men"]) == "The men left. men came! ok women"
+
+
+def test_long_words_count_whole():
+    a, b = b"x" * 70 + b"alpha", b"x" * 70 + b"omega"
+    assert set(toxicity.hashed(a)) != set(toxicity.hashed(b))
+    assert nbsvm.features(b"-_" * 20 + b"!").tolist() != nbsvm.features(b"-_" * 20 + b"?").tolist()
+
+
+def test_neutral_group_mentions_are_flagged_less_with_the_penalty(spark):
+    import random
+    rnd = random.Random(3)
+    groups, plain = ["women", "muslims", "refugees", "gays"], [f"word{i}" for i in range(150)]
+    text = lambda n, more: " ".join(rnd.sample(plain, n) + more)
+    rows = []
+    for i in range(1200):  # toxic texts name groups far more often than others do
+        y = i % 4 == 0
+        more = ([rnd.choice(groups)] if rnd.random() < (0.9 if y else 0.03) else []) + (["vile"] if y and rnd.random() < 0.6 else [])
+        rows.append((i, text(12, more), int(y)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, text(12, [groups[i % 4]])) for i in range(80)], "doc_id long, text string")
+    hits = {}
+    for fairness in (0.0, 1.0):
+        model = toxicity.fit(docs, labels, identity=groups, fairness=fairness)
+        hits[fairness] = sum(r.score >= 0.3 for r in toxicity.score(neutral, model).collect())
+        assert model.score(b"word1 word2 vile") >= 0.3
+    assert hits[0.0] >= 60 and hits[1.0] <= 8, hits

@@ -66,3 +66,9 @@ def test_rows_against_brute_force(spark, make):
 def test_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     assert matches(make([(1, "a text")]), none).count() == 0 and matches(make([]), none).count() == 0
+
+
+def test_short_items_match_whole_at_word_bounds(spark, make):
+    b = spark.createDataFrame([(1, "What is 12 times 12?"), (2, "pi"), (3, "  "), (4, "?!")], "item_id long, text string")
+    docs = [(1, "Q: what is 12\ttimes 12? A: 144"), (2, "a spiral"), (3, "is PI, here"), (4, "wow?!"), (5, "what is 12 times 1 2?"), (6, None)]
+    assert {(r.doc_id, r.item_id, r.distance) for r in matches(make(docs), b).collect()} == {(1, 1, 0), (3, 2, 0), (4, 4, 0)}

@@ -58,3 +58,31 @@ def test_pages_with_odd_rows(spark, model):
     assert {r[0]: r[2] for r in got if r[0] in (2, 3, None)} == {2: "", 3: "", None: ""}
     assert [r[2] for r in got if r[0] == 4][0].endswith("long word long word")
     assert len(got) == 7 and htmlcrf.extract(df.limit(0)).count() == 0
+
+
+def texts(html):
+    return [b.text for b in blocks(html)]
+
+
+def test_no_markup_takes_text_with_it():
+    assert texts(f'<p>a</p><p title="{"q" * 9000}>z">link</p>') == ["a", "link"]
+    assert texts("<p>a</p><svg viewBox='0 0 1 1'/><p>kept</p>") == ["a", "kept"]
+    assert texts("<p>sum <math><mi>x</mi></math> is</p><p>b</p>") == ["sum x is", "b"]
+    assert texts("<p>a</p><svg><path d='M0'><p>after an open one</p>") == ["a", "after an open one"]
+    assert texts("<p>a <object data=x>fallback</object> b</p>") == ["a fallback b"]
+    assert texts("<p>a</p><script>var x = '<p>no</p>';</script><p>b</p>") == ["a", "b"]
+    assert texts("<p title=it's>it's here</p><p>b</p>") == ["it's here", "b"]
+    assert texts('<p class="x>open quote</p><p>b</p>')[-1] == "b"
+
+
+def test_a_block_ends_a_paragraph_at_any_depth():
+    got = blocks("<p>" + "<b>" * 12 + "deep<div>block</div>")
+    assert [b.text for b in got] == ["deep", "block"] and "p" not in [name for name, _ in got[1].path]
+
+
+def test_many_open_quotes_take_no_quadratic_time():
+    import time
+    start = time.process_time()
+    blocks('<p a="x>text' * 1 + "<b c='y>more " * 20000)
+    blocks("<b c=\"y'>more " * 20000)
+    assert time.process_time() - start < 5

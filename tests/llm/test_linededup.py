@@ -67,3 +67,13 @@ def test_documents_keep_their_columns(make):
     assert dedup_documents(docs).columns == docs.columns
     assert (7, None, 0, 7) in got and (6, "", 0, 7) in got and (1, "own one\nanother shared line here", 32, 7) not in got
     assert (3, "short\nshort", 11, 7) in got and not any(i == 2 for i, *_ in got)
+
+
+def test_few_keys_reach_the_join(spark, make):
+    from tessera.llm.linededup import indexed
+    pairs = [(i, f"only document {i} holds this line\n{'shared by many documents' if i % 3 else 'nothing'}\n{A if i < 2 else ''}") for i in range(300)]
+    index = indexed(make(pairs))
+    met = {bytes(r.key) for r in index.met_again().collect()}
+    held = {bytes(r.key): r.n_docs for r in index.counts().collect()}
+    assert len(held) == 302 and {k for k, n in held.items() if n > 1} <= met and len(met) < 20
+    assert index.generation == 3 and rows(dedup_lines(make(pairs))) == brute(pairs)
