@@ -259,17 +259,23 @@ def _rendered(spark, sf_dir):
     return CH.render_conversation(V.convs_ok(spark, sf_dir), max_tokens=2048)
 
 
+def _all_convs(spark, sf_dir, df):
+    """Conversations that can't be rendered keep a row, with the reason."""
+    bad = CH.validate_smoltalk(V.convs(spark, sf_dir)).filter("not valid").select("conv_id", "reason")
+    return df.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
 @q
 def q_render_conversation(spark, sf_dir):
     r = _rendered(spark, sf_dir)
-    return r.select("conv_id", F.array_join("ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"),
-                    F.size("ids").alias("n_tokens"))
+    return _all_convs(spark, sf_dir, r.select("conv_id", F.array_join("ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"),
+                        F.size("ids").alias("n_tokens")))
 
 
 @q
 def q_render_for_completion(spark, sf_dir):
     r = CH.render_for_completion(V.convs_ok(spark, sf_dir))
-    return r.select("conv_id", F.array_join("ids", ",").alias("ids"))
+    return _all_convs(spark, sf_dir, r.select("conv_id", F.array_join("ids", ",").alias("ids")))
 
 
 @q
@@ -280,8 +286,8 @@ def q_render_chat_prompt(spark, sf_dir):
 
 @q
 def q_supervision_stats(spark, sf_dir):
-    return CH.supervision_stats(_rendered(spark, sf_dir)).select(
-        "conv_id", "n_tokens", "n_supervised", "supervised_share")
+    return _all_convs(spark, sf_dir, CH.supervision_stats(_rendered(spark, sf_dir)).select(
+            "conv_id", "n_tokens", "n_supervised", "supervised_share"))
 
 
 def _sft(spark, sf_dir):
@@ -291,23 +297,23 @@ def _sft(spark, sf_dir):
 @q
 def q_sft_rows(spark, sf_dir):
     s = _sft(spark, sf_dir)
-    return s.select("conv_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
-                    F.md5(F.array_join("mask", ",")).alias("mask_md5"))
+    return _all_convs(spark, sf_dir, s.select("conv_id", F.size("ids").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+                        F.md5(F.array_join("mask", ",")).alias("mask_md5")))
 
 
 @q
 def q_shift_targets(spark, sf_dir):
     s = P.shift_targets(_sft(spark, sf_dir))
-    return s.select("conv_id", F.md5(F.array_join("inputs", ",")).alias("inputs_md5"),
-                    F.md5(F.array_join("targets", ",")).alias("targets_md5"),
-                    F.size(F.filter("targets", lambda x: x == -1)).alias("n_ignored"))
+    return _all_convs(spark, sf_dir, s.select("conv_id", F.md5(F.array_join("inputs", ",")).alias("inputs_md5"),
+                        F.md5(F.array_join("targets", ",")).alias("targets_md5"),
+                        F.size(F.filter("targets", lambda x: x == -1)).alias("n_ignored")))
 
 
 @q
 def q_pad_batches(spark, sf_dir):
     r = _rendered(spark, sf_dir).withColumn("batch", (F.col("conv_id") / 8).cast("bigint"))
     p = P.pad_batches(r, "batch", BOS)
-    return p.select("conv_id", "batch", "padded_len", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    return _all_convs(spark, sf_dir, p.select("conv_id", "batch", "padded_len", F.md5(F.array_join("ids", ",")).alias("ids_md5")))
 
 
 # ------------------------------------------------------------------ 2.6 captions, 2.1 json sources
@@ -629,9 +635,14 @@ def _byte_lengths(spark):
     return EV.token_byte_lengths(ByteCodec().vocab(spark))
 
 
+def _trained_lengths(spark, sf_dir):
+    """Of the vocabulary that the documents train."""
+    return EV.token_byte_lengths(TZ.build_vocab(_merges(spark, sf_dir)))
+
+
 @q
 def q_token_byte_lengths(spark, sf_dir):
-    return _byte_lengths(spark).select("token_id", "n_bytes", "raw_bytes")
+    return _trained_lengths(spark, sf_dir).select("token_id", "n_bytes", "raw_bytes")
 
 
 @q
@@ -916,16 +927,34 @@ def q_decode_tokens(spark, sf_dir):
 
 @q
 def q_token_byte_stats(spark, sf_dir):
-    s = EV.token_byte_stats(_byte_lengths(spark))
-    return s
+    return EV.token_byte_stats(_trained_lengths(spark, sf_dir))
+
+
+def _codec(spark, sf_dir):
+    return TZ.BpeCodec(TZ.build_vocab(_merges(spark, sf_dir)))
 
 
 @q
 def q_tokenizer_roundtrip(spark, sf_dir):
-    codec = ByteCodec()
-    d = V.docs(spark, sf_dir).select("doc_id", "text")
-    e = d.withColumn("ids", codec.encode_col("text")).withColumn("back", codec.decode_col("ids"))
-    return TZ.tokenizer_roundtrip(e, "back")
+    """Under the vocabulary that the documents train."""
+    codec = _codec(spark, sf_dir)
+    e = codec.encode(V.docs(spark, sf_dir).select("doc_id", "text"), "text")
+    trip = TZ.tokenizer_roundtrip(TZ.decode_tokens(e, "ids", codec.table, "back").drop("ids"), "back")
+    return trip.crossJoin(e.agg(F.sum(F.size("ids")).alias("n_tokens")))  # two single rows
+
+
+@q
+def q_option_spans_bpe(spark, sf_dir):
+    """Zero-shot spans under the trained vocabulary: only the pieces at an
+    option's bounds are encoded for each option."""
+    codec, out = _codec(spark, sf_dir), None
+    for kind, items in (("mc", V.mc_items), ("schema", V.schema_items)):
+        d = items(spark, sf_dir)
+        parts = EV.option_parts(d, EV.sample_fewshot(d.select("idx"), 0), kind)
+        one = EV.option_spans_items(parts, kind, codec).select(
+            F.lit(kind).alias("kind"), "idx", "opt", "start", "end", F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _ratios(spark, sf_dir):

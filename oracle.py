@@ -347,6 +347,11 @@ SELECT conv_id, CAST(conv_id // 8 AS BIGINT) AS batch, CAST(max(len(ids)) OVER (
        md5(array_to_string(list_concat(ids, list_transform(range(max(len(ids)) OVER (PARTITION BY conv_id // 8) - len(ids)), lambda i: 261)), ',')) AS ids_md5
 FROM rendered"""
 
+for _k in ("render_conversation", "render_for_completion", "supervision_stats", "sft_rows", "shift_targets", "pad_batches"):
+    Q[_k] = f"""SELECT *, CAST(NULL AS VARCHAR) AS reason FROM ({Q[_k]})
+UNION ALL BY NAME
+SELECT conv_id, reason FROM ({with_(CONVS, SMOL)}SELECT conv_id, reason FROM smolv WHERE reason IS NOT NULL)"""
+
 # ------------------------------------------------------------------ 2.6 captions, json sources
 
 CAPV = """img AS (SELECT doc_id AS image_id FROM documents),
@@ -694,9 +699,6 @@ TBL = """tbl AS (
   UNION ALL SELECT * FROM (VALUES (256, 0, 16), (257, 0, 14), (258, 0, 16), (259, 0, 14), (260, 0, 17), (261, 0, 7),
                                   (262, 0, 14), (263, 0, 12), (264, 0, 19)) v(token_id, n_bytes, raw_bytes))"""
 
-Q["token_byte_lengths"] = with_(TBL) + """
-SELECT token_id, CAST(n_bytes AS INTEGER) AS n_bytes, CAST(raw_bytes AS INTEGER) AS raw_bytes FROM tbl"""
-
 def WEYL(a: str, b: str) -> str:
     x = f"(doc_id * {a}::DOUBLE + pos * {b}::DOUBLE)"
     return f"({x} - floor({x}))"
@@ -962,6 +964,35 @@ FEAT = f"""feat AS (
     SELECT l_suppkey, avg(l_quantity) / 50 AS f_qty, avg(l_extendedprice) / 1e5 AS f_price, avg(l_discount) AS f_disc,
            avg(l_tax) AS f_tax FROM lineitem GROUP BY l_suppkey))"""
 
+_XS = ["f_qty", "f_price", "f_disc", "f_tax"]
+_G = "[" + ", ".join("[" + ", ".join(f"covar_pop({a}, {b}) * count(*)" for b in _XS) + "]" for a in _XS) + "]"
+# Centred normal equations, solved by Gauss-Jordan elimination, a step a column.
+RIDGE = f"""mom AS (
+  SELECT {_G} AS g, [{", ".join(f"covar_pop({a}, y) * count(*)" for a in _XS)}] AS b, [{", ".join(f"avg({a})" for a in _XS)}] AS mx,
+         avg(y) AS my, var_pop(y) * count(*) AS syy FROM feat),
+al AS (SELECT unnest([0.0, 0.001, 0.01, 0.1, 1.0]::DOUBLE[]) AS alpha),
+gj AS (
+  SELECT alpha, 0 AS step, list_transform(g, lambda r, i: list_append(list_transform(r, lambda v, j: v + CASE WHEN i = j THEN alpha ELSE 0.0 END), b[i])) AS a FROM mom, al
+  UNION ALL
+  SELECT alpha, step + 1, list_transform(a, lambda r, i: CASE WHEN i = step + 1 THEN list_transform(r, lambda v: v / r[step + 1])
+    ELSE list_transform(r, lambda v, j: v - r[step + 1] / a[step + 1][step + 1] * a[step + 1][j]) END) FROM gj WHERE step < 4),
+sol AS (SELECT alpha, list_transform(a, lambda r: r[5]) AS w FROM gj WHERE step = 4),
+ridge AS (
+  SELECT alpha, w, my - list_sum(list_transform(w, lambda v, i: v * mx[i])) AS intercept,
+         1 - (syy - 2 * list_sum(list_transform(w, lambda v, i: v * b[i])) + list_sum(list_transform(g, lambda r, i: w[i] * list_sum(list_transform(r, lambda v, j: v * w[j]))))) / syy AS r2
+  FROM sol, mom)"""
+
+Q["ridge_fit"] = "WITH RECURSIVE " + FEAT + ",\n" + RIDGE + """
+SELECT alpha, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(sqrt(list_sum(list_transform(w, lambda v: v * v))), 6) AS weight_norm FROM ridge"""
+
+Q["predict_core"] = "WITH RECURSIVE " + FEAT + ",\n" + RIDGE + f""",
+m AS (SELECT *, (f_qty + f_price + f_disc + f_tax) / 4 AS mean FROM feat),
+simple AS (SELECT regr_slope(y, mean) AS s, regr_intercept(y, mean) AS i FROM m),
+one AS (SELECT arg_max([s, i], r2) AS best, arg_max(k, r2) AS k FROM ({" UNION ALL ".join(f"SELECT {k} AS k, regr_r2(y, {x}) AS r2, regr_slope(y, {x}) AS s, regr_intercept(y, {x}) AS i FROM feat" for k, x in enumerate(_XS, 1))})),
+p AS (SELECT l_suppkey, simple.i + simple.s * mean AS ps, intercept + f_qty * w[1] + f_price * w[2] + f_disc * w[3] + f_tax * w[4] AS pr,
+             best[2] + best[1] * ([f_qty, f_price, f_disc, f_tax])[one.k] AS pb FROM m, simple, one, ridge WHERE alpha = 0.01)
+SELECT l_suppkey, round(ps, 6) AS pred_simple, round(pr, 6) AS pred_ridge, round(pb, 6) AS pred_best, round((ps + pr) / 2, 6) AS pred_final FROM p"""
+
 Q["ols_fit"] = with_(FEAT) + """
 SELECT count(*) AS n, round(regr_slope(y, f_qty), 6) AS slope, round(regr_intercept(y, f_qty), 6) AS intercept,
        round(regr_r2(y, f_qty), 6) AS r2 FROM feat"""
@@ -1093,13 +1124,61 @@ SELECT a.ann_id, array_to_string(coalesce(e.ids, [1, 2]), ',') AS ids FROM ann a
 Q["decode_tokens"] = """
 SELECT doc_id, text FROM documents"""
 
-Q["token_byte_stats"] = with_(TBL) + """
+# A token decoded alone: valid UTF-8 signs keep their bytes, each malformed part (the
+# longest beginning of a sign, else one byte) becomes U+FFFD, three bytes. On hex pairs.
+_T = "[89AB][0-9A-F]"
+_V = rf"""(?:[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F]){_T}|E0[AB][0-9A-F]{_T}|(?:E[1-9ABCEF]){_T}{_T}|ED[89][0-9A-F]{_T}|F0[9AB][0-9A-F]{_T}{_T}|F[1-3]{_T}{_T}{_T}|F48[0-9A-F]{_T}{_T})"""
+_PART = rf"""(?:E0[AB][0-9A-F]|E[1-9ABCEF]{_T}|ED[89][0-9A-F]|F0[9AB][0-9A-F](?:{_T})?|F[1-3]{_T}(?:{_T})?|F48[0-9A-F](?:{_T})?)"""
+TRAINED_LENGTHS = f"""{BPE_VOCAB},
+tbl AS (
+  SELECT CAST(token_id AS INTEGER) AS token_id, CAST(len(token_hex) // 2 AS INTEGER) AS raw_bytes,
+         CAST(CASE WHEN is_special THEN 0 ELSE list_sum(list_transform(regexp_extract_all(token_hex, '{_V}|{_PART}|..'),
+              lambda x: CASE WHEN regexp_full_match(x, '{_V}') THEN len(x) // 2 ELSE 3 END)) END AS INTEGER) AS n_bytes
+  FROM vocab)"""
+
+Q["token_byte_lengths"] = f"""WITH RECURSIVE {TRAINED_LENGTHS}
+SELECT token_id, n_bytes, raw_bytes FROM tbl"""
+
+Q["token_byte_stats"] = f"""WITH RECURSIVE {TRAINED_LENGTHS}
 SELECT CAST(min(n_bytes) FILTER (WHERE n_bytes > 0) AS INTEGER) AS min_bytes, CAST(max(n_bytes) FILTER (WHERE n_bytes > 0) AS INTEGER) AS max_bytes,
        round(avg(n_bytes) FILTER (WHERE n_bytes > 0), 6) AS mean_bytes, round(stddev_samp(n_bytes) FILTER (WHERE n_bytes > 0), 6) AS std_bytes,
        count(*) FILTER (WHERE n_bytes = 0) AS n_zero FROM tbl"""
 
-Q["tokenizer_roundtrip"] = """
-SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_mismatch FROM documents"""
+Q["tokenizer_roundtrip"] = f"""WITH RECURSIVE {BPE_IDS},
+{BPE_VOCAB.removeprefix(BPE + ",").strip()},
+hexes AS (SELECT list(token_hex ORDER BY token_id) AS h FROM vocab)
+SELECT count(*) AS n_docs, count(*) FILTER (WHERE array_to_string(list_transform(ids[2:], lambda i: h[i + 1]), '') <> upper(hex(encode(text)))) AS n_mismatch,
+       CAST(sum(len(ids) - 1) AS BIGINT) AS n_tokens
+FROM (SELECT text, coalesce(ids, [0]) AS ids FROM documents LEFT JOIN doc_ids USING (doc_id)), hexes"""
+
+# Whole prompts, encoded: their distinct pieces go through all merges in order.
+SPANS_BPE = f"""{BPE},
+{ITEMS},
+prompts AS (
+  SELECT 'mc' AS kind, idx, CAST(opt - 1 AS INTEGER) AS opt, query || ' ' || o AS p FROM (SELECT idx, query, unnest(choices) AS o, generate_subscripts(choices, 1) AS opt FROM items)
+  UNION ALL
+  SELECT 'schema', idx, CAST(opt - 1 AS INTEGER), o || ' ' || query FROM (SELECT idx, query, unnest(choices) AS o, generate_subscripts(choices, 1) AS opt FROM items)),
+split AS (SELECT kind, idx, opt, regexp_extract_all(regexp_replace(p, '(\\s)([^\\S\\r\\n])(\\S)', '\\1' || {_MARK} || '\\2\\3', 'g'), '{_PIECE_RE}') AS ps FROM prompts),
+known AS (SELECT DISTINCT unnest(ps) AS piece FROM split),
+enc AS (
+  SELECT 0 AS step, piece, (SELECT string_agg('<' || (('0x' || substr(hex(encode(piece)), 2 * i - 1, 2))::INTEGER) || '>', '' ORDER BY i)
+                            FROM (SELECT unnest(range(1, strlen(piece) + 1)) AS i)) AS s FROM known
+  UNION ALL
+  SELECT step + 1, piece, replace(s, '<' || left_id || '><' || right_id || '>', '<' || new_id || '>') FROM enc JOIN merges ON rank = step),
+done AS (SELECT piece, list_transform(string_split(s[2:-2], '><'), lambda x: x::INTEGER) AS ids FROM enc WHERE step = (SELECT max(step) FROM enc)),
+seqs AS (
+  SELECT kind, idx, opt, list_concat([(SELECT 256 + max(step) FROM bpe)], coalesce(flatten(list(ids ORDER BY pos) FILTER (WHERE ids IS NOT NULL)), [])) AS ids
+  FROM (SELECT kind, idx, opt, unnest(CASE WHEN len(ps) = 0 THEN [NULL] ELSE ps END) AS piece, generate_subscripts(CASE WHEN len(ps) = 0 THEN [NULL] ELSE ps END, 1) AS pos FROM split)
+  LEFT JOIN done USING (piece) GROUP BY kind, idx, opt),
+mt AS (SELECT idx, opt, ids FROM seqs WHERE kind = 'mc'),
+st AS (SELECT idx, opt, ids FROM seqs WHERE kind = 'schema'),
+{common_len("mt", "cm", "n", False)},
+{common_len("st", "cs", "n", True)}"""
+
+Q["option_spans_bpe"] = f"""WITH RECURSIVE {SPANS_BPE}
+SELECT 'mc' AS kind, idx, opt, n AS start, CAST(len(ids) AS INTEGER) AS "end", md5(array_to_string(ids, ',')) AS ids_md5 FROM mt JOIN cm USING (idx)
+UNION ALL
+SELECT 'schema', idx, opt, CAST(len(ids) AS INTEGER) - n, CAST(len(ids) AS INTEGER), md5(array_to_string(ids, ',')) FROM st JOIN cs USING (idx)"""
 
 RATIOS = WORDS + f""",
 wenc AS {WORD_IDS('documents', 'doc_id', 'text')},

@@ -154,7 +154,9 @@ def expand_existing(lines: DataFrame, annotations: DataFrame, line_col: str = "l
     the caption, or an assistant message is appended, or — without a
     ``messages`` list — the standard two-message conversation is made.
     Lines that are not JSON, have no image_id or no captions stay as they
-    are. ``image_id`` is matched as an integer when it parses as one.
+    are. ``image_id`` is matched as an integer when it parses as one. All other
+    keys of the line and of its messages keep their place, value and type: they
+    pass through as variants. Lines without an image never meet the join.
     Output: (line_no, caption_idx, changed, image_id, messages, line).
     """
     t = "struct<image_id:string,messages:array<struct<role:string,content:string>>>"
@@ -162,7 +164,10 @@ def expand_existing(lines: DataFrame, annotations: DataFrame, line_col: str = "l
         "_ok", F.try_parse_json(F.col(line_col)).isNotNull() & F.trim(F.col(line_col)).startswith("{"))
     v = v.withColumn("_img", F.when(F.col("_ok"), F.col("_obj.image_id").try_cast("bigint")))
     caps = annotations.select(F.col("image_id").alias("_img"), "ann_id", "caption")
-    j = v.join(caps, "_img", "left")
+    none = v.filter(F.col("_img").isNull()).withColumns({"ann_id": F.lit(None).cast(caps.schema["ann_id"].dataType), "caption": F.lit(None).cast("string")})
+    w = Window.partitionBy(key).orderBy("ann_id")
+    j = v.filter(F.col("_img").isNotNull()).join(caps, "_img", "left").withColumn("_n", F.row_number().over(w) - 1)
+    j = j.unionByName(none.withColumn("_n", F.lit(0)))
     changed = F.col("ann_id").isNotNull()
     bare = F.when(F.trim(F.col(line_col)).startswith("["),
                   F.from_json(F.col(line_col), "array<struct<role:string,content:string>>"))
@@ -174,9 +179,25 @@ def expand_existing(lines: DataFrame, annotations: DataFrame, line_col: str = "l
     fresh = F.array(F.struct(F.lit("user").alias("role"), F.lit(PROMPT).alias("content")),
                     F.struct(F.lit("assistant").alias("role"), cap.alias("content")))
     new_msgs = F.when(F.col("_obj.messages").isNull(), fresh).when(first_asst > 0, replaced).otherwise(appended)
-    w = Window.partitionBy(key).orderBy("ann_id")
-    out = j.select(key, F.when(changed, F.row_number().over(w) - 1).alias("caption_idx"), changed.alias("changed"),
-                   F.col("_img").alias("image_id"), F.when(changed, new_msgs).otherwise(m).alias("messages"),
-                   F.when(changed, F.to_json(F.struct(F.col("_obj.image_id").alias("image_id"), new_msgs.alias("messages"))))
-                    .otherwise(F.col(line_col)).alias("line"))
-    return out
+    out = j.withColumn("_line", F.when(changed, _with_caption(F.col(line_col), cap, F.col("_obj.messages").isNull(), first_asst)))
+    return out.select(key, F.when(changed, F.col("_n")).alias("caption_idx"), changed.alias("changed"),
+                      F.col("_img").alias("image_id"), F.when(changed, new_msgs).otherwise(m).alias("messages"),
+                      F.coalesce("_line", line_col).alias("line"))
+
+
+def _with_caption(line: Column, caption: Column, fresh: Column, first_asst: Column) -> Column:
+    """A chat line with its caption put in, other keys and types untouched."""
+    var = lambda c: c.cast("variant")
+    told = lambda role, text: F.create_map(F.lit("role"), var(F.lit(role)), F.lit("content"), var(text))
+
+    def put(d: Column, k: str, value: Column) -> Column:
+        """A map with one key set, in its place or at the end."""
+        return F.when(F.map_contains_key(d, k), F.transform_values(d, lambda a, b: F.when(a == k, value).otherwise(b))).otherwise(
+            F.map_concat(d, F.create_map(F.lit(k), value)))
+
+    whole = F.from_json(line, "map<string,variant>")
+    msgs = F.from_json(line, "struct<messages:array<map<string,variant>>>")["messages"]
+    replaced = F.transform(msgs, lambda x, i: F.when(i + 1 == first_asst, put(x, "content", var(caption))).otherwise(x))
+    appended = F.concat(msgs, F.array(told("assistant", caption)))
+    new = F.when(fresh, F.array(told("user", F.lit(PROMPT)), told("assistant", caption))).when(first_asst > 0, replaced).otherwise(appended)
+    return F.to_json(put(whole, "messages", F.to_variant_object(new)))

@@ -183,11 +183,12 @@ def score_options(losses: DataFrame, spans: DataFrame, gold: DataFrame, idx: str
 def score_lm(preds: DataFrame, spans: DataFrame, idx: str = "idx") -> DataFrame:
     """Correct iff every token in ``[start, end)`` was predicted at the
     position before it. preds (idx, pos, actual, pred), spans (idx, start, end)."""
-    a = preds.select(idx, "pos", "actual")
-    p = preds.select(idx, (F.col("pos") + 1).alias("pos"), F.col("pred"))
-    j = a.join(p, [idx, "pos"]).join(spans.select(idx, "start", "end"), idx)
+    # the prediction at the position before, in one grouping by item
+    w = Window.partitionBy(idx).orderBy("pos")
+    p = preds.select(idx, "pos", "actual", F.lag("pred").over(w).alias("_p"), F.lag("pos").over(w).alias("_q"))
+    j = p.filter(F.col("_q") == F.col("pos") - 1).join(spans.select(idx, "start", "end"), idx)
     j = j.filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    got = j.groupBy(idx).agg(F.bool_and(F.col("pred").eqNullSafe(F.col("actual"))).alias("_ok"), F.count(F.lit(1)).alias("_n"))
+    got = j.groupBy(idx).agg(F.bool_and(F.col("_p").eqNullSafe(F.col("actual"))).alias("_ok"), F.count(F.lit(1)).alias("_n"))
     # an item lacks a prediction somewhere in its span: wrong, like one without any
     want = spans.select(idx, (F.col("end") - F.col("start")).alias("_want")).distinct()
     return want.join(got, idx, "left").select(idx, F.coalesce(F.col("_ok") & (F.col("_n") >= F.col("_want")), F.lit(False)).cast("int").alias("correct"))
@@ -303,16 +304,19 @@ def extract_answer(col) -> Column:
 
 def answer_match(items: DataFrame, completions: DataFrame, key: str = "problem") -> DataFrame:
     """Reference answer from the last part of the assistant message,
-    predicted answer from the completion; null equals null."""
+    predicted answer from the completion; null equals null. A problem without a
+    completion keeps one row, with null sample and prediction, that isn't correct."""
     m = F.col("messages")
     last_msg = F.get(m, F.size(m) - 1)
     parts = last_msg["parts"]
     last_text = F.coalesce(F.get(parts, F.size(parts) - 1)["text"], last_msg["content"])
     ref = items.select(key, extract_answer(last_text).alias("ref"))
-    c = completions.withColumn("pred", extract_answer(F.col("completion")))
-    j = c.join(ref, key)
-    return (j.withColumn("correct", F.col("pred").eqNullSafe(F.col("ref")).cast("int"))
-             .withColumn("both_missing", F.col("pred").isNull() & F.col("ref").isNull()))
+    # the answer is read before the shuffle: whole completions don't travel
+    c = completions.withColumn("pred", extract_answer(F.col("completion"))).drop("completion").withColumn("_there", F.lit(True))
+    j = ref.join(c, key, "left")
+    there = F.coalesce(F.col("_there"), F.lit(False))
+    return (j.withColumn("correct", (there & F.col("pred").eqNullSafe(F.col("ref"))).cast("int"))
+             .withColumn("both_missing", there & F.col("pred").isNull() & F.col("ref").isNull()).drop("_there"))
 
 
 def generative_eval(outcomes: DataFrame, key: str = "problem") -> DataFrame:
@@ -461,9 +465,13 @@ def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = No
     common prefix (mc) is BOS, ``before`` and what the options have in common;
     the common suffix (schema) is ``after`` and what the options end with in
     common, going on into ``before`` if an option is an ending of all others.
-    This needs a codec whose ids of a concatenation are the concatenated ids,
-    as bytes are; a merging codec has to encode whole prompts."""
+    With bytes, ids of a concatenation are the concatenated ids. A merging codec
+    encodes ``before`` and ``after`` once and, for each option, the pieces that
+    touch its bounds, up to where the split is that of ``after`` again."""
     codec = codec or ByteCodec()
+    if codec.kind != "byte":
+        spans = codec.option_spans(kind)(F.col("before"), F.col("options"), F.col("after"))
+        return parts.select(idx, F.posexplode(spans).alias("opt", "_s")).select(idx, "opt", "_s.ids", "_s.start", "_s.end")
     head = F.array(F.lit(codec.bos))
     d = parts.withColumn("_o", F.transform("options", lambda o: codec.encode_col(o)))
     n_before, n_after = codec.length_col("before"), codec.length_col("after")

@@ -204,45 +204,45 @@ def rank_predictors(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("r2"), "feature")))  # one row per feature
 
 
-def gram_sums(df: DataFrame, xs: list[str], y: str) -> dict:
-    """n, Σx, Σy, Σxxᵀ, Σxy, Σy² in one aggregate row (k² + 2k + 2 numbers)."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy")]
-    for i, a in enumerate(xs):
-        aggs.append(F.sum(a).alias(f"sx{i}"))
-        aggs.append(F.sum(F.col(a) * F.col(y)).alias(f"sxy{i}"))
-        for j in range(i, len(xs)):
-            aggs.append(F.sum(F.col(a) * F.col(xs[j])).alias(f"sxx{i}_{j}"))
-    return df.agg(*aggs).first().asDict()
-
-
-def ridge_from_sums(s: dict, k: int, alpha: float) -> tuple[float, np.ndarray, float]:
-    n = s["n"]
-    mx = np.array([s[f"sx{i}"] for i in range(k)]) / n
-    my = s["sy"] / n
-    G = np.zeros((k, k))
+def moments(df: DataFrame, xs: list[str], y: str) -> dict:
+    """n, means and centred second moments of the features and the target in one
+    aggregate row. Spark merges them as centred moments of parts (pairwise), so
+    nothing cancels when values lie far from zero. Rows with a null are left out."""
+    cols = [*xs, y]
+    d = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    k = len(cols)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]
+    aggs += [F.covar_pop(f"c{i}", f"c{j}").alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    r = d.agg(*aggs).first()
+    n = r["n"]
+    second = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            G[i, j] = G[j, i] = s[f"sxx{i}_{j}"] - n * mx[i] * mx[j]
-    b = np.array([s[f"sxy{i}"] - n * mx[i] * my for i in range(k)])
-    syy = s["syy"] - n * my * my
-    w = np.linalg.solve(G + alpha * np.eye(k), b)
+            second[i, j] = second[j, i] = (r[f"s{i}_{j}"] or 0.0) * n
+    return {"n": n, "mean": np.array([r[f"m{i}"] or 0.0 for i in range(k)]), "second": second}
+
+
+def ridge_from_moments(m: dict, alpha: float) -> tuple[float, np.ndarray, float]:
+    """(intercept, weights, r²): centred normal equations of the features, the
+    last column of the moments being the target."""
+    G, b, syy = m["second"][:-1, :-1], m["second"][:-1, -1], m["second"][-1, -1]
+    w = np.linalg.solve(G + alpha * np.eye(len(b)), b)
     ssr = syy - 2 * w @ b + w @ G @ w
-    r2 = 1 - ssr / syy if syy > 0 else float("nan")
-    return my - mx @ w, w, r2
+    return m["mean"][-1] - m["mean"][:-1] @ w, w, 1 - ssr / syy if syy > 0 else float("nan")
 
 
 def ridge_fit(df: DataFrame, xs: list[str], y: str, alphas: list[float]) -> DataFrame:
     """Ridge regression ‖Xw − y‖² + α‖w‖² with a free intercept, for each α.
 
-    The Gram sums are one Spark aggregate; the k×k solves run on the driver
-    (k is the number of features, not rows). α = 0 with fewer rows than
+    The centred moments are one Spark aggregate; the k×k solves run on the
+    driver (k is the number of features, not rows). α = 0 with fewer rows than
     features is singular and yields nulls.
     """
-    s = gram_sums(df, xs, y)
+    m = moments(df, xs, y)
     rows = []
     for a in alphas:
         try:
-            b0, w, r2 = ridge_from_sums(s, len(xs), a)
+            b0, w, r2 = ridge_from_moments(m, a)
             rows.append((float(a), float(b0), [float(v) for v in w], float(r2), float(np.linalg.norm(w))))
         except np.linalg.LinAlgError:
             rows.append((float(a), None, None, None, None))
@@ -252,15 +252,26 @@ def ridge_fit(df: DataFrame, xs: list[str], y: str, alphas: list[float]) -> Data
 
 def predict_core(features: DataFrame, xs: list[str], y: str, alpha: float, key: str) -> DataFrame:
     """Simple (OLS on the mean feature), ridge (all features) and
-    best-single-feature predictions; final = mean of simple and ridge."""
+    best-single-feature predictions; final = mean of simple and ridge. All fits
+    come from one row of moments; a second pass predicts."""
     f = features.withColumn("_mean", sum((F.col(c) for c in xs), F.lit(0.0)) / len(xs))
-    simple = ols_fit(f, "_mean", y).first()
-    best = rank_predictors(f, xs, y).filter("rank = 1").first()
-    s = gram_sums(f, xs, y)
-    b0, w, _ = ridge_from_sums(s, len(xs), alpha)
+    m = moments(f, [*xs, "_mean"], y)
+    second, mean, k = m["second"], m["mean"], len(xs)
+
+    def line(i: int) -> tuple[float, float, float]:
+        """Slope, intercept and r² of the target on feature i alone."""
+        xx, xy, yy = second[i, i], second[i, -1], second[-1, -1]
+        if xx <= 0:
+            return 0.0, float(mean[-1]), float("-inf")
+        return float(xy / xx), float(mean[-1] - xy / xx * mean[i]), float(xy * xy / (xx * yy)) if yy > 0 else 1.0
+
+    best = min(range(k), key=lambda i: (-line(i)[2], xs[i]))
+    own = [*range(k), k + 1]
+    b0, w, _ = ridge_from_moments({"mean": mean[own], "second": second[np.ix_(own, own)]}, alpha)
     ridge = F.lit(float(b0)) + sum((F.lit(float(wi)) * F.col(c) for wi, c in zip(w, xs)), F.lit(0.0))
-    p_simple = F.lit(simple["intercept"]) + F.lit(simple["slope"]) * F.col("_mean")
-    p_best = F.lit(best["intercept"]) + F.lit(best["slope"]) * F.col(best["feature"])
+    (s1, i1, _), (s2, i2, _) = line(k), line(best)
+    p_simple = F.lit(i1) + F.lit(s1) * F.col("_mean")
+    p_best = F.lit(i2) + F.lit(s2) * F.col(xs[best])
     return f.select(key, p_simple.alias("pred_simple"), ridge.alias("pred_ridge"), p_best.alias("pred_best"),
                     ((p_simple + ridge) / 2).alias("pred_final"), F.col(y).alias("actual"))
 

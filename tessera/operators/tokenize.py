@@ -230,12 +230,12 @@ def encode_corpus(docs: DataFrame, vocab: DataFrame, text: str = "text", prepend
     shipped as a broadcast variable; a task keeps a bounded cache of pieces over
     all its batches. Only the text crosses into Python and only ids come back.
     """
-    return docs.withColumn(out, bpe_encoder(docs.sparkSession, vocab, prepend, append)(_c(text)))
+    return docs.withColumn(out, bpe_encoder(docs.sparkSession, _ranks(vocab.collect()), prepend, append)(_c(text)))
 
 
-def bpe_encoder(spark, vocab: DataFrame, prepend: int | None = None, append: int | None = None):
-    """A column function: text to array<int> of ids under ``vocab``."""
-    bc = spark.sparkContext.broadcast(_ranks(vocab.collect()))
+def bpe_encoder(spark, ranks: dict[bytes, int], prepend: int | None = None, append: int | None = None):
+    """A column function: text to array<int> of ids."""
+    bc = spark.sparkContext.broadcast(ranks)
     head = b"" if prepend is None else prepend.to_bytes(4, "little")
     tail = b"" if append is None else append.to_bytes(4, "little")
 
@@ -254,39 +254,168 @@ def bpe_encoder(spark, vocab: DataFrame, prepend: int | None = None, append: int
     return enc
 
 
-def vocab_map(vocab: DataFrame) -> DataFrame:
-    """One row holding ``map<token_id, token>`` (size bounded by the vocabulary)."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_vm"),
-                     F.collect_set(F.when(F.col("is_special"), F.col("token_id"))).alias("_sp"))
+class BpeCodec:
+    """A trained vocabulary behind the codec interface of ``ByteCodec``. It merges
+    across what texts are put together from, so ids of a concatenation aren't the
+    concatenated ids (``kind``): see ``option_spans_items``."""
+
+    kind = "bpe"
+
+    def __init__(self, vocab: DataFrame):
+        rows = vocab.collect()  # vocabulary sized
+        self.spark, self.table = vocab.sparkSession, vocab
+        self.ranks = _ranks(rows)
+        self.specials = {bytes(r["token"]).decode(): r["token_id"] for r in rows if r["is_special"]}
+        self._encode = bpe_encoder(self.spark, self.ranks)
+
+    def special(self, name: str) -> int:
+        return self.specials[name if name.startswith("<|") else f"<|{name}|>"]
+
+    @property
+    def bos(self) -> int:
+        return self.special("bos")
+
+    def encode_col(self, text) -> Column:
+        return self._encode(_c(text))
+
+    def length_col(self, text) -> Column:
+        return F.size(self.encode_col(text))
+
+    def encode(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
+        return df.withColumn(out, self.encode_col(text))
+
+    def vocab(self, spark) -> DataFrame:
+        return self.table
+
+    def option_spans(self, kind: str):
+        """A column function of (before, options, after): an array with the ids,
+        start and end of each option, see ``option_spans_items``."""
+        return _spans_udf(self.spark, self.ranks, self.bos, kind)
+
+
+def stable_pieces(pieces: list[str]) -> int:
+    """How many of a text's pieces are the same whatever text follows: the last
+    one may go on, and so may white space before it in the same run."""
+    k = len(pieces)
+    if k:
+        k -= 1
+        while k and pieces[k].isspace() and pieces[k - 1].isspace():
+            k -= 1
+    return k
+
+
+def seam_ids(find, encode, before: str, options: list[str], after: str) -> list[tuple[np.ndarray, int, int]]:
+    """Of each option: the ids of ``before + option + after``, and how many ids at
+    the start and at the end come from pieces that no option touches. ``before``
+    and ``after`` are split and encoded once; an option's own pieces start with
+    the end of ``before`` and go on into ``after`` until a bound of its pieces is
+    met: from there on the split is the same, as it only looks ahead."""
+    head = [m.group() for m in find(before)]
+    k = stable_pieces(head)
+    stable = b"".join(map(encode, head[:k]))
+    tail = "".join(head[k:])
+    at, ids = {}, []
+    for m in find(after):
+        at[m.start()] = len(ids)
+        ids.append(encode(m.group()))
+    out = []
+    for o in options:
+        text, base, rest, mid = tail + o + after, len(tail) + len(o), len(ids), []
+        for m in find(text):
+            if m.start() >= base and m.start() - base in at:
+                rest = at[m.start() - base]
+                break
+            mid.append(encode(m.group()))
+        end = b"".join(ids[rest:])
+        out.append((np.frombuffer(stable + b"".join(mid) + end, "<i4"), len(stable) // 4, len(end) // 4))
+    return out
+
+
+def _shared(ids: list[np.ndarray]) -> int:
+    """Ids that all sequences begin with in common."""
+    n = min(map(len, ids))
+    for x in ids[1:]:
+        n = min(n, int(np.argmin(np.append(ids[0][:n] == x[:n], False))))
+    return n
+
+
+def _spans_udf(spark, ranks: dict[bytes, int], bos: int, kind: str):
+    bc = spark.sparkContext.broadcast(ranks)
+
+    @F.arrow_udf("array<struct<ids:array<int>,start:int,end:int>>")
+    def spans(before: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import regex
+        find, cache = regex.compile(SPLIT_PATTERN).finditer, PieceCache(bc.value)
+        for b, o, a in before:
+            ids, sizes, starts, counts = [], [], [], []
+            for x, options, y in zip(b.to_pylist(), o.to_pylist(), a.to_pylist()):
+                got = [np.append(np.int32(bos), g[0]) for g in seam_ids(find, cache.__getitem__, x, options, y)]
+                if got:
+                    common = _shared(got) if kind == "mc" else _shared([g[::-1] for g in got])
+                    starts += [common if kind == "mc" else len(g) - common for g in got]
+                ids += got
+                sizes += [len(g) for g in got]
+                counts.append(len(got))
+            ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            inner = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
+            rows = pa.StructArray.from_arrays([inner, pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], ["ids", "start", "end"])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), rows)
+            cache.trim()
+
+    return spans
 
 
 def decode_tokens(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text") -> DataFrame:
-    """ids → bytes → text; specials dropped, malformed UTF-8 → U+FFFD."""
-    vm = F.broadcast(vocab_map(vocab).withColumn("_k", F.lit(1)))  # one row, vocabulary-sized
-    j = df.withColumn("_k", F.lit(1)).join(vm, "_k").drop("_k")
-    kept = F.filter(F.col(ids), lambda i: ~F.array_contains(F.col("_sp"), i))
-    hx = F.array_join(F.transform(kept, lambda i: F.hex(F.element_at(F.col("_vm"), i))), "")
-    return j.withColumn(out, F.make_valid_utf8(F.unhex(hx).cast("string"))).drop("_vm", "_sp")
+    """ids → bytes → text; specials dropped, malformed UTF-8 and ids that the
+    vocabulary doesn't have → U+FFFD. The vocabulary is one broadcast row: an
+    array with the bytes of each id, looked up by position."""
+    hexed = F.when(F.col("is_special"), F.lit("")).otherwise(F.hex("token"))
+    known = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token_id", hexed))).alias("_m"), F.max("token_id").alias("_top"))
+    table = known.select(F.transform(F.sequence(F.lit(0), F.col("_top")), lambda i: F.try_element_at("_m", i)).alias("_hex"))
+    j = df.crossJoin(F.broadcast(table))  # one row
+    hx = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.when(i >= 0, F.get(F.col("_hex"), i)), F.lit("EFBFBD"))), "")
+    return j.withColumn(out, F.make_valid_utf8(F.unhex(hx).cast("string"))).drop("_hex")
 
 
 # ------------------------------------------------------------------ word codec
 
 
+#: Words of a vocabulary that every executor gets; a larger one is joined.
+WORDS_SENT = 2_000_000
+
+
+def _word_ids(words: Column, df: DataFrame, vocab: DataFrame, unk: int) -> Column:
+    sent = df.sparkSession.sparkContext.broadcast({r["word"]: r["id"] for r in vocab.select("word", "id").collect()})
+
+    @F.arrow_udf("array<int>")
+    def look(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        get = sent.value.get
+        for b in rows:
+            ids = [get(w, unk) for w in b.flatten().to_pylist()]
+            sizes = np.array([0 if n is None else n for n in pa.compute.list_value_length(b).to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids, pa.int32()))
+
+    return look(words)
+
+
 def word_encode(df: DataFrame, col: str, vocab: DataFrame, key: str, sos: int = 1, eos: int = 2,
                 unk: int = 0, out: str = "ids") -> DataFrame:
     """Lower-case, split on white space, look up (unknown = 0), wrap in SOS/EOS.
 
-    Words are exploded and joined with the vocabulary (a shuffle join; the
-    vocabulary may be large), then collected back per row in order.
+    A vocabulary of at most ``WORDS_SENT`` words goes to the executors and rows
+    are looked up where they are, without a shuffle. A larger one is joined with
+    the distinct words of each row, which are then put back in place.
     """
-    words = F.filter(F.split(F.lower(F.col(col)), r"(?U)\s+"), lambda w: w != "")
-    e = df.select(key, F.posexplode(words).alias("wpos", "word"))
-    j = e.join(vocab.select("word", F.col("id").alias("_id")), "word", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("wpos", F.coalesce("_id", F.lit(unk)).alias("i"))))
-                           .alias("_w"))
-    body = F.coalesce(F.transform("_w", lambda s: s["i"]), F.array().cast("array<int>"))
-    res = df.join(g, key, "left").withColumn(out, F.concat(F.array(F.lit(sos)), body, F.array(F.lit(eos))))
-    return res.drop("_w")
+    split = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    wrap = lambda body: F.concat(F.array(F.lit(sos)), body, F.array(F.lit(eos)))
+    if vocab.limit(WORDS_SENT + 1).count() <= WORDS_SENT:
+        return df.withColumn(out, wrap(_word_ids(split, df, vocab, unk)))
+    d = df.withColumn("_w", split)
+    e = d.select(key, F.explode(F.array_distinct("_w")).alias("word")).distinct()
+    g = e.join(vocab.select("word", F.col("id").alias("_id")), "word").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "_id"))).alias("_m"))
+    known = lambda w: F.coalesce(F.try_element_at(F.col("_m"), w), F.lit(unk))
+    return d.join(g, key, "left").withColumn(out, wrap(F.transform("_w", known))).drop("_w", "_m")
 
 
 # ------------------------------------------------------------------ evaluation of codecs
