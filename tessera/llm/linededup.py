@@ -94,6 +94,7 @@ class LineIndex:
         self.spark, self.root, self.min_chars, self.shards, self.batch, self.generation = spark, root.rstrip("/"), min_chars, shards, 0, 0
         self.parts: list[str] = []
         self.met: list[str] = []
+        self.deleted = False
 
     # --- the exact table ---
     def _log(self, refs: DataFrame, sign: int) -> DataFrame:
@@ -112,6 +113,10 @@ class LineIndex:
             return log.select("key", "doc_id").distinct()
         return log.groupBy("key", "doc_id").agg(F.max_by("sign", "batch").alias("s")).filter("s > 0").select("key", "doc_id")
 
+    def live_keys(self) -> DataFrame:
+        """(key): all keys that a document holds."""
+        return (self.refs() if self.deleted else self.spark.read.parquet(*self.parts)).select("key").distinct()
+
     def counts(self) -> DataFrame:
         """(key, n_docs, max_doc): documents that hold a key, and the last of them."""
         return self.refs().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
@@ -172,7 +177,7 @@ class LineIndex:
         """Add (key, doc_id). The filters are asked for each of the batch's keys:
         one they don't know has no reference yet, and unless the batch itself has it
         twice it stays out of the table of keys met again and of every later join."""
-        before = self.refs() if self.parts else None
+        before = self.live_keys() if self.parts else None
         own = self._log(refs, 1).groupBy("key").agg(F.count_distinct("doc_id").alias("n"))
         own = stored(own, "batch-keys")
         if before is None:
@@ -184,7 +189,7 @@ class LineIndex:
         probed = stored(self.maybe_live(own.select("key")), "probed")
         known = probed.filter("maybe").select("key")
         self._met(own.filter("n > 1").select("key").unionByName(known).distinct())
-        fresh = known.join(before.join(known.hint("merge"), "key", "left_semi").select("key").distinct(), "key", "left_anti")
+        fresh = known.join(before, "key", "left_anti")
         self._update(probed.filter("not maybe").select("key").unionByName(fresh), True)
 
     def _met(self, keys: DataFrame) -> None:
@@ -201,6 +206,7 @@ class LineIndex:
         """Take documents (doc_id) out again, whatever batch they came in."""
         if not self.parts:
             return
+        self.deleted = True
         gone = self._log(self.refs().join(doc_ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")).distinct(), "doc_id", "left_semi"), -1)
         self._update(gone.select("key").distinct().join(self.refs().select("key").distinct(), "key", "left_anti"), False)
 
@@ -210,7 +216,8 @@ class LineIndex:
         references of keys met again are counted and joined. Both joins are
         between written tables, so Spark splits a line that very many hold."""
         again = stored(self.met_again(), "again")
-        refs = stored(self.refs().join(again.hint("merge"), "key", "left_semi"), "repeated-refs")
+        # Dealt by key and document before it meets the join on the key alone.
+        refs = stored(stored(self.refs(), "live").join(again.hint("merge"), "key", "left_semi"), "repeated-refs")
         often = refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).filter(F.col("n_docs") >= max(2, min_docs))
         often = stored(often, "often")
         return refs.join(often.hint("merge"), "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
