@@ -1022,13 +1022,15 @@ from tessera.streaming import corpus as STR  # noqa: E402
 
 @q
 def q_stream_corpus(spark, sf_dir):
-    """Shards of documents arrive as files; the stream tokenizes them."""
+    """Shards of documents lie in one folder; the stream tokenizes them in the
+    order of their names."""
     src, out, ck = _fresh(spark, "stream-src"), _fresh(spark, "stream-out"), _fresh(spark, "stream-ck")
-    d = V.docs(spark, sf_dir).select("doc_id", "text", "shard_id")
-    for sid in [r[0] for r in d.select("shard_id").distinct().orderBy("shard_id").collect()]:  # one file per shard
-        d.filter(F.col("shard_id") == sid).drop("shard_id").coalesce(1).write.mode("append").parquet(src)
+    C.write_shards(V.docs(spark, sf_dir).select("doc_id", "text", "shard_id", "rg_id", "pos_in_rg"), src,
+                   shard_col="shard_id", rg_col="rg_id", row_group_rows=32)
     STR.stream_corpus(spark, src, out, ck).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", F.size("ids").alias("n_tokens"))
+    d = spark.read.parquet(out)
+    return d.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+                    F.regexp_extract("shard_file", "shard_id=([0-9]+)/", 1).cast("int").alias("shard_id"))
 
 
 @q
@@ -1047,6 +1049,26 @@ def q_stream_run_metrics(spark, sf_dir):
                     F.round("total_training_time", 6).alias("total_training_time"))
 
 
+@q
+def q_stream_run_metrics_late(spark, sf_dir):
+    """Step records in files whose steps overlap by up to 40; the average still
+    takes them in order. A last record far ahead closes the runs."""
+    src, out, ck = _fresh(spark, "late-src"), _fresh(spark, "late-out"), _fresh(spark, "late-ck")
+    st = V.steps(spark, sf_dir).select("run_id", "step", "loss", "val_bpb", "dt").cache()
+    mx = st.agg(F.max("step")).first()[0]
+    width = max(1, (mx + 44) // 4)
+    part = F.floor((F.col("step") + F.pmod(F.xxhash64("run_id", "step"), F.lit(40))) / width)
+    end = spark.sql(f"SELECT -1L AS run_id, {mx + 10_000}L AS step, 0D AS loss, 0D AS val_bpb, 0D AS dt")
+    for k in range(4):
+        st.filter(part == k).coalesce(1).write.mode("append").parquet(src)
+    end.coalesce(1).write.mode("append").parquet(src)
+    st.unpersist()
+    STR.stream_run_metrics(spark, src, out, ck, late_steps=40).awaitTermination()
+    r = spark.read.parquet(out).filter("run_id >= 0")
+    return r.select("run_id", "step", F.round("smooth_loss", 6).alias("smooth_loss"), "min_val_bpb",
+                    F.round("total_training_time", 6).alias("total_training_time"))
+
+
 # ------------------------------------------------------------------ 2.7 generators
 
 from tessera.operators import synth as SY  # noqa: E402

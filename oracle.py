@@ -116,6 +116,48 @@ FROM li, lo)"""
 Q["packing_report"] = (report_sql_any(PACK_CONCAT, "concat") + " UNION ALL " + report_sql_any(GREEDY_CROP, "greedy_crop")
                        + " UNION ALL " + report_sql_any(GREEDY_PAD, "greedy_pad"))
 
+# First fit over documents by length, a document a step: the free space of each row.
+FFD = "WITH RECURSIVE " + LENS + """,
+ordered AS (SELECT grp, doc_id, least(len, 2049) AS n, row_number() OVER (PARTITION BY grp ORDER BY len DESC, ord) AS i FROM lens),
+ffd AS (
+  SELECT grp, 0::BIGINT AS i, []::BIGINT[] AS room, NULL::BIGINT AS doc_id, NULL::BIGINT AS row_id, NULL::BIGINT AS pos, NULL::BIGINT AS len FROM (SELECT DISTINCT grp FROM lens)
+  UNION ALL
+  SELECT grp, i, CASE WHEN r IS NULL THEN list_append(room, 2049 - n) ELSE list_transform(room, lambda x, k: CASE WHEN k = r THEN x - n ELSE x END) END,
+         doc_id, coalesce(r - 1, len(room)), CASE WHEN r IS NULL THEN 0 ELSE 2049 - room[r] END, n
+  FROM (SELECT f.grp, o.i, f.room, o.doc_id, o.n, nullif(coalesce(list_position(list_transform(f.room, lambda x: x >= o.n), true), 0), 0) AS r
+        FROM ffd f JOIN ordered o ON o.grp = f.grp AND o.i = f.i + 1))
+SELECT grp, row_id, pos, doc_id, CAST(0 AS BIGINT) AS start, len FROM ffd WHERE i > 0"""
+
+Q["pack_ffd"] = FFD
+
+# Best fit: a step lets 16 documents in while fewer than 100 wait, else places one.
+# A waiting document is length * 2**20 + arrival.
+BESTFIT = "WITH RECURSIVE " + LENS + """,
+arrived AS (SELECT grp, doc_id, len, row_number() OVER (PARTITION BY grp ORDER BY ord) - 1 AS a FROM lens),
+streams AS (SELECT grp, list(len * 1048576 + a ORDER BY a) AS codes FROM arrived GROUP BY grp),
+fit AS (
+  SELECT grp, 0::BIGINT AS step, 0::BIGINT AS entered, []::BIGINT[] AS buf, 0::BIGINT AS row_now, 0::BIGINT AS pos_now,
+         NULL::BIGINT AS pick, NULL::BIGINT AS row_id, NULL::BIGINT AS pos, NULL::BIGINT AS take FROM streams
+  UNION ALL
+  SELECT grp, step + 1, CASE WHEN pick IS NULL THEN least(entered + 16, len(codes)) ELSE entered END,
+         CASE WHEN pick IS NULL THEN list_concat(buf, codes[entered + 1:entered + 16]) ELSE list_filter(buf, lambda x: x <> pick) END,
+         CASE WHEN pos_now + take = 2049 THEN row_now + 1 ELSE row_now END, CASE WHEN pick IS NULL THEN pos_now WHEN pos_now + take = 2049 THEN 0 ELSE pos_now + take END,
+         pick, row_now, pos_now, take
+  FROM (
+    SELECT *, CASE WHEN pick IS NULL THEN 0 ELSE least(pick // 1048576, 2049 - pos_now) END AS take FROM (
+      SELECT *, CASE WHEN entered < len(codes) AND len(buf) < 100 THEN NULL
+                     WHEN len(can) = 0 THEN list_min(buf)
+                     ELSE list_min(list_filter(can, lambda x: x // 1048576 = list_max(can) // 1048576)) END AS pick
+      FROM (SELECT f.* EXCLUDE (pick, row_id, pos, take), s.codes, list_filter(f.buf, lambda x: x // 1048576 <= 2049 - f.pos_now) AS can
+            FROM fit f JOIN streams s USING (grp) WHERE f.entered < len(s.codes) OR len(f.buf) > 0)))),
+whole AS (SELECT grp, max(row_now) AS n FROM fit GROUP BY grp)
+SELECT fit.grp, row_id, pos, doc_id, CAST(0 AS BIGINT) AS start, take AS len
+FROM fit JOIN whole USING (grp) JOIN arrived ON arrived.grp = fit.grp AND arrived.a = pick % 1048576 WHERE pick IS NOT NULL AND row_id < n"""
+
+Q["pack_bestfit_crop"] = BESTFIT
+
+Q["packing_report_all"] = Q["packing_report"] + " UNION ALL " + report_sql_any(FFD, "ffd") + " UNION ALL " + report_sql_any(BESTFIT, "bestfit_crop")
+
 Q["byte_encode"] = with_(DOC_BYTES) + """
 SELECT doc_id, array_to_string(ids, ',') AS ids, CAST(len(ids) AS INTEGER) AS n_ids FROM doc_bytes"""
 
@@ -1272,8 +1314,8 @@ FROM st0 FULL JOIN en USING (run)"""
 
 # ------------------------------------------------------------------ 2.10 streaming
 
-Q["stream_corpus"] = """
-SELECT doc_id, CAST(strlen(text) + 1 AS INTEGER) AS n_tokens FROM documents"""
+Q["stream_corpus"] = with_(DOC_BYTES) + """
+SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5, CAST(doc_id // 256 AS INTEGER) AS shard_id FROM doc_bytes"""
 
 Q["stream_run_metrics"] = with_(STEPS) + """
 SELECT run_id, step, round(0.1 * list_sum(list_transform(h, lambda e: pow(0.9, CAST(step - e.s AS DOUBLE)) * e.x))
@@ -1284,6 +1326,8 @@ SELECT run_id, step, round(0.1 * list_sum(list_transform(h, lambda e: pow(0.9, C
   FROM st WINDOW w350 AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 350 PRECEDING AND CURRENT ROW),
                  wall AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
+Q["stream_run_metrics_late"] = Q["stream_run_metrics"]
+
 # ------------------------------------------------------------------ 2.7 generators
 
 from tessera.operators.synth import PROMPT_TEMPLATE, USER_MSG_TEMPLATES  # noqa: E402  (fixed values)
