@@ -38,8 +38,8 @@ from .wordids import encoder
 UNIT = 16
 #: One document of so many fills gaps.
 RESERVE = 16
-#: Tokens of the filling line that one task cuts at a time.
-LINE = 1 << 18
+#: Tokens of the filling line that are cut at a time: some hundred gaps.
+LINE = 1 << 14
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
