@@ -3,9 +3,8 @@
 Every random decision of the reference is one seeded hash of
 ``(seed, index, decision)``, so an example depends only on its index and
 examples are generated in parallel from any index table. Word lists and
-dimension tables are small, fixed-size inputs: they are numbered once and
-looked up by a hashed position (a join on the position, or an array
-literal for the fixed template list).
+dimension tables are numbered once and joined by a hashed position; the fixed
+template list is an array literal.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h, u
+from ..functions.index import global_index
 
 # Letters for the 10 % "any letter" draw.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -122,6 +122,7 @@ def gen_spelling_bee(words: DataFrame, indices: DataFrame, split: str = "train",
         c == L, F.concat((i + 1).cast("string"), F.lit(":"), c, F.lit(" hit! count="),
                          F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == L)).cast("string"), F.lit("\n"))
     ).otherwise(F.concat((i + 1).cast("string"), F.lit(":"), c, F.lit("\n"))))
+    # The assistant's wording, here and in ``steps`` and ``parts``.
     manual = F.concat(
         F.lit("We are asked to find the number '"), L, F.lit("' in the word '"), word,
         F.lit("'. Let me try a manual approach first.\n\nFirst spell the word out:\n"), word, F.lit(":"),
@@ -151,12 +152,20 @@ def gen_spelling(words: DataFrame, indices: DataFrame, split: str = "train", idx
                     F.concat(w, F.lit(":"), F.array_join(F.split(w, ""), ",")).alias("assistant"))
 
 
+# Fixed value: the prompt of the synthetic-data generator.
 PROMPT_TEMPLATE = ("Write a conversation about: {topic}\nThe user is: {persona}\nThe conversation is: {dynamic}\n"
                    "Example first messages:\n{first_message_examples}")
 
 
-def _dim_array(df: DataFrame, cols: list[str], order: list[str]) -> list:
-    return [tuple(r) for r in df.select(*cols).distinct().orderBy(*order).collect()]
+def _numbered(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Distinct rows of a dimension with ``_at``, their place (in order) within ``by``."""
+    return global_index(df.select(*cols).distinct(), [c for c in cols if c not in by], by=by, idx="_at")
+
+
+def _draw(d: DataFrame, values: DataFrame, size, *tags) -> DataFrame:
+    """Join each row with the value at the place that its hash draws."""
+    by = [c for c in d.columns if c in values.columns]
+    return d.withColumn("_at", F.pmod(h(*tags), size)).join(values, [*by, "_at"]).drop("_at")
 
 
 def gen_prompts(indices: DataFrame, topics: DataFrame, personas: DataFrame, dynamics: DataFrame,
@@ -165,38 +174,30 @@ def gen_prompts(indices: DataFrame, topics: DataFrame, personas: DataFrame, dyna
     ``n_categories`` distinct first-message categories (the smallest hashes)
     with one example each, and the prompt text.
 
-    Dimension tables are constants of a few hundred rows; they are collected
-    once (bounded) and used as literal arrays, so examples are generated by
-    narrow column expressions over the index table.
+    Values of a dimension are numbered and joined by category and position, so
+    dimension tables may have any size. Only the list of first-message
+    categories goes to all rows, as one broadcast row.
     """
-    tp = _dim_array(topics, ["category", "topic"], ["category", "topic"])
-    cats = sorted({c for c, _ in tp})
-    by_cat = {c: [t for cc, t in tp if cc == c] for c in cats}
-    per = [p for (p,) in _dim_array(personas, ["persona"], ["persona"])]
-    dyn = [d for (d,) in _dim_array(dynamics, ["dynamic"], ["dynamic"])]
-    fm = _dim_array(first_messages, ["category", "message"], ["category", "message"])
-    fm_cats = sorted({c for c, _ in fm})
-    fm_by = {c: [m for cc, m in fm if cc == c] for c in fm_cats}
     i = F.col(idx)
-
-    def pick(values, tag, *extra):
-        arr = F.array(*[F.lit(v) for v in values])
-        return F.element_at(arr, (F.pmod(h(seed, i, F.lit(tag), *extra), F.lit(len(values))) + 1).cast("int"))
-
-    cat = pick(cats, "cat")
-    topic_arrays = F.create_map(*[x for c in cats for x in (F.lit(c), F.array(*[F.lit(t) for t in by_cat[c]]))])
-    tarr = F.element_at(topic_arrays, cat)
-    topic = F.element_at(tarr, (F.pmod(h(seed, i, F.lit("topic")), F.size(tarr)) + 1).cast("int"))
-    chosen = F.slice(F.array_sort(F.array(*[F.struct(h(seed, i, F.lit("fmc"), F.lit(c)).alias("k"), F.lit(c).alias("c"))
-                                            for c in fm_cats])), 1, n_categories)
-    msg_arrays = F.create_map(*[x for c in fm_cats for x in (F.lit(c), F.array(*[F.lit(m) for m in fm_by[c]]))])
-    examples = F.transform(chosen, lambda s: F.element_at(
-        F.element_at(msg_arrays, s["c"]),
-        (F.pmod(h(seed, i, F.lit("fmm"), s["c"]), F.size(F.element_at(msg_arrays, s["c"]))) + 1).cast("int")))
-    ex_text = F.array_join(F.transform(examples, lambda m: F.concat(F.lit("- "), m)), "\n")
-    d = indices.select(idx, cat.alias("category"), topic.alias("topic"), pick(per, "persona").alias("persona"),
-                       pick(dyn, "dynamic").alias("dynamic"), F.transform(chosen, lambda s: s["c"]).alias("example_categories"),
-                       ex_text.alias("first_message_examples"))
+    cats, per, dyn = (_numbered(t, [c], []) for t, c in ((topics, "category"), (personas, "persona"), (dynamics, "dynamic")))
+    tops = _numbered(topics, ["category", "topic"], ["category"])
+    d = _draw(indices.select(idx), cats, F.lit(cats.count()), seed, i, F.lit("cat"))
+    d = d.join(tops.groupBy("category").agg(F.count(F.lit(1)).alias("_n")), "category")
+    d = _draw(d, tops, F.col("_n"), seed, i, F.lit("topic")).drop("_n")
+    d = _draw(d, per, F.lit(per.count()), seed, i, F.lit("persona"))
+    d = _draw(d, dyn, F.lit(dyn.count()), seed, i, F.lit("dynamic"))
+    # examples: the categories with the smallest hashes, one message of each
+    msgs = _numbered(first_messages, ["category", "message"], ["category"]).withColumnRenamed("category", "fmc")
+    sizes = msgs.groupBy("fmc").agg(F.count(F.lit(1)).alias("_n"))
+    all_cats = sizes.agg(F.array_sort(F.collect_list("fmc")).alias("_cats")).withColumn("_k", F.lit(1))
+    ranked = F.array_sort(F.transform("_cats", lambda c: F.struct(h(seed, i, F.lit("fmc"), c).alias("k"), c.alias("c"))))
+    e = (indices.select(idx).withColumn("_k", F.lit(1)).join(F.broadcast(all_cats), "_k")
+         .select(idx, F.posexplode(F.slice(ranked, 1, n_categories)).alias("_o", "_c")).select(idx, "_o", F.col("_c.c").alias("fmc")))
+    e = _draw(e.join(sizes, "fmc"), msgs, F.col("_n"), seed, i, F.lit("fmm"), F.col("fmc")).drop("_n")
+    g = e.groupBy(idx).agg(F.array_sort(F.collect_list(F.struct("_o", "fmc", "message"))).alias("_e"))
+    g = g.select(idx, F.transform("_e", lambda x: x["fmc"]).alias("example_categories"),
+                 F.array_join(F.transform("_e", lambda x: F.concat(F.lit("- "), x["message"])), "\n").alias("first_message_examples"))
+    d = d.join(g, idx)
     prompt = F.lit(PROMPT_TEMPLATE)
     for k in ("topic", "persona", "dynamic", "first_message_examples"):
         prompt = F.replace(prompt, F.lit("{" + k + "}"), F.col(k))

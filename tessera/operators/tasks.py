@@ -15,6 +15,7 @@ def _c(x) -> Column:
 def render_mc(question, letters, choices) -> Column:
     """``Multiple Choice question: q`` + ``- choice=letter`` lines + instruction
     (no space before the letter)."""
+    # The wording of a multiple-choice question.
     lines = F.zip_with(_c(choices), _c(letters),
                        lambda c, l: F.concat(F.lit("- "), c, F.lit("="), l, F.lit("\n")))
     return F.concat(F.lit("Multiple Choice question: "), _c(question), F.lit("\n"), F.array_join(lines, ""),
@@ -81,6 +82,7 @@ def gsm_conversations(df: DataFrame, question: str = "question", answer: str = "
 
 # ------------------------------------------------------------------ code tasks
 
+# Fixed value: a fenced code block.
 FENCE_RE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
 
 

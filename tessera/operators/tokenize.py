@@ -372,7 +372,7 @@ def decode_tokens(df: DataFrame, ids: str, vocab: DataFrame, out: str = "text")
     hexed = F.when(F.col("is_special"), F.lit("")).otherwise(F.hex("token"))
     known = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token_id", hexed))).alias("_m"), F.max("token_id").alias("_top"))
     table = known.select(F.transform(F.sequence(F.lit(0), F.col("_top")), lambda i: F.try_element_at("_m", i)).alias("_hex"))
-    j = df.crossJoin(F.broadcast(table))  # one row
+    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(table.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row
     hx = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.when(i >= 0, F.get(F.col("_hex"), i)), F.lit("EFBFBD"))), "")
     return j.withColumn(out, F.make_valid_utf8(F.unhex(hx).cast("string"))).drop("_hex")
 
