@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Buckets for each of Spark's shuffle partitions, a setting that follows the input.
-PER_PARTITION = 16
+PER_PARTITION = 4
 
 
 def running(df: DataFrame, value: Column, order: list[str], name: str, by: list[str] = []) -> DataFrame:
