@@ -8,8 +8,9 @@ labels (article, rest) with transition weights; trained by maximum likelihood
 narrow pass over whole pages with a model of fixed size.
 
 Defined results: null, empty or blank html, and pages without an article, have
-the empty text. Null urls and ids stay null; repeated rows give a row each; other
-columns are ignored. An empty table gives an empty result.
+the empty text. Null urls and ids stay null; repeated rows give a row each; pages of
+any length are read whole; of labellings with the same score the first found counts;
+other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ pass over whole texts with a model of fixed size. Defined results: null, empty
 and blank texts have no n-gram and score by the intercept. Without a label of
 each class every score is the share of label 1 (0.5 without labels). Rows that
 repeat a doc_id are scored each by its own text; null ids stay null and learn
-nothing. Other columns are ignored.
+nothing. Words and texts of any length count whole; ties in the sample's order go to
+the lower id. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ need no padding. If the reserve is used up, the gaps left are padding.
 
 Every id lies in exactly one piece. Defined results: a null or empty text is
 the end token alone. Repeated rows and null ids are packed like any other row,
-a piece for each. Other columns are ignored. An empty table gives no piece.
+a piece for each. A text of any length is cut into sequences; pieces of equal rank
+keys are alike, so ties don't matter. Other columns are ignored. An empty table gives no piece.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ least of them. That takes some hundred rows for each member, whatever the size.
 
 Defined results: null, empty or blank texts have fingerprint 0 and are linked
 like any other. A null doc_id is below all ids. Repeated rows give a row each.
-Other columns are ignored. An empty table gives an empty result.
+Texts of any length count whole; a bit set in exactly half the hashes is 0. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ A bucket sorts its windows; equal neighbours are compared word by word.
 
 Defined results: null, empty and blank texts have no words. A null doc_id is
 below all ids. Rows that repeat a doc_id are one document: none of them makes a
-window of another a repeat, and each row loses its own words. Other columns are
+window of another a repeat, and each row loses its own words. Texts of any
+length count whole; ties in the order of windows don't matter. Other columns are
 ignored. An empty table gives an empty result.
 """
 

@@ -9,7 +9,8 @@ array literal in a narrow scoring pass over all urls.
 
 Defined results: a null url, or one without "://", has an empty host and path, no
 rule, and the method's verdict by the intercept. Of rules of the same length the
-first by text wins. Repeated rows give a row each; null ids stay null. Without a
+first by text wins. Repeated rows give a row each; null ids stay null; urls of any length
+count whole. Without a
 labelled url of each class the method allows all. Other columns are ignored. An
 empty table gives an empty result.
 """
