@@ -5,7 +5,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the
 columns of ``documents``; where a stage changes a text, n_chars follows it.
 Defined results: rows that repeat a doc_id share its fate, null texts are empty
-ones, and empty tables pass through.
+ones, texts of any length are worked on whole, and empty tables pass through. Further
+columns of any name travel along untouched up to the packing, which gives pieces. Of
+a group of near copies with the same smallest id all rows of that id stay.
 """
 
 from __future__ import annotations
