@@ -310,12 +310,12 @@ def _scored(own: DataFrame, part, measures: bool) -> DataFrame:
     return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(score, ddl)
 
 
-def measure(own: DataFrame, part: int = PART) -> DataFrame:
+def measure(own: DataFrame, part: int | None = None) -> DataFrame:
     """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_signs, log_ppl, log_ppl_sign) for each row of ``own`` (doc_id, text, lang)."""
     spark = own.sparkSession
     model = stored(sorted_arrays(fit(gram_counts(own))), "arrays")
-    parts = max(1, -(-model.count() // part))
+    parts = max(1, -(-model.count() // (part or PART)))
     got, more = None, None
     for k in range(parts):
         mine = model.filter(F.pmod(F.shiftrightunsigned("hash", 32), F.lit(parts)) == k).toArrow()

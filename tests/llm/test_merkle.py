@@ -70,8 +70,7 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("height, limit", [(7, 100_000), (2, 4), (1, 1)])
+@pytest.mark.parametrize("case, height, limit", [("one", 7, 100_000), ("sources", 7, 100_000), ("odd", 7, 100_000), ("sources", 2, 4), ("odd", 1, 1)])
 def test_equals_the_rule(spark, case, height, limit):
     docs = spark.createDataFrame([(*x, "t", 1, "l", 2) for x in CASES[case]], DOCS).repartition(3)
     got = M.manifest(docs, height, limit)

@@ -139,7 +139,7 @@ def test_results_do_not_depend_on_tasks(spark, monkeypatch):
     whole = {(repr(r.doc_id), r.n_words): r for r in P.judge(docs.repartition(1)).collect()}
     monkeypatch.setattr(P, "HELD", 40)
     monkeypatch.setattr(P, "SIGNS", 100)
-    monkeypatch.setattr(P, "PART", 500)
+    monkeypatch.setattr(P, "PART", 4000)
     for r in P.judge(docs.repartition(5)).collect():
         x = whole[repr(r.doc_id), r.n_words]
         assert r[:6] == x[:6] and r.kept == x.kept and r.log_ppl == (x.log_ppl and pytest.approx(x.log_ppl, rel=1e-6))
