@@ -3,7 +3,8 @@
 A shard keeps the tokens of its pieces end to end with links to the neighbours
 and an inverted index from each adjacent pair to its places, so a merge touches
 the places of its pair and nothing else, and says by how much the counts of
-which pairs changed.
+which pairs changed. Before any merge it is stored as the bytes of its pieces,
+their sizes and counts, from which links and index are quickly made.
 """
 
 from __future__ import annotations
@@ -24,18 +25,26 @@ class PieceShard:
     def __init__(self, pieces: Iterable[bytes], counts: Iterable[int]):
         pieces = list(pieces)
         sizes = np.array([len(p) for p in pieces], np.int64)
+        self._link(b"".join(pieces), sizes, np.fromiter(counts, np.int64, len(pieces)))
+
+    def _link(self, data: bytes, sizes: np.ndarray, counts: np.ndarray) -> None:
+        self.raw = data, sizes, counts
         n = int(sizes.sum())
-        self.tok = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)
-        self.weight = np.repeat(np.fromiter(counts, np.int64, len(pieces)), sizes)
+        self.tok = np.frombuffer(data, np.uint8).astype(np.int32)
+        self.weight = np.repeat(counts, sizes)
         ends = np.cumsum(sizes)[sizes > 0]
         self.nxt, self.prv = np.arange(1, n + 1), np.arange(-1, n - 1)
         self.nxt[ends - 1] = -1
         self.prv[np.concatenate(([0], ends[:-1])) if n else []] = -1
         at = np.flatnonzero(self.nxt >= 0)
-        codes = self.codes(at)
+        # two bytes a pair: numpy sorts these by radix
+        codes = (self.tok[at] * 256 + self.tok[self.nxt[at]]).astype(np.uint16)
         order = np.argsort(codes, kind="stable")
         self.places = at[order]
-        self.pairs, self.starts = np.unique(codes[order], return_index=True)
+        codes = codes[order]
+        self.starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+        first = codes[self.starts].astype(np.int64)
+        self.pairs = first // 256 * TOKENS + first % 256
         self.fresh: dict[int, list[np.ndarray]] = {}
 
     def codes(self, at: np.ndarray) -> np.ndarray:
@@ -49,17 +58,20 @@ class PieceShard:
     def _find(self, a: int, b: int) -> np.ndarray:
         """Places where b follows a, ascending."""
         code = a * TOKENS + b
-        found = [np.zeros(0, np.int64), *self.fresh.pop(code, [])]
+        found = self.fresh.pop(code, [])
         k = int(np.searchsorted(self.pairs, code))
         if k < len(self.pairs) and self.pairs[k] == code:
-            found.append(self.places[self.starts[k] : self.starts[k + 1] if k + 1 < len(self.starts) else None])
-        at = np.unique(np.concatenate(found))
+            first = self.places[self.starts[k] : self.starts[k + 1] if k + 1 < len(self.starts) else None]
+            at = np.unique(np.concatenate((first, *found))) if found else first
+        else:
+            at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         at = at[(self.tok[at] == a) & (self.nxt[at] >= 0)]
         return at[self.tok[self.nxt[at]] == b]
 
     def merge(self, a: int, b: int, new: int) -> tuple[np.ndarray, np.ndarray]:
         """Replace (a, b) by ``new`` left to right, without overlaps: the pairs
         whose counts changed, and by how much."""
+        self.raw = None
         p = self._find(a, b)
         if a == b and len(p):  # of a run of overlapping places every other one counts
             first = np.ones(len(p), bool)
@@ -68,28 +80,36 @@ class PieceShard:
             p = p[(np.arange(len(p)) - run) % 2 == 0]
         q = self.nxt[p]
         y, x = self.nxt[q], self.prv[p]
-        gone = np.unique(np.concatenate((x[x >= 0], p, q[y >= 0])))
+        # places don't overlap, so of all these only an x can be the q before it
+        gone = np.concatenate((x[(x >= 0) & (x != np.append(-1, q[:-1])[: len(q)])], p, q[y >= 0]))
         old, lost = self.codes(gone), self.weight[gone]
         self.tok[p], self.tok[q], self.nxt[p] = new, -1, y
         self.prv[y[y >= 0]] = p[y >= 0]
         x = self.prv[p]
-        made = np.unique(np.concatenate((x[x >= 0], p[y >= 0])))
+        made = np.concatenate((x[(x >= 0) & (x != np.append(-1, p[:-1])[: len(p)])], p[y >= 0]))
         codes = self.codes(made)
         order = np.argsort(codes, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
             if len(part):
                 self.fresh.setdefault(int(codes[part[0]]), []).append(made[part])
-        pairs, at = np.unique(np.concatenate((old, codes)), return_inverse=True)
-        change = np.zeros(len(pairs), np.int64)
-        np.add.at(change, at, np.concatenate((-lost, self.weight[made])))
+        every, by = np.concatenate((old, codes)), np.concatenate((-lost, self.weight[made]))
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        pairs, change = every[starts], np.add.reduceat(by[order], starts) if len(every) else by
         return pairs[change != 0], change[change != 0]
 
     def dump(self) -> bytes:
-        return pickle.dumps(self, 5)
+        return pickle.dumps(self if self.raw is None else self.raw, 5)
 
     @staticmethod
     def load(data: bytes) -> PieceShard:
-        return pickle.loads(data)
+        got = pickle.loads(data)
+        if isinstance(got, PieceShard):
+            return got
+        shard = PieceShard.__new__(PieceShard)
+        shard._link(*got)
+        return shard
 
 
 def pair(code: int) -> tuple[int, int]:

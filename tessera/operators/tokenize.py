@@ -56,6 +56,8 @@ SHARD_BYTES = 4 << 20
 SAMPLE_PIECES = 20_000
 #: Pairs whose counts are known exactly in a round.
 CANDIDATES = 4096
+#: Merges that a round does again on the stored shards before these are stored anew.
+REPLAYED = 512
 
 
 def _start_shards(batches):
@@ -78,26 +80,27 @@ def _start_shards(batches):
         yield out(pieces, counts)
 
 
-def _round_rows(state: bytes, changes: list):
-    n = sum(len(p) for _, p, _ in changes)
-    step = np.concatenate([np.full(len(p), s, np.int32) for s, p, _ in changes] or [np.zeros(0, np.int32)])
-    pairs = np.concatenate([p for _, p, _ in changes] or [np.zeros(0, np.int64)])
-    by = np.concatenate([d for _, _, d in changes] or [np.zeros(0, np.int64)])
+def _round_rows(state: bytes | None, changes: list):
+    """The state, unless it is None, and the changes of pair counts by step."""
+    n, k = sum(len(p) for _, p, _ in changes), int(state is not None)
+    step = np.concatenate([np.full(k, -1, np.int32), *(np.full(len(p), s, np.int32) for s, p, _ in changes)])
+    pairs = np.concatenate([np.zeros(k, np.int64), *(p for _, p, _ in changes)])
+    by = np.concatenate([np.zeros(k, np.int64), *(d for _, _, d in changes)])
     return pa.RecordBatch.from_arrays(
-        [pa.array([True] + [False] * n), pa.array([state] + [None] * n, pa.binary()), pa.array(np.append(np.int32(-1), step)),
-         pa.array(np.append(0, pairs)), pa.array(np.append(0, by))], ["is_state", "state", "step", "pair", "change"])
+        [pa.array([True] * k + [False] * n), pa.array([state] * k + [None] * n, pa.binary()), pa.array(step),
+         pa.array(pairs), pa.array(by)], ["is_state", "state", "step", "pair", "change"])
 
 
-def _run_round(done: list, guessed: list):
-    """Shards after the merges ``done``, and how each of ``guessed``, one after
-    the other, would change the pair counts."""
+def _run_round(done: list, guessed: list, store: bool):
+    """Of stored shards after the merges ``done``: how each of ``guessed``, one
+    after the other, would change the pair counts. ``store``: the shards too."""
     def run(batches):
         for b in batches:
             for blob in b.column(0).to_pylist():
                 s = PieceShard.load(blob)
                 for a, c, new in done:
                     s.merge(a, c, new)
-                state = s.dump()
+                state = s.dump() if store else None
                 yield _round_rows(state, [(i, *s.merge(a, c, new)) for i, (a, c, new) in enumerate(guessed)])
     return run
 
@@ -117,8 +120,11 @@ def train_bpe(counts: DataFrame, vocab_size: int, n_special: int = len(SPECIAL_T
     A round guesses the next merges from a sample, lets every shard try them in
     turn, sums the changes by Spark, and keeps the merges that were the best
     pair at their turn by exact counts (the first always is). The result is that
-    of one merge at a time, in a fraction of the passes. States and changes of
-    a round are written to the shared folder, so lineage stays one round long.
+    of one merge at a time, in a fraction of the passes. Changes of a round are
+    written to the shared folder, so lineage stays one round long. Shards are
+    stored as pieces and counts, and a round does the merges so far again, which
+    costs less than writing links and index each time; after ``REPLAYED`` merges
+    they are stored as they are then.
     The driver holds the sample, the top ``CANDIDATES`` pairs and the changes of
     ``guesses`` merges, which the size of the vocabulary bounds.
     """
@@ -145,6 +151,7 @@ def train_bpe(counts: DataFrame, vocab_size: int, n_special: int = len(SPECIAL_T
     changes = rnd.filter("not is_state").select("pair", "change")
     merges: list[tuple] = []
     done: list[tuple[int, int, int]] = []
+    shards, since = rnd.filter("is_state").select("state"), []
     while len(merges) < n_merges:
         ranked = changes.groupBy("pair").agg(F.sum("change").alias("n")).filter("n > 0").orderBy(F.desc("n"), "pair")
         exact = {r["pair"]: r["n"] for r in ranked.limit(CANDIDATES).collect()}
@@ -157,7 +164,11 @@ def train_bpe(counts: DataFrame, vocab_size: int, n_special: int = len(SPECIAL_T
             trial.merge(*m)
         sample = trial.dump()
         guessed = predict(trial, exact, 256 + len(merges), min(guesses, n_merges - len(merges)))
-        rnd = written(rnd.filter("is_state").select("state").mapInArrow(_run_round(done, guessed), schema), str(len(merges) + 1))
+        since = since + done
+        store = len(since) >= REPLAYED
+        rnd = written(shards.mapInArrow(_run_round(since, guessed, store), schema), str(len(merges) + 1))
+        if store:
+            shards, since = rnd.filter("is_state").select("state"), []
         seen: list[dict[int, int]] = [{} for _ in guessed]
         tried = rnd.filter("not is_state").select("step", "pair", "change")
         for r in tried.groupBy("step", "pair").agg(F.sum("change").alias("d")).collect():

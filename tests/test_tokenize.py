@@ -141,3 +141,26 @@ def test_a_long_piece_takes_no_quadratic_time():
 
 def test_no_pieces_no_merges(spark):
     assert TZ.train_bpe(spark.createDataFrame([], "piece string, count long"), 300).count() == 0
+
+
+@pytest.mark.parametrize("replayed", [1, 6, 512])
+def test_rounds_write_no_state_until_merges_done_again_cost_more(spark, monkeypatch, tmp_path, replayed):
+    monkeypatch.setattr("tessera.session.scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(TZ, "REPLAYED", replayed)
+    rnd = random.Random(3)
+    counts = {"".join(rnd.choice("abc ") for _ in range(rnd.randrange(1, 9))): rnd.randrange(1, 50) for _ in range(80)}
+    df = spark.createDataFrame(list(counts.items()), "piece string, count long")
+    got = [tuple(r) for r in TZ.train_bpe(df, 256 + 20 + 9, guesses=4).orderBy("rank").collect()]
+    assert got == py_train(counts, 20)
+    stored = [p.parent.name for p in tmp_path.glob("bpe-*/*/is_state=true")]
+    assert stored == ["0"] if replayed == 512 else len(stored) > 1
+
+
+def test_a_shard_before_its_merges_is_stored_as_its_pieces():
+    rnd = random.Random(4)
+    pieces = [bytes(rnd.randrange(97, 123) for _ in range(10)) for _ in range(5000)]
+    s = BPE.PieceShard(pieces, [1] * 5000)
+    assert len(s.dump()) < 4 * 50_000
+    s.merge(97, 98, 256)
+    again = BPE.PieceShard.load(s.dump())
+    assert [a.tolist() for a in again.merge(98, 99, 257)] == [a.tolist() for a in s.merge(98, 99, 257)]
