@@ -320,15 +320,16 @@ def smoothed_loss(steps: DataFrame, beta: float = 0.9, run: str = "run_id", step
     held = ranged(keep, ["_run", step], parts, add=_ema_scan(beta, ddl))
     ends = held.groupBy("_run", "__p").agg(F.max("_n").alias("m"), F.max_by("_local", "_n").alias("e"))
 
-    def carry(pdf):
-        pdf = pdf.sort_values("__p")
-        before, acc = [], 0.0
-        for m, e in zip(pdf["m"], pdf["e"]):
-            before.append(acc)
-            acc = e + beta ** int(m) * acc
-        return pdf.assign(_before=before)[["_run", "__p", "_before"]]
-
-    carried = ends.groupBy("_run").applyInPandas(carry, "_run string, __p int, _before double").withColumnsRenamed({"_run": "_r", "__p": "_q"})
+    # a run's ranges in order, each with the average over those before it
+    part = lambda x: F.struct(x["__p"].alias("p"), x["e"].alias("e"), x["m"].alias("m"))
+    folded = F.aggregate(
+        F.transform(F.array_sort(F.collect_list(F.struct("__p", "m", "e"))), part),
+        F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<struct<p:int,before:double>>").alias("out")),
+        lambda a, x: F.struct((x["e"] + F.pow(F.lit(beta), x["m"].cast("double")) * a["acc"]).alias("acc"),
+                              F.concat(a["out"], F.array(F.struct(x["p"].alias("p"), a["acc"].alias("before")))).alias("out")),
+        lambda a: a["out"])
+    carried = (ends.groupBy(F.col("_run").alias("_r")).agg(folded.alias("_o")).select("_r", F.explode("_o").alias("_o"))
+               .select("_r", F.col("_o.p").alias("_q"), F.col("_o.before").alias("_before")))
     j = held.join(carried, same_keys(["_run", "__p"], ["_r", "_q"]))
     ema = F.col("_local") + F.pow(F.lit(beta), F.col("_n").cast("double")) * F.col("_before")
     power = F.col(step) + (2 if sft else 1)
