@@ -450,7 +450,9 @@ def compare_tokenizers(base: DataFrame, ours: DataFrame, by: list[str]) -> DataF
             .withColumn("better", better)
 
 
-def tokenizer_roundtrip(encoded: DataFrame, decoded_col: str, text: str = "text") -> DataFrame:
-    """Count of rows whose decode(encode(text)) differs from the text."""
+def tokenizer_roundtrip(encoded: DataFrame, decoded_col: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """Count of rows whose decode(encode(text)) differs from the text; with
+    ``ids`` the number of tokens from the same pass."""
+    size = [] if ids is None else [F.sum(F.size(ids)).cast("bigint").alias("n_tokens")]
     return encoded.agg(F.count(F.lit(1)).alias("n_docs"),
-                       F.count_if(~F.col(decoded_col).eqNullSafe(F.col(text))).alias("n_mismatch"))
+                       F.count_if(~F.col(decoded_col).eqNullSafe(F.col(text))).alias("n_mismatch"), *size)
