@@ -299,20 +299,24 @@ def extract_answer(col) -> Column:
     """First ``#### number`` with commas removed, else null."""
     c = F.col(col) if isinstance(col, str) else col
     m = F.regexp_extract(c, GSM_RE, 1)  # empty only without a match: the pattern takes one character at least
-    return F.when(m != "", F.regexp_replace(m, ",", ""))
+    return F.when(m != "", F.replace(m, F.lit(","), F.lit("")))
+
+
+def with_answer(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``extract_answer`` as a column, matching once a row."""
+    d = df.withColumn("_answer", F.regexp_extract(F.col(text), GSM_RE, 1))
+    return d.withColumn(out, F.when(F.col("_answer") != "", F.replace("_answer", F.lit(","), F.lit("")))).drop("_answer")
 
 
 def answer_match(items: DataFrame, completions: DataFrame, key: str = "problem") -> DataFrame:
     """Reference answer from the last part of the assistant message,
     predicted answer from the completion; null equals null. A problem without a
     completion keeps one row, with null sample and prediction, that isn't correct."""
-    m = F.col("messages")
-    last_msg = F.get(m, F.size(m) - 1)
-    parts = last_msg["parts"]
-    last_text = F.coalesce(F.get(parts, F.size(parts) - 1)["text"], last_msg["content"])
-    ref = items.select(key, extract_answer(last_text).alias("ref"))
+    last = items.select(key, F.try_element_at("messages", F.lit(-1)).alias("_msg"))
+    last = last.select(key, F.try_element_at("_msg.parts", F.lit(-1)).alias("_part"), F.col("_msg.content").alias("_content"))
+    ref = with_answer(last.select(key, F.coalesce(F.col("_part.text"), F.col("_content")).alias("_text")), "_text", "ref").drop("_text")
     # the answer is read before the shuffle: whole completions don't travel
-    c = completions.withColumn("pred", extract_answer(F.col("completion"))).drop("completion").withColumn("_there", F.lit(True))
+    c = with_answer(completions, "completion", "pred").drop("completion").withColumn("_there", F.lit(True))
     j = ref.join(c, key, "left")
     there = F.coalesce(F.col("_there"), F.lit(False))
     return (j.withColumn("correct", (there & F.col("pred").eqNullSafe(F.col("ref"))).cast("int"))
@@ -366,10 +370,13 @@ def policy_objective(logp: DataFrame, advantages: DataFrame, keys: list[str], pa
                      examples: int, sample: str = "sample") -> DataFrame:
     """Σ logp·advantage over valid targets / (max(valid, 1) · passes · examples)
     per pass. logp (sample, pos, logp, target); advantages (sample, advantage, *keys)."""
-    j = logp.join(advantages.select(sample, "advantage", *keys), sample)
-    valid = F.col("target") >= 0
-    g = j.groupBy(*keys).agg(F.sum(F.when(valid, F.col("logp") * F.col("advantage")).otherwise(0.0)).alias("_s"),
-                             F.count_if(valid).alias("n_valid"))
+    # the advantage is one number a sample: targets are summed up before the join
+    valid = F.coalesce(F.col("target") >= 0, F.lit(False))
+    own = logp.groupBy(sample).agg(F.sum(F.when(valid, F.col("logp"))).alias("_l"), F.count_if(valid).alias("_n"),
+                                   F.bool_or(~valid).alias("_masked"))
+    j = own.join(advantages.select(sample, "advantage", *keys), sample)
+    part = F.coalesce(F.col("_l") * F.col("advantage"), F.when(F.col("_masked"), 0.0))
+    g = j.groupBy(*keys).agg(F.sum(part).alias("_s"), F.sum("_n").alias("n_valid"))
     return g.withColumn("objective", F.round(
         F.col("_s") / (F.greatest(F.col("n_valid"), F.lit(1)) * passes * examples), 6)).drop("_s")
 
@@ -412,6 +419,10 @@ def bits_per_byte(losses: DataFrame, byte_lengths: DataFrame, by: list[str] | No
                     F.round(_bpb(F.col("total_nats"), F.col("total_bytes")), 6).alias("bpb"))
 
 
+#: Splits whose cut is written out in a filter.
+SPLITS_SENT = 100
+
+
 def split_bpb(losses: DataFrame, byte_lengths: DataFrame, split_tokens: int, tokens_per_step: int,
               order: list[str]) -> DataFrame:
     """bpb per split over its first ``split_tokens`` tokens, rounded down to
@@ -432,6 +443,13 @@ def split_bpb(losses: DataFrame, byte_lengths: DataFrame, split_tokens: int, tok
     # the first document past the cut and the tokens it may still give; a row per split
     cut = at.filter(F.col("_b") + F.col("_c") > budget).groupBy(F.col("split").alias("_s")).agg(
         F.min_by(F.struct(F.col(doc).alias("d"), (F.lit(budget) - F.col("_b")).alias("left")), "_i").alias("_cut"))
+    known = cut.select("_s", "_cut.d").limit(SPLITS_SENT + 1).collect()
+    if 0 < len(known) <= SPLITS_SENT:  # written out, the cut is applied where documents are read
+        whose = [F.col("split").eqNullSafe(F.lit(r["_s"])) for r in known]
+        beyond = F.lit(False)
+        for own, r in zip(whose, known):
+            beyond = beyond | (own & F.coalesce(F.col(doc) > F.lit(r["d"]), F.lit(False)))
+        losses = losses.filter(~beyond)
     j = losses.join(F.broadcast(cut), F.col("split").eqNullSafe(F.col("_s")), "left")
     whole = j.filter(F.col("_cut").isNull() | (F.col(doc) < F.col("_cut.d")))
     cross = j.filter(F.col(doc) == F.col("_cut.d"))

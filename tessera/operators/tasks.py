@@ -52,8 +52,9 @@ def parse_gsm8k(df: DataFrame, answer: str = "answer") -> DataFrame:
     kept (also when empty); each tag becomes a python part (up to the last
     ``=``) and a python_output part (after it, or empty)."""
     a = F.col(answer)
-    texts = F.split(a, r"<<[^>]+>>", -1)
-    tags = F.regexp_extract_all(a, F.lit(r"<<([^>]+)>>"), 1)
+    # columns of their own: inside the function below they would be matched again for each part
+    d = df.withColumn("_texts", F.split(a, r"<<[^>]+>>", -1)).withColumn("_tags", F.regexp_extract_all(a, F.lit(r"<<([^>]+)>>"), 1))
+    texts, tags = F.col("_texts"), F.col("_tags")
     n = F.size(tags)
 
     def one(i):
@@ -67,7 +68,7 @@ def parse_gsm8k(df: DataFrame, answer: str = "answer") -> DataFrame:
         return F.when(i < n, F.concat(txt, call)).otherwise(txt)
 
     parts = F.flatten(F.transform(F.sequence(F.lit(0), n), one))
-    return df.withColumn("parts", parts)
+    return d.withColumn("parts", parts).drop("_texts", "_tags")
 
 
 def gsm_conversations(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:

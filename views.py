@@ -17,13 +17,14 @@ DOCS_PER_SHARD = 256
 RG_DOCS = 32
 
 
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def t(spark: SparkSession, sf_dir: str, name: str, waves: int = 1) -> DataFrame:
     """A driver table. The test tables are single-row-group files, so a scan
     is one task; like the many input splits of a real corpus, a table that
     arrives in fewer partitions than there are cores is hash-partitioned on
-    its key column (deterministic, so recomputation gives the same split)."""
+    its key column (deterministic, so recomputation gives the same split).
+    ``waves``: partitions for each core, where a row becomes many."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    n = spark.sparkContext.defaultParallelism
+    n = spark.sparkContext.defaultParallelism * waves
     if df.rdd.getNumPartitions() < n:
         df = df.repartition(n, df.columns[0])
     return df
@@ -179,7 +180,8 @@ def gsm(spark, sf_dir) -> DataFrame:
 
 def completions(spark, sf_dir) -> DataFrame:
     g = gsm(spark, sf_dir).select("problem", "result").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    u = UK("cp", F.col("problem"), F.col("sample"))
+    g = g.withColumn("_u", UK("cp", F.col("problem"), F.col("sample")))  # drawn once, compared twice
+    u = F.col("_u")
     txt = (F.when(u >= 0.95, F.lit("I am not sure."))
             .when(u >= 0.6, F.concat(F.lit("#### "), (F.col("result") + 1).cast("string")))
             .otherwise(F.concat(F.lit("So the answer is\n#### "), F.col("result").cast("string"))))
@@ -195,7 +197,7 @@ def sequences(spark, sf_dir) -> DataFrame:
 
 
 def rollouts(spark, sf_dir) -> DataFrame:
-    e = t(spark, sf_dir, "events")
+    e = t(spark, sf_dir, "events", waves=8)
     return e.select(F.col("user_id").alias("prompt"), F.col("event_id").alias("sample"),
                     (F.col("event_type") == "purchase").cast("double").alias("reward"),
                     (1 + F.floor("value")).cast("bigint").alias("length"),
