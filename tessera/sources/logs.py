@@ -1,7 +1,7 @@
 """Run logs and report sections as tables.
 
-A log file is one unit of ordering: it is read whole (``wholetext``) and
-split into numbered lines, because plain line reading carries no reliable
+A log is one unit of ordering: it is read whole (a file by ``wholetext``, or
+one of many in a file by their separator) and split into numbered lines, because plain line reading carries no reliable
 line number. Everything after that is column expressions and grouped
 ``max_by`` (last matching line wins).
 """
@@ -12,8 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, run_id if the folder is partitioned by it, line_no, line)."""
+#: Ends a log in a file of many.
+LOG_END = "\x1e\n"
+
+
+def write_run_logs(lines: DataFrame, path: str, run: str = "run_id") -> None:
+    """Logs of (run, line_no, line) as text files that hold many logs each: a log
+    is its run, its lines in order, and ``LOG_END``. A file for each run costs a
+    folder, its listing and an opening each, whatever its size."""
+    per = lines.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))).alias("_l"))
+    log = F.array_join(F.concat(F.array(F.coalesce(F.col(run).cast("string"), F.lit(""))), F.transform("_l", lambda x: x["line"])), "\n")
+    per.select(log.alias("value")).write.mode("overwrite").option("lineSep", LOG_END).text(path)
+
+
+def read_run_logs(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
+    """(file, run_id if the folder is partitioned by it, line_no, line). ``many``:
+    the files hold many logs each, as ``write_run_logs`` leaves them; run_id is
+    the string in a log's first line, null if that is empty."""
+    if many:
+        logs = spark.read.option("lineSep", LOG_END).text(path)
+        raw = logs.select(F.nullif(F.substring_index("value", "\n", 1), F.lit("")).alias("run_id"), "_metadata.file_path",
+                          F.when(F.col("value").contains("\n"), F.substr("value", F.instr("value", "\n") + 1)).alias("value"))
+        e = raw.select("run_id", F.col("file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
+        return e.filter(F.col("line") != "")
     raw = spark.read.option("wholetext", True).text(path)
     cols = [c for c in raw.columns if c != "value"]
     e = raw.select(*cols, F.col("_metadata.file_path").alias("file"),
