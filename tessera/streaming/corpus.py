@@ -98,59 +98,66 @@ def stream_corpus(spark: SparkSession, src: str, out: str, checkpoint: str, sche
     return w.start(out)
 
 
-STATE_SCHEMA = "ema double, best double, total double, last_step long"
+#: Groups of runs that share a state: a call of Python for each, not for each run.
+RUN_GROUPS = 256
+STATE_SCHEMA = "run array<long>, ema array<double>, best array<double>, total array<double>, last_step array<long>"
 OUT_SCHEMA = "run_id long, step long, smooth_loss double, min_val_bpb double, total_training_time double"
+WAITING = ", run_id array<long>, step array<long>, loss array<double>, val_bpb array<double>, dt array<double>"
+_RECORD = ["run_id", "step", "loss", "val_bpb", "dt"]
 
 
-def _run_metrics_fn(beta: float):
-    def fn(key, pdfs, state):
-        run_id = int(key[0])
-        if state.exists:
-            ema, best, total, last = state.get
-        else:
-            ema, best, total, last = 0.0, math.inf, 0.0, -1
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        df = pd.concat(frames).sort_values("step")
-        out = []
-        for step, loss, bpb, dt in zip(df["step"].tolist(), df["loss"].tolist(), df["val_bpb"].tolist(), df["dt"].tolist()):
+def _kept(columns) -> dict[int, tuple]:
+    """The four numbers of each run of a state."""
+    run, *numbers = map(list, columns)
+    return dict(zip(run, zip(*numbers)))
+
+
+def _columns(kept: dict[int, tuple]) -> tuple[list, ...]:
+    return ([*kept], *([v[i] for v in kept.values()] for i in range(4)))
+
+
+def _advance(kept: dict[int, tuple], records: pd.DataFrame, beta: float) -> pd.DataFrame | None:
+    """Take ``records`` into the numbers of their runs, each run's in step order."""
+    if records["run_id"].isna().any():
+        raise ValueError("a step record without run_id")
+    df, out = records.sort_values(["run_id", "step"], kind="stable"), []
+    for run, part in df.groupby("run_id", sort=False).indices.items():
+        run = int(run)
+        ema, best, total, last = kept.get(run, (0.0, math.inf, 0.0, -1))
+        rows = (df[c].to_numpy()[part].tolist() for c in _RECORD[1:])
+        for step, loss, bpb, dt in zip(*rows):
             best = min(best, bpb)
             if step > 10:
                 total += dt
             if step <= last:  # late: counts for the minimum and the time, but the average has gone on
-                out.append((run_id, int(step), None, best, total))
+                out.append((run, int(step), None, best, total))
                 continue
             ema = beta * ema + (1 - beta) * loss
-            out.append((run_id, int(step), ema / (1 - beta ** (step + 1)), best, total))
+            out.append((run, int(step), ema / (1 - beta ** (step + 1)), best, total))
             last = step
-        state.update((ema, best, total, last))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "step", "smooth_loss", "min_val_bpb", "total_training_time"])
-    return fn
+        kept[run] = ema, best, total, int(last)
+    return pd.DataFrame(out, columns=["run_id", "step", "smooth_loss", "min_val_bpb", "total_training_time"]) if out else None
 
 
-WAITING = ", step array<long>, loss array<double>, val_bpb array<double>, dt array<double>"
-_RECORD = ["step", "loss", "val_bpb", "dt"]
+def _run_metrics_fn(beta: float):
+    def fn(key, pdfs, state):
+        kept = _kept(state.get) if state.exists else {}
+        frames = [p[_RECORD] for p in pdfs if len(p)]
+        if not frames:
+            return
+        out = _advance(kept, pd.concat(frames), beta)
+        state.update(_columns(kept))
+        if out is not None:
+            yield out
+    return fn
 
 
 def _ordered_metrics_fn(beta: float):
     """As ``_run_metrics_fn``, but records wait in the state until the watermark
-    has passed their step; a timer wakes the run for those that are left."""
-    plain = _run_metrics_fn(beta)
-
-    class Kept:
-        """The four numbers of the plain state."""
-
-        def __init__(self, values):
-            self.exists, self.get = True, values
-
-        def update(self, values):
-            self.get = values
-
+    has passed their step; a timer wakes the runs for those that are left."""
     def fn(key, pdfs, state):
-        got = state.get if state.exists else (0.0, math.inf, 0.0, -1, [], [], [], [])
-        kept, waiting = Kept(tuple(got[:4])), pd.DataFrame(dict(zip(_RECORD, map(list, got[4:])))).astype({"step": "int64"})
+        got = tuple(map(list, state.get)) if state.exists else ([],) * 10
+        kept, waiting = _kept(got[:5]), pd.DataFrame(dict(zip(_RECORD, got[5:]))).astype({"run_id": "int64", "step": "int64"})
         if not state.hasTimedOut:
             frames = [p[_RECORD] for p in pdfs if len(p)]
             waiting = pd.concat([x for x in (waiting, *frames) if len(x)]) if frames else waiting
@@ -158,8 +165,10 @@ def _ordered_metrics_fn(beta: float):
         ready = (waiting["step"] + 1) * 1000 <= passed
         rest = waiting[~ready]
         if ready.any():
-            yield from plain(key, [waiting[ready]], kept)
-        state.update((*kept.get, *(rest[c].tolist() for c in _RECORD)))
+            out = _advance(kept, waiting[ready], beta)
+            if out is not None:
+                yield out
+        state.update((*_columns(kept), *(rest[c].tolist() for c in _RECORD)))
         if len(rest):
             state.setTimeoutTimestamp(max((int(rest["step"].min()) + 1) * 1000, passed + 1))
     return fn
@@ -171,18 +180,20 @@ def run_metrics_stream(records: DataFrame, beta: float = 0.9, late_steps: int |
 
     Without ``late_steps`` records are taken as they come: state per run is four
     numbers, and a record that comes after a later step of its run has a null
-    average. With ``late_steps`` a step is an event time (second s for step s)
+    average. Runs are dealt by hash to ``RUN_GROUPS`` groups with one state each,
+    so calls of Python don't grow with the runs. With ``late_steps`` a step is an event time (second s for step s)
     under a watermark so many steps behind the latest: records wait in the state
     until it has passed them, so steps that come up to that late enter in order.
     The state is the records of the last ``late_steps`` steps; records later than
     that are not taken. A record of a step far ahead closes all runs.
     """
+    records = records.withColumn("run_group", F.pmod(F.xxhash64("run_id"), F.lit(RUN_GROUPS)))
     if late_steps is None:
-        return (records.groupBy("run_id")
+        return (records.groupBy("run_group")
                        .applyInPandasWithState(_run_metrics_fn(beta), OUT_SCHEMA, STATE_SCHEMA, "append",
                                                GroupStateTimeout.NoTimeout))
     timed = records.withColumn("at", F.timestamp_seconds(F.col("step") + 1)).withWatermark("at", f"{late_steps} seconds")
-    return timed.groupBy("run_id").applyInPandasWithState(_ordered_metrics_fn(beta), OUT_SCHEMA, STATE_SCHEMA + WAITING, "append",
+    return timed.groupBy("run_group").applyInPandasWithState(_ordered_metrics_fn(beta), OUT_SCHEMA, STATE_SCHEMA + WAITING, "append",
                                                           GroupStateTimeout.EventTimeTimeout)
 
 

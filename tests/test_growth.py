@@ -64,3 +64,43 @@ def test_roundtrip_counts_tokens_in_the_same_pass(spark):
     out = TZ.tokenizer_roundtrip(TZ.decode_tokens(e, "ids", codec.table, "back"), "back", ids="ids")
     assert tuple(out.first()) == (3, 0, 6)
     assert _plan(out).count("ArrowEvalPython") == 1
+
+
+def test_logs_of_many_runs_lie_in_few_files(spark, tmp_path):
+    from tessera.sources import logs as LG
+    rows = [(r, n, f"line {r}-{n}") for r in [None, *range(200)] for n in (3, 1, 2)] + [(7, 4, None), (8, 9, "last")]
+    lines = spark.createDataFrame(rows, "run_id long, line_no long, line string")
+    LG.write_run_logs(lines, str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").rglob("*.txt"))) < 50
+    want = []
+    for r in [None, *range(200)]:
+        own = sorted((n, x) for k, n, x in rows if k == r)
+        want += [(r, i, x) for i, (_, x) in enumerate(own) if x]
+    got = LG.read_run_logs(spark, str(tmp_path / "many"), many=True).select(F.col("run_id").cast("long"), "line_no", "line")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_step_stream_calls_python_for_groups_of_runs(monkeypatch):
+    import pandas as pd
+
+    from tessera.streaming import corpus as STR
+
+    class State:
+        exists = False
+
+        def update(self, values):
+            self.exists, self.get = True, values
+
+    state, fn, out = State(), STR._run_metrics_fn(0.9), []
+    for lo in (0, 20):
+        d = pd.DataFrame([(r, s, float(r + s), 1.0 / (1 + s), 0.5) for s in range(lo, lo + 20) for r in (2, 5, 1 << 60)], columns=STR._RECORD)
+        out += [tuple(x) for p in fn((0,), [d], state) for x in p.itertuples(index=False)]
+    assert len(out) == 120
+    got = {(r, s): (a, b, c) for r, s, a, b, c in out}
+    for r in (2, 5, 1 << 60):
+        ema = 0.0
+        for s in range(40):
+            ema = 0.9 * ema + 0.1 * float(r + s)
+            a, b, c = got[r, s]
+            assert abs(a / (ema / (1 - 0.9 ** (s + 1))) - 1) < 1e-9 and b == 1.0 / (1 + s) and c == max(0, s - 10) * 0.5
