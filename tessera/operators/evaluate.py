@@ -9,9 +9,11 @@ than with a window over the group, so a hot key does not pin one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -476,6 +478,31 @@ def option_parts(items: DataFrame, shots: DataFrame, kind: str, delim: str = " "
     return _with_fewshot(items, shots, block, idx).select(idx, before.alias("before"), options.alias("options"), after.alias("after"))
 
 
+def _shared_bytes(texts: list[bytes]) -> int:
+    low, high = min(texts), max(texts)  # what these begin with in common, all do
+    done, n = 0, min(len(low), len(high))
+    while done < n and low[done] == high[done]:
+        step = 1
+        while done + step <= n and low[done : done + step] == high[done : done + step]:
+            done, step = done + step, step * 2
+    return done
+
+
+def _common_bytes(ends: bool):
+    """A column function: how many bytes all strings of an array begin (``ends``:
+    end) with in common; nulls don't count, and 0 if the first is null or absent."""
+    @F.arrow_udf("int")
+    def common(options: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in options:
+            out = []
+            for o in batch.cast(pa.list_(pa.binary())).to_pylist():
+                texts = [x[::-1] if ends else x for x in o or () if x is not None]
+                out.append(_shared_bytes(texts) if o and o[0] is not None else 0)
+            yield pa.array(out, pa.int32())
+
+    return common
+
+
 def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = None, idx: str = "idx") -> DataFrame:
     """Spans of every option from ``option_parts``: (idx, opt, ids, start, end).
 
@@ -491,17 +518,18 @@ def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = No
         spans = codec.option_spans(kind)(F.col("before"), F.col("options"), F.col("after"))
         return parts.select(idx, F.posexplode(spans).alias("opt", "_s")).select(idx, "opt", "_s.ids", "_s.start", "_s.end")
     head = F.array(F.lit(codec.bos))
-    d = parts.withColumn("_o", F.transform("options", lambda o: codec.encode_col(o)))
     n_before, n_after = codec.length_col("before"), codec.length_col("after")
+    common = _common_bytes(kind != "mc")(F.col("options"))
     if kind == "mc":
-        d = d.withColumn("_c", 1 + n_before + _common_len(F.col("_o")))
+        d = parts.withColumn("_c", 1 + n_before + common)
     else:
-        ends = _common_len(F.transform("_o", F.reverse))
-        shortest = F.array_min(F.transform("_o", F.size))
-        further = _common_len(F.transform("_o", lambda o: F.reverse(F.concat(head, codec.encode_col("before"), o))))
-        d = d.withColumn("_c", n_after + F.when(ends < shortest, ends).otherwise(further))
-    d = d.select(idx, "before", "after", "_c", F.posexplode("_o").alias("opt", "_ids"))
-    end = 1 + n_before + F.size("_ids") + n_after
-    ids = F.concat(head, codec.encode_col("before"), F.col("_ids"), codec.encode_col("after"))
+        d = parts.withColumn("_ends", common)
+        shortest = F.array_min(F.transform("options", lambda o: codec.length_col(o)))
+        further = _common_len(F.transform("options", lambda o: F.reverse(F.concat(head, codec.encode_col("before"), codec.encode_col(o)))))
+        d = d.withColumn("_c", n_after + F.when(F.col("_ends") < shortest, F.col("_ends")).otherwise(further))
+    # options stay texts until their ids are asked for
+    d = d.select(idx, "before", "after", "_c", F.posexplode("options").alias("opt", "_text"))
+    end = 1 + n_before + codec.length_col("_text") + n_after
+    ids = F.concat(head, codec.encode_col("before"), codec.encode_col("_text"), codec.encode_col("after"))
     start = F.col("_c") if kind == "mc" else end - F.col("_c")
     return d.select(idx, "opt", ids.alias("ids"), start.cast("int").alias("start"), end.cast("int").alias("end"))

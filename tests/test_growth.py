@@ -104,3 +104,17 @@ def test_step_stream_calls_python_for_groups_of_runs(monkeypatch):
             ema = 0.9 * ema + 0.1 * float(r + s)
             a, b, c = got[r, s]
             assert abs(a / (ema / (1 - 0.9 ** (s + 1))) - 1) < 1e-9 and b == 1.0 / (1 + s) and c == max(0, s - 10) * 0.5
+
+
+def test_common_bytes_of_options_encode_nothing(spark):
+    rows = [(0, "be", ["xäa", "yäa", "äa"], "."), (1, "", ["ab", "ab"], ""), (2, "q", ["", "z"], "!"), (3, "q", ["aab", None, "ab"], None), (4, "q", [None, "z"], ""), (5, "q", ["a" * 300 + "b", "a" * 300 + "c"], "")]
+    parts = spark.createDataFrame(rows, "idx long, before string, options array<string>, after string")
+    for kind in ("mc", "schema"):
+        flat = parts.select("idx", F.posexplode("options").alias("opt", "o"), "before", "after").select("idx", "opt", F.concat("before", "o", "after").alias("prompt"))
+        whole = EV.option_spans(EV.tokenize_prompts(flat.filter("idx not in (3, 4)")), kind)
+        want = {(r.idx, r.opt): (r.start, r.end, list(r.ids)) for r in whole.collect()}
+        spans = EV.option_spans_items(parts, kind)
+        assert {(r.idx, r.opt): (r.start, r.end, list(r.ids)) for r in spans.filter("idx not in (3, 4)").collect()} == want
+    bounds = EV.option_spans_items(parts, "mc").select("idx", "start", "end")
+    assert "split" not in _plan(bounds)
+    assert {r[1] for r in bounds.filter("idx = 3").collect()} == {3} and {r[1] for r in bounds.filter("idx = 4").collect()} == {2}
