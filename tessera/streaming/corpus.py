@@ -140,9 +140,10 @@ def _advance(kept: dict[int, tuple], records: pd.DataFrame, beta: float) -> pd.D
 
 
 def _run_metrics_fn(beta: float):
+    """For a group of runs, or for the run that the key names if records have no run_id."""
     def fn(key, pdfs, state):
         kept = _kept(state.get) if state.exists else {}
-        frames = [p[_RECORD] for p in pdfs if len(p)]
+        frames = [(p if "run_id" in p else p.assign(run_id=int(key[0])))[_RECORD] for p in pdfs if len(p)]
         if not frames:
             return
         out = _advance(kept, pd.concat(frames), beta)
