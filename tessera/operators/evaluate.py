@@ -314,8 +314,8 @@ def answer_match(items: DataFrame, completions: DataFrame, key: str = "problem")
     """Reference answer from the last part of the assistant message,
     predicted answer from the completion; null equals null. A problem without a
     completion keeps one row, with null sample and prediction, that isn't correct."""
-    last = items.select(key, F.try_element_at("messages", F.lit(-1)).alias("_msg"))
-    last = last.select(key, F.try_element_at("_msg.parts", F.lit(-1)).alias("_part"), F.col("_msg.content").alias("_content"))
+    last = items.select(key, F.get(F.reverse("messages"), F.lit(0)).alias("_msg"))
+    last = last.select(key, F.get(F.reverse("_msg.parts"), F.lit(0)).alias("_part"), F.col("_msg.content").alias("_content"))
     ref = with_answer(last.select(key, F.coalesce(F.col("_part.text"), F.col("_content")).alias("_text")), "_text", "ref").drop("_text")
     # the answer is read before the shuffle: whole completions don't travel
     c = with_answer(completions, "completion", "pred").drop("completion").withColumn("_there", F.lit(True))
