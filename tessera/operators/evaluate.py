@@ -12,11 +12,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.codec import ByteCodec
 from ..functions.hashing import h
@@ -257,20 +256,27 @@ def trim_completions(seqs: DataFrame, prompt_len: str = "prompt_len", codec: Byt
     return seqs.withColumn("completion", cut).withColumn("text", codec.decode_col(F.col("completion")))
 
 
-def _mask_batch(ids: pd.Series, plen: pd.Series, o_start: int, o_end: int) -> pd.Series:
-    out = []
-    for a, p in zip(ids, plen):
-        a = np.asarray(a, dtype=np.int64)
-        p = min(int(p), len(a))
-        opened = np.cumsum(a == o_start)
-        closed = np.concatenate([[0], np.cumsum(a == o_end)[:-1]]) if len(a) else opened
-        # markers are counted only after the prompt
-        pre_o = opened[p - 1] if p > 0 and len(a) else 0
-        pre_c = (np.cumsum(a == o_end)[p - 1] if p > 0 and len(a) else 0)
-        inside = (opened - pre_o) > (closed - pre_c)
-        m = np.where(np.arange(len(a)) < p, 0, np.where(inside, 0, 1))
-        out.append(m.astype(np.int32))
-    return pd.Series(out)
+#: Sequences whose masks are made at a time.
+MASKED_ROWS = 256
+
+
+def _mask_batch(ids: pa.ListArray, plen: pa.Array, o_start: int, o_end: int) -> pa.ListArray:
+    """Masks of a batch of sequences, which lie end to end."""
+    rows = len(ids)
+    there = ids.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.where(there, pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    prompt = np.clip(pc.fill_null(plen, 0).to_numpy(zero_copy_only=False).astype(np.int64), 0, sizes)
+    after = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) >= np.repeat(prompt, sizes)
+    # markers are counted only after the prompt; an end marker is itself inside
+    opened = np.cumsum((flat == o_start) & after)
+    closes = (flat == o_end) & after
+    closed = np.cumsum(closes) - closes
+    depth = np.append(0, opened - closed - closes)[ends - sizes] if len(flat) else np.zeros(rows, np.int64)
+    inside = opened - closed > np.repeat(depth, sizes)
+    mask = (after & ~inside).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(mask), mask=pa.array(~there))
 
 
 def completion_mask(seqs: DataFrame, prompt_len: str = "prompt_len", codec: ByteCodec | None = None) -> DataFrame:
@@ -278,14 +284,16 @@ def completion_mask(seqs: DataFrame, prompt_len: str = "prompt_len", codec: Byte
     output_start through output_end 0.
 
     A running count over each array; Spark has no array scan, so this is a
-    vectorised pandas UDF (numpy cumulative sums per row, Arrow batches).
+    vectorised UDF (numpy cumulative sums over the rows of Arrow batches).
     """
     codec = codec or ByteCodec()
     o_s, o_e = codec.special("output_start"), codec.special("output_end")
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def mask_udf(ids: pd.Series, plen: pd.Series) -> pd.Series:
-        return _mask_batch(ids, plen, o_s, o_e)
+    @F.arrow_udf("array<int>")
+    def mask_udf(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, plen in batches:
+            for at in range(0, len(ids), MASKED_ROWS):
+                yield _mask_batch(ids[at : at + MASKED_ROWS], plen[at : at + MASKED_ROWS], o_s, o_e)
 
     return seqs.withColumn("mask", mask_udf(F.col("ids"), F.col(prompt_len)))
 

@@ -1,9 +1,12 @@
 """Steps whose time must not grow faster than their input."""
 
+import hashlib
 import time
 
 from pyspark.sql import functions as F
 
+import views as V
+from tessera.functions import hashing as HS
 from tessera.operators import evaluate as EV
 from tessera.operators import runs as RN
 from tessera.operators import tasks as TK
@@ -118,3 +121,33 @@ def test_common_bytes_of_options_encode_nothing(spark):
     bounds = EV.option_spans_items(parts, "mc").select("idx", "start", "end")
     assert "split" not in _plan(bounds)
     assert {r[1] for r in bounds.filter("idx = 3").collect()} == {3} and {r[1] for r in bounds.filter("idx = 4").collect()} == {2}
+
+
+def test_draws_made_together_are_those_of_one_key():
+    prefixes, counts = [b"sq:1:", b"sq:", b"", b"k" * 52 + b":"], [12_345, 101, 1, 1_200]
+    for p, n, got in zip(prefixes, counts, HS.heads_up_to(prefixes, counts)):
+        assert got.tolist() == [int(hashlib.md5(p + b"%d" % i).hexdigest()[:8], 16) for i in range(n)]
+
+
+def test_marked_sequences_equal_single_draws(spark, tmp_path):
+    rows = [(7, "ab é日 " * 300), (8, ""), (9, None), (None, "x" * 1200), (7, "y"), (123456, "z" * 40_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.ids, r.prompt_len) for r in V.sequences(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for key, text in rows:
+        h = lambda seed, *p: int(hashlib.md5(":".join(map(str, (seed, *([] if key is None else [key]), *p))).encode()).hexdigest()[:8], 16)  # noqa: B023, E731
+        ids = None
+        if text is not None:
+            ids = []
+            for p, x in enumerate([V.BOS, *text.encode()]):
+                ids += [256 + h("sv", p) % 6] * (h("sq", p) / 2**32 < 0.03) + [x]
+        want.append((key, ids, 10 + h("pl") % 20))
+    assert got == sorted(want, key=str) and any(max(ids or [0]) > 255 for _, ids, _ in got)
+
+
+def test_masks_of_a_batch_don_t_run_into_each_other(spark):
+    a, z = 258, 259
+    rows = [(0, [a, 1, a, 2, z, 3], 1), (1, [], 0), (2, [a, a], 0), (3, [4, z, 5, a, 6, z, z, 7], 2), (4, None, 3), (5, [1, a, 2], 9), (6, [z, 1], 0), (7, [], 4)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>, prompt_len int").coalesce(1)
+    want = {0: [0, 1, 0, 0, 0, 1], 1: [], 2: [0, 0], 3: [0, 0, 1, 0, 0, 0, 1, 1], 4: None, 5: [0, 0, 0], 6: [1, 1], 7: []}
+    assert {r.k: r["mask"] for r in EV.completion_mask(df).collect()} == want

@@ -6,15 +6,23 @@ definition in ``oracle.py`` that DuckDB runs on the same parquet files.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tessera.functions.codec import utf8_ids
-from tessera.functions.hashing import TWO32
+from tessera.functions.hashing import TWO32, heads_up_to
 
 BOS = 261
 DOCS_PER_SHARD = 256
 RG_DOCS = 32
+#: Texts that get their marks at a time.
+MARKED_ROWS = 256
 
 
 def t(spark: SparkSession, sf_dir: str, name: str, waves: int = 1) -> DataFrame:
@@ -188,12 +196,32 @@ def completions(spark, sf_dir) -> DataFrame:
     return g.select("problem", "sample", txt.alias("completion"))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _marked(ids: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """BOS and the bytes of each text, with a special token 256 + h("sv", key, p) % 6
+    before place p where u("sq", key, p) < 0.03."""
+    most = int(0.03 * TWO32)  # u < 0.03: the draw is no larger
+    for keys, texts in ids:
+        for at in range(0, len(texts), MARKED_ROWS):
+            some = [("" if k is None else f"{k}:", t) for k, t in zip(keys[at : at + MARKED_ROWS].to_pylist(), texts[at : at + MARKED_ROWS].to_pylist())]
+            rows = [None if t is None else np.append(np.int32(BOS), np.frombuffer(t, np.uint8)) for _, t in some]
+            draws = heads_up_to([f"sq:{k}".encode() for k, _ in some], [0 if r is None else len(r) for r in rows])
+            for i, (row, draw) in enumerate(zip(rows, draws)):
+                if row is not None:
+                    places = np.flatnonzero(draw <= most)
+                    key = f"sv:{some[i][0]}".encode()
+                    values = [256 + int(hashlib.md5(key + b"%d" % p).hexdigest()[:8], 16) % 6 for p in places.tolist()]
+                    rows[i] = np.insert(row, places, values)
+            sizes = [0 if r is None else len(r) for r in rows]
+            values = np.concatenate([np.zeros(0, np.int32), *(r for r in rows if r is not None)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values), mask=pa.array([r is None for r in rows]))
+
+
 def sequences(spark, sf_dir) -> DataFrame:
-    b = doc_bytes(spark, sf_dir)
-    ins = F.flatten(F.transform("ids", lambda x, p: F.when(
-        UK("sq", F.col("doc_id"), p) < 0.03,
-        F.array((256 + HK("sv", F.col("doc_id"), p) % 6).cast("int"), x)).otherwise(F.array(x))))
-    return b.select("doc_id", ins.alias("ids"), (10 + HK("pl", F.col("doc_id")) % 20).cast("int").alias("prompt_len"))
+    d = t(spark, sf_dir, "documents")
+    # a draw for each byte: made many at a time, the same as UK and HK
+    ids = _marked(F.col("doc_id").cast("string"), F.encode(F.col("text"), "UTF-8"))
+    return d.select("doc_id", ids.alias("ids"), (10 + HK("pl", F.col("doc_id")) % 20).cast("int").alias("prompt_len"))
 
 
 def rollouts(spark, sf_dir) -> DataFrame:
