@@ -7,8 +7,15 @@ generation and can be restated in SQL for checking.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Special token ids of the byte vocabulary (ids 0-255 are bytes).
 BYTE_SPECIALS = {
@@ -59,6 +66,47 @@ def bytes_to_text(ids) -> Column:
     return F.make_valid_utf8(F.unhex(hx).cast("string"))
 
 
+#: Rows whose ids are written at a time.
+WRITTEN_ROWS = 64
+
+
+@lru_cache(2)
+def _written(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below ``top``, each with a comma, as rows of bytes, and their sizes."""
+    numbers = [b"%d," % i for i in range(top)]
+    return np.array(numbers).view(np.uint8).reshape(top, -1), np.array([len(x) for x in numbers])
+
+
+def _written_rows(ids: pa.ListArray) -> pa.Array:
+    flat = ids.flatten()
+    top = 0 if flat.null_count == len(flat) else int(pa.compute.max(flat).as_py()) + 1
+    if flat.null_count or not 0 < top <= 1 << 20 or pa.compute.min(flat).as_py() < 0:
+        return pa.array([None if r is None else ",".join(str(x) for x in r if x is not None) for r in ids.to_pylist()], pa.string())
+    signs, sizes = _written(max(1 << 10, 1 << (top - 1).bit_length()))
+    values = flat.to_numpy()
+    rows = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(rows)
+    size = sizes[values]
+    size[ends[rows > 0] - 1] -= 1  # no comma after the last
+    data = signs[values][np.arange(signs.shape[1]) < size[:, None]]
+    bounds = np.append(0, np.cumsum(size))[np.append(0, ends)].astype(np.int32)
+    texts = pa.StringArray.from_buffers(len(ids), pa.py_buffer(bounds), pa.py_buffer(data))
+    return pa.compute.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string())) if ids.null_count else texts
+
+
+@F.arrow_udf(StringType())
+def _ids_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for ids in batches:
+        for at in range(0, len(ids), WRITTEN_ROWS):
+            yield _written_rows(ids[at : at + WRITTEN_ROWS])
+
+
+def ids_text(ids) -> Column:
+    """Ids with commas between, the same text as ``array_join(ids, ",")``, which
+    makes a string of each; here many are written at a time."""
+    return _ids_text(_c(ids))
+
+
 class ByteCodec:
     """Byte tokenizer: encode is a Column expression, no join needed."""
 

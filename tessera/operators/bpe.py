@@ -170,3 +170,77 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         out.append(ranks[piece[i : end[i]]])
         i = end[i]
     return out
+
+
+class PieceMerger:
+    """``encode_piece`` over many pieces at a time: short ones lie in the rows of a
+    table of tokens, and a step does the next merge of every row, the lowest rank
+    first and the leftmost of equals. Long pieces go to ``encode_piece``. There is
+    no table for vocabularies too large for one of all pairs, or with tokens that
+    no merges make."""
+
+    #: Bytes of a short piece, and the most tokens.
+    WIDTHS, TOKENS = (4, 8, 16, 32), 2048
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.table = ranks, None
+        tokens = sorted(ranks, key=ranks.__getitem__)
+        at = {t: i for i, t in enumerate(tokens)}
+        if len(tokens) >= self.TOKENS or any(bytes([b]) not in at for b in range(256)):
+            return
+        # a row's end is a token without pairs; no pair: that token too
+        self.end = len(tokens)
+        self.bytes = np.array([at[bytes([b])] for b in range(256)], np.int32)
+        self.ids = np.array([ranks[t] for t in tokens], "<i4")
+        self.table = np.full((self.end + 1, self.end + 1), self.end, np.int32)
+        for t, i in at.items():
+            for k in range(1, len(t)):
+                if t[:k] in at and t[k:] in at:
+                    self.table[at[t[:k]], at[t[k:]]] = i
+        some = [t for t in tokens if len(t) <= self.WIDTHS[-1]]
+        ids, counts = self.encode(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some[:-1])]))
+        if (counts != 1).any() or ids.tolist() != [ranks[t] for t in some]:
+            self.table = None
+
+    def _block(self, data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of rows of bytes, and which places hold one."""
+        cols = np.arange(data.shape[1])
+        done = np.where(inside, self.bytes[data], self.end)
+        rows, tok = np.arange(len(done)), done.copy()
+        while len(rows):
+            rank = self.table[tok[:, :-1], tok[:, 1:]]
+            at = rank.argmin(1)
+            best = rank[np.arange(len(at)), at]
+            more = best < self.end
+            done[rows[~more]] = tok[~more]
+            rows, tok, at, best = rows[more], tok[more], at[more], best[more]
+            moved = np.append(tok[:, 1:], np.full((len(tok), 1), self.end, np.int32), 1)
+            tok = np.where(cols > at[:, None], moved, tok)
+            tok[np.arange(len(at)), at] = best
+        return done, done < self.end
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pieces that start there, end to end: all ids, and how many each has."""
+        sizes = np.diff(np.append(starts, len(data)))
+        group = np.searchsorted(self.WIDTHS, sizes)
+        counts, got = np.zeros(len(starts), np.int64), []
+        for g, width in enumerate(self.WIDTHS):
+            where, cols = np.flatnonzero(group == g), np.arange(width)
+            for k in range(0, len(where), 4096):  # tables of a block stay in the processor's cache
+                some = where[k : k + 4096]
+                at = np.minimum(starts[some][:, None] + cols, len(data) - 1)
+                done, kept = self._block(data[at], cols < sizes[some][:, None])
+                counts[some] = kept.sum(1)
+                got.append((some, done, kept))
+        for i in np.flatnonzero(group == len(self.WIDTHS)).tolist():
+            ids = np.array([encode_piece(data[starts[i] : starts[i] + sizes[i]].tobytes(), self.ranks)], "<i4")
+            counts[i] = ids.size
+            got.append((np.array([i]), ids, None))
+        out = np.empty(counts.sum(), "<i4")
+        first = np.cumsum(counts) - counts
+        for some, done, kept in got:
+            if kept is None:
+                out[first[some[0]] : first[some[0]] + done.size] = done[0]
+            else:
+                out[(first[some][:, None] + np.cumsum(kept, 1) - 1)[kept]] = self.ids[done[kept]]
+        return out, counts

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import SPECIAL_TOKENS
-from .bpe import PieceShard, best_pair, encode_piece, pair, predict
+from .bpe import PieceMerger, PieceShard, best_pair, encode_piece, pair, predict
 
 # Fixed value: the pre-tokenizer split pattern (numbers in groups of at most 2).
 SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
@@ -233,6 +234,89 @@ class PieceCache(dict):
             self.size = 0
 
 
+#: Characters of texts that a Python worker encodes at a time.
+SLICE_CHARS = 1 << 16
+_LETTER, _SPACE, _LINE, _STOP, _SIGN = 1, 2, 3, 4, 5
+#: Kinds of bytes: ASCII letters, space, line ends, punctuation; digits and "'"; all others 0.
+_KINDS = np.array([_LETTER if chr(b).isalpha() else _SPACE if b == 32 else _LINE if b in b"\r\n" else _SIGN if chr(b).isdigit() or b == 39
+                   else _STOP if 32 < b < 127 else 0 for b in range(128)] + [0] * 128, np.uint8)
+
+
+def piece_starts(data: np.ndarray, first: np.ndarray, find) -> np.ndarray:
+    """Where the pieces of texts start that lie end to end as UTF-8; ``first``: where
+    texts do, none of them empty.
+
+    No piece goes on from a sign that isn't white space into a space, and the
+    split only looks ahead: a text may be cut before such spaces, and the parts
+    split by themselves. Parts of ASCII letters and punctuation, with a space
+    only before them, are split by the kinds of neighbours; others by ``find``."""
+    kind = _KINDS[data]
+    text = np.zeros(len(data), bool)
+    text[first] = True
+    prev, prev2, follow = np.append(0, kind[:-1]), np.append([0, 0], kind[:-2])[: len(kind)], np.append(kind[1:], 0)
+    part = text | (kind == _SPACE) & ((prev == _LETTER) | (prev == _STOP) | (prev == _SIGN))
+    ended = np.append(part[1:], True)
+    odd = (kind == 0) | (kind == _SIGN) | (kind == _SPACE) & (~part | (follow == _LINE) & ~ended)
+    # one mark joins letters after it, several don't, nor does one after a space
+    own = np.append(False, ~part[:-1]) & ((prev2 == _STOP) | (prev2 == _SPACE))
+    starts = part | (kind == _LETTER) & ((prev == _LINE) | (prev == _STOP) & own) \
+        | (kind == _LINE) & (prev == _LETTER) | (kind == _STOP) & ((prev == _LETTER) | (prev == _LINE))
+    at = np.flatnonzero(part)
+    bad = np.logical_or.reduceat(odd, at)
+    # parts to search, neighbours of one text together
+    begin = bad & ~(np.append(False, bad[:-1]) & ~text[at])
+    end = bad & ~(np.append(bad[1:], False) & ~np.append(text[at[1:]], True))
+    bounds = np.append(at, len(data))
+    raw, sizes = data.tobytes(), []
+    for a, b in zip(bounds[:-1][begin].tolist(), bounds[1:][end].tolist()):
+        found = find(region := raw[a:b].decode())
+        sizes += map(len, found if len(region) == b - a else [p.encode() for p in found])
+    if sizes:  # pieces cover what was searched
+        searched = np.flatnonzero(np.repeat(bad, np.diff(bounds)))
+        starts[searched] = False
+        starts[searched[np.cumsum([0, *sizes[:-1]])]] = True
+    return starts
+
+
+class TextEncoder:
+    """Ids of texts, as bytes; many texts at a time."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import regex
+        self.find, self.pieces, self.merger = regex.compile(SPLIT_PATTERN).findall, PieceCache(ranks), PieceMerger(ranks)
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        at = np.flatnonzero(piece_starts(data, (ends - sizes)[sizes > 0], self.find))
+        ids, counts = self.merger.encode(data, at)
+        until = 4 * np.append(0, np.cumsum(counts))[np.searchsorted(at, np.append(0, ends))]
+        ids = ids.tobytes()
+        return [ids[a:b] for a, b in zip(until[:-1].tolist(), until[1:].tolist())]
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        out: list = [None] * len(texts)
+        some, chars = [], 0
+        for i, t in enumerate(texts):
+            if t is not None and self.merger.table is None:
+                out[i] = b"".join(map(self.pieces.__getitem__, self.find(t)))
+            elif t is not None:
+                some.append(i)
+                chars += len(t)
+            if chars >= SLICE_CHARS:
+                for k, ids in zip(some, self._slice([texts[k].encode() for k in some])):
+                    out[k] = ids
+                some, chars = [], 0
+        if some:
+            for k, ids in zip(some, self._slice([texts[k].encode() for k in some])):
+                out[k] = ids
+        self.pieces.trim()
+        return out
+
+
 def encode_corpus(docs: DataFrame, vocab: DataFrame, text: str = "text", prepend: int | None = None,
                   append: int | None = None, out: str = "ids") -> DataFrame:
     """Ordinary encoding (special strings in the text are plain text).
@@ -252,15 +336,13 @@ def bpe_encoder(spark, ranks: dict[bytes, int], prepend: int | None = None, appe
 
     @F.arrow_udf("array<int>")
     def enc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import regex
-        find, cache = regex.compile(SPLIT_PATTERN).findall, PieceCache(bc.value)
+        cache = TextEncoder(bc.value)
         for batch in texts:
-            got = [None if t is None else head + b"".join(map(cache.__getitem__, find(t))) + tail for t in batch.to_pylist()]
+            got = [None if g is None else head + g + tail for g in cache.encode(batch.to_pylist())]
             sizes = np.array([len(g or b"") // 4 for g in got])
             ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             values = pa.array(np.frombuffer(b"".join(g or b"" for g in got), "<i4"))
             yield pa.ListArray.from_arrays(ends, values, mask=pa.array([g is None for g in got]))
-            cache.trim()
 
     return enc
 
@@ -304,42 +386,27 @@ class BpeCodec:
         return _spans_udf(self.spark, self.ranks, self.bos, kind)
 
 
-def stable_pieces(pieces: list[str]) -> int:
-    """How many of a text's pieces are the same whatever text follows: the last
-    one may go on, and so may white space before it in the same run."""
-    k = len(pieces)
-    if k:
-        k -= 1
-        while k and pieces[k].isspace() and pieces[k - 1].isspace():
-            k -= 1
-    return k
+def seam_texts(before: str, options: list[str], after: str) -> tuple[str, list[str], str]:
+    """What no option touches at the start, what lies between for each option, and
+    what no option touches at the end, cut where a text may be (``piece_starts``)."""
+    cut = before.rfind(" ")
+    while cut > 0 and before[cut - 1].isspace():
+        cut = before.rfind(" ", 0, cut)
+    cut = max(cut, 0)
+    first = re.search(r"(?<=\S) ", after)
+    rest = first.start() if first else len(after)
+    return before[:cut], [before[cut:] + o + after[:rest] for o in options], after[rest:]
 
 
 def seam_ids(find, encode, before: str, options: list[str], after: str) -> list[tuple[np.ndarray, int, int]]:
     """Of each option: the ids of ``before + option + after``, and how many ids at
-    the start and at the end come from pieces that no option touches. ``before``
-    and ``after`` are split and encoded once; an option's own pieces start with
-    the end of ``before`` and go on into ``after`` until a bound of its pieces is
-    met: from there on the split is the same, as it only looks ahead."""
-    head = [m.group() for m in find(before)]
-    k = stable_pieces(head)
-    stable = b"".join(map(encode, head[:k]))
-    tail = "".join(head[k:])
-    at, ids = {}, []
-    for m in find(after):
-        at[m.start()] = len(ids)
-        ids.append(encode(m.group()))
-    out = []
-    for o in options:
-        text, base, rest, mid = tail + o + after, len(tail) + len(o), len(ids), []
-        for m in find(text):
-            if m.start() >= base and m.start() - base in at:
-                rest = at[m.start() - base]
-                break
-            mid.append(encode(m.group()))
-        end = b"".join(ids[rest:])
-        out.append((np.frombuffer(stable + b"".join(mid) + end, "<i4"), len(stable) // 4, len(end) // 4))
-    return out
+    the start and at the end come from pieces that no option touches. These are
+    split and encoded once."""
+    def ids(text):
+        return b"".join([encode(m.group()) for m in find(text)])
+    start, middles, end = seam_texts(before, options, after)
+    head, tail = ids(start), ids(end)
+    return [(np.frombuffer(head + ids(m) + tail, "<i4"), len(head) // 4, len(tail) // 4) for m in middles]
 
 
 def _shared(ids: list[np.ndarray]) -> int:
@@ -355,12 +422,16 @@ def _spans_udf(spark, ranks: dict[bytes, int], bos: int, kind: str):
 
     @F.arrow_udf("array<struct<ids:array<int>,start:int,end:int>>")
     def spans(before: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        import regex
-        find, cache = regex.compile(SPLIT_PATTERN).finditer, PieceCache(bc.value)
+        cache, first = TextEncoder(bc.value), np.int32(bos).tobytes()
         for b, o, a in before:
+            seams = [seam_texts(x, options, y) for x, options, y in zip(b.to_pylist(), o.to_pylist(), a.to_pylist())]
+            texts = iter(cache.encode([t for x, middles, y in seams for t in (x, *middles, y)]))
             ids, sizes, starts, counts = [], [], [], []
-            for x, options, y in zip(b.to_pylist(), o.to_pylist(), a.to_pylist()):
-                got = [np.append(np.int32(bos), g[0]) for g in seam_ids(find, cache.__getitem__, x, options, y)]
+            for _, middles, _ in seams:
+                head = first + next(texts)
+                between = [next(texts) for _ in middles]
+                tail = next(texts)
+                got = [np.frombuffer(head + m + tail, "<i4") for m in between]
                 if got:
                     common = _shared(got) if kind == "mc" else _shared([g[::-1] for g in got])
                     starts += [common if kind == "mc" else len(g) - common for g in got]
@@ -371,7 +442,6 @@ def _spans_udf(spark, ranks: dict[bytes, int], bos: int, kind: str):
             inner = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
             rows = pa.StructArray.from_arrays([inner, pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], ["ids", "start", "end"])
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), rows)
-            cache.trim()
 
     return spans
 

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
+from tessera.functions.codec import ids_text
 from tessera.operators import captions as CP
 from tessera.operators import evaluate as EV
 from tessera.operators import runs as RN
@@ -117,3 +119,35 @@ def test_problems_without_completions_count(spark):
     m = EV.answer_match(items, done)
     assert EV.generative_eval(m).first()["n_problems"] == 3 and EV.generative_eval(m).first()["n_passed"] == 2
     assert {r.problem: r.correct for r in m.filter("sample is null").collect()} == {2: 0}
+
+
+MADE = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate([b"th", b"he", b" t", b"in", b"ab", b"abab", b"the", b"ing", b"  ", b"..", b".\n"])}
+
+
+def test_texts_encoded_together_equal_their_pieces_one_by_one():
+    rnd, enc, cache = random.Random(7), TZ.TextEncoder(MADE), TZ.PieceCache(MADE)
+    assert enc.merger.table is not None and TZ.TextEncoder(RANKS).merger.table is None  # "the ab" can't be merged from " the" and "ab"
+    plain = ["a", "the", " ", " ", "\n", ".", "..", "x.y", "abab", "(", "ing"]
+    odd = ["  ", "\n\n", "\t", "1", "23", "'", "s", "'ll", "é", "\r", "日", "　", "\x1c", "\u0085", "a" * 40]
+    for signs in (plain, plain + odd):
+        for _ in range(600):
+            texts = [None if rnd.random() < 0.05 else "".join(rnd.choice(signs) for _ in range(rnd.randrange(14))) for _ in range(4)]
+            want = [None if t is None else b"".join(map(cache.__getitem__, regex.findall(TZ.SPLIT_PATTERN, t))) for t in texts]
+            assert enc.encode(texts) == want, texts
+    long = ["ab" * 50_000, "the. " * 30_000, "", None]
+    assert enc.encode(long) == [None if t is None else b"".join(map(cache.__getitem__, regex.findall(TZ.SPLIT_PATTERN, t))) for t in long]
+
+
+def test_plain_words_are_not_searched():
+    enc, seen = TZ.TextEncoder(MADE), []
+    find = enc.find
+    enc.find = lambda t: seen.append(t) or find(t)
+    enc.encode(["The abab, in the thing.\nThen (some) more.", "a 12 b"])
+    assert seen == [" 12"]
+
+
+def test_ids_as_text_equal_joined_arrays(spark):
+    rows = [(0, [1, 256, 70_000]), (1, []), (2, None), (3, [0]), (4, [5, None, 7]), (5, [-1, 3]), (6, [1 << 24])]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    got = df.select("k", ids_text("ids").alias("a"), F.array_join("ids", ",").alias("b")).collect()
+    assert len(got) == 7 and all(r.a == r.b for r in got)
