@@ -4,9 +4,9 @@
 * ``train_bpe`` — byte-level BPE over the table of *distinct* pieces with
   their counts: shards with an inverted index from pairs to places, whose
   merges change pair counts instead of counting again.
-* ``encode_corpus`` — narrow: each Arrow batch of texts is split and encoded
-  in one pass with a bounded cache of pieces, so no token-level shuffle or
-  join is needed and hot pieces cost nothing extra.
+* ``encode_corpus`` — narrow: the texts of an Arrow batch are split and merged
+  together in slices, so no token-level shuffle or join is needed and hot
+  pieces cost nothing extra.
 * ``decode_tokens`` — one-row broadcast of the vocabulary map (bounded by
   the vocabulary size) and a narrow ``transform``.
 """
@@ -322,8 +322,7 @@ def encode_corpus(docs: DataFrame, vocab: DataFrame, text: str = "text", prepend
     """Ordinary encoding (special strings in the text are plain text).
 
     The vocabulary is collected once (bounded by the vocabulary size) and
-    shipped as a broadcast variable; a task keeps a bounded cache of pieces over
-    all its batches. Only the text crosses into Python and only ids come back.
+    shipped as a broadcast variable. Only the text crosses into Python and only ids come back.
     """
     return docs.withColumn(out, bpe_encoder(docs.sparkSession, _ranks(vocab.collect()), prepend, append)(_c(text)))
 
