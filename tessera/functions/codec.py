@@ -54,7 +54,11 @@ def utf8_ids(text) -> Column:
     The bytes are re-read as ISO-8859-1, which maps every byte to the one
     character with that code point; splitting into characters and reading
     each code point gives the byte values, all in JVM expressions."""
-    latin = F.decode(F.encode(_c(text), "UTF-8"), "ISO-8859-1")
+    return _byte_ids(F.encode(_c(text), "UTF-8"))
+
+
+def _byte_ids(data: Column) -> Column:
+    latin = F.decode(data, "ISO-8859-1")
     ids = F.transform(F.split(latin, ""), lambda c: F.ascii(c))
     return F.when(F.length(latin) == 0, F.array().cast("array<int>")).otherwise(ids)
 
@@ -131,6 +135,15 @@ class ByteCodec:
         """How many ids a text has."""
         return F.octet_length(_c(text))
 
+    def packed_col(self, text) -> Column:
+        """The ids of a text as binary, a byte each; those of a concatenation are
+        the concatenated binaries."""
+        return F.encode(_c(text), "UTF-8")
+
+    def unpacked_col(self, packed) -> Column:
+        """array<int> of packed ids."""
+        return _byte_ids(_c(packed))
+
     def encode(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
         return df.withColumn(out, utf8_ids(text))
 

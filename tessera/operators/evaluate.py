@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.codec import ByteCodec
 from ..functions.hashing import h
@@ -125,11 +126,20 @@ def common_suffix_len(options: DataFrame, idx: str = "idx", ids: str = "ids") ->
 
 
 def tokenize_prompts(prompts: DataFrame, codec: ByteCodec | None = None, col: str = "prompt",
-                     out: str = "ids") -> DataFrame:
+                     out: str = "ids", packed: bool = False) -> DataFrame:
+    """BOS and the ids of each prompt. ``packed``: all ids as binary, a byte each,
+    with BOS left out (byte codec; an array takes four bytes an id and a string
+    for each while it is made). ``option_spans`` and ``left_crop`` take both."""
     codec = codec or ByteCodec()
+    if packed:
+        return prompts.withColumn(out, codec.packed_col(F.col(col)))
     return prompts.withColumn(out, F.concat(F.array(F.lit(codec.bos)), codec.encode_col(F.col(col))))
 
 
+def _is_packed(df: DataFrame, ids: str) -> bool:
+    return isinstance(df.schema[ids].dataType, BinaryType)
+
+
 def option_spans(options: DataFrame, kind: str, idx: str = "idx") -> DataFrame:
     """(start, end) of the scored tokens of each option.
 
@@ -145,22 +155,32 @@ def option_spans(options: DataFrame, kind: str, idx: str = "idx") -> DataFrame:
                        .withColumn("start", F.col("end") - F.col("suffix_len")))
     if kind == "lm":
         wo, wi = F.col("ids_without"), F.col("ids_with")
-        ok = (F.size(wo) < F.size(wi)) & (F.slice(wi, 1, F.size(wo)) == wo)
-        return (options.withColumn("start", F.size(wo)).withColumn("end", F.size(wi))
-                       .withColumn("ids", wi).withColumn("valid", ok))
+        if _is_packed(options, "ids_with"):
+            n_wo, n_wi, begins = 1 + F.octet_length(wo), 1 + F.octet_length(wi), wi.startswith(wo)
+        else:
+            n_wo, n_wi, begins = F.size(wo), F.size(wi), F.slice(wi, 1, F.size(wo)) == wo
+        return (options.withColumn("start", n_wo).withColumn("end", n_wi)
+                       .withColumn("ids", wi).withColumn("valid", (n_wo < n_wi) & begins))
     raise ValueError(kind)
 
 
-def left_crop(spans: DataFrame, max_len: int) -> DataFrame:
+def left_crop(spans: DataFrame, max_len: int, codec: ByteCodec | None = None) -> DataFrame:
     """Keep the last ``max_len`` tokens and shift the span; a span pushed
-    below 0 is invalid."""
-    n = F.size("ids")
-    crop = F.greatest(n - F.lit(max_len), F.lit(0))
-    out = spans.withColumns({
-        "ids": F.when(crop > 0, F.slice("ids", crop + 1, F.lit(max_len))).otherwise(F.col("ids")),
-        "start": F.col("start") - crop,
-        "end": F.col("end") - crop,
-    })
+    below 0 is invalid. Packed ids (``tokenize_prompts``) are cropped as they
+    are, and those kept become an array."""
+    if _is_packed(spans, "ids"):
+        codec = codec or ByteCodec()
+        n = 1 + F.octet_length("ids")
+        crop = F.greatest(n - F.lit(max_len), F.lit(0))
+        # BOS is the first to go, so the crop is also the place of the first byte kept
+        head = F.when(crop > 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(codec.bos)))
+        tail = F.when(crop > 0, F.substring("ids", crop, F.lit(max_len))).otherwise(F.col("ids"))
+        ids = F.concat(head, codec.unpacked_col(tail))
+    else:
+        n = F.size("ids")
+        crop = F.greatest(n - F.lit(max_len), F.lit(0))
+        ids = F.when(crop > 0, F.slice("ids", crop + 1, F.lit(max_len))).otherwise(F.col("ids"))
+    out = spans.withColumns({"ids": ids, "start": F.col("start") - crop, "end": F.col("end") - crop})
     return out.withColumn("crop_ok", F.col("start") >= 0)
 
 
@@ -511,8 +531,10 @@ def _common_bytes(ends: bool):
     return common
 
 
-def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = None, idx: str = "idx") -> DataFrame:
-    """Spans of every option from ``option_parts``: (idx, opt, ids, start, end).
+def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = None, idx: str = "idx",
+                       packed: bool = False) -> DataFrame:
+    """Spans of every option from ``option_parts``: (idx, opt, ids, start, end);
+    ``packed``: ids as in ``tokenize_prompts``.
 
     The shared text is encoded once and only the options are compared: the
     common prefix (mc) is BOS, ``before`` and what the options have in common;
@@ -538,6 +560,9 @@ def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = No
     # options stay texts until their ids are asked for
     d = d.select(idx, "before", "after", "_c", F.posexplode("options").alias("opt", "_text"))
     end = 1 + n_before + codec.length_col("_text") + n_after
-    ids = F.concat(head, codec.encode_col("before"), codec.encode_col("_text"), codec.encode_col("after"))
+    if packed:
+        ids = F.concat(*[codec.packed_col(x) for x in ("before", "_text", "after")])
+    else:
+        ids = F.concat(head, codec.encode_col("before"), codec.encode_col("_text"), codec.encode_col("after"))
     start = F.col("_c") if kind == "mc" else end - F.col("_c")
     return d.select(idx, "opt", ids.alias("ids"), start.cast("int").alias("start"), end.cast("int").alias("end"))

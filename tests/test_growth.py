@@ -151,3 +151,32 @@ def test_masks_of_a_batch_don_t_run_into_each_other(spark):
     df = spark.createDataFrame(rows, "k int, ids array<int>, prompt_len int").coalesce(1)
     want = {0: [0, 1, 0, 0, 0, 1], 1: [], 2: [0, 0], 3: [0, 0, 1, 0, 0, 0, 1, 1], 4: None, 5: [0, 0, 0], 6: [1, 1], 7: []}
     assert {r.k: r["mask"] for r in EV.completion_mask(df).collect()} == want
+
+
+def test_packed_ids_give_the_same_spans_and_crops(spark):
+    sizes = [0, 1, 2, 6, 7, 8, 9, 40]
+    rows = [(i, "é" * (n // 2) + "x" * (n % 2), ["ab", "", "日本", None, "a"], "." * (i % 3)) for i, n in enumerate(sizes)]
+    rows += [(90, None, ["a"], ""), (91, "q", ["", ""], ""), (92, "q", None, "z"), (93, "", ["same", "same"], None)]
+    parts = spark.createDataFrame(rows, "idx long, before string, options array<string>, after string")
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    cols = ["idx", "opt", "ids", "start", "end", "crop_ok"]
+    for kind in ("mc", "schema"):
+        whole, packed = EV.option_spans_items(parts, kind), EV.option_spans_items(parts, kind, packed=True)
+        for n in (0, 1, 8, 1000):
+            assert order(EV.left_crop(packed, n).select(cols)) == order(EV.left_crop(whole, n).select(cols))
+    texts = ["", "a", " a", "a ", "é日", "x" * 7, "x" * 8, "x" * 9, None]
+    lm = spark.createDataFrame([(i * 10 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "idx long, a string, b string")
+
+    def spans(**how):
+        d = EV.tokenize_prompts(EV.tokenize_prompts(lm, col="a", out="ids_without", **how), col="b", out="ids_with", **how)
+        return EV.option_spans(d, "lm").withColumn("opt", F.lit(0))
+
+    for n in (0, 1, 8, 1000):
+        assert order(EV.left_crop(spans(packed=True), n).select(*cols, "valid")) == order(EV.left_crop(spans(), n).select(*cols, "valid"))
+
+
+def test_left_crop_makes_arrays_of_kept_ids_only(spark, tmp_path):
+    import catalog
+    spark.createDataFrame([(i, "é word " * (i + 1), "s") for i in range(6)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(catalog._spans_all(spark, str(tmp_path)).dtypes)["ids"] == "binary"
+    assert catalog.Q["left_crop"](spark, str(tmp_path)).count() == 6 * 9
