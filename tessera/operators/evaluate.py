@@ -54,48 +54,80 @@ def sample_fewshot(items: DataFrame, k: int, seed: int = 1234, idx: str = "idx",
     return items.withColumn("shots", F.transform(drawn, lambda c: F.when(c >= i, c + 1).otherwise(c)))
 
 
-def _shot_text(items: DataFrame, shots: DataFrame, block: Column, idx: str) -> DataFrame:
-    """(idx, fewshot) where fewshot is the ordered concatenation of blocks."""
+def _collect_shots(items: DataFrame, shots: DataFrame, idx: str, **cols: Column) -> DataFrame:
+    """(idx, shot_items): ``cols`` of an item's shots, each with its place among them."""
     e = shots.select(F.col(idx).alias("_item"), F.posexplode("shots").alias("_pos", "_shot"))
-    src = items.select(F.col(idx).alias("_shot"), block.alias("_block"))
-    j = e.join(src, "_shot")
-    g = j.groupBy("_item").agg(F.array_sort(F.collect_list(F.struct("_pos", "_block"))).alias("_b"))
-    return g.select(F.col("_item").alias(idx), F.array_join(F.transform("_b", lambda x: x["_block"]), "").alias("fewshot"))
+    src = items.select(F.col(idx).alias("_shot"), *[c.alias(n) for n, c in cols.items()])
+    g = e.join(src, "_shot").groupBy("_item").agg(F.collect_list(F.struct("_pos", *cols)).alias("shot_items"))
+    return g.withColumnRenamed("_item", idx)
+
+
+def gather_shots(items: DataFrame, shots: DataFrame, cols: list[str], idx: str = "idx") -> DataFrame:
+    """Adds ``shot_items``, ``cols`` of an item's shots. Prompts of several kinds over
+    the same items and shots take such items, with None for shots, and so share
+    what is read and shuffled."""
+    return items.join(_collect_shots(items, shots, idx, **{c: F.col(c) for c in cols}), idx, "left")
 
 
 def _with_fewshot(items, shots, block, idx):
-    fs = _shot_text(items, shots, block, idx)
-    return items.join(fs, idx, "left").withColumn("fewshot", F.coalesce(F.col("fewshot"), F.lit("")))
+    """Adds ``fewshot``, the ordered concatenation of the blocks of an item's shots;
+    ``block`` makes one from a function that gives columns by name."""
+    text = lambda blocks: F.array_join(F.transform(F.array_sort(blocks), lambda x: x["_block"]), "")
+    if shots is None:
+        own = F.transform("shot_items", lambda x: F.struct(x["_pos"].alias("_pos"), block(lambda c: x[c]).alias("_block")))
+        d = items.withColumn("fewshot", text(own))
+    else:
+        g = _collect_shots(items, shots, idx, _block=block(F.col))
+        d = items.join(g.select(idx, text(F.col("shot_items")).alias("fewshot")), idx, "left")
+    return d.withColumn("fewshot", F.coalesce(F.col("fewshot"), F.lit("")))
+
+
+def _mc_block(delim):
+    return lambda c: F.concat(c("query"), F.lit(delim), F.get(c("choices"), c("gold")), F.lit("\n\n"))
+
+
+def _schema_block(delim):
+    return lambda c: F.concat(F.get(c("context_options"), c("gold")), F.lit(delim), c("continuation"), F.lit("\n\n"))
 
 
-def prompts_mc(items: DataFrame, shots: DataFrame, delim: str = " ", idx: str = "idx") -> DataFrame:
+def prompts_mc(items: DataFrame, shots: DataFrame | None, delim: str = " ", idx: str = "idx") -> DataFrame:
     """Few-shot blocks ``query+delim+gold choice`` + blank line, then one
     prompt per choice. Items: (idx, query, choices, gold)."""
-    block = F.concat(F.col("query"), F.lit(delim), F.get(F.col("choices"), F.col("gold")), F.lit("\n\n"))
-    d = _with_fewshot(items, shots, block, idx)
+    d = _with_fewshot(items, shots, _mc_block(delim), idx)
     e = d.select(idx, "fewshot", "query", F.posexplode("choices").alias("opt", "choice"))
     return e.select(idx, "opt", F.concat("fewshot", "query", F.lit(delim), "choice").alias("prompt"))
 
 
-def prompts_schema(items: DataFrame, shots: DataFrame, delim: str = " ", idx: str = "idx") -> DataFrame:
+def prompts_schema(items: DataFrame, shots: DataFrame | None, delim: str = " ", idx: str = "idx") -> DataFrame:
     """Contexts vary, continuation fixed. Items: (idx, context_options, continuation, gold)."""
-    block = F.concat(F.get(F.col("context_options"), F.col("gold")), F.lit(delim), F.col("continuation"), F.lit("\n\n"))
-    d = _with_fewshot(items, shots, block, idx)
+    d = _with_fewshot(items, shots, _schema_block(delim), idx)
     e = d.select(idx, "fewshot", "continuation", F.posexplode("context_options").alias("opt", "ctx"))
     return e.select(idx, "opt", F.concat("fewshot", "ctx", F.lit(delim), "continuation").alias("prompt"))
 
 
+# What the pattern \s matches in Unicode.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def _strip_joined(a: Column, b: Column) -> Column:
+    """``py_strip(concat(a, b))`` for a long ``a`` and a short ``b``: unless ``b`` is
+    blank, only ``b`` is searched for the end."""
+    end = F.rtrim(b, F.lit(SPACES))
+    return F.when(end != "", F.ltrim(F.concat(a, end), F.lit(SPACES))).otherwise(py_strip(F.concat(a, b)))
 
 
-def prompts_lm(items: DataFrame, shots: DataFrame, delim: str = " ", idx: str = "idx") -> DataFrame:
+def prompts_lm(items: DataFrame, shots: DataFrame | None, delim: str = " ", idx: str = "idx") -> DataFrame:
     """Two prompts per item: without (stripped) and with the continuation.
     Items: (idx, context, continuation)."""
-    block = F.concat(py_strip(F.col("context")), F.lit(delim), F.col("continuation"), F.lit("\n\n"))
+    block = lambda c: F.concat(py_strip(c("context")), F.lit(delim), c("continuation"), F.lit("\n\n"))
     d = _with_fewshot(items, shots, block, idx)
-    base = F.concat("fewshot", py_strip(F.col("context")), F.lit(delim))
-    return d.select(idx, py_strip(base).alias("prompt_without"), F.concat(base, "continuation").alias("prompt_with"))
+    own = F.concat(py_strip(F.col("context")), F.lit(delim))
+    return d.select(idx, _strip_joined(F.col("fewshot"), own).alias("prompt_without"),
+                    F.concat("fewshot", own, "continuation").alias("prompt_with"))
 
 
 # ------------------------------------------------------------------ spans
@@ -491,14 +523,14 @@ def split_bpb(losses: DataFrame, byte_lengths: DataFrame, split_tokens: int, tok
 # ------------------------------------------------------------------ item-level (no shuffle) spans
 
 
-def option_parts(items: DataFrame, shots: DataFrame, kind: str, delim: str = " ", idx: str = "idx") -> DataFrame:
+def option_parts(items: DataFrame, shots: DataFrame | None, kind: str, delim: str = " ", idx: str = "idx") -> DataFrame:
     """(idx, before, options array<string>, after): the prompt of an option is
     ``before + option + after``. What the options share is on the row once."""
     if kind == "mc":
-        block = F.concat(F.col("query"), F.lit(delim), F.get(F.col("choices"), F.col("gold")), F.lit("\n\n"))
+        block = _mc_block(delim)
         parts = (F.concat(F.col("fewshot"), F.col("query"), F.lit(delim)), F.col("choices"), F.lit(""))
     elif kind == "schema":
-        block = F.concat(F.get(F.col("context_options"), F.col("gold")), F.lit(delim), F.col("continuation"), F.lit("\n\n"))
+        block = _schema_block(delim)
         parts = (F.col("fewshot"), F.col("context_options"), F.concat(F.lit(delim), F.col("continuation")))
     else:
         raise ValueError(kind)
@@ -557,11 +589,15 @@ def option_spans_items(parts: DataFrame, kind: str, codec: ByteCodec | None = No
         shortest = F.array_min(F.transform("options", lambda o: codec.length_col(o)))
         further = _common_len(F.transform("options", lambda o: F.reverse(F.concat(head, codec.encode_col("before"), codec.encode_col(o)))))
         d = d.withColumn("_c", n_after + F.when(F.col("_ends") < shortest, F.col("_ends")).otherwise(further))
-    # options stay texts until their ids are asked for
-    d = d.select(idx, "before", "after", "_c", F.posexplode("options").alias("opt", "_text"))
-    end = 1 + n_before + codec.length_col("_text") + n_after
+    # options stay texts until their ids are asked for; what they share is packed once.
+    # An inner explode would have Spark filter the items by it when they are read: their
+    # texts would be cut twice, and other kinds couldn't share that read
+    as_ids = codec.packed_col if packed else F.col
+    d = d.select(idx, as_ids("before").alias("before"), as_ids("after").alias("after"), (1 + n_before + n_after).alias("_n"), "_c",
+                 F.posexplode_outer("options").alias("opt", "_text")).filter(F.col("opt").isNotNull())
+    end = F.col("_n") + codec.length_col("_text")
     if packed:
-        ids = F.concat(*[codec.packed_col(x) for x in ("before", "_text", "after")])
+        ids = F.concat("before", codec.packed_col("_text"), "after")
     else:
         ids = F.concat(head, codec.encode_col("before"), codec.encode_col("_text"), codec.encode_col("after"))
     start = F.col("_c") if kind == "mc" else end - F.col("_c")

@@ -180,3 +180,42 @@ def test_left_crop_makes_arrays_of_kept_ids_only(spark, tmp_path):
     spark.createDataFrame([(i, "é word " * (i + 1), "s") for i in range(6)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert dict(catalog._spans_all(spark, str(tmp_path)).dtypes)["ids"] == "binary"
     assert catalog.Q["left_crop"](spark, str(tmp_path)).count() == 6 * 9
+
+
+def test_shots_gathered_once_give_the_prompts_of_each_kind(spark, tmp_path):
+    import catalog
+    texts = ["é word " * 9, "", " \n ", None, "abcde", "aaaaaaaaaa", "　x y  ", "日本語 text " * 40]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    lm = EV.tokenize_prompts(EV.tokenize_prompts(catalog._lm_prompts(spark, sf), col="prompt_without", out="ids_without"), col="prompt_with", out="ids_with")
+    alone = {k: catalog._item_spans(spark, sf, k).withColumn("valid", F.lit(True)) for k in ("mc", "schema")}
+    alone["lm"] = EV.option_spans(lm, "lm").withColumn("opt", F.lit(0))
+    together = EV.left_crop(catalog._spans_all(spark, sf), 64)
+    cols = ["idx", "opt", "start", "end", "valid", "ids", "crop_ok"]
+    for kind, spans in alone.items():
+        got = order(together.filter(F.col("kind") == kind).select(cols))
+        assert got == order(EV.left_crop(spans, 64).select(cols)) and len(got) == len(rows) * (1 if kind == "lm" else 4)
+
+
+def test_gathered_shots_of_repeated_and_missing_keys(spark):
+    rows = [(0, "q0", ["a", "b"], 0), (1, "q1", ["c", None], 1), (1, "q2", ["d", "e"], 1), (3, None, ["f"], 0), (None, "q4", None, None)]
+    items = spark.createDataFrame(rows, "idx long, query string, choices array<string>, gold int")
+    shots = spark.createDataFrame([(0, [1, 3]), (1, [0, 3]), (1, [3, 0]), (3, []), (None, [0])], "idx long, shots array<long>")
+    gathered = EV.gather_shots(items, shots, ["query", "choices", "gold"])
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    for kind, shape in (("mc", lambda m: m), ("schema", V.as_schema)):
+        assert order(EV.option_parts(shape(gathered), None, kind)) == order(EV.option_parts(shape(items), shots, kind))
+    assert order(EV.prompts_lm(V.as_lm(gathered), None)) == order(EV.prompts_lm(V.as_lm(items), shots))
+
+
+def test_strips_by_the_ends_equal_the_pattern(spark):
+    ends = ["", " ", "\n", "\r\n", "\x1c", "​", "᠎", "a", *EV.SPACES, EV.SPACES]
+    df = spark.createDataFrame([(a + x + "b c" + b, b + y + a) for a in ends for b in ends for x, y in (("", ""), ("d", "\t"), (" ", "é"))] + [(None, "a"), ("a", None)], "a string, b string")
+    whole = F.regexp_replace(F.concat("a", "b"), r"(?U)^\s+|\s+$", "")
+    own = F.regexp_replace("b", r"(?U)^\s+|\s+$", "")
+    same = F.col("s").eqNullSafe(whole) & F.col("t").eqNullSafe(own)
+    assert df.withColumn("s", EV._strip_joined(F.col("a"), F.col("b"))).withColumn("t", EV.py_strip(F.col("b"))).filter(~same).count() == 0
+    every = spark.range(1, 0x10000).filter("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    assert {r.c for r in every.filter(F.regexp_replace("c", r"(?U)\s", "") == "").collect()} == set(EV.SPACES)

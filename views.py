@@ -125,14 +125,29 @@ def mc_items(spark, sf_dir) -> DataFrame:
                     (F.col("doc_id") % 4).cast("int").alias("gold"), F.col("source").alias("subject"))
 
 
+def _reshaped(m: DataFrame, cols: dict) -> DataFrame:
+    """``cols`` of items, and of the items gathered as their shots."""
+    out = [f(F.col).alias(n) for n, f in cols.items()]
+    if "shot_items" in m.columns:
+        out.append(F.transform("shot_items", lambda x: F.struct(x["_pos"].alias("_pos"), *[f(lambda c: x[c]).alias(n) for n, f in cols.items()])).alias("shot_items"))
+    return m.select("idx", *out)
+
+
+def as_schema(m: DataFrame) -> DataFrame:
+    return _reshaped(m, {"context_options": lambda c: c("choices"), "continuation": lambda c: c("query"), "gold": lambda c: c("gold")})
+
+
+def as_lm(m: DataFrame) -> DataFrame:
+    # the continuation is the whole rest of the text
+    return _reshaped(m, {"context": lambda c: c("query"), "continuation": lambda c: F.array_join(c("choices"), "")})
+
+
 def schema_items(spark, sf_dir) -> DataFrame:
-    m = mc_items(spark, sf_dir)
-    return m.select("idx", F.col("choices").alias("context_options"), F.col("query").alias("continuation"), "gold")
+    return as_schema(mc_items(spark, sf_dir))
 
 
 def lm_items(spark, sf_dir) -> DataFrame:
-    m = mc_items(spark, sf_dir)  # the continuation is the whole rest of the text
-    return m.select("idx", F.col("query").alias("context"), F.array_join("choices", "").alias("continuation"))
+    return as_lm(mc_items(spark, sf_dir))
 
 
 def option_losses(spark, sf_dir) -> DataFrame:
